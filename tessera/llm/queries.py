@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import sharding, simhash
+from tessera.llm import bpe, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,31 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Digest of every document's ids and of the text that they decode to."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    hashed = tokens.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
+    return bpe.decode(hashed, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document: pattern matches, and those that the Markov models add."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.sha2(secrets.span_text(F.col("spans"), secrets.KINDS[:3]), 256).alias("base_sha256")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), n("markov"), base, secrets.span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_simhash": op3_simhash,
+    "op8_bpe": op8_bpe,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {}
