@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, secrets, sharding, simhash
+from tessera.llm import bpe, secrets, sharding, simhash, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,17 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), n("markov"), base, secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a 100-byte string covers which also starts earlier in the corpus."""
+    return suffixes.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_simhash": op3_simhash,
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLES: dict[str, str] = {}
