@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, secrets, sharding, simhash, suffixes
+from tessera.llm import bpe, secrets, sharding, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels outside one fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", (toxicity.part() == 2).alias("held_out"), "score", predicted, (F.col("score") >= toxicity.threshold(model)).alias("rejected"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Digest of every document's ids and of the text that they decode to."""
     if path is None:
@@ -51,6 +60,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_simhash": op3_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
     "op10_suffixes": op10_suffixes,
