@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut, free_shuffles, keyed
+from tessera.llm.shared import cut, free_shuffles, join_sparse, keyed
 
 LENGTH = 100
 TRIGGER = 32
@@ -27,9 +27,6 @@ STRETCH = 1_000_000
 """Bytes of documents that a task looks at together; a longer document is a stretch of its own."""
 HOT = 5_000
 """Distinct phrases of one trigger that one group may hold; those of a more common trigger go string by string."""
-BUCKETS = 1 << 20
-"""Hash classes of documents with removals; at most so many rows are broadcast, whatever the corpus."""
-
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,7 +142,7 @@ def phrases(rows: DataFrame) -> DataFrame:
 def _contents(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(trigger, key, start, bytes) of the wanted phrases, cut from the documents that have them."""
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("trigger", "start", "n")).alias("wanted"))
-    held = _with_some(rows, lists)
+    held = join_sparse(rows.select("key", "text"), lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,15 +155,6 @@ def _contents(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "trigger long, key long, start int, bytes binary")
 
 
-def _with_some(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """Join on key of (key, text) with a list per key. Texts whose hash class has no list stay out of the shuffle:
-    the classes, at most BUCKETS of them, are broadcast."""
-    lists = cut(lists)
-    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
-    some = lists.select(bucket.alias("\x00bucket")).distinct()
-    return rows.select("key", "text").join(F.broadcast(some), bucket == F.col("\x00bucket"), "left_semi").join(lists, "key")
-
-
 def _later_strings(pieces: DataFrame) -> DataFrame:
     """(key, start, stop) of strings met earlier among the phrases of their trigger; groups of bounded size."""
 
@@ -266,7 +254,7 @@ def repeated_ranges(rows: DataFrame, hot: int = HOT) -> DataFrame:
 def shortened(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, n_removed, n_spans, kept) of the rows (key, text) that lose bytes; kept: the bytes that remain."""
     lists = repeated_ranges(rows, hot).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    held = _with_some(rows, lists)
+    held = join_sparse(rows.select("key", "text"), lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
