@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import join_sparse, keyed
+from tessera.llm.shared import cut, join_sparse, keyed
 
 SPACE = " \t\r"
 
@@ -46,7 +46,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     is very common. A document's list is no longer than its lines.
     """
     found = windows(rows)
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("key", "w")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = cut(found.groupBy("h1", "h2").agg(F.min(F.struct("key", "w")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     later = found.join(first, ["h1", "h2"]).filter(F.struct("key", "w") != F.col("first"))
     return later.select("key", F.explode("places").alias("place")).groupBy("key").agg(F.collect_set("place").alias("gone"))
 
