@@ -1,6 +1,6 @@
 """The registered queries; importing this package registers them."""
 
-from tessera.plans import join_queries, scalar_queries  # noqa: F401
+from tessera.plans import join_queries, scalar_queries, window_queries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

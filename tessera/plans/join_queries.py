@@ -9,7 +9,7 @@ from tessera.operators import joins as J
 from tessera.plans.registry import Tables, query
 
 HOUR = 3_600_000
-MS = "epoch_ms(ts)"
+MS = "epoch_us(ts) // 1000"
 
 
 def samples(t: Tables) -> DataFrame:
@@ -17,7 +17,7 @@ def samples(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.col("user_id").alias("participant"), F.col("event_type").alias("condition"), F.unix_millis("ts").alias("ms"), "value")
 
 
-SAMPLES = "s AS (SELECT event_id, user_id AS participant, event_type AS condition, epoch_ms(ts) AS ms, value FROM events)"
+SAMPLES = "s AS (SELECT event_id, user_id AS participant, event_type AS condition, epoch_us(ts) // 1000 AS ms, value FROM events)"
 
 
 @query("join_window_labels", "SELECT e.event_id, e.value, u.total FROM events e LEFT JOIN (SELECT user_id, event_type, count(*) AS total FROM events GROUP BY ALL) u USING (user_id, event_type)")
@@ -55,7 +55,7 @@ def _(t: Tables) -> DataFrame:
 
 
 ASOF = """WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts AS rts, max(value) AS v FROM events WHERE event_type = 'click' GROUP BY ALL)
-SELECT l.event_id, epoch_ms(rts) AS rms, v FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts {} r.rts"""
+SELECT l.event_id, epoch_us(rts) // 1000 AS rms, v FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts {} r.rts"""
 
 
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:

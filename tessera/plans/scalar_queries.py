@@ -67,7 +67,7 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(S.clip(F.col("value") / 100 - 0.1), 9).alias("clipped"))
 
 
-@query("iso_to_epoch_ms", "SELECT event_id, epoch_ms(date_trunc('second', ts)) AS ms, epoch_ms(date_trunc('second', ts)) AS ms_zoned, CAST(NULL AS BIGINT) AS bad FROM events")
+@query("iso_to_epoch_ms", "SELECT event_id, epoch_us(date_trunc('second', ts)) // 1000 AS ms, epoch_us(date_trunc('second', ts)) // 1000 AS ms_zoned, CAST(NULL AS BIGINT) AS bad FROM events")
 def _(t: Tables) -> DataFrame:
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     return t.events.select("event_id", S.iso_to_epoch_ms(iso).alias("ms"), S.iso_to_epoch_ms(F.concat(iso, F.lit("Z"))).alias("ms_zoned"), S.iso_to_epoch_ms(F.concat(F.lit("x"), iso)).alias("bad"))
@@ -189,7 +189,7 @@ def _(t: Tables) -> DataFrame:
     return t.labels.select("doc_id", "toxic", (F.col("toxic") >= 0.5).alias("high_risk"), F.when(F.col("quality") == 1, "ok").otherwise("warning").alias("status"))
 
 
-@query("filter_plausible_time", "SELECT event_id, epoch_ms(ts) AS ms FROM events WHERE epoch_ms(ts) >= 100000000000 AND event_id % 4 <> 0")
+@query("filter_plausible_time", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE epoch_us(ts) // 1000 >= 100000000000 AND event_id % 4 <> 0")
 def _(t: Tables) -> DataFrame:
     direct = F.when(F.col("event_id") % 4 == 0, F.lit(1780.0)).when(F.col("event_id") % 4 == 1, F.lit(None)).otherwise(F.unix_millis("ts").cast("double"))
     iso = F.when(F.col("event_id") % 4 == 1, F.unix_millis("ts"))
