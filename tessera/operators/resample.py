@@ -14,3 +14,146 @@ def modular_folds(members: DataFrame, key: str, folds: int) -> DataFrame:
     at = F.pmod(F.col(key), F.lit(folds))
     role = F.when(at == F.col("fold"), "test").when(at == F.pmod(F.col("fold") + 1, F.lit(folds)), "validation").otherwise("train")
     return members.select(key).join(F.broadcast(f)).withColumn("role", role)
+
+
+def _draw(*parts: Column) -> Column:
+    """A uniform number in [0, 1) from whole numbers, by modular arithmetic alone, so that SQL can draw the same."""
+    x = F.lit(12345).cast("bigint")
+    for p in parts:
+        x = F.pmod((x + p.cast("bigint")) * 1103515245 + 12345, F.lit(2147483648))
+        x = F.pmod(x * 69069 + F.floor(x / 65536), F.lit(2147483648))
+    return x / 2147483648.0
+
+
+def replicates(df: DataFrame, n: int) -> DataFrame:
+    """Every row once per replicate b; for small summaries (participants), not for samples."""
+    return df.join(F.broadcast(df.sparkSession.range(n).withColumnRenamed("id", "b")))
+
+
+def bootstrap_clusters(clusters: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """(b, key, times): how often each cluster is drawn in each of n resamples of as many clusters.
+
+    ``clusters`` has one row per cluster. The i-th draw of a replicate picks a cluster by number.
+    """
+    numbered = clusters.select(key).withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
+    size = numbered.agg(F.count("*").alias("size"))
+    picks = replicates(numbered.select("i"), n).join(F.broadcast(size))
+    pick = F.floor(_draw(F.lit(seed), F.col("b"), F.col("i")) * F.col("size"))
+    return picks.select("b", pick.alias("i")).groupBy("b", "i").agg(F.count("*").alias("times")).join(numbered, "i").select("b", key, "times")
+
+
+def bootstrap_mean(clusters: DataFrame, key: str, total: str, count: str, n: int, seed: int) -> DataFrame:
+    """(b, estimate): mean of each resample from the clusters' sums and counts."""
+    t = bootstrap_clusters(clusters, key, n, seed).join(clusters, key)
+    return t.groupBy("b").agg((F.sum(F.col("times") * F.col(total)) / F.sum(F.col("times") * F.col(count))).alias("estimate"))
+
+
+def interval(estimates: DataFrame, level: float = 0.95) -> DataFrame:
+    lo, hi = (1 - level) / 2, (1 + level) / 2
+    return estimates.agg(F.percentile("estimate", lo).alias("low"), F.percentile("estimate", hi).alias("high"), F.count("*").alias("replicates"))
+
+
+def sign_p_value(estimates: DataFrame) -> DataFrame:
+    """Twice the smaller share of replicates on one side of zero, at most 1."""
+    below, above = F.avg((F.col("estimate") <= 0).cast("int")), F.avg((F.col("estimate") >= 0).cast("int"))
+    return estimates.agg(F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p_value"))
+
+
+def exact_sign_flip(deltas: DataFrame, order: str, delta: str, most: int = 20) -> DataFrame:
+    """Two-sided p of the mean over all 2^n signs; raises beyond ``most`` rows."""
+    d = deltas.select(delta, (F.row_number().over(Window.orderBy(order)) - 1).alias("i"))
+    n = d.count()
+    if n > most:
+        raise ValueError(f"{n} deltas: use monte_carlo_sign_flip")
+    observed = d.agg(F.abs(F.sum(delta)).alias("observed"))
+    sign = F.when(F.col("m").bitwiseAND(F.pow(F.lit(2), F.col("i")).cast("bigint")) != 0, -1).otherwise(1)
+    s = d.sparkSession.range(1 << n).withColumnRenamed("id", "m").join(F.broadcast(d)).groupBy("m").agg(F.abs(F.sum(sign * F.col(delta))).alias("s"))
+    return s.join(F.broadcast(observed)).agg(F.avg((F.col("s") >= F.col("observed") - 1e-9).cast("int")).alias("p_value"), F.count("*").alias("patterns"))
+
+
+def monte_carlo_sign_flip(deltas: DataFrame, key: str, delta: str, n: int, seed: int) -> DataFrame:
+    """One- and two-sided p of the mean under random signs, with one added to both counts."""
+    sign = F.when(_draw(F.lit(seed), F.col("b"), F.col(key)) < 0.5, -1).otherwise(1)
+    s = replicates(deltas.select(key, delta), n).groupBy("b").agg(F.avg(sign * F.col(delta)).alias("s"))
+    o = deltas.agg(F.avg(delta).alias("o"))
+    hit = lambda c: (F.count_if(c) + 1) / (n + 1)
+    return s.join(F.broadcast(o)).agg(hit(F.col("s") >= F.col("o") - 1e-12).alias("p_greater"), hit(F.abs("s") >= F.abs("o") - 1e-12).alias("p_two_sided"))
+
+
+def holm(df: DataFrame, family: list[str], p: str, order: str) -> DataFrame:
+    """Holm's step-down adjusted p in each family."""
+    w = Window.partitionBy(*family).orderBy(p, order)
+    n = F.count("*").over(Window.partitionBy(*family))
+    raw = F.least(F.lit(1.0), F.col(p) * (n - F.row_number().over(w) + 1))
+    return df.withColumn("_h", raw).withColumn("p_holm", F.max("_h").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_h")
+
+
+def benjamini_hochberg(df: DataFrame, family: list[str], p: str, order: str) -> DataFrame:
+    w = Window.partitionBy(*family).orderBy(p, order)
+    n = F.count("*").over(Window.partitionBy(*family))
+    raw = F.least(F.lit(1.0), F.col(p) * n / F.row_number().over(w))
+    return df.withColumn("_q", raw).withColumn("q_value", F.min("_q").over(w.rowsBetween(0, Window.unboundedFollowing))).drop("_q")
+
+
+def rank_biserial(deltas: DataFrame, keys: list[str], delta: str) -> DataFrame:
+    """Signed-rank sums of the non-zero deltas and their effect size (w+ - w-) / (w+ + w-)."""
+    from tessera.operators.metrics import average_rank
+
+    d = deltas.filter(F.col(delta) != 0).withColumn("_a", F.abs(delta))
+    d = d.withColumn("_r", average_rank(keys, "_a"))
+    plus, minus = F.sum(F.when(F.col(delta) > 0, F.col("_r")).otherwise(0.0)), F.sum(F.when(F.col(delta) < 0, F.col("_r")).otherwise(0.0))
+    return d.groupBy(*keys).agg(plus.alias("w_plus"), minus.alias("w_minus"), ((plus - minus) / (plus + minus)).alias("rank_biserial"))
+
+
+def paired_contrasts(df: DataFrame, key: str, level: str, value: str) -> DataFrame:
+    """Mean difference and paired t of every two levels, over the keys that have both."""
+    g = df.groupBy(key, level).agg(F.avg(value).alias("v"))
+    a, b = g.select(key, F.col(level).alias("left"), F.col("v").alias("a")), g.select(key, F.col(level).alias("right"), F.col("v").alias("b"))
+    d = a.join(b, key).filter("left < right").withColumn("d", F.col("a") - F.col("b"))
+    return d.groupBy("left", "right").agg(F.avg("d").alias("difference"), (F.avg("d") / F.nullif(F.stddev_samp("d") / F.sqrt(F.count("d").cast("double")), F.lit(0.0))).alias("t"), F.count("d").alias("n"))
+
+
+def rm_anova(df: DataFrame, subject: str, a: str, b: str, value: str) -> DataFrame:
+    """Two-way repeated measures: F and partial eta squared of a, b and a x b, for full designs of one value per cell."""
+    cell = df.groupBy(subject, a, b).agg(F.avg(value).alias("y"))
+    m = lambda *k: F.avg("y").over(Window.partitionBy(*[F.col(x) for x in k])) if k else F.avg("y").over(Window.partitionBy(F.lit(1)))
+    c = cell.withColumns({"g": m(), "ma": m(a), "mb": m(b), "ms": m(subject), "mab": m(a, b), "mas": m(a, subject), "mbs": m(b, subject)})
+    g, ma, mb, ms, mab, mas, mbs, y = (F.col(x) for x in ("g", "ma", "mb", "ms", "mab", "mas", "mbs", "y"))
+    sq = lambda x: F.sum(x**2)
+    s = c.agg(
+        sq(ma - g).alias("a"), sq(mb - g).alias("b"), sq(mab - ma - mb + g).alias("ab"), sq(mas - ma - ms + g).alias("ea"), sq(mbs - mb - ms + g).alias("eb"), sq(y - mab - mas - mbs + ma + mb + ms - g).alias("eab"),
+        F.count_distinct(a).alias("na"), F.count_distinct(b).alias("nb"), F.count_distinct(subject).alias("n"),
+    )
+    na, nb, n = F.col("na") - 1, F.col("nb") - 1, F.col("n") - 1
+    row = lambda name, ss, e, d: F.struct(F.lit(name).alias("effect"), F.col(ss).alias("ss"), (F.col(ss) / d / (F.col(e) / (d * n))).alias("f"), (F.col(ss) / (F.col(ss) + F.col(e))).alias("partial_eta2"))
+    return s.select(F.inline(F.array(row("a", "a", "ea", na), row("b", "b", "eb", nb), row("ab", "ab", "eab", na * nb))))
+
+
+def permute_within(df: DataFrame, keys: list[str], order: str, value: str, seed: int) -> DataFrame:
+    """``value`` shuffled inside each group, in an order that depends on the seed and ``order`` alone."""
+    a = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    b = df.select(*keys, F.col(value).alias("shuffled"), F.row_number().over(Window.partitionBy(*keys).orderBy(_draw(F.lit(seed), F.col(order)), order)).alias("_n"))
+    return a.join(b, [*keys, "_n"]).drop("_n")
+
+
+def uniform_baseline(df: DataFrame, key: str, truth: str, n: int, seed: int) -> DataFrame:
+    """MAE of uniform predictions in each of n replicates; the rows are participants' conditions, few."""
+    p = _draw(F.lit(seed), F.col("b"), F.col(key))
+    return replicates(df.select(key, truth), n).groupBy("b").agg(F.avg(F.abs(p - F.col(truth))).alias("estimate"))
+
+
+def argmax_stability(cells: DataFrame, key: str, option: str, value: str, n: int, seed: int) -> DataFrame:
+    """Share of resamples of keys in which each option has the highest mean."""
+    t = bootstrap_clusters(cells.select(key).distinct(), key, n, seed).join(cells, key)
+    m = t.groupBy("b", option).agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("m"))
+    best = m.groupBy("b").agg(F.max_by(option, F.struct("m", option)).alias(option))
+    return best.groupBy(option).agg((F.count("*") / n).alias("share"))
+
+
+def lopo_manifest(members: DataFrame, key: str) -> DataFrame:
+    """(fold_index, key, role): in fold i the i-th key is the test, the one after it (cyclic) validation, the rest train."""
+    m = members.select(key).distinct().withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
+    n = m.agg(F.count("*").alias("n"))
+    f = m.select(F.col("i").alias("fold_index")).join(F.broadcast(n))
+    role = F.when(F.col("i") == F.col("fold_index"), "test").when(F.col("i") == F.pmod(F.col("fold_index") + 1, F.col("n")), "validation").otherwise("train")
+    return f.join(F.broadcast(m)).select("fold_index", key, role.alias("role"))
