@@ -189,15 +189,13 @@ def spectrum(samples: DataFrame, keys: list[str], ts: str, value: str, rate: flo
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values(ts)[value].dropna().to_numpy()
-        if len(x) < 4:
-            return pd.DataFrame({n: [] for n in schema.names})
-        h = np.hanning(len(x))
-        p = np.abs(np.fft.rfft((x - x.mean()) * h)) ** 2 / (rate * (h**2).sum())
-        p[1 : -1 if len(x) % 2 == 0 else None] *= 2
-        out = pd.DataFrame({"frequency": np.fft.rfftfreq(len(x), 1 / rate), "power": p})
-        for k in keys:
-            out[k] = g[k].iloc[0]
-        return out[schema.names]
+        f, p = np.zeros(0), np.zeros(0)
+        if len(x) >= 4:
+            h = np.hanning(len(x))
+            f, p = np.fft.rfftfreq(len(x), 1 / rate), np.abs(np.fft.rfft((x - x.mean()) * h)) ** 2 / (rate * (h**2).sum())
+            p[1 : -1 if len(x) % 2 == 0 else None] *= 2
+        own = {k: np.repeat(g[k].to_numpy()[:1], len(f)) for k in keys}
+        return pd.DataFrame(own | {"frequency": f, "power": p})[schema.names]
 
     return s.groupBy(*keys).applyInPandas(run, schema)
 

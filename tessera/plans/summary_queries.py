@@ -162,10 +162,10 @@ def _(t: Tables) -> DataFrame:
     return rounded(D.status_split(o, "status", "n", "p"), 4)
 
 
-@query("grid_descriptives", "WITH g AS (SELECT unnest(range(12)) AS k), o AS (SELECT o_orderkey % 9 AS k, o_totalprice / 1000 AS p FROM orders) SELECT g.k, count(p) AS n, round(avg(p), 4) AS mean, round(stddev_samp(p), 4) AS std, round(quantile_cont(p, 0.5), 4) AS median FROM g LEFT JOIN o USING (k) GROUP BY 1")
+@query("grid_descriptives", "WITH g AS (SELECT unnest(range(12)) AS k), o AS (SELECT o_orderkey % 9 AS k, o_totalprice / 1000 AS p FROM orders) SELECT g.k, count(p) AS n, round(avg(p), 7) AS mean, round(stddev_samp(p), 7) AS std, round(quantile_cont(p, 0.5), 7) AS median FROM g LEFT JOIN o USING (k) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     o = t.orders.select((F.col("o_orderkey") % 9).alias("k"), (F.col("o_totalprice") / 1000).alias("p"))
-    return rounded(D.grid_descriptives(o, t.spark.range(12).withColumnRenamed("id", "k"), ["k"], "p"), 4)
+    return rounded(D.grid_descriptives(o, t.spark.range(12).withColumnRenamed("id", "k"), ["k"], "p"), 7)
 
 
 @query("reason_counts", "SELECT reason, count(*) AS n FROM (SELECT unnest(CASE WHEN value > 50 THEN [event_type, 'high'] ELSE [event_type] END) AS reason FROM events) GROUP BY 1")
@@ -265,9 +265,9 @@ def _(t: Tables) -> DataFrame:
     return rounded(S.history(t.events, ["user_id"], "event_id", "value").select("event_id", F.col("previous").alias("prediction")))
 
 
-@query("leave_one_out_mean", "SELECT event_id, round((sum(value) OVER (PARTITION BY user_id) - value) / (count(*) OVER (PARTITION BY user_id) - 1), 6) AS others FROM events")
+@query("leave_one_out_mean", "SELECT event_id, round((sum(value) OVER (PARTITION BY user_id) - value) / (count(*) OVER (PARTITION BY user_id) - 1), 10) AS others FROM events")
 def _(t: Tables) -> DataFrame:
-    return rounded(t.events.select("event_id", S.leave_one_out(["user_id"], "value").alias("others")))
+    return rounded(t.events.select("event_id", S.leave_one_out(["user_id"], "value").alias("others")), 10)
 
 
 @query("carryover_lag", f"SELECT event_id, lag(event_type) OVER w AS before FROM events {W}")
@@ -275,9 +275,9 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_id", S.carryover(["user_id"], "event_id", "event_type").alias("before"))
 
 
-@query("within_group_center", "SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS centered FROM events")
+@query("within_group_center", "SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 10) AS centered FROM events")
 def _(t: Tables) -> DataFrame:
-    return rounded(t.events.select("event_id", S.center(["user_id"], "value").alias("centered")))
+    return rounded(t.events.select("event_id", S.center(["user_id"], "value").alias("centered")), 10)
 
 
 Z = "(value - avg(value) OVER (PARTITION BY user_id)) / nullif(stddev_pop(value) OVER (PARTITION BY user_id), 0)"

@@ -153,12 +153,12 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "condition_summary_stats",
-    CELLS + """ SELECT participant, condition, count(*) AS window_count, round(avg(CASE WHEN x IS NULL THEN 1 ELSE 0 END), 6) AS v__missing_ratio, round(avg(x), 6) AS v__mean, round(stddev_pop(x), 6) AS v__std, round(min(x), 6) AS v__min, round(max(x), 6) AS v__max, round(quantile_cont(x, 0.5), 6) AS v__median,
-    round(arg_min(x, k) FILTER (x IS NOT NULL), 6) AS v__first, round(arg_max(x, k) FILTER (x IS NOT NULL), 6) AS v__last, round(coalesce(CASE WHEN count(x) > 1 THEN regr_slope(x, k) END, CASE WHEN count(x) > 0 THEN 0.0 END), 6) AS v__slope FROM (SELECT *, CASE WHEN k % 5 <> 0 THEN v END AS x FROM c) GROUP BY ALL""",
+    CELLS + """ SELECT participant, condition, count(*) AS window_count, round(avg(CASE WHEN x IS NULL THEN 1 ELSE 0 END), 9) AS v__missing_ratio, round(avg(x), 9) AS v__mean, round(stddev_pop(x), 9) AS v__std, round(min(x), 9) AS v__min, round(max(x), 9) AS v__max, round(quantile_cont(x, 0.5), 9) AS v__median,
+    round(arg_min(x, k) FILTER (x IS NOT NULL), 9) AS v__first, round(arg_max(x, k) FILTER (x IS NOT NULL), 9) AS v__last, round(coalesce(CASE WHEN count(x) > 1 THEN regr_slope(x, k) END, CASE WHEN count(x) > 0 THEN 0.0 END), 9) AS v__slope FROM (SELECT *, CASE WHEN k % 5 <> 0 THEN v END AS x FROM c) GROUP BY ALL""",
 )
 def _(t: Tables) -> DataFrame:
     c = cells(t).withColumn("v", F.when(F.col("k") % 5 != 0, F.col("v")))
-    return rounded(X.condition_summary(c, ["participant", "condition"], "k", ["v"]))
+    return rounded(X.condition_summary(c, ["participant", "condition"], "k", ["v"]), 9)
 
 
 @query("causal_prefix_stats", CELLS + " SELECT participant, condition, k, round(avg(v) OVER w, 9) AS v__so_far_mean, round(max(v) OVER w, 9) AS v__so_far_max, round(first_value(v) OVER w, 9) AS v__so_far_first, count(v) OVER w AS v__so_far_count FROM c WINDOW w AS (PARTITION BY participant, condition ORDER BY k ROWS UNBOUNDED PRECEDING)")
