@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.shared import small_batches
+
 # The split pattern and the byte alphabet of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -27,10 +29,10 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SAFE = "\\x00-\u024f\u0391-\u03a1\u03a3-\u03ff\u0400-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 """Characters that every Unicode version since 6 puts in the same class. Other texts are split by the library."""
 
-STRETCH = 4_000_000
+STRETCH = 2_000_000
 """Characters of text that share one pair index; a longer text is a stretch of its own."""
 
-CACHED = 200_000
+CACHED = 100_000
 """Distinct pre-tokens that a task remembers from stretch to stretch; then it starts anew."""
 
 
@@ -210,6 +212,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     A column of the name ``ids`` is replaced.
     """
     vocab = Vocabulary(path)
+    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema if f.name not in (text, ids)]
     schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
@@ -232,6 +235,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     Row-wise; null or empty ids give an empty text. A column of that name is replaced.
     """
     vocab = Vocabulary(path)
+    small_batches(tokens.sparkSession)
     keep = [f for f in tokens.schema if f.name != text]
     at = [f.name for f in keep].index(ids)
     schema = T.StructType([*keep, T.StructField(text, T.StringType())])

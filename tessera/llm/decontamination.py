@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.shared import small_batches
+
 Q = 10
 ERROR_RATE = 0.08
 """Edits allowed per character of a passage, whole text against whole passage; fewer where the bound would not filter."""
@@ -167,6 +169,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", leaks: str =
     are bytes of the normal text. Null and empty texts have no leaks; passages that are null, have no id or fewer
     than q bytes are left out; repeated passages count each. A column of that name is replaced, others pass.
     """
+    small_batches(docs.sparkSession)
     out = docs.drop(leaks)
     names = out.columns
     at = names.index(text)

@@ -43,6 +43,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send rows to Python workers in batches of at most ``rows``: documents are long, and the session's usual ten
+    thousand of them at a time would be most of a worker's memory. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of stages whose results were cut."""
     gc.collect()

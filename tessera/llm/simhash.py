@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.shared import components, cut, free_shuffles, hex64, keyed
+from tessera.llm.shared import components, cut, free_shuffles, hex64, keyed, small_batches
 
 SHINGLE = 4
 MAX_DISTANCE = 4
@@ -56,6 +56,7 @@ def with_fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "key", "fp"])
 
+    small_batches(rows.sparkSession)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())])
     return rows.select("doc_id", "key", "text").mapInArrow(run, schema)
 
