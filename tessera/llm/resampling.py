@@ -7,12 +7,18 @@ replacement in proportion to their weights.
 
 from __future__ import annotations
 
-import math
+import re
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.shared import cut, keyed
+from tessera.llm.shared import cut, keyed, small_batches
 
 BUCKETS = 1 << 16
 """Hash buckets of words and word pairs; the models, and what reaches the driver of them, have this size."""
@@ -26,37 +32,85 @@ LAST_BIN = 10_000
 SEED = 17
 
 
-def grams(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the tokens and of the token pairs of a text; tokens are words and runs of other signs, as written."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{N}]+|[^\s\p{L}\p{N}]+)"), F.lit(1))
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    pairs = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
-    return F.concat(one, pairs)
+CACHED = 200_000
+"""Distinct tokens whose hashes a task remembers; then it starts anew."""
 
+TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 
-def fit(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> list[float]:
+
+class Grams:
+    """Buckets of the tokens of texts, then of their pairs; tokens are words and runs of other signs, as written."""
+
+    def __init__(self, buckets: int = BUCKETS):
+        self.buckets = np.uint64(buckets)
+        self.code: dict[str, int] = {}
+        self.hash = np.zeros(0, np.uint64)
+
+    def of(self, text: str) -> np.ndarray:
+        if len(self.code) > CACHED:
+            self.code, self.hash = {}, np.zeros(0, np.uint64)
+        tokens, code = TOKENS(text), self.code
+        try:
+            at = array("i", map(code.__getitem__, tokens))
+        except KeyError:
+            new = [t for t in dict.fromkeys(tokens) if t not in code]
+            code.update(zip(new, range(len(code), len(code) + len(new)), strict=True))
+            at = array("i", map(code.__getitem__, tokens))
+            if len(code) > len(self.hash):
+                room = np.zeros(2 * len(code), np.uint64)
+                room[: len(self.hash)] = self.hash
+                self.hash = room
+            self.hash[len(code) - len(new) : len(code)] = [xxhash.xxh64_intdigest(t.encode()) for t in new]
+        h = self.hash[np.frombuffer(at, np.int32)] if at else np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
+            pair = (pair ^ (pair >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        return (np.concatenate((h, pair ^ (pair >> np.uint64(32)))) % self.buckets).astype(np.int64)
+
+
+def fit(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Log ratio of target to raw probability per bucket, both with one added to every bucket.
 
     ``docs`` (doc_id, text): all of them make the raw model. ``target_ids`` (doc_id): bounded by the caller.
-    Counts combine in each task to at most two rows a bucket.
+    A task counts into two arrays and sends a row for each bucket that it met.
     """
+    small_batches(docs.sparkSession)
     ids = target_ids.select(F.col("doc_id").alias("\x00id")).distinct()
-    marked = docs.join(F.broadcast(ids), docs.doc_id == F.col("\x00id"), "left").select(F.col("\x00id").isNotNull().alias("target"), F.explode(grams(F.col("text"), buckets)).alias("gram"))
-    target, raw = [1.0] * buckets, [1.0] * buckets
-    for r in marked.groupBy("gram").agg(F.count("*").alias("n"), F.count_if("target").alias("t")).collect():
+    marked = docs.join(F.broadcast(ids), docs.doc_id == F.col("\x00id"), "left").select(F.col("\x00id").isNotNull().alias("target"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, n, t = Grams(buckets), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        for b in batches:
+            for target, text in zip(b.column(0), b.column(1), strict=True):
+                g = grams.of(text.as_py() or "")
+                np.add.at(n, g, 1)
+                if target.as_py():
+                    np.add.at(t, g, 1)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen]), pa.array(t[seen])], ["gram", "n", "t"])
+
+    target, raw = np.ones(buckets), np.ones(buckets)
+    for r in marked.mapInArrow(run, "gram long, n long, t long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect():
         raw[r.gram] += r.n
         target[r.gram] += r.t
-    all_target, all_raw = math.log(sum(target)), math.log(sum(raw))
-    return [math.log(t) - all_target - math.log(r) + all_raw for t, r in zip(target, raw, strict=True)]
+    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+
+
+def log_weights(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """``rows`` with ``log_weight`` in place of ``text``: the mean log ratio of the text's n-grams times REFERENCE; 0 where
+    there are none."""
+    small_batches(rows.sparkSession)
+    keep = [f for f in rows.schema if f.name != "text"]
+    schema = T.StructType([*keep, T.StructField("log_weight", T.DoubleType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(len(ratio))
+        for b in batches:
+            found = (grams.of(x.as_py() or "") for x in b.column(b.num_columns - 1))
+            w = [float(ratio[g].mean()) * REFERENCE if len(g) else 0.0 for g in found]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(w, pa.float64())], schema.names)
 
-def log_weight(text: Column, ratio: list[float]) -> Column:
-    """Mean log ratio of a text's n-grams times REFERENCE; 0 where there are none."""
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratio)), ",").cast("array<double>")
-    g = grams(text, len(ratio))
-    total = F.aggregate(g, F.lit(0.0), lambda acc, x: acc + F.get(table, x))
-    return F.when(F.size(g) > 0, total * REFERENCE / F.size(g)).otherwise(0.0)
+    return rows.select(*[f.name for f in keep], "text").mapInArrow(run, schema)
 
 
 def gumbel(key: Column, seed: int = SEED) -> Column:
@@ -101,7 +155,7 @@ def weigh(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOCS) ->
     rows = keyed(docs.select("doc_id", "text"))
     ids = labels.filter("quality = 1 and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
     ratio = fit(rows, ids)
-    return cut(rows.select("key", "doc_id", log_weight(F.col("text"), ratio).alias("log_weight")).withColumn("sample_key", F.col("log_weight") + gumbel(F.col("key"))))
+    return cut(log_weights(rows.select("key", "doc_id", "text"), ratio).withColumn("sample_key", F.col("log_weight") + gumbel(F.col("key"))))
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, target_docs: int = TARGET_DOCS) -> DataFrame:

@@ -1,8 +1,9 @@
 import math
 import random
+import re
 from collections import Counter
 
-import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import resampling as res
@@ -19,23 +20,24 @@ def rows(n=400):
     return out
 
 
-def buckets_of(spark, tokens, n):
-    df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", F.xxhash64("t").alias("h"))
-    return {r.t: r.h for r in df.collect()}, n
-
-
 def test_weights_same_as_brute_force(spark):
     data = rows(120)
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in data] + [(900, None, "x"), (901, "", "x"), (902, "é!? ok", "x")], "doc_id long, text string, key string").repartition(3)
     labels = spark.createDataFrame([(i, q, 0) for i, _, q in data if i % 2] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.log_weight for r in res.weigh(docs, labels).collect()}
-    split = lambda t: regex.findall(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+", t or "")
+    split = lambda t: re.findall(r"\w+|[^\w\s]+", t or "")
     texts = {i: split(t) for i, t, _ in data} | {900: [], 901: [], 902: split("é!? ok")}
-    h, n = buckets_of(spark, sorted({w for t in texts.values() for w in t}), res.BUCKETS)
-    pairs = sorted({p for t in texts.values() for p in zip(t, t[1:], strict=False)})
-    ph = spark.createDataFrame([(a, b, h[a], h[b]) for a, b in pairs], "a string, b string, x long, y long").select("a", "b", F.xxhash64("x", "y").alias("h"))
-    ph = {(r.a, r.b): r.h for r in ph.collect()}
-    grams = {i: [h[w] % n for w in t] + [ph[p] % n for p in zip(t, t[1:], strict=False)] for i, t in texts.items()}
+    n, full = res.BUCKETS, (1 << 64) - 1
+
+    def bucket(*words):
+        h = [xxhash.xxh64_intdigest(w.encode()) for w in words]
+        if len(h) == 1:
+            return h[0] % n
+        x = (h[0] * 0x9E3779B97F4A7C15 & full) ^ h[1]
+        x = (x ^ x >> 31) * 0xD6E8FEB86659FD93 & full
+        return (x ^ x >> 32) % n
+
+    grams = {i: [bucket(w) for w in t] + [bucket(*p) for p in zip(t, t[1:], strict=False)] for i, t in texts.items()}
     raw, target = Counter(g for x in grams.values() for g in x), Counter(g for i, _, q in data if i % 2 and q for g in grams[i])
     lr, lt = math.log(sum(raw.values()) + n), math.log(sum(target.values()) + n)
     for i, g in grams.items():
