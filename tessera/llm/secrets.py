@@ -84,7 +84,8 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS, text: str = "text", doc_id
     """Fit on ``sample`` documents in the order of their ids' hashes: their words, outside pattern matches, are
     the identifiers; generated strings and the pattern matches are the random ones. An empty table is allowed.
     """
-    chosen = docs.orderBy(F.xxhash64(doc_id), doc_id).limit(sample).select(F.substring(text, 1, 20_000).alias("t"))
+    ids = docs.select(F.col(doc_id).alias("\x00id")).orderBy(F.xxhash64("\x00id"), "\x00id").limit(sample).distinct()
+    chosen = docs.join(F.broadcast(ids), F.col(doc_id).eqNullSafe(F.col("\x00id"))).select(F.col(text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(sample)
     words: list[str] = []
     randoms = random_strings()
     for r in chosen.toLocalIterator():
