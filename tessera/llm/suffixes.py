@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut, free_shuffles, join_sparse, keyed
+from tessera.llm.shared import cut, discard, free_shuffles, join_sparse, keyed
 
 LENGTH = 100
 TRIGGER = 32
@@ -231,7 +231,8 @@ def repeated_ranges(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, start, stop): byte ranges of rows (key, text) that are covered by 100-byte strings which also start
     earlier, by key and then by place. Ranges of a key may overlap; their union is exact."""
     parsed = phrases(rows)
-    again = parsed.groupBy("trigger").count().filter("count > 1").select("trigger")
+    # written first, so that both sides of the join come straight from a shuffle and a common trigger can be split
+    again = cut(parsed.groupBy("trigger").count().filter("count > 1").select("trigger"))
     members = cut(parsed.join(again, "trigger", "left_semi"))
     free_shuffles(rows.sparkSession)
     place = F.struct("key", "start")
@@ -239,7 +240,8 @@ def repeated_ranges(rows: DataFrame, hot: int = HOT) -> DataFrame:
     copied = dictionary.filter("copies > 1").select("trigger", "phrase", F.struct("first.key", "first.start").alias("first"))
     later = members.join(copied, ["trigger", "phrase"]).filter(place != F.col("first")).select("key", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
     later = cut(later)
-    kinds = dictionary.groupBy("trigger").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    discard(members, again)
+    kinds = cut(dictionary.groupBy("trigger").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     wanted = dictionary.join(kinds, "trigger").select("trigger", "kinds", "first.key", "first.start", "first.n")
     wanted = cut(wanted)
     pieces = cut(_contents(rows, wanted))
