@@ -18,24 +18,24 @@ _LOW = (1 << 31) - 1
 
 
 def words(text: Column) -> Column:
-    """Runs of characters other than ASCII white space."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    """Runs of characters other than ASCII white space; one empty string where there is none."""
+    return F.split(F.trim(text, F.lit(" \t\n\x0b\f\r")), SPACE)
 
 
-def term_hashes(text: Column) -> Column:
-    """Sorted hashes of the word pairs of a text, repeats included; a text of one word has that word."""
-    h = F.transform(words(text), lambda w: F.xxhash64(w))
-    pairs = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
-    return F.sort_array(F.when(F.size(h) > 1, pairs).otherwise(h))
+def term_hashes(w: Column) -> Column:
+    """Sorted hashes of the pairs of words, repeats included; a text of one word has that word. ``w``: a stored column."""
+    n = F.size(w)
+    pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.xxhash64(F.get(w, i)), F.xxhash64(F.get(w, i + 1))))
+    one = F.when(F.get(w, F.lit(0)) != "", F.array(F.xxhash64(F.get(w, F.lit(0))))).otherwise(F.array().cast("array<bigint>"))
+    return F.sort_array(F.when(n > 1, pairs).otherwise(one))
 
 
-def runs(sorted_hashes: Column) -> Column:
-    """array of (term, weight) of a sorted array: every distinct value and how often it occurs."""
-    n = F.size(sorted_hashes)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(places, lambda i: (i == 0) | (F.get(sorted_hashes, i) != F.get(sorted_hashes, i - 1)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
-    return F.when(n > 0, F.zip_with(starts, ends, lambda a, b: F.struct(F.get(sorted_hashes, a).alias("term"), (b - a).alias("weight")))).otherwise(F.array().cast("array<struct<term:bigint,weight:int>>"))
+def runs(s: Column) -> Column:
+    """array of (term, weight) of a sorted array: every distinct value and how often it occurs. ``s``: a stored column."""
+    n = F.size(s)
+    starts = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    ends = F.concat(F.slice(starts, 2, 1 << 30), F.array(n))
+    return F.when(n > 0, F.zip_with(starts, ends, lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).alias("weight"))))
 
 
 def sample(term: Column, log_weight: Column, k: int) -> Column:
@@ -59,7 +59,9 @@ def signatures(rows: DataFrame, keys: list[str], carried: list[str], samples: in
 
     One row per text goes in and one comes out; where ``rows`` is dealt by one of the keys nothing is shuffled.
     """
-    terms = rows.withColumn("\x00sorted", term_hashes(F.col("text"))).select(*keys, *carried, runs(F.col("\x00sorted")).alias("\x00runs"))
+    terms = rows.select(*keys, *carried, words(F.col("text")).alias("\x00words"))
+    terms = terms.select(*keys, *carried, term_hashes(F.col("\x00words")).alias("\x00sorted"))
+    terms = terms.select(*keys, *carried, runs(F.col("\x00sorted")).alias("\x00runs"))
     terms = terms.select(*keys, *carried, F.inline_outer("\x00runs")).withColumn("\x00log", F.ln(F.col("weight").cast("double")))
     least = [F.min(sample(F.col("term"), F.col("\x00log"), k)).alias(f"\x00m{k}") for k in range(samples)]
     grouped = terms.groupBy(*keys).agg(*[F.min(c).alias(c) for c in carried], *least)
