@@ -97,6 +97,8 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
             .withColumn("other_half", F.min(own).over(w) != F.max(own).over(w))
             .filter(F.col("other_fp") & (~F.col("flipped") | F.col("other_half")))
         )
+        # what met shares a half, and a large family of near copies one task; its many variants are made all over
+        met = met.select("fp", "half", "flipped").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp", "half")
         flips = F.when(F.col("flipped"), _long_array(_masks(other, 1))).otherwise(_long_array(_masks(other, 2)))
         full = met.select("fp", "half", F.explode(flips).alias("flip"))
         variant = F.col("half").bitwiseOR(F.col("fp").bitwiseAND(F.lit(keep_other))).bitwiseXOR(F.col("flip"))
