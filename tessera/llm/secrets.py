@@ -10,8 +10,10 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.shared import small_batches
+
 # The kinds in their order, their patterns and least lengths.
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -27,9 +31,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CUES = ("passw", "secret", "token", "api")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
+WORD = re.compile(r"[A-Za-z0-9_-]{3,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-SAMPLE_DOCS = 2_000
-"""Documents that the identifier model is fitted on; the sample and what reaches the driver stay this small at any size."""
 RANDOM_STRINGS = 20_000
 PRIOR_ODDS = 1e6
 
@@ -56,13 +59,19 @@ def _codes(token: str) -> np.ndarray:
     return _CODE[np.frombuffer(token.encode(), np.uint8)]
 
 
-def _log_model(tokens: list[str], weight: float = 5.0) -> np.ndarray:
-    """Log transition probabilities; rows with few transitions fall back on the frequency of single characters."""
+def _transitions(tokens: list[str]) -> np.ndarray:
+    """How often each character of the alphabet follows each, or the start."""
     n = len(ALPHABET) + 1
-    counts = np.zeros((n, n))
-    for t in tokens:
-        at = _codes(t)
-        np.add.at(counts, (np.concatenate(([0], at[:-1])), at), 1)
+    if not tokens:
+        return np.zeros((n, n), np.int64)
+    at = _codes("".join(tokens))
+    before = np.concatenate(([0], at[:-1]))
+    before[np.cumsum([0, *map(len, tokens[:-1])])] = 0
+    return np.bincount(before * n + at, minlength=n * n).reshape(n, n)
+
+
+def _log_model(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
+    """Log transition probabilities; rows with few transitions fall back on the frequency of single characters."""
     single = counts.sum(axis=0) + 0.5
     single /= single.sum()
     return np.log((counts + weight * single) / (counts.sum(axis=1, keepdims=True) + weight))
@@ -77,26 +86,47 @@ def random_strings(n: int = RANDOM_STRINGS, seed: int = 7) -> list[str]:
 
 def fit(randoms: list[str], identifiers: list[str], prior_odds: float = PRIOR_ODDS) -> Model:
     """Models of two labelled samples; without identifiers that model is uniform and only the odds decide."""
+    return _fit_counts(_transitions(randoms), _transitions(identifiers), prior_odds)
+
+
+def _fit_counts(randoms: np.ndarray, identifiers: np.ndarray, prior_odds: float = PRIOR_ODDS) -> Model:
     return Model(_log_model(randoms) - _log_model(identifiers), math.log(prior_odds))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_DOCS, text: str = "text", doc_id: str = "doc_id") -> Model:
-    """Fit on ``sample`` documents in the order of their ids' hashes: their words, outside pattern matches, are
-    the identifiers; generated strings and the pattern matches are the random ones. An empty table is allowed.
+def _samples(text: str) -> tuple[list[str], list[str]]:
+    """Pattern matches, which are random, and the words outside them, which with some joined ones are identifiers."""
+    spans = sorted(base_spans(text), key=lambda x: x[1])
+    starts, reach = [a for _, a, _ in spans], [-1, *accumulate((b for _, _, b in spans), max)]
+    words = [m.group() for m in WORD.finditer(text) if not spans or reach[bisect_left(starts, m.end())] <= m.start()]
+    joined = [words[i : i + 3] for i in range(0, len(words), 9)]
+    words += ["_".join(j) for j in joined] + ["".join(w.capitalize() for w in j) for j in joined]
+    return [text[a:b] for kind, a, b in spans if kind != "assign"], words
+
+
+def train(docs: DataFrame, text: str = "text") -> Model:
+    """Fit on all documents: their words, outside pattern matches, are the identifiers; generated strings and the
+    pattern matches are the random ones. Each task sends one matrix of counts a class, and Spark sums them; the
+    driver gets at most 2 x 68 x 68 numbers at any size. The pattern matches, mostly of one kind, weigh as much as one
+    kind of the generated strings at most, so that the random model stays a mixture. An empty table is allowed.
     """
-    ids = docs.select(F.col(doc_id).alias("\x00id")).orderBy(F.xxhash64("\x00id"), "\x00id").limit(sample).distinct()
-    chosen = docs.join(F.broadcast(ids), F.col(doc_id).eqNullSafe(F.col("\x00id"))).select(F.col(text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(sample)
-    words: list[str] = []
-    randoms = random_strings()
-    for r in chosen.toLocalIterator():
-        t = r.t or ""
-        spans = base_spans(t)
-        randoms += [t[a:b] for kind, a, b in spans if kind != "assign"]
-        for m in re.finditer(r"[A-Za-z0-9_-]{3,}", t):
-            if not any(a < m.end() and m.start() < b for _, a, b in spans):
-                words.append(m.group())
-    joined = ["_".join(words[i : i + 3]) for i in range(0, len(words), 9)] + ["".join(w.capitalize() for w in words[i : i + 3]) for i in range(0, len(words), 9)]
-    return fit(randoms, words + joined)
+    n = len(ALPHABET) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, n * n), np.int64)
+        for b in batches:
+            for t in b.column(0):
+                for c, tokens in zip(counts, _samples(t.as_py() or ""), strict=True):
+                    c += _transitions(tokens).ravel()
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], ["at", "n"])
+
+    small_batches(docs.sparkSession)
+    counts = np.zeros(2 * n * n)
+    for r in docs.select(text).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] = r["n"]
+    matched, identifiers = counts.reshape(2, n, n)
+    generated = _transitions(random_strings())
+    return _fit_counts(generated + matched * min(1.0, generated.sum() / 4 / max(1.0, matched.sum())), identifiers)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tessera.llm import secrets
 
 
@@ -51,3 +53,23 @@ def test_held_out_accuracy():
 def test_train_on_tables(spark):
     df = spark.createDataFrame([(1, "some ordinary words"), (None, None)], "doc_id long, text string")
     assert secrets.train(df).threshold > 0 and secrets.train(df.limit(0)).ratio.shape == (68, 68)
+
+
+def test_train_counts_every_document(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choices(["the", "tion", "ering", "one", "and", "map", "key"], k=20)) + " password=abcdef123") for i in range(6000)]
+    rare = ["qzx", "xqv", "zvjq", "wqxz", "jzv"]
+    for i in (2584, 3925):  # far behind the first 2,000 by the ids' hashes
+        rows[i] = (i, " ".join(rnd.choices(rare, k=300)))
+    m = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    names = ["_".join(rnd.choices(rare, k=7)) for _ in range(50)]
+    assert not [w for w in names if m.score(w) > m.threshold]
+    # the same as counting one transition at a time
+    counts = np.zeros((68, 68))
+    for _, t in rows:
+        words = [w for w in t.split() if not w.startswith("password")]
+        for w in words + ["_".join(words[i : i + 3]) for i in range(0, len(words), 9)] + ["".join(x.capitalize() for x in words[i : i + 3]) for i in range(0, len(words), 9)]:
+            for a, b in zip("\0" + w, w, strict=False):
+                counts[secrets.ALPHABET.find(a) + 1, secrets.ALPHABET.find(b) + 1] += 1
+    want = secrets._fit_counts(secrets._transitions(secrets.random_strings()), counts)
+    assert np.allclose(m.ratio, want.ratio)
