@@ -32,6 +32,8 @@ SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 2_000, 4_000
 """Labelled rows of each class that training takes, in the order of their ids' hashes: its bound at any corpus size."""
 EPOCHS = 6
 THRESHOLD = 0.3
+BINS = 1 << 12
+"""Bins of the scores that thresholds are picked from."""
 STRETCH = 1_000_000
 CACHED = 100_000
 
@@ -228,30 +230,32 @@ def _stretches(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def _all_scores(model: Model, texts: list[str], logits: bool = False) -> np.ndarray:
+def _all_logits(model: Model, texts: list[str]) -> np.ndarray:
     s = Scorer(model)
-    return np.concatenate([np.zeros(0), *((s.logits if logits else s.scores)(x) for x in _stretches(texts))])
+    return np.concatenate([np.zeros(0), *(s.logits(x) for x in _stretches(texts))])
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray, default: float = THRESHOLD) -> float:
-    """The middle of the interval with the best F1; ``default`` where a class is missing."""
-    if not len(y) or y.min() == y.max():
+def best_threshold(counts: np.ndarray, weights: np.ndarray, default: float = THRESHOLD) -> float:
+    """The middle of the interval with the best F1; ``default`` where a class is missing.
+
+    ``counts``: label x bin, how many rows have a score in each of the equal bins of 0 to 1; ``weights``: of a row of each label.
+    """
+    if not counts.sum(axis=1).all():
         return default
-    order = np.argsort(-score, kind="stable")
-    s, hit = score[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
-    f1[:-1][s[1:] == s[:-1]] = -1  # equal scores fall on one side
-    k = int(np.argmax(f1))
-    low = s[k + 1] if k + 1 < len(s) else 0.0
-    return float((s[k] + low) / 2)
+    bins = counts.shape[1]
+    filled = np.flatnonzero(counts.sum(axis=0))[::-1]
+    miss, hit = np.cumsum(counts[:, filled] * weights[:, None], axis=1)
+    k = int(np.argmax(2 * hit / (miss + hit + hit[-1])))
+    low = filled[k + 1] + 1 if k + 1 < len(filled) else 0
+    return float((filled[k] + low) / (2 * bins))
 
 
-def calibrate(model: Model, texts: list[str], labels: np.ndarray, langs: list[str], share: float) -> Model:
+def calibrate(model: Model, texts: list[str], labels: np.ndarray, share: float) -> Model:
     """Fit scale and shift of the logit on rows kept out of the fit, weighted to the share of label 1 among all
-    labelled rows; then a threshold for each language with at least 20 rows of either class."""
+    labelled rows."""
     y = np.asarray(labels, float)
     if len(y) and y.min() < y.max():
-        z = _all_scores(model, texts, logits=True)
+        z = _all_logits(model, texts)
         w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
         # a soft target keeps the fit finite where the classes are apart
         t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
@@ -266,13 +270,21 @@ def calibrate(model: Model, texts: list[str], labels: np.ndarray, langs: list[st
             a, b = a - move[0], b - move[1]
         if a > 0:
             model.scale, model.shift = float(a), float(b)
-    s = _all_scores(model, texts)
-    model.default = best_threshold(s, y)
-    at = np.array(langs, dtype=object)
-    for lang in sorted({x for x in langs if x is not None}):
-        own = at == lang
-        if min(y[own].sum(), own.sum() - y[own].sum()) >= 20:
-            model.thresholds[lang] = best_threshold(s[own], y[own], model.default)
+    return model
+
+
+def set_thresholds(model: Model, counts: dict[str | None, np.ndarray], sizes: np.ndarray) -> Model:
+    """The common threshold, and one for each language with at least 20 rows of either class.
+
+    ``counts``: by language, label x bin of the scores of rows outside the fit; ``sizes``: how many labelled rows
+    there are of each label. The fit takes more of one label than of the other, so rows are weighted back to ``sizes``.
+    """
+    total = sum(counts.values(), np.zeros((2, BINS)))
+    weights = sizes / np.maximum(total.sum(axis=1), 1)
+    model.default = best_threshold(total, weights)
+    for lang in sorted(k for k in counts if k is not None):
+        if counts[lang].sum(axis=1).min() >= 20:
+            model.thresholds[lang] = best_threshold(counts[lang], weights, model.default)
     return model
 
 
@@ -283,21 +295,31 @@ def part(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 2, positives: int = SAMPLE_POSITIVE, negatives: int = SAMPLE_NEGATIVE) -> Model:
     """Fit on labelled documents outside the fold ``held_out``; every fifth of the sample is for calibration.
+    Thresholds come from all labelled documents outside that fold that the fit left out.
 
     Only ids and labels are sorted for the sample; their texts come by a broadcast of at most
-    ``positives + negatives`` ids. Labels other than 0 and 1, null ids and null texts' rows are handled: the first
+    ``positives + negatives`` ids. For the thresholds the executors score the documents outside the fold, scores
+    without texts meet the labels, and the driver gets counts by language, label and bin. Labels other than 0 and 1, null ids and null texts' rows are handled: the first
     two are left out, the last count as empty texts.
     """
     open_rows = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(part() != held_out)
     sizes = {r.toxic: r["count"] for r in open_rows.groupBy("toxic").count().collect()}
     pick = lambda label, n: open_rows.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = pick(1, positives).union(pick(0, negatives)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(ids), "doc_id").collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()[::-1]), r.doc_id, r.text))
     fitted, kept = [r for i, r in enumerate(rows) if i % 5], rows[::5]
     model = fit([r.text for r in fitted], np.array([r.toxic for r in fitted]))
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    return calibrate(model, [r.text for r in kept], np.array([r.toxic for r in kept]), [r.lang for r in kept], share)
+    model = calibrate(model, [r.text for r in kept], np.array([r.toxic for r in kept]), share)
+    used = docs.sparkSession.createDataFrame([(i,) for i in {r.doc_id for r in fitted}], T.StructType([T.StructField("doc_id", labels.schema["doc_id"].dataType)]))
+    left = open_rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(F.broadcast(used), "doc_id", "left_anti")
+    scored = score(docs.select("doc_id", "text", "lang").filter(part() != held_out), model).drop("text")
+    binned = scored.withColumn("bin", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1))).join(left, "doc_id")
+    counts: dict[str | None, np.ndarray] = {}
+    for r in binned.groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r.lang, np.zeros((2, BINS)))[int(r.toxic), r.bin] += r.n
+    return set_thresholds(model, counts, np.array([sizes.get(0, 0), sizes.get(1, 0)]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -64,3 +64,27 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
     one = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int"))
     two = toxicity.train(docs, spark.createDataFrame([(i, flip(i, y)) for i, _, _, y in rows], "doc_id long, toxic int"))
     assert np.array_equal(one.embedding, two.embedding) and one.thresholds == two.thresholds
+
+
+def test_thresholds_come_from_all_rows_outside_the_fit(spark):
+    rows = corpus(1500)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    # a sample of 160 rows keeps 32 for calibration, too few for a language; the other rows have enough
+    model = toxicity.train(docs, labels, positives=80, negatives=80)
+    assert set(model.thresholds) == {"en", "de"}
+
+
+def test_thresholds_weigh_the_labels_by_their_real_share():
+    rng = np.random.default_rng(2)
+    score = {0: rng.beta(2, 5, 40_000), 1: rng.beta(5, 2, 4_000)}
+    counts = np.array([np.histogram(score[k], toxicity.BINS, (0, 1))[0] for k in (0, 1)], float)
+    fewer = np.array([np.histogram(score[k][:2_000], toxicity.BINS, (0, 1))[0] for k in (0, 1)], float)
+    pick = lambda c: toxicity.set_thresholds(toxicity.fit([], np.zeros(0)), {"en": c}, np.array([40_000, 4_000])).thresholds["en"]
+
+    def f1(at):
+        hit, false = (score[1] >= at).sum(), (score[0] >= at).sum()
+        return 2 * hit / (hit + false + 4_000)
+
+    best = max(f1(at) for at in np.arange(0, 1, 0.005))
+    assert f1(pick(counts)) > best - 0.002 and f1(pick(fewer)) > best - 0.02
