@@ -62,8 +62,8 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Add ``key``, a long unique per row and ascending in (doc_id, text), nulls first.
+def keyed(docs: DataFrame, name: str = "key") -> DataFrame:
+    """Add ``name``, a long unique per row and ascending in (doc_id, text), nulls first; a column of that name is replaced.
 
     Where doc_id is unique and never null, as in a corpus table, key is doc_id: the test reads only
     that column and counts it with map-side combine. Else the rows are ranged by (doc_id, text) and
@@ -71,37 +71,38 @@ def keyed(docs: DataFrame) -> DataFrame:
     """
     repeated = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
     if dict(docs.dtypes)["doc_id"] in ("bigint", "int") and not repeated.head(1):
-        return docs.withColumn("key", F.col("doc_id").cast("bigint"))
+        return docs.withColumn(name, F.col("doc_id").cast("bigint"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    return cut(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()))
+    return cut(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
 
 
 BUCKETS = 1 << 20
 """Hash classes of keys; at most so many rows are broadcast by ``join_sparse``, whatever the corpus."""
 
 
-def join_sparse(rows: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+def join_sparse(rows: DataFrame, lists: DataFrame, how: str = "inner", key: str = "key") -> DataFrame:
     """Join on ``key``, "inner" or "left", of wide rows with something that few of them have.
 
     The hash classes of the keys in ``lists`` are broadcast, and rows of other classes stay out of the shuffle.
     Where most keys are listed this is a common join.
     """
     lists = cut(lists)
-    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
     some = F.broadcast(lists.select(bucket.alias("\x00bucket")).distinct())
-    met = rows.join(some, bucket == F.col("\x00bucket"), "left_semi").join(lists, "key", how)
+    met = rows.join(some, bucket == F.col("\x00bucket"), "left_semi").join(lists, key, how)
     if how == "inner":
         return met
     return met.unionByName(rows.join(some, bucket == F.col("\x00bucket"), "left_anti"), allowMissingColumns=True)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     ``edges``: (u, v), any order, repeats allowed. Returns (node, component), component the smallest
     node reachable, for every node that has an edge to another. Each round is two group-bys with
-    map-side combine and two joins that adaptive execution can split, so a hub needs no task of its
-    own; the number of rounds grows with the logarithm of the longest path. Stops when nothing moves.
+    map-side combine and two joins of written tables that adaptive execution can split, so a hub needs no task
+    of its own; the number of rounds grows with the logarithm of the longest path. Stops when nothing moves,
+    and raises if that has not come after ``rounds``.
     """
     e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = cut(e)
@@ -109,16 +110,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(low, "u")
+        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        linked = large.join(least, "u")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v")))
-        e = cut(small.filter("u <> v").distinct())
+        old, e = e, cut(small.filter("u <> v").distinct())
+        discard(old, low, large, least)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).head()
         if now == before or now[0] == now[2] and not e.join(e.select(F.col("v").alias("u")), "u", "left_semi").head(1):
-            break  # every node points at one root, and no root points on
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))  # every node points at one root, and no root points on
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    raise RuntimeError(f"components still change after {rounds} rounds")
 
 
 def hex64(c: Column) -> Column:

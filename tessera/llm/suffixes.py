@@ -2,12 +2,13 @@
 
 Rolling-hash triggers cut the bytes of every document into phrases. The trigger of a 100-byte string is its
 least 32-byte window hash (the leftmost of equals), so equal strings have equal triggers at equal places, and
-consecutive strings with one trigger form a phrase: the trigger with what surrounds it, at most 168 bytes.
-The parse is the list of phrases of all documents, the dictionary the distinct ones. Strings can repeat only
-where a trigger does, and a phrase that repeats as a whole settles all its strings at once, so only the
-dictionary's phrases that share a trigger and differ are looked into: the sorted strings of a trigger's
-phrases stand next to their equals. Order beyond 100 bytes doesn't matter here, so no deeper
-suffix order is made: classes of equal 100-byte prefixes stand in for ranks.
+consecutive strings with one trigger form a phrase: the trigger with what surrounds it, at most 168 bytes. Strings
+can repeat only where a trigger does, and a phrase that repeats as a whole settles all its strings at once.
+
+Distinct phrases that share a trigger and differ are then dealt out by trigger and brought in order. In each task they
+are parsed once more by a short rolling hash, into words that are prefix-free: the suffix array of the dictionary (the
+distinct words) and that of the parse (the words of each phrase in turn), both by prefix doubling, combine into the
+order of all strings. Of neighbours with 100 common bytes all but the earliest in the corpus are repeats.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from tessera.llm.shared import cut, discard, free_shuffles, join_sparse, keyed
 
 LENGTH = 100
 TRIGGER = 32
+WINDOW, MODULUS = 8, 16
+"""The words of a phrase end with an 8-byte window whose hash is 0 modulo 16."""
 STRETCH = 1_000_000
-"""Bytes of documents that a task looks at together; a longer document is a stretch of its own."""
-HOT = 5_000
-"""Distinct phrases of one trigger that one group may hold; those of a more common trigger go string by string."""
+"""Bytes of documents that a task looks at together; a longer document is taken in pieces that overlap by 99 bytes."""
+HOT = 1_000
+"""Distinct phrases of one trigger that one group may hold, so that no task gets an unbounded group. Those of a more
+common trigger go string by string through a shuffle that Spark can split; the result is the same."""
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,36 +97,146 @@ def parse(docs: list[bytes], powers: Powers) -> tuple[np.ndarray, ...]:
     return d, gram[at].view(np.int64), whole.view(np.int64), first - (ends - size)[d], count
 
 
-def repeats(group: np.ndarray, blobs: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Of phrases in corpus order, each in a group: (phrase, string) of the strings met before in the same group.
+class Order:
+    """The prefix-free parse of some phrases (blobs) and the order of their 100-byte strings that it gives.
 
-    The strings of a group are brought in order by their hashes, earliest first among equals.
+    Places whose ``WINDOW``-byte rolling hash is 0 modulo ``MODULUS`` cut each blob into words; a word runs from one such
+    place to the end of the window at the next, so no proper suffix of a word longer than a window is a prefix of
+    another's. ``word`` are the distinct words (the dictionary), ``parse`` the words of every blob in turn.
     """
-    size = np.array([len(b) for b in blobs], np.int64)
-    count = size - LENGTH + 1
-    s = _prefix(np.frombuffer(b"".join(blobs), np.uint8), powers)
-    up, _ = powers.upto(len(s))
+
+    def __init__(self, blobs: list[bytes], powers: Powers):
+        self.size = np.array([len(b) for b in blobs], np.int64)
+        self.end = np.cumsum(self.size)
+        self.data = np.frombuffer(b"".join(blobs), np.uint8)
+        begin = self.end - self.size
+        s, (up, _) = _prefix(self.data, powers), powers.upto(len(self.data))
+        h = _mix((s[WINDOW:] - s[:-WINDOW]) * up[: max(0, len(s) - WINDOW)])
+        cut_at = np.flatnonzero(h % np.uint64(MODULUS) == 0)
+        blob = np.searchsorted(self.end, cut_at, "right")
+        cut_at = cut_at[cut_at + WINDOW <= self.end[blob]]
+        self.start = np.union1d(begin, cut_at)
+        self.blob = np.searchsorted(self.end, self.start, "right")
+        after = np.concatenate((self.start[1:], self.end[-1:]))
+        self.closed = np.concatenate((self.blob[1:] == self.blob[:-1], [False]))
+        self.stop = np.where(self.closed, after + WINDOW, self.end[self.blob])
+        whole, ids = b"".join(blobs), {}
+        self.parse = np.array([ids.setdefault(whole[a:b], len(ids)) for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)], np.int64)
+        self.words = list(ids)
+
+    def dictionary(self) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix array of the dictionary as ranks, by prefix doubling to ``LENGTH`` bytes: of every place of every word,
+        where its suffix stands; suffixes that share their first ``LENGTH`` bytes share a rank. And each word's first place."""
+        size = np.array([len(w) for w in self.words], np.int64)
+        end = np.repeat(np.cumsum(size), size)
+        data = np.frombuffer(b"".join(self.words), np.uint8).astype(np.int64) + 1
+        at = np.arange(len(data))
+
+        def ahead(v: np.ndarray, by: int) -> np.ndarray:
+            out = np.zeros_like(v)
+            out[: max(0, len(v) - by)] = v[by:]
+            out[at + by >= end] = 0
+            return out
+
+        rank, depth = data, 1
+        for j in range(1, 7):  # seven bytes of 257 values fit a long
+            rank = rank * 257 + ahead(data, j)
+        depth = 7
+        rank = np.unique(rank, return_inverse=True)[1] + 1
+        while depth < LENGTH:
+            by = min(depth, LENGTH - depth)
+            rank = np.unique(rank * (len(rank) + 1) + ahead(rank, by), return_inverse=True)[1] + 1
+            depth += by
+        return rank, np.cumsum(size) - size
+
+    def parse_ranks(self, word_rank: np.ndarray) -> np.ndarray:
+        """Suffix array of the parse as ranks: of every word of every blob, where the text from it on stands among the
+        others, by prefix doubling over the words' own ranks until ``LENGTH`` bytes or the blob's end are covered."""
+        n = len(self.parse)
+        rank, span, at = word_rank[self.parse], 1, np.arange(n)
+        last = np.searchsorted(self.blob, self.blob, "right")
+        while True:
+            to = at + span
+            inside = to < last
+            if not inside.any() or (self.start[np.minimum(to, n - 1)] - self.start >= LENGTH)[inside].all():
+                return rank
+            rank = np.unique(rank * (int(rank.max()) + 1) + np.where(inside, rank[np.minimum(to, n - 1)], 0), return_inverse=True)[1] + 1
+            span *= 2
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that the texts from two words of the parse have in common, ``LENGTH`` at most."""
+        out = np.empty(len(a), np.int64)
+        for i in range(0, len(a), 1 << 16):
+            x, y = self.start[a[i : i + (1 << 16)]], self.start[b[i : i + (1 << 16)]]
+            room = np.minimum(np.minimum(self.end[self.blob[a[i : i + (1 << 16)]]] - x, self.end[self.blob[b[i : i + (1 << 16)]]] - y), LENGTH)
+            ahead, last = np.arange(LENGTH), len(self.data) - 1
+            differ = self.data[np.minimum(x[:, None] + ahead, last)] != self.data[np.minimum(y[:, None] + ahead, last)]
+            first = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
+            out[i : i + (1 << 16)] = np.minimum(first, room)
+        return out
+
+
+def repeats(blobs: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Of phrases in corpus order: (phrase, string) of the strings that an earlier one, in this or another phrase, equals."""
+    text = Order(blobs, powers)
+    suffix, first = text.dictionary()
+    parse = text.parse_ranks(suffix[first])
+    sorted_parse = np.argsort(parse, kind="stable")
+    place = np.empty_like(sorted_parse)
+    place[sorted_parse] = np.arange(len(place))
+    common = [text.shared(sorted_parse[:-1], sorted_parse[1:])]  # with the next in order; then least of 2, 4, 8 ... of these
+    while len(common[-1]) > 1 << len(common) - 1:
+        step = 1 << len(common) - 1
+        common.append(np.minimum(common[-1][:-step], common[-1][step:]))
+
+    count = text.size - LENGTH + 1
     phrase = np.repeat(np.arange(len(blobs)), count)
     offset = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
-    at = np.repeat(np.cumsum(size) - size, count) + offset
-    h = _mix((s[at + LENGTH] - s[at]) * up[at])
-    order = np.lexsort((h, group[phrase]))  # stable: corpus order among equals
-    g, h = group[phrase][order], h[order]
-    again = np.flatnonzero((g[1:] == g[:-1]) & (h[1:] == h[:-1])) + 1
-    return phrase[order[again]], offset[order[again]]
-
-
-def _stretches(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    k, at, held, size = keys.to_numpy(zero_copy_only=False), 0, [], 0
-    for i, x in enumerate(texts):
+    at = np.repeat(text.end - text.size, count) + offset
+    word = np.searchsorted(text.start, at, "right") - 1
+    rest = text.stop[word] - at
+    short = rest < LENGTH  # the string goes on in the next words of the parse
+    rank = suffix[first[text.parse[word]] + at - text.start[word]]
+    then = np.where(short, place[np.minimum(word + 1, len(place) - 1)] + 1, 0)
+    order = np.argsort(rank * (len(place) + 1) + then, kind="stable")
+    low, high = then[order][:-1] - 1, then[order][1:] - 1
+    same = rank[order][1:] == rank[order][:-1]
+    ask = np.flatnonzero(same & short[order][1:] & (low < high))
+    if len(ask):
+        x, y = low[ask], high[ask]
+        level = np.frexp((y - x).astype(float))[1] - 1
+        least = np.empty(len(ask), np.int64)
+        for k in np.unique(level):
+            of = level == k
+            least[of] = np.minimum(common[k][x[of]], common[k][y[of] - (1 << k)])
+        same[ask] = least >= WINDOW + LENGTH - rest[order][1:][ask]
+    equal = np.flatnonzero(np.concatenate(([True], ~same)))  # where a class of equal strings begins
+    earliest = np.repeat(np.minimum.reduceat(order, equal), np.diff(np.concatenate((equal, [len(order)]))))
+    again = order[order != earliest]
+    return phrase[again], offset[again]
+
+
+def _stretches(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(keys, places, pieces): documents, or pieces of long ones with their place, as many as fit a stretch. Every
+    100-byte string of a document starts in one piece."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for key, x in zip(keys.to_pylist(), texts, strict=True):
         d = (x.as_py() or "").encode()
-        if held and size + len(d) > STRETCH:
-            yield k[at:i], held
-            at, held, size = i, [], 0
-        held.append(d)
-        size += len(d)
+        for at in range(0, max(1, len(d) - LENGTH + 1), STRETCH):
+            piece = d[at : at + STRETCH + LENGTH - 1] if len(d) > STRETCH else d
+            if held and size + len(piece) > STRETCH:
+                yield _columns(held)
+                held, size = [], 0
+            held.append((key, at, piece))
+            size += len(piece)
     if held:
-        yield k[at:], held
+        yield _columns(held)
+
+
+def _columns(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    keys, places, pieces = zip(*held, strict=True)
+    return np.array(keys, np.int64), np.array(places, np.int64), list(pieces)
 
 
 def phrases(rows: DataFrame) -> DataFrame:
@@ -132,9 +246,9 @@ def phrases(rows: DataFrame) -> DataFrame:
         powers = Powers()
         with np.errstate(over="ignore"):
             for b in batches:
-                for keys, docs in _stretches(b.column(0), b.column(1)):
-                    d, trigger, phrase, start, n = parse(docs, powers)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[d]), pa.array(trigger), pa.array(phrase), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "trigger", "phrase", "start", "n"])
+                for keys, places, pieces in _stretches(b.column(0), b.column(1)):
+                    d, trigger, phrase, start, n = parse(pieces, powers)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[d]), pa.array(trigger), pa.array(phrase), pa.array((start + places[d]).astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "trigger", "phrase", "start", "n"])
 
     return rows.select("key", "text").mapInArrow(run, "key long, trigger long, phrase long, start int, n int")
 
@@ -163,9 +277,7 @@ def _later_strings(pieces: DataFrame) -> DataFrame:
         with np.errstate(over="ignore"):
             for t in _whole_groups(batches):
                 b = t.combine_chunks()
-                group = b.column("trigger").to_numpy()
-                blobs = b.column("bytes").to_pylist()
-                p, o = repeats(group, blobs, powers)
+                p, o = repeats(b.column("bytes").to_pylist(), powers)
                 if not len(p):
                     continue
                 key, start = b.column("key").to_numpy()[p], b.column("start").to_numpy()[p] + o

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 import xxhash
 
 from tessera.llm import simhash
@@ -97,4 +98,12 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(df).collect())
     assert got == [(-1, -1), (1, 1), (1, 1)]
     assert simhash.keep_one(df).count() == 2
+    clash = df.selectExpr("*", "'x' key", "1 fp", "2 component_id", "3 component_key")
+    kept = simhash.keep_one(clash)
+    assert kept.columns == clash.columns and kept.count() == 2 and {r.key for r in kept.collect()} == {"x"}
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_unfinished_components_raise(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long"), 1)
