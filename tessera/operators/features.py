@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 # Thresholds of the motion features and the frequency bands, half-open, in Hz.
 MIN_STEP, STATIONARY, SACCADE, GAZE_BINS, COVERAGE = 1e-4, 0.01, 100.0, 8, 0.6
+TOTAL = (1, 45)
 BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 45)}
 RR_MIN, RR_MAX = 60_000 / 220, 60_000 / 35
 
@@ -84,36 +85,87 @@ def first_k_composite(windows: DataFrame, keys: list[str], position: str, column
     return w.groupBy(*keys).agg(F.avg(row_mean(columns)).alias("composite"))
 
 
-def _step(keys: list[str], ts: str) -> tuple[Window, Column]:
-    w = Window.partitionBy(*keys).orderBy(ts)
-    dt = F.col(ts) - F.lag(ts).over(w)
-    return w, F.when(dt > MIN_STEP, dt)
+def _valid(samples: DataFrame, columns: list[str]) -> Column:
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & finite(F.col(c)).isNotNull()
+    return ok
 
 
-def head_motion(samples: DataFrame, keys: list[str], ts: str, x: str, y: str, z: str) -> DataFrame:
-    """Speed and jerk of head positions: mean speed, median jerk, share at rest, range of each axis, coverage."""
-    w, dt = _step(keys, ts)
-    d = samples.withColumn("_dt", dt)
-    move = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in (x, y, z)), F.lit(0.0)))
-    d = d.withColumn("_v", move / F.col("_dt"))
-    d = d.withColumn("_a", (F.col("_v") - F.lag("_v").over(w)) / F.col("_dt"))
-    d = d.withColumn("_j", F.abs((F.col("_a") - F.lag("_a").over(w)) / F.col("_dt")))
-    return d.groupBy(*keys).agg(
-        F.avg("_v").alias("head_speed_mean"),
-        F.percentile("_j", 0.5).alias("head_jerk_median"),
-        F.avg((F.col("_v") < STATIONARY).cast("int")).alias("head_stationary_fraction"),
-        *[(F.max(c) - F.min(c)).alias(f"head_range_{c}") for c in (x, y, z)],
-        F.avg((F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).cast("int")).alias("head_coverage"),
-    )
+def _covered(share: Column, first: Column, last: Column, span: float) -> Column:
+    """The lesser of the share of valid samples and of the window's span that they reach over, 1 at most."""
+    return F.least(F.lit(1.0), share, (last - first) / span)
 
 
-def gaze_motion(samples: DataFrame, keys: list[str], ts: str, x: str, y: str, z: str) -> DataFrame:
-    """Angular velocity of unit gaze vectors, fixation and saccade share, scan path in degrees."""
-    w, dt = _step(keys, ts)
-    cosine = sum((F.col(c) * F.lag(c).over(w) for c in (x, y, z)), F.lit(0.0))
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
-    d = samples.withColumns({"_a": angle, "_dt": dt}).withColumn("_v", F.col("_a") / F.col("_dt"))
-    return d.groupBy(*keys).agg(F.avg("_v").alias("eye_velocity_mean"), F.avg((F.col("_v") >= SACCADE).cast("int")).alias("eye_saccade_fraction"), F.avg((F.col("_v") < SACCADE).cast("int")).alias("eye_fixation_fraction"), F.sum("_a").alias("eye_scanpath"))
+def head_motion(samples: DataFrame, keys: list[str], ts: str, x: str, y: str, z: str, angular: str | None = None, span: float = 10.0) -> DataFrame:
+    """Robust statistics of speed, angular speed and jerk, the share at rest, the position's range and the coverage of each
+    window of ``span`` units of time. Samples without a full position or time are left out, and steps of almost no
+    time too; a window of fewer than three samples has NULLs and coverage 0."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    good = samples.filter(_valid(samples, [ts, x, y, z]))
+    dt = F.col(ts) - F.lag(ts).over(w)
+    move = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in (x, y, z)), F.lit(0.0)))
+    d = good.withColumns({"_dt": dt, "_m": move})
+    still = d.groupBy(*keys).agg(
+        F.count("*").alias("_n"),
+        F.sqrt(sum(((F.max(c) - F.min(c)) ** 2 for c in (x, y, z)), F.lit(0.0))).alias("head_position_range"),
+        _covered(F.lit(1.0), F.min(ts), F.max(ts), span).alias("head_coverage"),
+        *(robust_stats(angular, "head_angular_speed") if angular else []),
+    )
+    v = d.filter(F.col("_dt") > MIN_STEP).withColumn("head_speed", F.col("_m") / F.col("_dt"))
+    v = v.withColumn("_a", (F.col("head_speed") - F.lag("head_speed").over(w)) / F.col("_dt"))
+    v = v.withColumn("head_jerk", (F.col("_a") - F.lag("_a").over(w)) / F.col("_dt"))
+    moving = v.groupBy(*keys).agg(*robust_stats("head_speed"), *robust_stats("head_jerk"), F.avg((F.col("head_speed") < STATIONARY).cast("int")).alias("head_stationary_fraction"))
+    out = samples.select(*keys).distinct().join(still, keys, "left").join(moving, keys, "left")
+    names = [c for c in out.columns if c.startswith("head_")]
+    enough = F.coalesce(F.col("_n") >= 3, F.lit(False))
+    values = {c: F.when(enough, F.col(c)) for c in names} | {"head_coverage": F.when(enough, F.col("head_coverage")).otherwise(0.0)}
+    return out.withColumns(values).withColumn("head_usable", F.col("head_coverage") >= COVERAGE).drop("_n")
+
+
+def motion_entropy(samples: DataFrame, keys: list[str], ts: str, speed: str, rate: float, segment: int = 64, least: int = 8) -> DataFrame:
+    """Normalised entropy of the speed's spectrum per window; NULL for fewer than ``least`` speeds."""
+    known = samples.filter(finite(F.col(speed)).isNotNull())
+    long = known.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(*keys)
+    return spectral_entropy(spectrum(known.join(long, keys), keys, ts, speed, rate, segment), keys)
+
+
+def gaze_motion(samples: DataFrame, keys: list[str], ts: str, x: str, y: str, z: str, span: float = 10.0, threshold: float = SACCADE) -> DataFrame:
+    """Angular velocity (robust statistics, degrees per unit of time), shares of fixation and saccade steps, scan path,
+    dispersion around the mean direction, spatial entropy over 8 x 8 bins between the least and greatest x and y, share
+    of valid samples and coverage. Directions are brought to unit length; fewer than three leave only the share."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    norm = F.greatest(F.sqrt(sum((F.col(c) ** 2 for c in (x, y, z)), F.lit(0.0))), F.lit(1e-12))
+    good = samples.filter(_valid(samples, [ts, x, y, z])).select(*keys, ts, *[(F.col(c) / norm).alias(c) for c in (x, y, z)])
+    degrees = lambda c: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
+    dot = sum((F.col(c) * F.lag(c).over(w) for c in (x, y, z)), F.lit(0.0))
+    whole = Window.partitionBy(*keys)
+    lo, hi = (lambda c: F.min(c).over(whole)), (lambda c: F.max(c).over(whole))
+    bin_of = lambda c: F.when(hi(c) > lo(c), F.least(F.floor((F.col(c) - lo(c)) / (hi(c) - lo(c)) * GAZE_BINS), F.lit(GAZE_BINS - 1))).otherwise(GAZE_BINS // 2)
+    mean = {f"_{c}": F.avg(c).over(whole) for c in (x, y, z)}
+    d = good.withColumns(mean | {"_dt": F.col(ts) - F.lag(ts).over(w), "_angle": degrees(dot), "_bx": bin_of(x), "_by": bin_of(y)})
+    length = F.sqrt(sum((F.col(f"_{c}") ** 2 for c in (x, y, z)), F.lit(0.0)))
+    away = degrees(sum((F.col(c) * F.col(f"_{c}") for c in (x, y, z)), F.lit(0.0)) / length)
+    step = F.when(F.col("_dt") > MIN_STEP, F.col("_angle"))
+    d = d.withColumns({"_away": away, "_step": step, "eye_velocity": step / F.col("_dt")})
+    g = d.groupBy(*keys).agg(
+        F.count("*").alias("_n"),
+        F.min(ts).alias("_first"),
+        F.max(ts).alias("_last"),
+        *robust_stats("eye_velocity"),
+        F.avg((F.col("eye_velocity") < threshold).cast("int")).alias("eye_fixation_fraction"),
+        F.avg((F.col("eye_velocity") >= threshold).cast("int")).alias("eye_saccade_fraction"),
+        F.sum("_step").alias("eye_scanpath"),
+        F.avg("_away").alias("eye_dispersion"),
+    )
+    cells = d.groupBy(*keys, "_bx", "_by").agg(F.count("*").alias("power"))
+    out = samples.groupBy(*keys).agg(F.count("*").alias("_total")).join(g, keys, "left").join(spectral_entropy(cells, keys).withColumnRenamed("spectral_entropy", "eye_spatial_entropy"), keys, "left")
+    share = F.coalesce(F.col("_n"), F.lit(0)) / F.col("_total")
+    enough = F.coalesce(F.col("_n") >= 3, F.lit(False))
+    values = {c: F.when(enough, F.col(c)) for c in out.columns if c.startswith("eye_")}
+    coverage = F.when(enough, _covered(share, F.col("_first"), F.col("_last"), span)).otherwise(share)
+    out = out.withColumns(values | {"eye_valid_fraction": share, "eye_coverage": coverage})
+    return out.withColumn("eye_usable", enough & (F.col("eye_coverage") >= COVERAGE)).drop("_n", "_total", "_first", "_last")
 
 
 def time_weights(samples: DataFrame, keys: list[str], ts: str, most: float = 0.5) -> DataFrame:
@@ -132,13 +184,25 @@ def minmax(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(hi(c) > lo(c), (F.col(c) - lo(c)) / (hi(c) - lo(c))) for c in columns})
 
 
-def weighted_summary(df: DataFrame, keys: list[str], x: str, weight: str) -> DataFrame:
-    """Weighted mean, sd and share in each third, per group and over all (NULL keys)."""
+def weighted_summary(df: DataFrame, keys: list[str], x: str, weight: str, y: str | None = None, bins: int = 8) -> DataFrame:
+    """Weighted mean, sd and share in each third, per group and over all (NULL keys); with ``y`` also the entropy in bits of
+    the weighted histogram over bins x bins of the unit square."""
     w, v = F.col(weight), F.col(x)
     total = F.sum(w)
     mean = F.sum(w * v) / total
     third = lambda a, b: F.sum(F.when((v >= a) & (v < b), w).otherwise(0.0)) / total
-    return df.rollup(*keys).agg(mean.alias("mean"), F.sqrt(F.greatest(F.sum(w * v * v) / total - mean * mean, F.lit(0.0))).alias("sd"), third(-1e300, 1 / 3).alias("low_third"), third(1 / 3, 2 / 3).alias("mid_third"), third(2 / 3, 1e300).alias("high_third"), F.grouping_id().cast("int").alias("level"))
+    out = df.rollup(*keys).agg(mean.alias("mean"), F.sqrt(F.greatest(F.sum(w * v * v) / total - mean * mean, F.lit(0.0))).alias("sd"), third(-1e300, 1 / 3).alias("low_third"), third(1 / 3, 2 / 3).alias("mid_third"), third(2 / 3, 1e300).alias("high_third"), F.grouping_id().cast("int").alias("level"))
+    if y is None:
+        return out
+    cells = heatmap(df, keys, x, y, w.cast("double"), bins)
+    levels = cells.cube(*keys, "bx", "by").agg(F.sum("weight").alias("weight"), F.grouping("bx").alias("_g"), F.grouping("by").alias("_h"), F.grouping_id(*keys, "bx", "by").alias("_id"))
+    steps = [(1 << n) - 1 for n in range(len(keys) + 1)]  # the grouping ids of a rollup
+    levels = levels.filter("_g = 0 and _h = 0").withColumn("level", F.shiftright("_id", 2).cast("int")).filter(F.col("level").isin(steps))
+    e = entropy_bits(levels, [*keys, "level"], "weight")
+    same = F.lit(True)
+    for c in [*keys, "level"]:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"e.{c}"))
+    return out.alias("a").join(F.broadcast(e.alias("e")), same, "left").select("a.*", "e.entropy")
 
 
 def heatmap(df: DataFrame, keys: list[str], x: str, y: str, weight: Column, bins: int) -> DataFrame:
@@ -168,19 +232,34 @@ def rr_features(peaks: DataFrame, keys: list[str], ms: str) -> DataFrame:
     return p.groupBy(*keys).agg(F.count("*").alias("peaks"), F.avg(good).alias("rr_mean"), F.percentile(good, 0.5).alias("rr_median"), (60_000 / F.avg(good)).alias("hr_bpm"), F.avg(F.when(F.col("_rr").isNotNull(), good.isNotNull().cast("int"))).alias("plausible_fraction"))
 
 
-def hrv(peaks: DataFrame, keys: list[str], ms: str, horizon: int) -> DataFrame:
-    """RMSSD, SDNN (sample) and pNN50 over the trailing horizon in ms at each peak."""
+def hrv(peaks: DataFrame, keys: list[str], ms: str, horizon: int, gate: float = 0.8) -> DataFrame:
+    """RMSSD, SDNN (sample) and pNN50 of the intervals between the peaks of the trailing horizon in ms, at each peak.
+
+    NULL before the peaks reach back over ``gate`` of the horizon, and with fewer than two intervals. The list of a
+    horizon's peaks is as long as its beats.
+    """
     w = Window.partitionBy(*keys).orderBy(ms)
-    rr = F.col(ms) - F.lag(ms).over(w)
-    p = peaks.withColumn("_rr", F.when(rr.between(RR_MIN, RR_MAX), rr))
-    p = p.withColumn("_d", F.col("_rr") - F.lag("_rr").over(w))
-    back = w.rangeBetween(-horizon, 0)
-    return p.select(*keys, ms, F.sqrt(F.avg(F.col("_d") ** 2).over(back)).alias("rmssd"), F.stddev_samp("_rr").over(back).alias("sdnn"), F.avg((F.abs("_d") > 50).cast("int")).over(back).alias("pnn50"), F.count("_rr").over(back).alias("n_rr"))
+    back = F.collect_list(F.col(ms).cast("double")).over(w.rangeBetween(-horizon, 0))
+    p = peaks.select(*keys, ms, back.alias("_p"), F.min(ms).over(w).alias("_first"), F.count("*").over(w).alias("_k"))
+    steps = lambda a: F.zip_with(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: x - y)
+    p = p.withColumn("_rr", steps(F.col("_p"))).withColumn("_d", steps(F.col("_rr")))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    mean = total(F.col("_rr")) / F.size("_rr")
+    ok = (F.col(ms) - F.col("_first") >= gate * horizon) & (F.col("_k") >= 3) & (F.size("_rr") >= 2)
+    return p.select(
+        *keys,
+        ms,
+        F.when(ok, F.sqrt(total(F.transform("_d", lambda x: x * x)) / F.size("_d"))).alias("rmssd"),
+        F.when(ok, F.sqrt(F.aggregate(F.transform("_rr", lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / (F.size("_rr") - 1))).alias("sdnn"),
+        F.when(ok, F.size(F.filter("_d", lambda x: F.abs(x) > 50)) / F.size("_d")).alias("pnn50"),
+        F.size("_rr").cast("bigint").alias("n_rr"),
+    )
 
 
-def spectrum(samples: DataFrame, keys: list[str], ts: str, value: str, rate: float) -> DataFrame:
-    """(keys, frequency, power): periodogram with a Hann window of each group, mean removed; a group is one window of
-    one channel, so it is small."""
+def spectrum(samples: DataFrame, keys: list[str], ts: str, value: str, rate: float, segment: int | None = None) -> DataFrame:
+    """(keys, frequency, power): mean periodogram with Hann windows of half-overlapping segments of each group, each
+    segment's mean removed; one segment of the whole group without ``segment``. A group is one window of one channel,
+    so it is small."""
     import numpy as np
     import pandas as pd
 
@@ -191,24 +270,45 @@ def spectrum(samples: DataFrame, keys: list[str], ts: str, value: str, rate: flo
         x = g.sort_values(ts)[value].dropna().to_numpy()
         f, p = np.zeros(0), np.zeros(0)
         if len(x) >= 4:
-            h = np.hanning(len(x))
-            f, p = np.fft.rfftfreq(len(x), 1 / rate), np.abs(np.fft.rfft((x - x.mean()) * h)) ** 2 / (rate * (h**2).sum())
-            p[1 : -1 if len(x) % 2 == 0 else None] *= 2
+            n = min(len(x), segment or len(x))
+            h = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+            parts = np.stack([x[i : i + n] for i in range(0, len(x) - n + 1, max(1, n - n // 2))])
+            f = np.fft.rfftfreq(n, 1 / rate)
+            p = (np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * h, axis=1)) ** 2).mean(axis=0) / (rate * (h**2).sum())
+            p[1 : -1 if n % 2 == 0 else None] *= 2
         own = {k: np.repeat(g[k].to_numpy()[:1], len(f)) for k in keys}
         return pd.DataFrame(own | {"frequency": f, "power": p})[schema.names]
 
     return s.groupBy(*keys).applyInPandas(run, schema)
 
 
+def spectral_entropy(spec: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, spectral_entropy): entropy of the positive powers over log2 of their number; NULL for fewer than two."""
+    p = spec.filter(F.col("power") > 0)
+    p = p.withColumn("_p", F.col("power") / F.sum("power").over(Window.partitionBy(*keys)))
+    n = F.count("*")
+    return p.groupBy(*keys).agg(F.when(n > 1, -F.sum(F.col("_p") * F.log2("_p")) / F.log2(n.cast("double"))).alias("spectral_entropy"))
+
+
 def band_power(spec: DataFrame, keys: list[str]) -> DataFrame:
-    """Power, share and spectral entropy of each band, and the theta/beta and alpha/beta ratios."""
-    step = (F.max("frequency") - F.min("frequency")) / (F.count("*") - 1)
-    power = {b: F.sum(F.when((F.col("frequency") >= lo) & (F.col("frequency") < hi), F.col("power")).otherwise(0.0)) for b, (lo, hi) in BANDS.items()}
-    g = spec.groupBy(*keys).agg(*[(p * step).alias(b) for b, p in power.items()])
-    total = sum((F.col(b) for b in BANDS), F.lit(0.0))
-    ratio = lambda a, b: F.when(F.col(b) > 1e-12, F.col(a) / F.col(b))
-    share = {f"{b}_share": F.when(total > 1e-12, F.col(b) / total) for b in BANDS}
-    return g.withColumns(share | {"theta_beta": ratio("theta", "beta"), "alpha_beta": ratio("alpha", "beta"), "total_power": total})
+    """Power of each band by the trapezium rule, its share of 1 to 45 Hz, spectral entropy there, theta/beta and alpha/beta."""
+    w = Window.partitionBy(*keys).orderBy("frequency")
+    f, p = F.col("frequency"), F.col("power")
+    s = spec.withColumns({"_f": F.lag("frequency").over(w), "_p": F.lag("power").over(w)})
+    area = lambda low: F.sum(F.when(low, (p + F.col("_p")) / 2 * (f - F.col("_f"))).otherwise(0.0))
+    power = {b: area((F.col("_f") >= lo) & (f < hi)) for b, (lo, hi) in BANDS.items()}
+    g = s.groupBy(*keys).agg(*[x.alias(b) for b, x in power.items()], area((F.col("_f") >= TOTAL[0]) & (f <= TOTAL[1])).alias("total_power"))
+    ratio = lambda a, b: F.when(F.abs(b) > 1e-12, F.col(a) / F.col(b))
+    g = g.withColumns({f"{b}_share": ratio(b, "total_power") for b in BANDS} | {"theta_beta": ratio("theta", "beta"), "alpha_beta": ratio("alpha", "beta")})
+    return g.join(spectral_entropy(spec.filter(f.between(*TOTAL)), keys), keys, "left")
+
+
+def hemispheric(bands: DataFrame, keys: list[str], channel: str, left: list[str], right: list[str]) -> DataFrame:
+    """Ratios of the channels' mean band powers, and the log alpha power of the right channels less that of the left."""
+    mean = lambda b, cond=None: F.avg(F.when(cond, F.col(b)) if cond is not None else F.col(b))
+    g = bands.groupBy(*keys).agg(*[mean(b).alias(b) for b in ("theta", "alpha", "beta")], mean("alpha", F.col(channel).isin(left)).alias("_l"), mean("alpha", F.col(channel).isin(right)).alias("_r"))
+    ratio = lambda a, b: F.when(F.abs(b) > 1e-12, F.col(a) / F.col(b))
+    return g.select(*keys, ratio("alpha", "beta").alias("alpha_beta"), ratio("theta", "beta").alias("theta_beta"), (F.ln(F.col("_r") + 1e-12) - F.ln(F.col("_l") + 1e-12)).alias("alpha_asymmetry"))
 
 
 def differential_entropy(power: Column) -> Column:

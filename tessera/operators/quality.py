@@ -94,6 +94,26 @@ def vector_variance(df: DataFrame, vector: str, dead: float = 1e-6) -> DataFrame
     return v.withColumn("dead", F.col("variance") < dead)
 
 
+def embedding_sanity(df: DataFrame, key: str, vector: str, dead: float = 1e-6, degenerate: float = 0.99, seed: int = 9, buckets: int = 64) -> DataFrame:
+    """One row: variance over the places, dead places, cosine of sampled pairs, and a verdict.
+
+    Each vector is paired with the next in an order drawn by hash, within hash buckets, so the pairs are as many as
+    the vectors and no task has all. ``key``: a whole number.
+    """
+    from tessera.operators.resample import draw
+
+    v = vector_variance(df, vector, dead)
+    s = v.agg(F.avg("variance").alias("variance_mean"), F.min("variance").alias("variance_min"), F.max("variance").alias("variance_max"), F.count_if("dead").alias("dead_places"), F.count("*").alias("places"))
+    e = df.select(key, F.transform(vector, lambda x: x.cast("double")).alias("_a"), draw(F.lit(seed), F.col(key)).alias("_d"))
+    w = Window.partitionBy(F.floor(F.col("_d") * buckets)).orderBy("_d", key)
+    p = e.withColumn("_b", F.lead("_a").over(w)).filter("_b is not null")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda t, z: t + z)
+    c = p.select((dot("_a", "_b") / F.sqrt(dot("_a", "_a") * dot("_b", "_b"))).alias("c"))
+    k = c.agg(F.avg("c").alias("cosine_mean"), F.stddev_pop("c").alias("cosine_std"), F.min("c").alias("cosine_min"), F.max("c").alias("cosine_max"), F.count("*").alias("pairs"))
+    bad = (F.col("cosine_mean") > degenerate) | (F.col("variance_min") < dead)
+    return s.crossJoin(F.broadcast(k)).withColumn("verdict", F.when(bad, "DEGENERATE").otherwise("USABLE"))
+
+
 def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     g = df.select(key, F.posexplode(vector).alias("place", "x")).groupBy(key, "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return g.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("centroid"))

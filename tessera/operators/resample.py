@@ -16,7 +16,7 @@ def modular_folds(members: DataFrame, key: str, folds: int) -> DataFrame:
     return members.select(key).join(F.broadcast(f)).withColumn("role", role)
 
 
-def _draw(*parts: Column) -> Column:
+def draw(*parts: Column) -> Column:
     """A uniform number in [0, 1) from whole numbers, by modular arithmetic alone, so that SQL can draw the same."""
     x = F.lit(12345).cast("bigint")
     for p in parts:
@@ -38,7 +38,7 @@ def bootstrap_clusters(clusters: DataFrame, key: str, n: int, seed: int) -> Data
     numbered = clusters.select(key).withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
     size = numbered.agg(F.count("*").alias("size"))
     picks = replicates(numbered.select("i"), n).join(F.broadcast(size))
-    pick = F.floor(_draw(F.lit(seed), F.col("b"), F.col("i")) * F.col("size"))
+    pick = F.floor(draw(F.lit(seed), F.col("b"), F.col("i")) * F.col("size"))
     return picks.select("b", pick.alias("i")).groupBy("b", "i").agg(F.count("*").alias("times")).join(numbered, "i").select("b", key, "times")
 
 
@@ -73,7 +73,7 @@ def exact_sign_flip(deltas: DataFrame, order: str, delta: str, most: int = 20) -
 
 def monte_carlo_sign_flip(deltas: DataFrame, key: str, delta: str, n: int, seed: int) -> DataFrame:
     """One- and two-sided p of the mean under random signs, with one added to both counts."""
-    sign = F.when(_draw(F.lit(seed), F.col("b"), F.col(key)) < 0.5, -1).otherwise(1)
+    sign = F.when(draw(F.lit(seed), F.col("b"), F.col(key)) < 0.5, -1).otherwise(1)
     s = replicates(deltas.select(key, delta), n).groupBy("b").agg(F.avg(sign * F.col(delta)).alias("s"))
     o = deltas.agg(F.avg(delta).alias("o"))
     hit = lambda c: (F.count_if(c) + 1) / (n + 1)
@@ -132,13 +132,13 @@ def rm_anova(df: DataFrame, subject: str, a: str, b: str, value: str) -> DataFra
 def permute_within(df: DataFrame, keys: list[str], order: str, value: str, seed: int) -> DataFrame:
     """``value`` shuffled inside each group, in an order that depends on the seed and ``order`` alone."""
     a = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    b = df.select(*keys, F.col(value).alias("shuffled"), F.row_number().over(Window.partitionBy(*keys).orderBy(_draw(F.lit(seed), F.col(order)), order)).alias("_n"))
+    b = df.select(*keys, F.col(value).alias("shuffled"), F.row_number().over(Window.partitionBy(*keys).orderBy(draw(F.lit(seed), F.col(order)), order)).alias("_n"))
     return a.join(b, [*keys, "_n"]).drop("_n")
 
 
 def uniform_baseline(df: DataFrame, key: str, truth: str, n: int, seed: int) -> DataFrame:
     """MAE of uniform predictions in each of n replicates; the rows are participants' conditions, few."""
-    p = _draw(F.lit(seed), F.col("b"), F.col(key))
+    p = draw(F.lit(seed), F.col("b"), F.col(key))
     return replicates(df.select(key, truth), n).groupBy("b").agg(F.avg(F.abs(p - F.col(truth))).alias("estimate"))
 
 

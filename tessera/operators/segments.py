@@ -57,11 +57,20 @@ def tail_interval(phases: DataFrame, start: str, end: str, notes: str, default:
     return phases.withColumn("tail_seconds", seconds).withColumn("tail_start", F.col(end) - seconds)
 
 
-def frames_at(frames: DataFrame, targets: DataFrame, keys: list[str], frame_ts: str, target_ts: str, frame: str) -> DataFrame:
-    """Nearest frame to each target of its window (ties to the earlier), each frame once."""
-    j = targets.join(frames, keys)
-    d = F.abs(F.col(frame_ts) - F.col(target_ts))
-    near = j.groupBy(*keys, target_ts).agg(F.min(F.struct(d.alias("d"), F.col(frame_ts), F.col(frame))).alias("m"))
+def frames_at(frames: DataFrame, targets: DataFrame, keys: list[str], frame_ts: str, target_ts: str, frame: str, bucket: int | None = None) -> DataFrame:
+    """Nearest frame to each target of its window (ties to the earlier, then to the lower number), each frame once.
+
+    Two as-of joins: the last frame before and the first at or after a target; no frame meets more than its neighbours.
+    With ``bucket`` (units of time) a long window is many tasks.
+    """
+    from tessera.operators.joins import asof
+
+    first = frames.groupBy(*keys, F.col(frame_ts).cast("double").alias("_t")).agg(F.min(F.struct(frame_ts, frame)).alias("_f"))
+    goals = targets.select(*keys, F.col(target_ts).cast("double").alias("_g"))
+    back = asof(goals, first, keys, "_g", "_t", ["_f"], bucket=bucket).withColumnsRenamed({"_t": "_bt", "_f": "_bf"})
+    both = asof(back, first, keys, "_g", "_t", ["_f"], forward=True, bucket=bucket)
+    use_back = F.col("_bt").isNotNull() & (F.col("_t").isNull() | (F.col("_g") - F.col("_bt") <= F.col("_t") - F.col("_g")))
+    near = both.select(*keys, F.when(use_back, F.col("_bf")).otherwise(F.col("_f")).alias("m")).filter("m is not null")
     return near.select(*keys, F.col(f"m.{frame_ts}"), F.col(f"m.{frame}")).distinct()
 
 

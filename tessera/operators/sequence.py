@@ -75,6 +75,11 @@ def trailing_median(keys: list[str], order: str, value: str, n: int = 3) -> Colu
     return F.when(k > 0, (F.get(last, F.floor((k - 1) / 2).cast("int")) + F.get(last, F.floor(k / 2).cast("int"))) / 2)
 
 
+def smoothed(df: DataFrame, keys: list[str], order: str, value: str, gap: str, n: int = 3) -> DataFrame:
+    """``df`` with ``smooth``, the trailing median; it starts anew where ``gap`` is true."""
+    return epochs(df, keys, order, gap, "_e").withColumn("smooth", trailing_median([*keys, "_e"], order, value, n)).drop("_e")
+
+
 def rising(keys: list[str], order: str, value: str, least: float) -> Column:
     w = _w(keys, order)
     a, b, c = F.lag(value, 2).over(w), F.lag(value, 1).over(w), F.col(value)

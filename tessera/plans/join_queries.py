@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import joins as J
@@ -17,6 +17,11 @@ def samples(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.col("user_id").alias("participant"), F.col("event_type").alias("condition"), F.unix_millis("ts").alias("ms"), "value")
 
 
+def user_day() -> Column:
+    """One key for each user and day."""
+    return F.concat_ws(":", F.col("user_id").cast("string"), F.floor(F.unix_millis("ts") / (24 * HOUR)).cast("string"))
+
+
 SAMPLES = "s AS (SELECT event_id, user_id AS participant, event_type AS condition, epoch_us(ts) // 1000 AS ms, value FROM events)"
 
 
@@ -35,11 +40,12 @@ def _(t: Tables) -> DataFrame:
 @query(
     "join_reconcile_outer",
     """SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side, x, y
-       FROM (SELECT o_custkey AS k, count(*) AS x FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS y FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) b ON a.k = b.k""",
+       FROM (SELECT o_custkey AS k, count(*) AS x FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS y FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) b ON a.k = b.k""",
 )
 def _(t: Tables) -> DataFrame:
-    part = lambda n, c: t.orders.filter(F.col("o_orderkey") % n == 0).groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias(c))
-    return J.reconcile(part(3, "x"), part(5, "y"), ["k"]).select("k", "side", "x", "y")
+    done = F.col("o_orderstatus") == "F"
+    part = lambda rows, c: t.orders.filter(rows).groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias(c))
+    return J.reconcile(part(done, "x"), part(~done, "y"), ["k"]).select("k", "side", "x", "y")
 
 
 @query(
@@ -91,13 +97,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "pair_start_end_by_key",
-    f"""WITH {SAMPLES} SELECT participant, min(ms) FILTER (condition = 'view') AS start, min(ms) FILTER (condition = 'click') AS "end",
+    f"""WITH {SAMPLES} SELECT participant, ms // {24 * HOUR} AS day, min(ms) FILTER (condition = 'view') AS start, min(ms) FILTER (condition = 'click') AS "end",
         CASE WHEN count(*) FILTER (condition = 'view') > 1 OR count(*) FILTER (condition = 'click') > 1 THEN 'duplicate' WHEN count(*) FILTER (condition = 'view') = 0 OR count(*) FILTER (condition = 'click') = 0 THEN 'incomplete'
-        WHEN min(ms) FILTER (condition = 'click') <= min(ms) FILTER (condition = 'view') THEN 'not_positive' END AS problem FROM s WHERE event_id % 15 = 0 GROUP BY participant""",
+        WHEN min(ms) FILTER (condition = 'click') <= min(ms) FILTER (condition = 'view') THEN 'not_positive' END AS problem FROM s GROUP BY ALL""",
 )
 def _(t: Tables) -> DataFrame:
     kind = F.when(F.col("condition") == "view", "start").when(F.col("condition") == "click", "end")
-    return J.pair_by_key(samples(t).filter(F.col("event_id") % 15 == 0).withColumn("kind", kind), ["participant"], "kind", "ms")
+    days = samples(t).withColumns({"kind": kind, "day": F.floor(F.col("ms") / (24 * HOUR))})
+    return J.pair_by_key(days, ["participant", "day"], "kind", "ms")
 
 
 @query(
@@ -178,13 +185,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "join_missing_modalities",
-    """WITH h AS (SELECT user_id, list_distinct(list(event_type)) AS have FROM events WHERE event_id % 10 = 0 GROUP BY 1)
-       SELECT user_id, array_to_string(list_filter(['view', 'click', 'error'], lambda x: NOT list_contains(coalesce(have, []), x)), ',') AS missing FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN h USING (user_id)
+    f"""WITH d AS (SELECT user_id || ':' || (epoch_us(ts) // {24 * HOUR}000) AS user_day, event_type FROM events), h AS (SELECT user_day, list_distinct(list(event_type)) AS have FROM d GROUP BY 1)
+       SELECT user_day, array_to_string(list_filter(['view', 'click', 'error'], lambda x: NOT list_contains(coalesce(have, []), x)), ',') AS missing FROM h
        WHERE len(list_filter(['view', 'click', 'error'], lambda x: NOT list_contains(coalesce(have, []), x))) > 0""",
 )
 def _(t: Tables) -> DataFrame:
-    m = J.missing_artifacts(t.events.select("user_id").distinct(), t.events.filter("event_id % 10 = 0"), "user_id", "event_type", ["view", "click", "error"])
-    return m.select("user_id", F.array_join("missing", ",").alias("missing"))
+    d = t.events.select(user_day().alias("user_day"), "event_type")
+    m = J.missing_artifacts(d.select("user_day").distinct(), d, "user_day", "event_type", ["view", "click", "error"])
+    return m.select("user_day", F.array_join("missing", ",").alias("missing"))
 
 
 @query("check_artifact_metadata", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'o_custkey' END, CASE WHEN o_orderkey % 6 = 0 THEN 'o_totalprice' END) AS mismatches FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 6 = 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import metrics as M
 from tessera.operators import resample as B
-from tessera.plans.registry import Tables, query
+from tessera.plans.registry import Tables, draw_sql, query
 from tessera.plans.summary_queries import CELL, cell
 from tessera.plans.window_queries import rounded
 
@@ -169,15 +169,6 @@ def _(t: Tables) -> DataFrame:
 
 
 
-def draw_sql(*parts: str) -> str:
-    """The draw of ``resample`` as a DuckDB expression."""
-    e = "12345::BIGINT"
-    for p in parts:
-        e = f"((({e}) + ({p})::BIGINT) * 1103515245 + 12345) % 2147483648"
-        e = f"list_transform([{e}], lambda z: (z * 69069 + z // 65536) % 2147483648)[1]"
-    return f"(({e}) / 2147483648.0)"
-
-
 U = "u AS (SELECT user_id, sum(value) AS s, count(*) AS n, avg(value) - 50 AS d FROM events GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS size FROM u), b AS (SELECT unnest(range(200)) AS b)"
 BOOT = f"{U}, k AS (SELECT b, CAST(floor({draw_sql('7', 'b', 'i')} * size) AS BIGINT) AS i FROM i, b), e AS (SELECT b, sum({{0}}) / sum({{1}}) AS estimate FROM k JOIN i USING (i) GROUP BY 1)"
 

@@ -35,3 +35,12 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return add
+
+
+def draw_sql(*parts: str) -> str:
+    """The draw of ``tessera.operators.resample`` as a DuckDB expression."""
+    e = "12345::BIGINT"
+    for p in parts:
+        e = f"((({e}) + ({p})::BIGINT) * 1103515245 + 12345) % 2147483648"
+        e = f"list_transform([{e}], lambda z: (z * 69069 + z // 65536) % 2147483648)[1]"
+    return f"(({e}) / 2147483648.0)"

@@ -9,8 +9,8 @@ from tessera.operators import describe as D
 from tessera.operators import quality as Q
 from tessera.operators import rank as R
 from tessera.operators import sequence as S
-from tessera.plans.join_queries import HOUR, SAMPLES, samples
-from tessera.plans.registry import Tables, query
+from tessera.plans.join_queries import HOUR, SAMPLES, samples, user_day
+from tessera.plans.registry import Tables, draw_sql, query
 from tessera.plans.window_queries import rounded
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -90,14 +90,11 @@ def _(t: Tables) -> DataFrame:
     return rounded(Q.common_valid(t.events.select("event_type", (F.col("value") > 30).alias("a")), ["event_type"], ["a"]).drop("none_valid"))
 
 
-THIN = "SELECT user_id, event_type FROM events WHERE event_id % 20 = 0"
-
-
-@query("completeness_audit", f"""WITH x AS ({THIN}), n AS (SELECT user_id, event_type, count(*) AS n FROM x GROUP BY ALL), g AS (SELECT user_id, list_sort(list_filter({TYPES}, lambda y: NOT list_contains(list(event_type), y))) AS missing, list_sort(list(event_type) FILTER (n > 1)) AS dup FROM n GROUP BY 1)
-SELECT user_id, array_to_string(missing, ',') AS missing, coalesce(array_to_string(dup, ','), '') AS duplicated FROM g WHERE len(missing) > 0 OR len(dup) > 0""")
+@query("completeness_audit", f"""WITH x AS (SELECT user_id || ':' || (epoch_us(ts) // {24 * HOUR}000) AS user_day, event_type FROM events), n AS (SELECT user_day, event_type, count(*) AS n FROM x GROUP BY ALL), g AS (SELECT user_day, list_sort(list_filter({TYPES}, lambda y: NOT list_contains(list(event_type), y))) AS missing, list_sort(list(event_type) FILTER (n > 1)) AS dup FROM n GROUP BY 1)
+SELECT user_day, array_to_string(missing, ',') AS missing, coalesce(array_to_string(dup, ','), '') AS duplicated FROM g WHERE len(missing) > 0 OR len(dup) > 0""")
 def _(t: Tables) -> DataFrame:
-    c = Q.completeness(t.events.filter("event_id % 20 = 0"), "user_id", "event_type", TYPES)
-    return c.select("user_id", F.array_join("missing", ",").alias("missing"), F.array_join("duplicated", ",").alias("duplicated"))
+    c = Q.completeness(t.events.select(user_day().alias("user_day"), "event_type"), "user_day", "event_type", TYPES)
+    return c.select("user_day", F.array_join("missing", ",").alias("missing"), F.array_join("duplicated", ",").alias("duplicated"))
 
 
 @query("table_shape_audit", """SELECT 'nation' AS "table", count(*) AS n_rows, 3 AS n_columns, 25::BIGINT AS expected, count(*) = 25 AS ok FROM nation UNION ALL SELECT 'orders', count(*), 5, NULL, TRUE FROM orders""")
@@ -105,16 +102,20 @@ def _(t: Tables) -> DataFrame:
     return Q.shape_audit({"nation": (t.nation, 25), "orders": (t.orders.select(*t.orders.columns[:5]), None)})
 
 
-@query("label_validation", "SELECT doc_id, 'unknown_document' AS problem FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) UNION ALL SELECT doc_id, 'duplicate' FROM labels GROUP BY doc_id HAVING count(*) > 1")
+@query("label_validation", "WITH l AS (SELECT CASE WHEN toxic = 1 THEN -1 - doc_id WHEN quality = 0 THEN doc_id // 10 ELSE doc_id END AS doc_id FROM labels) SELECT doc_id, 'unknown_document' AS problem FROM l WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'duplicate' FROM l GROUP BY doc_id HAVING count(*) > 1")
 def _(t: Tables) -> DataFrame:
-    known = t.documents.filter("doc_id % 7 <> 0").select("doc_id")
-    unknown = t.labels.join(known, "doc_id", "left_anti").select("doc_id", F.lit("unknown_document").alias("problem"))
-    return unknown.union(R.duplicate_keys(t.labels, ["doc_id"]).select("doc_id", F.lit("duplicate")))
+    labels = t.labels.select(F.when(F.col("toxic") == 1, -1 - F.col("doc_id")).when(F.col("quality") == 0, F.floor(F.col("doc_id") / 10)).otherwise(F.col("doc_id")).alias("doc_id"))
+    unknown = labels.join(t.documents.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("unknown_document").alias("problem"))
+    return unknown.union(R.duplicate_keys(labels, ["doc_id"]).select("doc_id", F.lit("duplicate")))
 
 
-@query("embedding_sanity", "SELECT CAST(place AS INTEGER) AS place, round(var_pop(x), 8) AS variance, var_pop(x) < 1e-6 AS dead FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS place FROM embeddings) GROUP BY 1")
+@query("embedding_sanity", f"""WITH v AS (SELECT place, var_pop(x) AS v FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS place FROM embeddings) GROUP BY 1), s AS (SELECT round(avg(v), 8) AS variance_mean, round(min(v), 8) AS variance_min, round(max(v), 8) AS variance_max, count(*) FILTER (v < 1e-6) AS dead_places, count(*) AS places FROM v),
+e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, {draw_sql("9", "vec_id")} AS d FROM embeddings), p AS (SELECT e AS a, lead(e) OVER (PARTITION BY floor(d * 64) ORDER BY d, vec_id) AS b FROM e),
+c AS (SELECT list_inner_product(a, b) / sqrt(list_inner_product(a, a) * list_inner_product(b, b)) AS c FROM p WHERE b IS NOT NULL), k AS (SELECT round(avg(c), 6) AS cosine_mean, round(stddev_pop(c), 6) AS cosine_std, round(min(c), 6) AS cosine_min, round(max(c), 6) AS cosine_max, count(*) AS pairs, avg(c) AS m FROM c)
+SELECT s.*, cosine_mean, cosine_std, cosine_min, cosine_max, pairs, CASE WHEN m > 0.99 OR variance_min < 1e-6 THEN 'DEGENERATE' ELSE 'USABLE' END AS verdict FROM s, k""")
 def _(t: Tables) -> DataFrame:
-    return rounded(Q.vector_variance(t.embeddings, "embedding"), 8)
+    r = Q.embedding_sanity(t.embeddings, "vec_id", "embedding")
+    return r.select(*[F.round(c, 8).alias(c) if c.startswith("variance") else F.round(c, 6).alias(c) if c.startswith("cosine") else c for c in r.columns])
 
 
 @query("centroid_distances", """WITH c AS (SELECT label, place, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS place FROM embeddings) GROUP BY ALL)
@@ -310,9 +311,11 @@ def _(t: Tables) -> DataFrame:
     return rounded(S.rereference(t.lineitem, ["l_quantity"], ["l_discount", "l_tax"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), 9)
 
 
-@query("trailing_median", "SELECT event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING), 6) AS smooth FROM events")
+@query("trailing_median", f"WITH {SAMPLES}, g AS (SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY participant ORDER BY ms, event_id) > {10 * HOUR}, FALSE)::INT AS gap FROM s), e AS (SELECT *, sum(gap) OVER (PARTITION BY participant ORDER BY ms, event_id) AS epoch FROM g) SELECT event_id, round(median(value) OVER (PARTITION BY participant, epoch ORDER BY ms, event_id ROWS 2 PRECEDING), 6) AS smooth FROM e")
 def _(t: Tables) -> DataFrame:
-    return rounded(t.events.select("event_id", S.trailing_median(["user_id"], "event_id", "value").alias("smooth")))
+    s = samples(t).withColumn("at", F.struct("ms", "event_id"))
+    s = s.withColumn("gap", S.gap_flag(["participant"], "ms", "ms", 10 * HOUR))
+    return rounded(S.smoothed(s, ["participant"], "at", "value", "gap").select("event_id", F.col("smooth")))
 
 
 @query("rising_trend_flag", f"SELECT event_id, coalesce(lag(value, 2) OVER w < lag(value) OVER w AND lag(value) OVER w < value AND value - lag(value, 2) OVER w > 20, FALSE) AS rising FROM events {W}")
@@ -410,9 +413,9 @@ def _(t: Tables) -> DataFrame:
     return R.union_tables(t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x")), t.nation.select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("name")))
 
 
-@query("except_keys", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("except_keys", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def _(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey").join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return t.customer.select("c_custkey").join(t.orders.filter("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("intersect_keys", "SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150")

@@ -86,19 +86,18 @@ def _(t: Tables) -> DataFrame:
 
 @query("uniform_frame_sample")
 def _(t: Tables) -> DataFrame:
-    w = bounds(t).filter("condition = 'view'")
-    frames = samples(t).select("participant", "ms", "event_id")
-    return G.uniform_frames(frames, w, ["participant"], "ms", "event_id", "start", "end", 5).select("participant", "ms", "event_id")
+    frames = samples(t).select("participant", "condition", "ms", "event_id")
+    return G.uniform_frames(frames, bounds(t), ["participant", "condition"], "ms", "event_id", "start", "end", 5).select("participant", "condition", "ms", "event_id")
 
 
 @query(
     "fps_frame_sample",
-    f"""WITH {SAMPLES}, w AS (SELECT participant, min(ms) AS start, max(ms) AS "end" FROM s WHERE condition = 'view' GROUP BY 1), g AS (SELECT participant, start + ("end" - start) / 4.0 * (unnest(range(4)) + 0.5) AS target FROM w),
-        j AS (SELECT g.*, ms, event_id, row_number() OVER (PARTITION BY g.participant, target ORDER BY abs(ms - target), ms, event_id) AS r FROM g JOIN s USING (participant)) SELECT DISTINCT participant, ms, event_id FROM j WHERE r = 1""",
+    f"""WITH {SAMPLES}, {BOUNDS}, g AS (SELECT participant, condition, start + ("end" - start) / 4.0 * (unnest(range(4)) + 0.5) AS target FROM b),
+        j AS (SELECT g.*, ms, event_id, row_number() OVER (PARTITION BY g.participant, g.condition, target ORDER BY abs(ms - target), ms, event_id) AS r FROM g JOIN s USING (participant, condition)) SELECT DISTINCT participant, condition, ms, event_id FROM j WHERE r = 1""",
 )
 def _(t: Tables) -> DataFrame:
-    w = G.bin_centres(bounds(t).filter("condition = 'view'"), "start", "end", 4).select("participant", "target")
-    return G.frames_at(samples(t).select("participant", "ms", "event_id"), w, ["participant"], "ms", "target", "event_id")
+    w = G.bin_centres(bounds(t), "start", "end", 4).select("participant", "condition", "target")
+    return G.frames_at(samples(t).select("participant", "condition", "ms", "event_id"), w, ["participant", "condition"], "ms", "target", "event_id", 7 * DAY)
 
 
 @query(
@@ -154,11 +153,12 @@ def _(t: Tables) -> DataFrame:
 @query(
     "condition_summary_stats",
     CELLS + """ SELECT participant, condition, count(*) AS window_count, round(avg(CASE WHEN x IS NULL THEN 1 ELSE 0 END), 9) AS v__missing_ratio, round(avg(x), 9) AS v__mean, round(stddev_pop(x), 9) AS v__std, round(min(x), 9) AS v__min, round(max(x), 9) AS v__max, round(quantile_cont(x, 0.5), 9) AS v__median,
-    round(arg_min(x, k) FILTER (x IS NOT NULL), 9) AS v__first, round(arg_max(x, k) FILTER (x IS NOT NULL), 9) AS v__last, round(coalesce(CASE WHEN count(x) > 1 THEN regr_slope(x, k) END, CASE WHEN count(x) > 0 THEN 0.0 END), 9) AS v__slope FROM (SELECT *, CASE WHEN k % 5 <> 0 THEN v END AS x FROM c) GROUP BY ALL""",
+    round(arg_min(x, k) FILTER (x IS NOT NULL), 9) AS v__first, round(arg_max(x, k) FILTER (x IS NOT NULL), 9) AS v__last, round(coalesce(CASE WHEN count(x) > 1 THEN regr_slope(x, k) END, CASE WHEN count(x) > 0 THEN 0.0 END), 6) AS v__slope FROM (SELECT *, CASE WHEN k % 5 <> 0 THEN v END AS x FROM c) GROUP BY ALL""",
 )
 def _(t: Tables) -> DataFrame:
     c = cells(t).withColumn("v", F.when(F.col("k") % 5 != 0, F.col("v")))
-    return rounded(X.condition_summary(c, ["participant", "condition"], "k", ["v"]), 9)
+    s = X.condition_summary(c, ["participant", "condition"], "k", ["v"])
+    return rounded(s.withColumn("v__slope", F.round("v__slope", 6)), 9)
 
 
 @query("causal_prefix_stats", CELLS + " SELECT participant, condition, k, round(avg(v) OVER w, 9) AS v__so_far_mean, round(max(v) OVER w, 9) AS v__so_far_max, round(first_value(v) OVER w, 9) AS v__so_far_first, count(v) OVER w AS v__so_far_count FROM c WINDOW w AS (PARTITION BY participant, condition ORDER BY k ROWS UNBOUNDED PRECEDING)")
@@ -184,35 +184,53 @@ def _(t: Tables) -> DataFrame:
     return rounded(X.first_k_composite(c, ["participant", "condition"], "k", ["v", "kd"]), 9)
 
 
-POS = f"WITH {SAMPLES}, p AS (SELECT participant, event_id, ms / 1000.0 AS t, value AS x, value * 2 AS y, 100 - value AS z FROM s)"
+def stats_sql(c: str, name: str, digits: int = 6) -> str:
+    """The robust statistics of an expression as SQL aggregates."""
+    q = lambda p: f"quantile_cont({c}, {p})"
+    parts = {"mean": f"avg({c})", "std": f"stddev_pop({c})", "median": q(0.5), "iqr": f"{q(0.75)} - {q(0.25)}", "range": f"max({c}) - min({c})"}
+    return ", ".join(f"round({e}, {digits}) AS {name}__{k}" for k, e in parts.items())
+
+
+POS = f"WITH {SAMPLES}, p AS (SELECT participant, ms // {5 * DAY} AS win, event_id, ms / {HOUR}.0 AS t, value AS x, value * 2 AS y, 100 - value AS z, value * 3 AS turn FROM s)"
 
 
 def positions(t: Tables) -> DataFrame:
-    return samples(t).select("participant", "event_id", (F.col("ms") / 1000).alias("t"), F.col("value").alias("x"), (F.col("value") * 2).alias("y"), (100 - F.col("value")).alias("z"))
+    """Samples as positions in windows of five days, the time in hours."""
+    v = F.col("value")
+    return samples(t).select("participant", F.floor(F.col("ms") / (5 * DAY)).alias("win"), "event_id", (F.col("ms") / HOUR).alias("t"), v.alias("x"), (v * 2).alias("y"), (100 - v).alias("z"), (v * 3).alias("turn"))
 
 
 @query(
     "head_motion_features",
-    POS + """, a AS (SELECT *, t - lag(t) OVER w AS d, sqrt((x - lag(x) OVER w)**2 + (y - lag(y) OVER w)**2 + (z - lag(z) OVER w)**2) AS m FROM p WINDOW w AS (PARTITION BY participant ORDER BY t)),
-    b AS (SELECT *, CASE WHEN d > 1e-4 THEN d END AS dt, CASE WHEN d > 1e-4 THEN m / d END AS v FROM a)
-    SELECT participant, round(avg(v) * 1000, 6) AS speed, round(avg(CASE WHEN v IS NOT NULL THEN CASE WHEN v < 0.01 THEN 1 ELSE 0 END END), 6) AS still, round(max(x) - min(x), 6) AS range_x FROM b GROUP BY 1""",
+    POS + f""", a AS (SELECT *, t - lag(t) OVER w AS d, sqrt((x - lag(x) OVER w)**2 + (y - lag(y) OVER w)**2 + (z - lag(z) OVER w)**2) AS m FROM p WINDOW w AS (PARTITION BY participant, win ORDER BY t)),
+    n AS (SELECT participant, win, count(*) AS k, round(sqrt((max(x) - min(x))**2 + (max(y) - min(y))**2 + (max(z) - min(z))**2), 6) AS head_position_range, round(least(1, (max(t) - min(t)) / 120.0), 6) AS head_coverage, least(1, (max(t) - min(t)) / 120.0) >= 0.6 AS head_usable, {stats_sql("turn", "head_angular_speed")} FROM p GROUP BY ALL),
+    b AS (SELECT participant, win, t, d, m / d AS v FROM a WHERE d > 1e-4), c AS (SELECT *, (v - lag(v) OVER w) / d AS acc FROM b WINDOW w AS (PARTITION BY participant, win ORDER BY t)), j AS (SELECT *, (acc - lag(acc) OVER w) / d AS jerk FROM c WINDOW w AS (PARTITION BY participant, win ORDER BY t)),
+    g AS (SELECT participant, win, {stats_sql("v", "head_speed")}, {stats_sql("jerk", "head_jerk", 3)}, round(avg(CASE WHEN v < 0.01 THEN 1 ELSE 0 END), 6) AS head_stationary_fraction FROM j GROUP BY ALL)
+    SELECT participant, win, {", ".join(f"CASE WHEN k >= 3 THEN {c} END AS {c}" for c in ["head_position_range", *[f"head_{x}__{y}" for x in ("angular_speed", "speed", "jerk") for y in ("mean", "std", "median", "iqr", "range")], "head_stationary_fraction"])}, CASE WHEN k >= 3 THEN head_coverage ELSE 0 END AS head_coverage, k >= 3 AND head_usable AS head_usable FROM n LEFT JOIN g USING (participant, win)""",
 )
 def _(t: Tables) -> DataFrame:
-    h = X.head_motion(positions(t), ["participant"], "t", "x", "y", "z")
-    return rounded(h.select("participant", (F.col("head_speed_mean") * 1000).alias("speed"), F.col("head_stationary_fraction").alias("still"), F.col("head_range_x").alias("range_x")))
+    h = X.head_motion(positions(t), ["participant", "win"], "t", "x", "y", "z", "turn", 120.0)
+    return rounded(h.withColumns({c: F.round(c, 3) for c in h.columns if c.startswith("head_jerk")}))
 
 
 @query(
     "gaze_motion_features",
-    POS + """, u AS (SELECT participant, t, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sqrt(x*x + y*y + z*z) AS n FROM p)),
-    a AS (SELECT *, t - lag(t) OVER w AS d, degrees(acos(greatest(-1, least(1, x * lag(x) OVER w + y * lag(y) OVER w + z * lag(z) OVER w)))) AS g FROM u WINDOW w AS (PARTITION BY participant ORDER BY t))
-    SELECT participant, round(sum(g), 3) AS scanpath, round(avg(CASE WHEN d > 1e-4 THEN CASE WHEN g / d >= 100 THEN 1 ELSE 0 END END), 6) AS saccade FROM a GROUP BY 1""",
+    POS + f""", r AS (SELECT participant, win, t, CASE WHEN value_ok THEN x END AS x, y, z FROM (SELECT *, x <= 100 AS value_ok FROM p)), u AS (SELECT participant, win, t, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sqrt(x*x + y*y + z*z) AS n FROM r WHERE x IS NOT NULL)),
+    k AS (SELECT *, avg(x) OVER g AS mx, avg(y) OVER g AS my, avg(z) OVER g AS mz, min(x) OVER g AS lx, max(x) OVER g AS hx, min(y) OVER g AS ly, max(y) OVER g AS hy FROM u WINDOW g AS (PARTITION BY participant, win)),
+    a AS (SELECT *, t - lag(t) OVER w AS d, degrees(acos(greatest(-1, least(1, x * lag(x) OVER w + y * lag(y) OVER w + z * lag(z) OVER w)))) AS ang, degrees(acos(greatest(-1, least(1, (x * mx + y * my + z * mz) / sqrt(mx*mx + my*my + mz*mz))))) AS away,
+      CASE WHEN hx > lx THEN least(7, floor((x - lx) / (hx - lx) * 8)) ELSE 4 END AS bx, CASE WHEN hy > ly THEN least(7, floor((y - ly) / (hy - ly) * 8)) ELSE 4 END AS b2 FROM k WINDOW w AS (PARTITION BY participant, win ORDER BY t)),
+    v AS (SELECT *, CASE WHEN d > 1e-4 THEN ang / d END AS v, CASE WHEN d > 1e-4 THEN ang END AS step FROM a),
+    f AS (SELECT participant, win, count(*) AS n, min(t) AS t0, max(t) AS t1, {stats_sql("v", "eye_velocity", 4)}, round(avg(CASE WHEN v < 10 THEN 1 WHEN v >= 10 THEN 0 END), 6) AS eye_fixation_fraction, round(avg(CASE WHEN v >= 10 THEN 1 WHEN v < 10 THEN 0 END), 6) AS eye_saccade_fraction, round(sum(step), 3) AS eye_scanpath, round(avg(away), 4) AS eye_dispersion FROM v GROUP BY ALL),
+    h AS (SELECT participant, win, bx, b2, count(*) AS c FROM v GROUP BY ALL), e AS (SELECT participant, win, CASE WHEN count(*) > 1 THEN round(-sum(q * log2(q)) / log2(count(*)), 6) END AS eye_spatial_entropy FROM (SELECT *, c / sum(c) OVER (PARTITION BY participant, win) AS q FROM h) GROUP BY ALL),
+    o AS (SELECT participant, win, count(*) AS total FROM r GROUP BY ALL)
+    SELECT participant, win, {", ".join(f"CASE WHEN n >= 3 THEN {c} END AS {c}" for c in [*[f"eye_velocity__{y}" for y in ("mean", "std", "median", "iqr", "range")], "eye_fixation_fraction", "eye_saccade_fraction", "eye_scanpath", "eye_dispersion", "eye_spatial_entropy"])},
+    round(coalesce(n, 0) / total, 6) AS eye_valid_fraction, round(CASE WHEN n >= 3 THEN least(n / total, (t1 - t0) / 120.0) ELSE coalesce(n, 0) / total END, 6) AS eye_coverage, coalesce(n >= 3 AND least(n / total, (t1 - t0) / 120.0) >= 0.6, FALSE) AS eye_usable FROM o LEFT JOIN f USING (participant, win) LEFT JOIN e USING (participant, win)""",
 )
 def _(t: Tables) -> DataFrame:
-    n = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    u = positions(t).select("participant", "t", *[(F.col(c) / n).alias(c) for c in "xyz"])
-    g = X.gaze_motion(u, ["participant"], "t", "x", "y", "z")
-    return g.select("participant", F.round("eye_scanpath", 3).alias("scanpath"), F.round("eye_saccade_fraction", 6).alias("saccade"))
+    p = positions(t).withColumn("x", F.when(F.col("x") <= 100, F.col("x")))
+    g = X.gaze_motion(p, ["participant", "win"], "t", "x", "y", "z", 120.0, 10.0)
+    digits = {"eye_scanpath": 3, "eye_dispersion": 4} | {c: 4 for c in g.columns if c.startswith("eye_velocity")}
+    return rounded(g.withColumns({c: F.round(c, n) for c, n in digits.items()}))
 
 
 @query(
@@ -241,10 +259,11 @@ def _(t: Tables) -> DataFrame:
 @query(
     "weighted_gaze_summary",
     UNIT + """ SELECT event_type, round(sum(w * x) / sum(w), 6) AS mean, round(sqrt(greatest(0, sum(w * x * x) / sum(w) - (sum(w * x) / sum(w))**2)), 6) AS sd, round(sum(CASE WHEN x < 1/3.0 THEN w ELSE 0 END) / sum(w), 6) AS low_third,
-    round(sum(CASE WHEN x >= 1/3.0 AND x < 2/3.0 THEN w ELSE 0 END) / sum(w), 6) AS mid_third, round(sum(CASE WHEN x >= 2/3.0 THEN w ELSE 0 END) / sum(w), 6) AS high_third, CAST(grouping(event_type) AS INTEGER) AS level FROM u GROUP BY ROLLUP (event_type)""",
+    round(sum(CASE WHEN x >= 1/3.0 AND x < 2/3.0 THEN w ELSE 0 END) / sum(w), 6) AS mid_third, round(sum(CASE WHEN x >= 2/3.0 THEN w ELSE 0 END) / sum(w), 6) AS high_third, CAST(grouping(event_type) AS INTEGER) AS level,
+    (SELECT round(-sum(q * log2(q)), 6) FROM (SELECT sum(w) / sum(sum(w)) OVER () AS q FROM u v WHERE v.event_type = u.event_type OR u.event_type IS NULL GROUP BY least(floor(v.x * 8), 7), least(floor(v.y * 8), 7))) AS entropy FROM u GROUP BY ROLLUP (event_type)""",
 )
 def _(t: Tables) -> DataFrame:
-    return rounded(X.weighted_summary(unit(t), ["event_type"], "x", "w"))
+    return rounded(X.weighted_summary(unit(t), ["event_type"], "x", "w", "y"))
 
 
 @query("heatmap_2d", UNIT + " SELECT event_type, CAST(least(floor(x * 4), 3) AS INTEGER) AS bx, CAST(least(floor(y * 4), 3) AS INTEGER) AS by, sum(w)::BIGINT AS weight FROM u GROUP BY ALL")
@@ -284,22 +303,24 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "hrv_horizon",
-    PEAKS + """, r AS (SELECT *, ms - lag(ms) OVER (PARTITION BY l_suppkey ORDER BY ms) AS rr FROM p), g AS (SELECT *, CASE WHEN rr BETWEEN 60000/220.0 AND 60000/35.0 THEN rr END AS good FROM r),
-    d AS (SELECT *, good - lag(good) OVER (PARTITION BY l_suppkey ORDER BY ms) AS df FROM g)
-    SELECT l_suppkey, ms, round(sqrt(avg(df * df) OVER w), 6) AS rmssd, round(avg(CASE WHEN df IS NOT NULL THEN CASE WHEN abs(df) > 50 THEN 1 ELSE 0 END END) OVER w, 6) AS pnn50, count(good) OVER w AS n_rr FROM d WINDOW w AS (PARTITION BY l_suppkey ORDER BY ms RANGE BETWEEN 30000 PRECEDING AND CURRENT ROW)""",
+    PEAKS + """, f AS (SELECT *, lag(ms) OVER w AS before, min(ms) OVER w AS first, count(*) OVER w AS k FROM p WINDOW w AS (PARTITION BY l_suppkey ORDER BY ms)), r AS (SELECT a.l_suppkey, a.ms, a.first, a.k, b.ms AS peak, b.ms - b.before AS rr FROM f a LEFT JOIN f b ON a.l_suppkey = b.l_suppkey AND b.ms <= a.ms AND b.before >= a.ms - 30000),
+    d AS (SELECT *, rr - lag(rr) OVER (PARTITION BY l_suppkey, ms ORDER BY peak) AS df FROM r), g AS (SELECT l_suppkey, ms, first, k, count(rr) AS n_rr, sqrt(avg(df * df)) AS rmssd, stddev_samp(rr) AS sdnn, avg(CASE WHEN df IS NOT NULL THEN CASE WHEN abs(df) > 50 THEN 1 ELSE 0 END END) AS pnn50 FROM d GROUP BY ALL)
+    SELECT l_suppkey, ms, CASE WHEN ok THEN round(rmssd, 6) END AS rmssd, CASE WHEN ok THEN round(sdnn, 6) END AS sdnn, CASE WHEN ok THEN round(pnn50, 6) END AS pnn50, n_rr FROM (SELECT *, ms - first >= 24000 AND k >= 3 AND n_rr >= 2 AS ok FROM g)""",
 )
 def _(t: Tables) -> DataFrame:
-    return rounded(X.hrv(peaks(t), ["l_suppkey"], "ms", 30_000).select("l_suppkey", "ms", "rmssd", "pnn50", "n_rr"))
+    return rounded(X.hrv(peaks(t), ["l_suppkey"], "ms", 30_000))
 
 
 def spectra(t: Tables) -> DataFrame:
+    """Spectra of each user's values by event type, the types standing for channels."""
     s = samples(t).select("participant", "condition", "ms", "value")
-    return X.spectrum(s, ["participant", "condition"], "ms", "value", 100.0)
+    return X.spectrum(s, ["participant", "condition"], "ms", "value", 100.0, 200)
 
 
 @query("spectral_band_power")
 def _(t: Tables) -> DataFrame:
-    return X.band_power(spectra(t), ["participant", "condition"])
+    b = X.band_power(spectra(t), ["participant", "condition"])
+    return b.join(X.hemispheric(b.select("participant", "condition", *X.BANDS), ["participant"], "condition", ["click", "error"], ["view", "signup"]).select("participant", "alpha_asymmetry"), "participant")
 
 
 @query("differential_entropy")
@@ -324,9 +345,9 @@ def _(t: Tables) -> DataFrame:
     return h.select("participant", F.round("activity", 4).alias("activity"), F.round("mobility", 6).alias("mobility"), F.round("complexity", 6).alias("complexity"))
 
 
-@query("mean_pool_embeddings", "SELECT label, CAST(place AS INTEGER) AS place, round(avg(v), 6) AS value FROM (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS place FROM embeddings WHERE vec_id % 5 <> 0) GROUP BY ALL")
+@query("mean_pool_embeddings", "SELECT label, CAST(place AS INTEGER) AS place, round(avg(v), 6) AS value FROM (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS place FROM embeddings WHERE embedding[1] > -0.1) GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return rounded(X.mean_pool(t.embeddings, ["label"], "embedding", F.col("vec_id") % 5 != 0))
+    return rounded(X.mean_pool(t.embeddings, ["label"], "embedding", F.get("embedding", F.lit(0)) > -0.1))
 
 
 @query("pack_sequences", "SELECT label, CAST(count(*) AS INTEGER) AS n, string_agg(CASE WHEN vec_id % 5 <> 0 THEN '1' ELSE '0' END, '' ORDER BY vec_id) AS mask, round(arg_min(embedding, vec_id)[1]::DOUBLE, 6) AS first_value FROM embeddings GROUP BY label")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,20 +14,35 @@ from tessera.functions.scalars import parse_decimal
 MARKER = T.StructType([T.StructField("event_type", T.StringType()), T.StructField("condition", T.StringType()), T.StructField("unix_time_ms", T.LongType())])
 
 
-def read_dialect_csv(spark: SparkSession, path: str, numbers: list[str] = ()) -> DataFrame:
-    """CSV with an optional first line "sep=", ; or , between fields, and decimal commas in the ``numbers`` columns.
+def read_dialect_csv(spark: SparkSession, paths: str | list[str], numbers: list[str] = ()) -> DataFrame:
+    """CSV files with an optional first line "sep=", ; or , between fields, quoted headers of any words, and decimal commas
+    in the ``numbers`` columns; every file has its own dialect. Columns are strings, but for ``numbers``.
 
-    Only the first lines of one file are looked at for the dialect; the files are read by Spark with that delimiter.
+    The driver sees the first two lines of each file, as many rows as there are files; the files are read in Spark's
+    splits. A quoted field may not hold a line break. Files of other columns are stacked by name.
     """
-    first = [r.value for r in spark.read.text(path).limit(2).collect()]
-    declared = first[0][4:5] if first and first[0].lower().startswith("sep=") else ""
-    header = first[1] if declared and len(first) > 1 else first[0] if first else ""
-    sep = declared or (";" if header.count(";") > header.count(",") else ",")
-    names = [h.strip().strip('"') for h in header.split(sep)]
-    lines = spark.read.text(path).filter(~F.lower("value").startswith("sep=") & (F.col("value") != header))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = lines.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep}).alias("r")).select("r.*") if all(n.isidentifier() for n in names) else spark.read.csv(path, sep=sep, header=True)
-    return rows.withColumns({c: parse_decimal(F.col(c)) for c in numbers})
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    begin = lines.filter("at = 0")
+    heads = begin.groupBy("file").agg(F.min("n").alias("first"))
+    top = begin.join(F.broadcast(heads), "file").filter(F.col("n") <= F.col("first") + 1).select("file", "value", "n", "first").collect()
+    dialects: dict[tuple, list] = {}
+    for name in {r.file for r in top}:
+        own = sorted((r.n - r.first, r.value) for r in top if r.file == name)
+        declared = own[0][1][4:5] if own[0][1].lower().startswith("sep=") and len(own) > 1 else ""
+        header = own[1][1] if declared else own[0][1]
+        sep = declared or (";" if header.count(";") > header.count(",") else ",")
+        names = tuple(h.strip() for h in next(csv.reader([header.lstrip("\ufeff")], delimiter=sep)))
+        dialects.setdefault((sep, names), []).append((name, int(bool(declared))))
+    out = None
+    for (sep, names), files in sorted(dialects.items()):
+        of = spark.createDataFrame(files, "file string, skip int")
+        body = lines.join(F.broadcast(of), "file").join(F.broadcast(heads), "file").filter((F.col("at") > 0) | (F.col("n") > F.col("first") + F.col("skip")))
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        rows = body.filter(F.trim("value") != "").select(F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"'}).alias("r")).select("r.*")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.DoubleType()) for c in numbers]))
+    return out.withColumns({c: parse_decimal(F.col(f"`{c}`")) for c in numbers})
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
