@@ -14,14 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from tessera.llm.shared import small_batches
+from tessera.llm.shared import cut, join_sparse, keyed, small_batches
 
 Q = 10
 ERROR_RATE = 0.08
 """Edits allowed per character of a passage, whole text against whole passage; fewer where the bound would not filter."""
 INDEX_BYTES = 4_000_000
-"""Passage bytes in one index, which goes to every task. A larger benchmark is cut into parts of that size."""
+"""Passage bytes of an index that goes to every task. The q-grams of a larger benchmark stay a table and meet the texts' in a join."""
+FILTER_BITS = 24
+"""Bits of a q-gram's hash that the filter before the join looks at: 2 MB for any benchmark."""
 STRETCH = 1_000_000
 
 # ASCII signs that stand for a space when texts are compared.
@@ -148,52 +151,127 @@ def align(passage: bytes, text: bytes, low: int, high: int, k: int) -> tuple[int
     return (int(cost[end]), int(origin[end]), m + low + end) if cost[end] <= k else None
 
 
-def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in parts of INDEX_BYTES or less (a longer passage alone), read part by part."""
-    rows = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+def _leak_type() -> pa.DataType:
+    return pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())]))
+
+
+def _stretches(column: pa.Array) -> Iterator[list[str | None]]:
     held, size = [], 0
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        if held and size + len(r.text) > INDEX_BYTES:
+    for x in column:
+        t = x.as_py()
+        held.append(t)
+        size += len(t or "")
+        if size > STRETCH:
             yield held
             held, size = [], 0
-        held.append((r.item_id, r.text))
-        size += len(r.text)
     if held:
         yield held
 
 
+def _mark_by_index(docs: DataFrame, passages: DataFrame, text: str, leaks: str) -> DataFrame:
+    """Row-wise with the whole index in every task, for passages of INDEX_BYTES at most."""
+    index = Index([(r.item_id, r.text) for r in passages.orderBy("item_id", "text").collect()])
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema, T.StructField(leaks, LEAKS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [x for texts in _stretches(b.column(at)) for x in index.leaks(texts)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _leak_type())], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _items(passages: DataFrame) -> DataFrame:
+    """(item, item_id, passage, k, need) of the passages that have q-grams; item numbers them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [(i, n, d, k, len(d) - Q + 1 - k * Q) for i, n, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if len(d := normal(t)) >= Q for k in [budget(len(d))]]
+            columns = zip(*kept, strict=True) if kept else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["item", "item_id", "passage", "k", "need"])
+
+    numbered = passages.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("bigint").alias("item_id"), "text")
+    return numbered.mapInArrow(run, "item long, item_id long, passage binary, k int, need int")
+
+
+def _item_grams(items: DataFrame) -> DataFrame:
+    """(gram, item, place, k, need): every q-gram of every passage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [_grams(np.frombuffer(d.as_py(), np.uint8), Q) for d in b.column(1)]
+            of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            h = np.concatenate([np.zeros(0, np.uint64), *grams]).view(np.int64)
+            place = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(g), dtype=np.int32) for g in grams)])
+            take = [b.column(i).to_numpy()[of] for i in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(take[0]), pa.array(place), pa.array(take[1]), pa.array(take[2])], ["gram", "item", "place", "k", "need"])
+
+    return items.select("item", "passage", "k", "need").mapInArrow(run, "gram long, item long, place int, k int, need int")
+
+
+def _mark_by_join(docs: DataFrame, passages: DataFrame, text: str, leaks: str) -> DataFrame:
+    """The same for a benchmark of any size: q-grams of texts that pass a bit table meet the passages' in a join, bands
+    are counted by group-bys, and texts with a band that meets the bound are aligned. Needs a column ``doc_id``."""
+    name = "\x00row"
+    rows = keyed(docs, name)
+    whole = rows.select(name, F.col(text).alias("text"))
+    items = cut(_items(passages))
+    grams = cut(_item_grams(items))
+    bit = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for r in grams.groupBy((bit / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(bit % 32768).alias("bits")).collect():
+        bits[r["at"] * 32768 : (r["at"] + 1) * 32768] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+    packed = np.packbits(bits)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(packed).astype(bool)
+        for b in batches:
+            for key, t in zip(b.column(0), b.column(1), strict=True):
+                h = _grams(np.frombuffer(normal(t.as_py()), np.uint8), Q)
+                at = np.flatnonzero(table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key.as_py(), np.int64)), pa.array(h[at].view(np.int64)), pa.array(at.astype(np.int32))], [name, "gram", "at"])
+
+    met = whole.mapInArrow(hits, f"`{name}` long, gram long, at int").join(grams, "gram")
+    block = F.floor((F.col("at") - F.col("place") + F.lit(1 << 40)) / (F.col("k") + 1)).alias("block")
+    shared = met.groupBy(name, "item", block).agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    order = Window.partitionBy(name, "item").orderBy("block")
+    band = F.col("n") + F.when(F.lead("block").over(order) == F.col("block") + 1, F.lead("n").over(order)).otherwise(0)
+    asked = shared.withColumn("band", band).filter("band >= need").select(name, "item", "block")
+    lists = asked.join(items, "item").groupBy(name).agg(F.collect_list(F.struct("item_id", "item", "block", "k", "passage")).alias("asked"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for t, wanted in zip(b.column(1), b.column(2), strict=True):
+                doc, best = normal(t.as_py()), {}
+                for w in sorted(wanted.as_py(), key=lambda w: (w["item_id"], w["item"], w["block"])):
+                    low = w["block"] * (w["k"] + 1) - (1 << 40)
+                    got = align(w["passage"], doc, low, low + 2 * w["k"] + 1, w["k"])
+                    if got and (w["item"] not in best or got[0] < best[w["item"]]["edits"]):
+                        best[w["item"]] = {"item_id": w["item_id"], "start": got[1], "stop": got[2], "edits": got[0]}
+                found.append(list(best.values()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _leak_type())], [name, leaks])
+
+    schema = T.StructType([T.StructField(name, T.LongType()), T.StructField(leaks, LEAKS)])
+    held = join_sparse(whole, lists, "inner", name).select(name, "text", "asked").mapInArrow(verify, schema)
+    marked = join_sparse(rows, held, "left", name)
+    return marked.withColumn(leaks, F.coalesce(leaks, F.array().cast(LEAKS)))
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", leaks: str = "leaks") -> DataFrame:
     """``docs`` with ``leaks`` added: array of (item_id, start, stop, edits), one for each passage in the text.
 
-    Row-wise, no shuffle of texts; the passages' index goes to the tasks in parts of bounded size. start and stop
-    are bytes of the normal text. Null and empty texts have no leaks; passages that are null, have no id or fewer
-    than q bytes are left out; repeated passages count each. A column of that name is replaced, others pass.
+    Passages of INDEX_BYTES in all, or less, go to every task, and no text is shuffled; of more, the q-grams are joined.
+    start and stop are bytes of the normal text. Null and empty texts have no leaks; passages that are null, have no id
+    or fewer than q bytes are left out; repeated passages count each. A column of that name is replaced, others pass.
     """
     small_batches(docs.sparkSession)
     out = docs.drop(leaks)
-    names = out.columns
-    at = names.index(text)
-    made = []
-    for n, part in enumerate(_parts(benchmark)):
-        index, made = Index(part), [*made, f"\x00leaks{n}"]
-        schema = T.StructType([*out.schema, T.StructField(made[-1], LEAKS)])
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index, fields: list[str] = schema.names) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())]))
-            for b in batches:
-                found, held, size = [], [], 0
-                for x in b.column(at):
-                    t = x.as_py()
-                    held.append(t)
-                    size += len(t or "")
-                    if size > STRETCH:
-                        found += index.leaks(held)
-                        held, size = [], 0
-                found += index.leaks(held) if held else []
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], fields)
-
-        out = out.mapInArrow(run, schema)
-    return out.withColumn(leaks, F.concat(*made) if made else F.array().cast(LEAKS)).select(*names, leaks)
+    passages = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+    size = passages.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    by = _mark_by_index if size <= INDEX_BYTES else _mark_by_join
+    return by(out, passages, text, leaks).select(*out.columns, leaks)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Hashed n-gram models of target text and of raw text give every document a log importance weight, the ratio of
 its n-grams' probabilities; adding Gumbel noise and taking the k highest samples k documents without
-replacement in proportion to their weights.
+replacement in proportion to their weights. Both models count every row: the raw one all texts, the target one all that
+are labelled good.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import cut, keyed, small_batches
+from tessera.llm.shared import cut, join_sparse, keyed, small_batches
 
 BUCKETS = 1 << 16
 """Hash buckets of words and word pairs; the models, and what reaches the driver of them, have this size."""
-TARGET_DOCS = 20_000
-"""Labelled documents that the target model is fitted on, in the order of their ids' hashes; the broadcast of their ids is as long."""
-REFERENCE = 256
-"""N-grams of a document's weight: the mean log ratio times this, so that length alone moves no document."""
+REFERENCE = 32
+"""N-grams of a document's weight: the mean log ratio times this, as if all texts had so many n-grams, so that length
+alone moves no document. It is the sampling's temperature: whole texts' sums differ by hundreds, and noise of standard
+deviation 1.28 would change nothing; over 32 n-grams texts like the target differ by less than the noise and are sampled,
+and junk still lies far below them."""
 SHARE = 0.75
 BINS = 1024
 LAST_BIN = 10_000
@@ -71,12 +73,12 @@ class Grams:
 def fit(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Log ratio of target to raw probability per bucket, both with one added to every bucket.
 
-    ``docs`` (doc_id, text): all of them make the raw model. ``target_ids`` (doc_id): bounded by the caller.
+    ``docs`` (doc_id, text): all of them make the raw model, and all whose id is in ``target_ids`` (doc_id) the target's.
     A task counts into two arrays and sends a row for each bucket that it met.
     """
     small_batches(docs.sparkSession)
-    ids = target_ids.select(F.col("doc_id").alias("\x00id")).distinct()
-    marked = docs.join(F.broadcast(ids), docs.doc_id == F.col("\x00id"), "left").select(F.col("\x00id").isNotNull().alias("target"), "text")
+    ids = target_ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).filter("doc_id is not null").distinct().withColumn("\x00target", F.lit(True))
+    marked = join_sparse(docs.select("doc_id", "text"), ids, "left", "doc_id").select(F.coalesce("\x00target", F.lit(False)).alias("target"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, n, t = Grams(buckets), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
@@ -146,24 +148,31 @@ def top_k(scored: DataFrame, k: int, by: str = "sample_key", bins: int = BINS, l
     return scored.filter(above).union(rest)
 
 
-def weigh(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOCS) -> DataFrame:
+def _weigh(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, doc_id, log_weight, sample_key) of rows (key, doc_id, text)."""
+    ratio = fit(rows, labels.filter("quality = 1").select("doc_id"))
+    return cut(log_weights(rows.select("key", "doc_id", "text"), ratio).withColumn("sample_key", F.col("log_weight") + gumbel(F.col("key"))))
+
+
+def weigh(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, doc_id, log_weight, sample_key) of every row of ``docs``; the target is the labelled quality 1.
 
     Null and empty texts have weight 0, that of a text as likely in either model. Without labels the ratio is
     the same for all texts but for rare words. Repeated rows are rows of their own; null doc_ids are no targets.
     """
-    rows = keyed(docs.select("doc_id", "text"))
-    ids = labels.filter("quality = 1 and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
-    ratio = fit(rows, ids)
-    return cut(log_weights(rows.select("key", "doc_id", "text"), ratio).withColumn("sample_key", F.col("log_weight") + gumbel(F.col("key"))))
+    return _weigh(keyed(docs.select("doc_id", "text")), labels)
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, target_docs: int = TARGET_DOCS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
     """(key, doc_id, log_weight, sample_key) of the sampled rows: ``share`` of all, rounded down."""
-    scored = weigh(docs, labels, target_docs)
+    scored = weigh(docs, labels)
     return top_k(scored, int(scored.count() * share))
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
-    """The sampled rows of ``docs`` with their columns; doc_id must be unique here."""
-    return docs.join(resample(docs, labels, share).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """The sampled rows of ``docs`` with their columns; rows of one doc_id are sampled each for itself."""
+    name = "\x00row"
+    rows = keyed(docs, name)
+    scored = _weigh(rows.select(F.col(name).alias("key"), "doc_id", "text"), labels)
+    kept = top_k(scored, int(scored.count() * share)).select(F.col("key").alias(name))
+    return rows.join(kept, name, "left_semi").select(*docs.columns)

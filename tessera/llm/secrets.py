@@ -11,7 +11,7 @@ import math
 import random
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -93,14 +93,21 @@ def _fit_counts(randoms: np.ndarray, identifiers: np.ndarray, prior_odds: float
     return Model(_log_model(randoms) - _log_model(identifiers), math.log(prior_odds))
 
 
+def _clear_of(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """A test of whether a stretch (start, end) overlaps none of the spans, by one search in their sorted starts."""
+    ordered = sorted((a, b) for _, a, b in spans)
+    starts, reach = [a for a, _ in ordered], [-1, *accumulate((b for _, b in ordered), max)]
+    return lambda start, end: reach[bisect_left(starts, end)] <= start
+
+
 def _samples(text: str) -> tuple[list[str], list[str]]:
     """Pattern matches, which are random, and the words outside them, which with some joined ones are identifiers."""
-    spans = sorted(base_spans(text), key=lambda x: x[1])
-    starts, reach = [a for _, a, _ in spans], [-1, *accumulate((b for _, _, b in spans), max)]
-    words = [m.group() for m in WORD.finditer(text) if not spans or reach[bisect_left(starts, m.end())] <= m.start()]
+    spans = base_spans(text)
+    clear = _clear_of(spans)
+    words = [m.group() for m in WORD.finditer(text) if not spans or clear(m.start(), m.end())]
     joined = [words[i : i + 3] for i in range(0, len(words), 9)]
     words += ["_".join(j) for j in joined] + ["".join(w.capitalize() for w in j) for j in joined]
-    return [text[a:b] for kind, a, b in spans if kind != "assign"], words
+    return [text[a:b] for kind, a, b in sorted(spans, key=lambda x: x[1]) if kind != "assign"], words
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
@@ -143,9 +150,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def all_spans(text: str, model: Model) -> list[tuple[str, int, int, float | None]]:
     """Pattern matches, and long tokens that overlap none of them and look random; by start, then kind."""
     base = base_spans(text)
+    clear = _clear_of(base)
     out: list[tuple[str, int, int, float | None]] = [(k, a, b, None) for k, a, b in base]
     for m in TOKEN.finditer(text):
-        if not any(a < m.end() and m.start() < b for _, a, b in base) and (s := model.score(m.group())) > model.threshold:
+        if clear(m.start(), m.end()) and (s := model.score(m.group())) > model.threshold:
             out.append(("markov", m.start(), m.end(), s))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -156,6 +164,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text", spans: str = "spans"
     Row-wise, no shuffle. Null and empty texts have no spans; repeated rows are scanned each; other
     columns pass, and one named ``spans`` is replaced.
     """
+    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema if f.name not in (text, spans)]
     schema = T.StructType([*keep, T.StructField(spans, SPAN)])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))

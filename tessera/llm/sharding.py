@@ -65,7 +65,7 @@ def assign(df: DataFrame, keys: list[str], shards: list[str], slots: int = SLOTS
     """
     names = [f"{prefix}{x}" for x in ("slot", "shard", "shard_name")]
     table = lookup(df.sparkSession, fill(shards, slots), shards).toDF(*names)
-    placed = df.withColumn("\x00slot", slot_of(*[F.col(k) for k in keys], slots=slots)).drop(*[n for n in names if n not in keys])
+    placed = df.withColumn("\x00slot", slot_of(*[F.col(k) for k in keys], slots=slots)).drop(*names)
     return placed.join(F.broadcast(table), F.col("\x00slot") == table[names[0]], "left").drop("\x00slot")
 
 
@@ -80,14 +80,14 @@ def moved(df: DataFrame, keys: list[str], old: list[str], new: list[str], slots:
     return assign(before, keys, new, slots, "new_").filter("old_shard_name <> new_shard_name")
 
 
-def write_sharded(df: DataFrame, keys: list[str], shards: list[str], path: str, files_per_shard: int = 4, slots: int = SLOTS) -> None:
-    """Write one folder per shard. Rows are dealt by (shard, part of the key's hash), so a shard is several tasks and files."""
-    placed = assign(df, keys, shards, slots).withColumn("\x00part", F.pmod(F.hash(*[F.col(k) for k in df.columns]), F.lit(files_per_shard)))
-    placed.repartition(len(shards) * files_per_shard, "shard", "\x00part").drop("\x00part").write.partitionBy("shard").parquet(path)
+def write_sharded(df: DataFrame, keys: list[str], shards: list[str], path: str, files_per_shard: int | None = None, slots: int = SLOTS) -> None:
+    """Write one folder per shard. A shard is several tasks and files, ``files_per_shard`` or by default as many as keep
+    the number of tasks that the input has; the input's partitions take turns, so a repeated key is no task of its own."""
+    files = files_per_shard or -(-df.rdd.getNumPartitions() // len(shards))
+    placed = assign(df, keys, shards, slots).withColumn("\x00part", F.pmod(F.hash(F.spark_partition_id(), "slot"), F.lit(files)))
+    placed.repartition(len(shards) * files, "shard", "\x00part").drop("\x00part").write.partitionBy("shard").parquet(path)
 
 
 def default_shards(n: int = SHARDS) -> list[str]:
     width = len(str(n - 1))
     return [f"shard-{i:0{width}d}" for i in range(n)]
-
-

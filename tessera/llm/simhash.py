@@ -81,22 +81,25 @@ def _flips(bits: Iterable[int], most: int) -> list[int]:
     return [_mask(c) for n in range(most + 1) for c in combinations(bits, n)]
 
 
-def _constant(rows: list[tuple[int, ...]], names: list[str]) -> Column:
-    """A constant array of structs of longs from one literal, folded when the plan is made."""
-    text = F.lit(";".join(",".join(map(str, r)) for r in rows))
-    return F.transform(F.split(text, ";"), lambda r: F.struct(*[F.split(r, ",")[i].cast("long").alias(n) for i, n in enumerate(names)]))
+def _constant(rows: list[tuple[int, ...]]) -> Column:
+    """A constant array of structs of longs from literals, folded when the plan is made."""
+    columns = [F.split(F.lit(",".join(map(str, c))), ",").cast("array<bigint>") for c in zip(*rows, strict=True)]
+    return F.arrays_zip(*columns)
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """The rows (fp, at, part, own, flipped) that meet another fingerprint's: equal ``at`` and ``part``. A row with a flip
+def _met(rows: DataFrame, keep: list[int], parts: int) -> DataFrame:
+    """The rows (fp, at, part) that meet another fingerprint's, with ``flipped``: equal ``at`` and ``part``. A row with a flip
     counts only where the fingerprints' own bits differ, for else they meet without it.
 
-    Two group-by values with map-side combine, and a join of a written table that adaptive execution can split, so a
-    large family of near copies is no task of its own.
+    One shuffle of three numbers a row. A bucket's size does not follow the corpus: it holds distinct fingerprints of one
+    pattern in 42 bits or more, a family of near copies or a chance meeting of a few.
     """
-    seen = rows.groupBy("at", "part").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), (F.min("own") != F.max("own")).alias("differ"))
-    seen = cut(seen.filter("a <> z").select("at", "part", "differ"))
-    return rows.join(seen, ["at", "part"]).filter(~F.col("flipped") | F.col("differ")).select("fp", "at", "part", "flipped")
+    dealt = rows.repartition(parts, "at", "part")
+    own = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(k) for k in keep]), F.col("at") + 1))
+    dealt = dealt.withColumns({"own": own, "flipped": own != F.col("part")})
+    w = Window.partitionBy("at", "part")
+    met = dealt.withColumns({"other": F.min("fp").over(w) != F.max("fp").over(w), "differ": F.min("own").over(w) != F.max("own").over(w)})
+    return met.filter(F.col("other") & (~F.col("flipped") | F.col("differ"))).select("fp", "at", "part", "flipped")
 
 
 def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -110,30 +113,31 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         raise ValueError("the enumeration is laid out for a distance of 4")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = [[b for part in g for b in part] for g in GROUPS]
-    outer = [[b for b in range(64) if b not in g] for g in bits]
-    first = [(g, _mask(outer[g]), f) for g in range(3) for f in _flips(outer[g], 1)]
-    rows = fps.select("fp", F.inline(_constant(first, ["at", "keep", "flip"])))
-    own = F.col("fp").bitwiseAND(F.col("keep"))
-    met = cut(_met(rows.select("fp", "at", own.bitwiseXOR(F.col("flip")).alias("part"), own.alias("own"), (F.col("flip") != 0).alias("flipped"))))
-
-    def chosen(of: Callable[[int, int], list[tuple[int, ...]]], names: list[str], keys: list[int]) -> Column:
+    outer = [_mask(b for b in range(64) if b not in g) for g in bits]
+    first = [(g, f) for g in range(3) for f in _flips([b for b in range(64) if b not in bits[g]], 1)]
+    rows = fps.repartition(parts, "fp").select("fp", F.inline(_constant(first)).alias("at", "flip"))
+    keep = F.element_at(F.array(*[F.lit(k) for k in outer]), (F.col("at") + 1).cast("int"))
+    part = F.col("fp").bitwiseAND(keep).bitwiseXOR(F.col("flip"))
+    met = cut(_met(rows.select("fp", F.col("at").cast("int").alias("at"), part.alias("part")), outer, parts))
+
+    def chosen(of: Callable[[int, int], list[tuple[int, ...]]], keys: list[int]) -> Column:
         """The constant array that fits a row's ``at`` and ``flipped``."""
         out = F.lit(None)
         for k in keys:
             for flipped in (0, 1):
-                out = F.when((F.col("at") == k) & (F.col("flipped") == bool(flipped)), _constant(of(k, flipped), names)).otherwise(out)
+                out = F.when((F.col("at") == k) & (F.col("flipped") == bool(flipped)), _constant(of(k, flipped))).otherwise(out)
         return out
 
     # a third of the group left out comes in: at = 3 * group + part; what met is dealt out anew, as its rows multiply
     second = lambda g, flipped: [(3 * g + i, _mask(p), f) for i, p in enumerate(GROUPS[g]) for f in _flips(p, 1 - flipped)]
-    rows = met.repartition(parts, "fp", "at", "part").select("fp", "part", "flipped", F.col("at").alias("\x00group"), F.inline(chosen(second, ["at", "keep", "flip"], [0, 1, 2])))
-    keep = F.element_at(F.array(*[F.lit(_mask(o)) for o in outer]), (F.col("\x00group") + 1).cast("int")).bitwiseOR(F.col("keep"))
-    part = F.col("part").bitwiseOR(F.col("fp").bitwiseAND(F.col("keep"))).bitwiseXOR(F.col("flip"))
-    met = cut(_met(rows.select("fp", "at", part.alias("part"), F.col("fp").bitwiseAND(keep).alias("own"), (F.col("flipped") | (F.col("flip") != 0)).alias("flipped"))))
+    inner = [_signed((outer[g] | _mask(p)) % (1 << 64)) for g in range(3) for p in GROUPS[g]]
+    rows = met.repartition(parts, "fp", "at", "part").select("fp", F.col("part").alias("known"), F.inline(chosen(second, [0, 1, 2])).alias("to", "add", "flip"))
+    part = F.col("known").bitwiseOR(F.col("fp").bitwiseAND(F.col("add"))).bitwiseXOR(F.col("flip"))
+    met = cut(_met(rows.select("fp", F.col("to").cast("int").alias("at"), part.alias("part")), inner, parts))
 
     left = {3 * g + i: [b for b in bits[g] if b not in p] for g in range(3) for i, p in enumerate(GROUPS[g])}
     third = lambda at, flipped: [(_mask(left[at]), f) for f in _flips(left[at], 2 - flipped)]
-    full = met.repartition(parts, "fp", "at", "part").select("fp", "part", F.inline(chosen(third, ["rest", "flip"], list(left))))
+    full = met.repartition(parts, "fp", "at", "part").select("fp", "part", F.inline(chosen(third, list(left))).alias("rest", "flip"))
     found = full.select("fp", F.col("part").bitwiseOR(F.col("fp").bitwiseAND(F.col("rest"))).bitwiseXOR(F.col("flip")).alias("variant"))
     least = found.select("fp", F.min("fp").over(Window.partitionBy("variant")).alias("root")).filter("fp <> root")
     return least.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("root"))) <= max_distance).select(F.col("fp").alias("u"), F.col("root").alias("v")).distinct()

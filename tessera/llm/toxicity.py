@@ -30,6 +30,8 @@ WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5)
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 2_000, 4_000
 """Labelled rows of each class that training takes, in the order of their ids' hashes: its bound at any corpus size."""
+SAMPLE_CHARS = 64_000_000
+"""Characters of the sample's texts; rows beyond them, in the same order, are not in the sample but in the calibration."""
 EPOCHS = 6
 THRESHOLD = 0.3
 BINS = 1 << 12
@@ -293,28 +295,40 @@ def part(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(4)).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int = 2, positives: int = SAMPLE_POSITIVE, negatives: int = SAMPLE_NEGATIVE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, held_out: int = 2, positives: int = SAMPLE_POSITIVE, negatives: int = SAMPLE_NEGATIVE, chars: int = SAMPLE_CHARS) -> Model:
     """Fit on labelled documents outside the fold ``held_out``; every fifth of the sample is for calibration.
     Thresholds come from all labelled documents outside that fold that the fit left out.
 
     Only ids and labels are sorted for the sample; their texts come by a broadcast of at most
-    ``positives + negatives`` ids. For the thresholds the executors score the documents outside the fold, scores
-    without texts meet the labels, and the driver gets counts by language, label and bin. Labels other than 0 and 1, null ids and null texts' rows are handled: the first
-    two are left out, the last count as empty texts.
+    ``positives + negatives`` ids, one for each id (the greatest where rows share one), ``chars`` characters in all. For the
+    thresholds the executors score the documents outside the fold, scores without texts meet the labels, and the
+    driver gets counts by language, label and bin. Labels other than 0 and 1 and null ids are left out, null
+    texts count as empty ones, and without a column ``lang`` there is the common threshold alone.
     """
     open_rows = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(part() != held_out)
     sizes = {r.toxic: r["count"] for r in open_rows.groupBy("toxic").count().collect()}
     pick = lambda label, n: open_rows.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = pick(1, positives).union(pick(0, negatives)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").collect()
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    sizes_of = met.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.char_length("text")).alias("n")).collect()
+    sizes_of.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    room, chosen = chars, []
+    for r in sizes_of:
+        if r.n <= room:
+            room -= r.n
+            chosen.append(r.doc_id)
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])
+    fits = docs.sparkSession.createDataFrame([(i,) for i in chosen], kind)
+    rows = met.join(F.broadcast(fits), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()[::-1]), r.doc_id, r.text))
     fitted, kept = [r for i, r in enumerate(rows) if i % 5], rows[::5]
     model = fit([r.text for r in fitted], np.array([r.toxic for r in fitted]))
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     model = calibrate(model, [r.text for r in kept], np.array([r.toxic for r in kept]), share)
-    used = docs.sparkSession.createDataFrame([(i,) for i in {r.doc_id for r in fitted}], T.StructType([T.StructField("doc_id", labels.schema["doc_id"].dataType)]))
+    used = docs.sparkSession.createDataFrame([(r.doc_id,) for r in fitted], kind)
     left = open_rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(F.broadcast(used), "doc_id", "left_anti")
-    scored = score(docs.select("doc_id", "text", "lang").filter(part() != held_out), model).drop("text")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    scored = score(docs.select("doc_id", "text", lang.alias("lang")).filter(part() != held_out), model).drop("text")
     binned = scored.withColumn("bin", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1))).join(left, "doc_id")
     counts: dict[str | None, np.ndarray] = {}
     for r in binned.groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")).collect():
@@ -345,11 +359,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 def threshold(model: Model, lang: str = "lang") -> Column:
     """The calibrated threshold of each row's language; the common one where the language has none."""
     out = F.lit(model.default)
-    for k, v in model.thresholds.items():
+    for k, v in sorted(model.thresholds.items()):
         out = F.when(F.col(lang) == k, F.lit(v)).otherwise(out)
     return out
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without those whose score reaches their language's threshold; columns as they were."""
-    return score(docs, model, name="\x00score").filter(F.col("\x00score") < threshold(model)).select(*docs.columns)
+    limit = threshold(model) if "lang" in docs.columns else F.lit(model.default)
+    return score(docs, model, name="\x00score").filter(F.col("\x00score") < limit).select(*docs.columns)

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tessera.llm import decontamination as dec
 
 
@@ -28,7 +30,10 @@ def edited(rnd, s, n):
     return "".join(s)
 
 
-def test_same_as_brute_force(spark):
+@pytest.mark.parametrize("index_bytes", [4_000_000, 0])
+def test_same_as_brute_force(spark, monkeypatch, index_bytes):
+    """Both ways, with the index in every task and with a join of q-grams, against whole edit tables."""
+    monkeypatch.setattr(dec, "INDEX_BYTES", index_bytes)
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choices(["the", "on", "er", "an", "re", "é"], k=rnd.randrange(1, 4)))
     prose = lambda n: " ".join(word() for _ in range(n))
@@ -57,10 +62,11 @@ def test_same_as_brute_force(spark):
     assert clean == {d for d, x in got.items() if not x} | {501}
 
 
-def test_several_index_parts_and_empty_tables(spark, monkeypatch):
+def test_large_benchmark_and_empty_tables(spark, monkeypatch):
     items = [(i, f"passage number {i} has words like these and some others {i * i}") for i in range(6)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame([(1, "so " + items[2][1] + " and " + items[5][1])], "doc_id long, text string")
-    monkeypatch.setattr(dec, "INDEX_BYTES", 120)
-    assert {x.item_id for x in dec.mark(df, bench).head().leaks if x.edits == 0} == {2, 5}
-    assert dec.mark(df, bench.limit(0)).head().leaks == [] and dec.mark(df.limit(0), bench).count() == 0
+    for size in (4_000_000, 120):
+        monkeypatch.setattr(dec, "INDEX_BYTES", size)
+        assert {x.item_id for x in dec.mark(df, bench).head().leaks if x.edits == 0} == {2, 5}
+        assert dec.mark(df, bench.limit(0)).head().leaks == [] and dec.mark(df.limit(0), bench).count() == 0

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -54,7 +55,8 @@ def test_sample_prefers_the_target(spark):
     assert len(kept) == 240
     good = [i for i, _, q in data if q]
     assert len(kept & set(good)) > 0.85 * 240
-    assert {r.doc_id for r in res.keep_sampled(docs, labels, 0.6).collect()} == kept
+    again = res.keep_sampled(docs.withColumn("key", F.lit("k")), labels, 0.6)
+    assert {r.doc_id for r in again.collect()} == kept and again.columns == ["doc_id", "text", "key"]
 
 
 def test_top_k_exact_with_ties(spark):
@@ -76,3 +78,31 @@ def test_repeats_nulls_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert res.weigh(docs, labels).count() == 3 and res.resample(docs, labels, 1.0).count() == 3
     assert res.resample(docs.limit(0), labels).count() == 0
+    assert res.keep_sampled(docs, labels, 0.7).count() == 2  # of two equal rows one may stay
+
+
+def test_rows_are_included_in_proportion_to_their_weights(spark):
+    """Over many seeds the sample has each weight as often as drawing one row after another without replacement."""
+    weights, k, runs = np.repeat([0.0, 1.0, 2.0, -3.0], 50), 60, 40
+    scored = cut(spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "key long, log_weight double"))
+    got = np.zeros(4)
+    for seed in range(runs):
+        drawn = scored.withColumn("sample_key", F.col("log_weight") + res.gumbel(F.col("key"), seed))
+        got += np.bincount([r.key // 50 for r in drawn.orderBy(F.desc("sample_key")).limit(k).collect()], minlength=4)
+    rng, want = np.random.default_rng(1), np.zeros(4)
+    for _ in range(runs):
+        p = np.exp(weights)
+        want += np.bincount(rng.choice(200, k, False, p / p.sum()) // 50, minlength=4)
+    assert np.abs(got - want).max() / runs < 2.5
+
+
+def test_noise_has_an_effect_and_junk_stays_out(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = res.weigh(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
+    k = int(scored.count() * res.SHARE)
+    kept = {r.doc_id for r in res.top_k(scored, k).collect()}
+    plain = {r.doc_id for r in scored.orderBy(F.desc("log_weight")).limit(k).collect()}
+    assert len(kept & plain) < 0.95 * k
+    good, bad = ({r.doc_id for r in labels.filter(f"quality = {q}").collect()} for q in (1, 0))
+    assert len(kept & good) > 0.88 * len(good) and len(kept & bad) < 0.1 * len(bad)

@@ -1,9 +1,10 @@
+import hashlib
 import random
 import re
 
 import numpy as np
 
-from tessera.llm import secrets
+from tessera.llm import queries, secrets
 
 
 def slow_base(text):
@@ -73,3 +74,30 @@ def test_train_counts_every_document(spark):
                 counts[secrets.ALPHABET.find(a) + 1, secrets.ALPHABET.find(b) + 1] += 1
     want = secrets._fit_counts(secrets._transitions(secrets.random_strings()), counts)
     assert np.allclose(m.ratio, want.ratio)
+
+
+def test_query_same_as_brute_force(spark, sf_dir):
+    """Counts, digest and spans of the query on whole texts, the added spans by a score of one transition at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    m = secrets.train(docs)
+
+    def added(text, base):
+        for x in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            if not any(a < x.end() and x.start() < b for _, a, b in base):
+                score = sum(m.ratio[secrets.ALPHABET.find(a) + 1, secrets.ALPHABET.find(b) + 1] for a, b in zip("\0" + x.group(), x.group(), strict=False))
+                if score > m.threshold:
+                    yield "markov", *x.span()
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rnd = random.Random(1)
+    extra = {10**9 + i: f"x {''.join(rnd.choices(secrets.ALPHABET[:62], k=44))} y token: abc{i}def" for i in range(9)} | {10**9 + 50: None, 10**9 + 51: ""}
+    rows = [*texts.items(), *extra.items()]
+    full = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), m)
+    order = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], secrets.KINDS.index(s[0]))))
+    want = {i: (b := slow_base(t or ""), b + list(added(t or "", b))) for i, t in rows}
+    assert {r.doc_id: r.x for r in full.select("doc_id", secrets.span_text(full.spans).alias("x")).collect()} == {i: order(w[1]) for i, w in want.items()}
+    assert all("markov" in order(want[i][1]) for i in extra if i < 10**9 + 50)
+    for r in queries.op9_secrets(spark, sf_dir).collect():
+        base, whole = want[r.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, _, _ in base) for x in secrets.KINDS[:3])
+        assert r.base_sha256 == hashlib.sha256(order(base).encode()).hexdigest() and r.spans == order(whole)

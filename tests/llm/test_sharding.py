@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.llm import sharding
+from tessera.llm import queries, sharding
 
 
 def slow_fill(names, slots):
@@ -60,3 +60,27 @@ def test_balance_and_files(spark, tmp_path):
     sharding.write_sharded(df, ["id"], names, str(tmp_path / "out"), 2, 101)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 300 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2}
+
+
+def test_keys_and_columns_named_like_the_new_ones(spark, tmp_path):
+    """A key that is called slot is hashed and then replaced; map columns need no hash."""
+    names = sharding.default_shards(3)
+    df = spark.createDataFrame([(i % 7, {"a": i}) for i in range(50)], "slot long, m map<string,long>").repartition(4)
+    got = sharding.assign(df, ["slot"], names, 101)
+    assert got.columns == ["m", "slot", "shard", "shard_name"] and got.count() == 50
+    want = {r.s: r.h for r in df.selectExpr("slot s", "pmod(xxhash64(slot), 101) h").collect()}
+    assert {r["slot"] for r in got.collect()} == set(want.values())
+    sharding.write_sharded(df, ["slot"], names, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_query_same_as_brute_force(spark, sf_dir):
+    """Every document's shard by the table that each turn searches anew."""
+    names = sharding.default_shards()
+    table = sharding.fill(names)
+    rows = queries.op1_sharding(spark, sf_dir).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(sharding.SLOTS))).collect()
+    docs = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in rows} == docs and len(rows) == len(docs)
+    assert all((r["slot"], r.shard, r.shard_name) == (r.h, table[r.h], names[table[r.h]]) for r in rows)
+    turns = Counter(table)
+    assert max(turns.values()) - min(turns.values()) == 1

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from tessera.llm import toxicity
+from tessera.llm import queries, toxicity
 
 
 def corpus(n=700, seed=1):
@@ -55,6 +55,46 @@ def test_no_labels_one_class_and_empty_tables(spark):
     assert [r.score < 0.3 for r in toxicity.score(docs, toxicity.train(docs, none)).collect()] == [True, True]
     assert [r.score > 0.3 for r in toxicity.score(docs, toxicity.train(docs, ones)).collect()] == [True, True]
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), ones)).count() == 0
+    bare = docs.drop("lang")
+    assert toxicity.keep_clean(bare, toxicity.train(bare, none)).count() == 2
+
+
+def test_the_sample_is_bounded_in_characters(spark):
+    rows = corpus(300)
+    docs = spark.createDataFrame([r[:3] for r in rows] + [(3, "w " * 100_000, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    small, whole = toxicity.train(docs, labels, chars=20_000), toxicity.train(docs, labels)
+    assert (np.abs(small.embedding - whole.embedding) > 0).any() and set(small.thresholds) == {"en", "de"}
+
+
+def test_query_columns(spark, sf_dir):
+    rows = queries.op7_toxicity(spark, sf_dir).collect()
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert len(rows) == len(ids) and {r.doc_id for r in rows} == ids
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+
+
+def test_convolutions_add_to_the_words(spark):
+    """Two words are toxic only side by side: the log-odds that the first dimension starts with cannot tell, the filters can."""
+    rnd = random.Random(4)
+    texts, y = [], []
+    for i in range(2400):
+        words = rnd.choices(["the", "heat", "of", "stone", "is", "low"], k=30)
+        at = rnd.randrange(25)
+        if i % 2:
+            words[at : at + 2] = ["black", "heart"]
+        else:
+            words[at], words[at + 4] = "black", "heart"
+        texts.append(" ".join(words))
+        y.append(i % 2)
+    model = toxicity.fit(texts[:2000], np.array(y[:2000]), epochs=20)
+    z = toxicity._all_logits(model, texts[2000:])
+    order = np.argsort(z)
+    ranks = np.empty(len(z))
+    ranks[order] = np.arange(len(z))
+    pos = np.array(y[2000:]) == 1
+    auc = (ranks[pos].sum() - pos.sum() * (pos.sum() - 1) / 2) / (pos.sum() * (~pos).sum())
+    assert auc > 0.9
 
 
 def test_labels_of_the_held_out_fold_change_nothing(spark):
