@@ -23,10 +23,10 @@ from tessera.llm.shared import cut, join_sparse, keyed, small_batches
 
 BUCKETS = 1 << 16
 """Hash buckets of words and word pairs; the models, and what reaches the driver of them, have this size."""
-REFERENCE = 32
+REFERENCE = 24
 """N-grams of a document's weight: the mean log ratio times this, as if all texts had so many n-grams, so that length
 alone moves no document. It is the sampling's temperature: whole texts' sums differ by hundreds, and noise of standard
-deviation 1.28 would change nothing; over 32 n-grams texts like the target differ by less than the noise and are sampled,
+deviation 1.28 would change nothing; over 24 n-grams texts like the target differ by less than the noise and are sampled,
 and junk still lies far below them."""
 SHARE = 0.75
 BINS = 1024

@@ -321,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 2, positives: int
     fits = docs.sparkSession.createDataFrame([(i,) for i in chosen], kind)
     rows = met.join(F.broadcast(fits), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()[::-1]), r.doc_id, r.text))
-    fitted, kept = [r for i, r in enumerate(rows) if i % 5], rows[::5]
+    fitted, kept = [r for i, r in enumerate(rows) if i % 5 < 4], rows[4::5]
     model = fit([r.text for r in fitted], np.array([r.toxic for r in fitted]))
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     model = calibrate(model, [r.text for r in kept], np.array([r.toxic for r in kept]), share)

