@@ -113,9 +113,12 @@ def metric_differences(saved: DataFrame, computed: DataFrame, keys: list[str], m
     return saved.select(*keys, F.col(metric).alias("saved")).join(c, keys, "full_outer").filter(~F.coalesce(F.abs(F.col("saved") - F.col("computed")) <= tolerance, F.lit(False)))
 
 
-def estimate_violations(table: DataFrame) -> list[str]:
-    """What an estimate table lacks: interval columns and an inference unit; windows may not be the unit."""
-    lack = [c for c in ("estimate", "ci_low", "ci_high", "inference_unit") if c not in table.columns]
-    if "inference_unit" in table.columns and table.filter("inference_unit = 'window'").head(1):
-        lack.append("window_as_unit")
-    return lack
+def estimate_problems(table: DataFrame) -> DataFrame:
+    """The rows of an estimate table that break its contract, with ``violations``: a value, interval bound or inference unit
+    that is missing, windows as the unit, and an interval that does not hold its estimate. A column that the table
+    lacks is missing in every row."""
+    names = ("estimate", "ci_low", "ci_high", "inference_unit")
+    full = table.withColumns({c: F.lit(None).cast("string" if c == "inference_unit" else "double") for c in names if c not in table.columns})
+    off = (F.col("ci_low") > F.col("estimate")) | (F.col("ci_high") < F.col("estimate"))
+    found = [*[F.when(F.col(c).isNull(), c) for c in names], F.when(F.col("inference_unit") == "window", "window_as_unit"), F.when(off, "interval_off_estimate")]
+    return full.withColumn("violations", F.array_compact(F.array(*found))).filter(F.size("violations") > 0)

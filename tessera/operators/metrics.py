@@ -35,10 +35,24 @@ def confusion(truth: Column, flag: Column) -> list[Column]:
 
 
 def by_score(df: DataFrame, score: str, truth: Column) -> DataFrame:
-    """(score, n, pos, n_above, pos_above): counts of each score and of all at or above it. Scores are grouped first."""
+    """(score, n, pos, n_above, pos_above): counts of each score and of all at or above it.
+
+    Scores are grouped first and dealt into ranges by their approximate quantiles, as many as shuffle partitions; each
+    range runs its own sums and takes over the totals of the ranges above it, a row for each range. So no task sorts all
+    scores, however many of them differ.
+    """
     g = df.groupBy(score).agg(F.count("*").alias("n"), F.count_if(truth).alias("pos"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumns({"n_above": F.sum("n").over(w), "pos_above": F.sum("pos").over(w)})
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
+    bounds = sorted(set(g.agg(F.percentile_approx(F.col(score).cast("double"), shares)).head()[0] or []))
+    cuts = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
+    g = g.withColumn("_part", F.size(F.filter(cuts, lambda b: b <= F.col(score).cast("double"))))
+    w = Window.partitionBy("_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    top = g.groupBy("_part").agg(F.sum("n").alias("_tn"), F.sum("pos").alias("_tp"))
+    before = Window.partitionBy(F.lit(1)).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    top = top.select("_part", F.coalesce(F.sum("_tn").over(before), F.lit(0)).alias("_an"), F.coalesce(F.sum("_tp").over(before), F.lit(0)).alias("_ap"))
+    out = g.join(F.broadcast(top), "_part")
+    return out.select(score, "n", "pos", (F.sum("n").over(w) + F.col("_an")).alias("n_above"), (F.sum("pos").over(w) + F.col("_ap")).alias("pos_above"))
 
 
 def average_precision(df: DataFrame, score: str, truth: Column) -> DataFrame:
@@ -94,25 +108,51 @@ def threshold_sweep(df: DataFrame, score: str, truth: Column, thresholds: list[f
 
 def recall_threshold(df: DataFrame, score: str, truth: Column, least: float) -> DataFrame:
     """The score with the best precision among those that reach the recall (all reach it at the lowest score)."""
-    total = F.sum("pos").over(Window.partitionBy(F.lit(1)))
-    g = by_score(df, score, truth).withColumns({"recall": F.col("pos_above") / total, "precision": F.col("pos_above") / F.col("n_above")})
+    total = F.broadcast(df.agg(F.count_if(truth).alias("_total")))
+    g = by_score(df, score, truth).join(total).withColumns({"recall": F.col("pos_above") / F.col("_total"), "precision": F.col("pos_above") / F.col("n_above")})
     return g.filter(F.col("recall") >= least).agg(F.max_by(F.struct(score, "recall", "precision"), F.struct("precision", score)).alias("b")).select("b.*")
 
 
 def interval_coverage(df: DataFrame, fold: str, truth: str, pred: str, level: float) -> DataFrame:
-    """Intervals of the residual's quantiles over the other folds: coverage and width per fold."""
-    r = df.withColumn("_r", F.col(truth) - F.col(pred))
-    folds = r.select(F.col(fold).alias("_f")).distinct()
-    lo, hi = (1 - level) / 2, (1 + level) / 2
-    q = folds.join(r, F.col("_f") != F.col(fold)).groupBy("_f").agg(F.percentile("_r", lo).alias("lo"), F.percentile("_r", hi).alias("hi"))
-    j = r.join(F.broadcast(q), F.col(fold) == F.col("_f"))
-    return j.groupBy(fold).agg(F.avg(F.col("_r").between(F.col("lo"), F.col("hi")).cast("int")).alias("coverage"), F.avg(F.col("hi") - F.col("lo")).alias("width"))
-
+    """Intervals of the residual's quantiles over the other folds: coverage and width per fold.
 
-def macro_of(df: DataFrame, group: list[str], member: str, t: str, p: str) -> DataFrame:
-    """Pooled MAE and the mean of the members' MAE, per group."""
-    a = df.groupBy(*group, member).agg(F.sum(F.abs(F.col(p) - F.col(t))).alias("s"), F.count("*").alias("n"))
-    return a.groupBy(*group).agg((F.sum("s") / F.sum("n")).alias("pooled_mae"), F.avg(F.col("s") / F.col("n")).alias("macro_mae"), F.count("*").alias("members"))
+    Residuals are counted by value and fold first. For each fold the running counts of the others are running counts of
+    all less its own, so a value goes to as many rows as there are folds, and the quantile is read off them.
+    """
+    r = df.select(F.col(fold).alias("_f"), (F.col(truth) - F.col(pred)).alias("_r"))
+    counts = r.groupBy("_f", "_r").agg(F.count("*").alias("_n"))
+    folds = r.select(F.col("_f").alias("_o")).distinct()
+    others = counts.join(F.broadcast(folds)).filter("_o <> _f").groupBy("_o", "_r").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy("_o").orderBy("_r")
+    run = others.withColumns({"_to": F.sum("_n").over(w), "_all": F.sum("_n").over(Window.partitionBy("_o")), "_next": F.lead("_r").over(w)})
+
+    def quantile(p: float) -> Column:
+        """Linear between the two order statistics around p (n - 1)."""
+        at = F.lit(p) * (F.col("_all") - 1)
+        low, part = F.floor(at), at - F.floor(at)
+        here = (F.col("_to") > low) & (F.col("_to") - F.col("_n") <= low)
+        above = F.when(F.col("_to") > low + 1, F.col("_r")).otherwise(F.coalesce("_next", "_r"))
+        return F.max(F.when(here, F.col("_r") + part * (above - F.col("_r"))))
+
+    q = run.groupBy("_o").agg(quantile((1 - level) / 2).alias("lo"), quantile((1 + level) / 2).alias("hi"))
+    j = counts.join(F.broadcast(q), F.col("_f") == F.col("_o"))
+    inside = F.when(F.col("_r").between(F.col("lo") - 1e-12, F.col("hi") + 1e-12), F.col("_n")).otherwise(0)
+    return j.groupBy(F.col("_f").alias(fold)).agg((F.sum(inside) / F.sum("_n")).alias("coverage"), F.max(F.col("hi") - F.col("lo")).alias("width"))
+
+
+def seed_metrics(df: DataFrame, seed: str, member: str, t: str, p: str) -> DataFrame:
+    """Per seed the pooled metrics and the members' mean MAE and RMSE, and over the seeds (seed NULL) mean and population std.
+
+    ``kind``: seed, mean or std. One aggregation by (seed, member) and one by seed; the rest works on a row a seed.
+    """
+    e = F.col(p) - F.col(t)
+    own = df.groupBy(seed, member).agg(F.avg(F.abs(e)).alias("m"), F.sqrt(F.avg(e * e)).alias("r"))
+    macro = own.groupBy(seed).agg(F.avg("m").alias("macro_mae"), F.avg("r").alias("macro_rmse"), F.count("*").alias("members"))
+    per = df.groupBy(seed).agg(*regression(F.col(t), F.col(p))).join(macro, seed)
+    names = ["mae", "rmse", "r2", "ccc", "pearson", "macro_mae", "macro_rmse"]
+    over = lambda kind, f: per.agg(F.lit(None).cast(per.schema[seed].dataType).alias(seed), F.lit(kind).alias("kind"), F.sum("n").alias("n"), *[f(c).alias(c) for c in names], F.max("members").alias("members"))
+    each = per.select(seed, F.lit("seed").alias("kind"), "n", *names, "members")
+    return each.unionByName(over("mean", F.avg)).unionByName(over("std", F.stddev_pop))
 
 
 def ablation_delta(df: DataFrame, keys: list[str], variant: str, reference: str, metric: str) -> DataFrame:
@@ -125,6 +165,40 @@ def win_tie_loss(delta: Column, tolerance: float = 0.0) -> list[Column]:
     return [F.count_if(delta > tolerance).alias("wins"), F.count_if(F.abs(delta) <= tolerance).alias("ties"), F.count_if(delta < -tolerance).alias("losses")]
 
 
+def controller_trace(trace: DataFrame, keys: list[str], order: str, longest: int = 6) -> DataFrame:
+    """Audit of a controller's trace, one row per group.
+
+    ``trace``: keys, order, before and after (grid numbers), action, reason, state, dwell, signal_valid, gap_reset,
+    c9_locked. Changes are rows whose action is not hold. Runs of one ``before`` are cut at gaps. ``reasons`` counts the
+    changes' reasons; ``varied`` is the gate for recommendations that really vary.
+    """
+    from tessera.functions.scalars import grid_action
+    from tessera.operators.sequence import dwell_runs
+
+    changed = F.col("action") != "hold"
+    move = F.when(changed, grid_action(F.col("before"), F.col("after")))
+    t = trace.withColumn("_move", move)
+    kind = lambda *names: F.count_if(F.col("_move").isin(*names))
+    n, illegal = F.count_if(changed), kind("illegal", "hold")
+    bounce = (n >= 3) & (F.count_distinct("after") <= 2)
+    g = t.groupBy(*keys).agg(
+        n.alias("changes"),
+        F.count_distinct("after").alias("conditions"),
+        kind("intensity_up", "intensity_down").alias("intensity_changes"),
+        kind("frequency_up", "frequency_down").alias("frequency_changes"),
+        illegal.alias("illegal"),
+        F.coalesce(1 - illegal / F.nullif(n, F.lit(0)), F.lit(1.0)).alias("legal_share"),
+        F.count_if((F.col("state") == "active") & ~changed & (F.col("dwell") > longest)).alias("overstays"),
+        F.count_if(changed & (F.col("after") == 9) & F.col("c9_locked")).alias("locked_selections"),
+        F.count_if(~F.col("signal_valid") & changed & (F.col("reason") != "three_invalid_windows_safe_return")).alias("wrong_on_invalid"),
+        bounce.alias("bounce"),
+        ((n >= 3) & (F.count_distinct("after") >= 3) & (illegal == 0) & ~bounce).alias("varied"),
+    )
+    runs = dwell_runs(trace, keys, order, "before", F.col("gap_reset")).groupBy(*keys).agg(F.avg("length").alias("mean_dwell"), F.max("length").alias("longest_dwell"), F.count_if(F.col("length") > longest).alias("long_runs"))
+    why = t.filter(changed).groupBy(*keys, "reason").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reasons"))
+    return g.join(runs, keys).join(why, keys, "left")
+
+
 def deployment_gate(df: DataFrame) -> DataFrame:
     """Reasons against a model: not better than either baseline in MAE, no positive rank correlation, recall under a half."""
     reasons = F.array_compact(

@@ -1,14 +1,17 @@
 """Anchors, calibration, linear models by Gram matrices, Spark ML models per fold, embeddings.
 
 Linear models over held-out groups come from one aggregation: the Gram matrices of each group, summed; a group's model
-is the solution of the total less its own. Only p x p matrices per group reach the driver; p is the number of features.
+is the solution of the total less its own. The total is one broadcast row and the groups are solved where they are, so
+nothing of theirs passes the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,29 +70,78 @@ def uncorrelated_columns(df: DataFrame, columns: list[str], most: float = 0.95)
     return kept
 
 
-def gram(df: DataFrame, group: str, features: list[Column], target: Column, weight: Column | None = None) -> dict:
-    """{group: (X'X, X'y, n)} with an intercept first, from one aggregation of sums."""
-    x = [F.lit(1.0), *features, target]
-    w = weight if weight is not None else F.lit(1.0)
-    ij = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    rows = df.groupBy(group).agg(*[F.sum(w * x[i] * x[j]).alias(f"{i}_{j}") for i, j in ij]).collect()
-    out, p = {}, len(x)
-    for r in rows:
-        m = np.zeros((p, p))
-        for i, j in ij:
-            m[i, j] = m[j, i] = r[f"{i}_{j}"] or 0.0
-        out[r[group]] = (m[:-1, :-1], m[:-1, -1], m[0, 0])
-    return out
+def gram(df: DataFrame, group: str, columns: list[Column]) -> DataFrame:
+    """(group, own, total): the products' sums of every two columns, for each group and for all, as arrays by rows of the
+    upper triangle. One aggregation by group, one more over the groups' sums, and a broadcast of one row."""
+    ij = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    own = df.groupBy(group).agg(F.array(*[F.coalesce(F.sum(columns[i] * columns[j]), F.lit(0.0)) for i, j in ij]).alias("own"))
+    total = own.agg(F.array(*[F.sum(F.get("own", F.lit(k))) for k in range(len(ij))]).alias("total"))
+    return own.join(F.broadcast(total))
+
+
+def _solve(grams: DataFrame, group: str, size: int, model: Callable[[np.ndarray], np.ndarray], name: str = "coefficients") -> DataFrame:
+    """(group, name): ``model`` of the total less each group's own Gram matrix, solved on the executors."""
+    schema = grams.select(group, F.lit(None).cast("array<double>").alias(name)).schema
+    upper = np.triu_indices(size)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for own, total in zip(f["own"], f["total"], strict=True):
+                m = np.zeros((size, size))
+                m[upper] = np.asarray(total) - np.asarray(own)
+                out.append(model(m + np.triu(m, 1).T).tolist())
+            yield pd.DataFrame({group: f[group], name: out})
+
+    return grams.mapInPandas(run, schema)
 
 
 def lopo_linear(df: DataFrame, group: str, features: list[Column], target: Column, ridge: float = 0.0) -> DataFrame:
     """(group, coefficients): for each group the least squares fit of all others, intercept first and not shrunk."""
-    g = gram(df, group, features, target)
-    a, b = sum(x[0] for x in g.values()), sum(x[1] for x in g.values())
-    penalty = ridge * np.eye(len(features) + 1)
-    penalty[0, 0] = 0
-    rows = [(k, np.linalg.lstsq(a - x[0] + penalty, b - x[1], rcond=None)[0].tolist()) for k, x in g.items()]
-    return df.sparkSession.createDataFrame(rows, [group, "coefficients"])
+    p = len(features) + 1
+
+    def model(m: np.ndarray) -> np.ndarray:
+        penalty = ridge * np.eye(p)
+        penalty[0, 0] = 0
+        return np.linalg.lstsq(m[:p, :p] + penalty, m[:p, p], rcond=None)[0]
+
+    return _solve(gram(df, group, [F.lit(1.0), *features, target]), group, p + 1, model)
+
+
+def lopo_residual_ridge(df: DataFrame, group: str, condition: str, levels: list, features: list[Column], target: Column, ridge: float) -> DataFrame:
+    """(group, coefficients): a condition's mean over the other groups, and a ridge fit of what is left of the target on
+    features that are standardised by the other groups.
+
+    ``levels`` are the conditions, a fixed few. The coefficients: one mean for each level, then for each feature its mean,
+    standard deviation and weight; ``predict_residual`` puts them together.
+    """
+    k, p = len(levels), len(features)
+    dummies = [(F.col(condition) == v).cast("double") for v in levels]
+
+    def model(m: np.ndarray) -> np.ndarray:
+        n, x, z, t = m[0, 0], slice(1, 1 + p), slice(1 + p, 1 + p + k), 1 + p + k
+        counts = np.maximum(np.diag(m)[z], 1e-12)
+        means = m[z, t] / counts
+        left = m[x, t] - m[x, z] @ means  # products of the features with what the conditions' means leave
+        mu = m[0, x] / max(n, 1e-12)
+        sd = np.sqrt(np.maximum(np.diag(m)[x] / max(n, 1e-12) - mu**2, 0))
+        sd[sd < 1e-12] = 1.0
+        rest = m[0, t] - m[0, z] @ means
+        a = (m[x, x] - n * np.outer(mu, mu)) / np.outer(sd, sd)
+        w = np.linalg.solve(a + ridge * np.eye(p), (left - mu * rest) / sd) if p else np.zeros(0)
+        return np.concatenate((means, np.stack((mu, sd, w), axis=1).ravel()))
+
+    columns = [F.lit(1.0), *features, *dummies, target]
+    return _solve(gram(df, group, columns), group, len(columns), model)
+
+
+def predict_residual(df: DataFrame, models: DataFrame, group: str, condition: str, levels: list, features: list[Column]) -> DataFrame:
+    """``df`` with ``prediction``: the condition's mean plus the weighted standardised features, within 0 and 1."""
+    at = lambda i: F.get("coefficients", F.lit(i))
+    base = F.coalesce(*[F.when(F.col(condition) == v, at(i)) for i, v in enumerate(levels)])
+    k = len(levels)
+    p = sum(((f - at(k + 3 * i)) / at(k + 3 * i + 1) * at(k + 3 * i + 2) for i, f in enumerate(features)), base)
+    return df.join(models, group).withColumn("prediction", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).drop("coefficients")
 
 
 def predict_linear(df: DataFrame, models: DataFrame, group: str, features: list[Column], clip: bool = False) -> DataFrame:
@@ -116,10 +168,18 @@ def within_ols(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return d.agg((F.sum(F.col("_x") * F.col("_y")) / F.sum(F.col("_x") ** 2)).alias("slope"), (F.corr("_x", "_y") ** 2).alias("r2"), F.count("*").alias("n"))
 
 
-def per_fold(df: DataFrame, fold: str, fit: Callable[[DataFrame], object]) -> DataFrame:
-    """Predictions of every fold by a Spark ML model fitted on the others; ``fit`` takes the training rows."""
+FOLDS = 64
+"""Folds that get a Spark ML model each; the folds of more groups are hashes of them."""
+
+
+def per_fold(df: DataFrame, fold: str, fit: Callable[[DataFrame], object], most: int = FOLDS) -> DataFrame:
+    """Predictions of every fold by a Spark ML model fitted on the others; ``fit`` takes the training rows. Folds are few:
+    each is a distributed fit, and more than ``most`` raise."""
+    found = sorted(x[fold] for x in df.select(fold).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"over {most} folds: deal the groups into fewer, by hash")
     out = None
-    for r in sorted(x[fold] for x in df.select(fold).distinct().collect()):
+    for r in found:
         p = fit(df.filter(F.col(fold) != r)).transform(df.filter(F.col(fold) == r))
         out = p if out is None else out.unionByName(p)
     return out
@@ -279,19 +339,40 @@ def linear_cka(df: DataFrame, vector: str, split: int, size: int) -> float:
     return float((xy**2).sum() / np.sqrt((x**2).sum() * (y**2).sum()))
 
 
-def knn_probe(df: DataFrame, key: str, subject: str, label: str, vector: str, k: int, blocks: int = 16) -> DataFrame:
-    """(key, label, predicted): vote of the k nearest by cosine among other subjects' vectors.
+def knn_probe(df: DataFrame, key: str, subject: str, label: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """(key, label, predicted): vote of the k nearest by cosine among other subjects' vectors; ties by key, then by the
+    votes' count and sum of cosines.
 
-    The vectors meet block by block: each query goes to every block of the others, whose k best are kept before the
-    blocks come together, so no group holds all pairs.
+    Exact, so every block of about ``block`` vectors meets every other: a pair of blocks is one matrix product, of which
+    each query keeps its k best before anything is shuffled. More vectors make more blocks, not larger ones.
     """
     norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    v = df.select(key, subject, label, F.transform(vector, lambda x: x.cast("double") / norm).alias("_v"))
-    q = v.select(F.col(key).alias("_q"), F.col(subject).alias("_qs"), F.col(label).alias("_ql"), F.col("_v").alias("_qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    o = v.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    cos = F.aggregate(F.zip_with("_qv", "_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    p = q.join(o, "_b").filter(F.col("_qs") != F.col(subject)).select("_q", "_ql", "_b", label, key, F.round(cos, 9).alias("_c"))
-    top = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_c"), key))).filter(F.col("_r") <= k)
-    best = top(top(p, "_q", "_b"), "_q")
-    n = best.groupBy("_q", "_ql", label).agg(F.count("*").alias("_n"), F.sum("_c").alias("_s"))
-    return n.groupBy("_q", "_ql").agg(F.max_by(label, F.struct("_n", "_s")).alias("predicted")).select(F.col("_q").alias(key), F.col("_ql").alias("label"), "predicted")
+    n = -(-df.count() // block)
+    v = df.select(F.col(key).alias("k"), F.col(subject).alias("s"), F.col(label).alias("l"), F.transform(vector, lambda x: x.cast("double") / norm).alias("v"))
+    packed = v.groupBy(F.pmod(F.xxhash64("k"), F.lit(max(1, n))).cast("int").alias("b")).agg(F.collect_list(F.struct("k", "s", "l", "v")).alias("rows"))
+    queries = packed.select(F.col("rows").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1))).alias("b"))
+    schema = v.select(F.col("k").alias("q"), F.col("l").alias("ql"), "k", "l", F.lit(0.0).alias("c")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q, d in zip(b.column(0), b.column(1), strict=True):
+                q, d = q.values, d.values
+                x, y = (np.stack(z.field("v").to_numpy(zero_copy_only=False)) for z in (q, d))
+                qs, ds = (z.field("s").to_numpy(zero_copy_only=False) for z in (q, d))
+                keys = d.field("k").to_numpy(zero_copy_only=False)
+                by_key = np.argsort(keys, kind="stable")
+                for i in range(0, len(x), 1024):
+                    c = np.round(x[i : i + 1024] @ y.T, 9)
+                    c[qs[i : i + 1024, None] == ds[None, :]] = -np.inf
+                    c = c[:, by_key]
+                    few = min(k, c.shape[1])
+                    best = np.argsort(-c, axis=1, kind="stable")[:, :few]  # equals by key
+                    value = np.take_along_axis(c, best, axis=1)
+                    row, col = np.nonzero(value > -np.inf)
+                    at = by_key[best[row, col]]
+                    yield pa.RecordBatch.from_arrays([q.field("k").take(pa.array(i + row)), q.field("l").take(pa.array(i + row)), d.field("k").take(pa.array(at)), d.field("l").take(pa.array(at)), pa.array(value[row, col])], ["q", "ql", "k", "l", "c"])
+
+    near = queries.join(packed, "b").select("q", "rows").mapInArrow(run, schema)
+    r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c"), "k"))
+    votes = near.withColumn("_r", r).filter(F.col("_r") <= k).groupBy("q", "ql", "l").agg(F.count("*").alias("_n"), F.sum("c").alias("_s"))
+    return votes.groupBy("q", "ql").agg(F.max_by("l", F.struct("_n", "_s")).alias("predicted")).select(F.col("q").alias(key), F.col("ql").alias("label"), "predicted")

@@ -111,7 +111,7 @@ def embedding_sanity(df: DataFrame, key: str, vector: str, dead: float = 1e-6, d
     c = p.select((dot("_a", "_b") / F.sqrt(dot("_a", "_a") * dot("_b", "_b"))).alias("c"))
     k = c.agg(F.avg("c").alias("cosine_mean"), F.stddev_pop("c").alias("cosine_std"), F.min("c").alias("cosine_min"), F.max("c").alias("cosine_max"), F.count("*").alias("pairs"))
     bad = (F.col("cosine_mean") > degenerate) | (F.col("variance_min") < dead)
-    return s.crossJoin(F.broadcast(k)).withColumn("verdict", F.when(bad, "DEGENERATE").otherwise("USABLE"))
+    return s.join(F.broadcast(k)).withColumn("verdict", F.when(bad, "DEGENERATE").otherwise("USABLE"))
 
 
 def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:

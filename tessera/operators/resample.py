@@ -3,6 +3,8 @@ do not depend on partitioning or on a task that runs again."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,16 +107,37 @@ def rank_biserial(deltas: DataFrame, keys: list[str], delta: str) -> DataFrame:
     return d.groupBy(*keys).agg(plus.alias("w_plus"), minus.alias("w_minus"), ((plus - minus) / (plus + minus)).alias("rank_biserial"))
 
 
-def paired_contrasts(df: DataFrame, key: str, level: str, value: str) -> DataFrame:
-    """Mean difference and paired t of every two levels, over the keys that have both."""
-    g = df.groupBy(key, level).agg(F.avg(value).alias("v"))
-    a, b = g.select(key, F.col(level).alias("left"), F.col("v").alias("a")), g.select(key, F.col(level).alias("right"), F.col("v").alias("b"))
-    d = a.join(b, key).filter("left < right").withColumn("d", F.col("a") - F.col("b"))
-    return d.groupBy("left", "right").agg(F.avg("d").alias("difference"), (F.avg("d") / F.nullif(F.stddev_samp("d") / F.sqrt(F.count("d").cast("double")), F.lit(0.0))).alias("t"), F.count("d").alias("n"))
+def paired_contrasts(df: DataFrame, key: str, level: str, value: str, effect: str | None = None) -> DataFrame:
+    """Mean difference, paired t, p and Holm's p of every two levels, over the keys that have both; the pairs of an
+    ``effect`` (a column; else of the whole table) are one family. The keys' level means are few; the table of pairs fewer."""
+    from tessera.functions.special import student_p
+
+    by = [effect] if effect else []
+    g = df.groupBy(*by, key, level).agg(F.avg(value).alias("v"))
+    a, b = g.select(*by, key, F.col(level).alias("left"), F.col("v").alias("a")), g.select(*by, key, F.col(level).alias("right"), F.col("v").alias("b"))
+    d = a.join(b, [*by, key]).filter("left < right").withColumn("d", F.col("a") - F.col("b"))
+    t = F.avg("d") / F.nullif(F.stddev_samp("d") / F.sqrt(F.count("d").cast("double")), F.lit(0.0))
+    out = d.groupBy(*by, "left", "right").agg(F.avg("d").alias("difference"), t.alias("t"), F.count("d").alias("n"))
+    out = out.withColumn("p", student_p(F.col("t"), F.col("n") - 1)).withColumn("_pair", F.struct("left", "right"))
+    return holm(out, by or [F.lit(1)], "p", "_pair").drop("_pair")
+
+
+def _epsilon(effects: DataFrame, subject: str, level: list[str], value: str, p: Column) -> DataFrame:
+    """One row ``epsilon``: Greenhouse and Geisser's, from the covariances over the subjects of an effect's values at each
+    level, which sum to zero for each subject: (trace)^2 / (p times the sum of squares)."""
+    e = effects.select(F.col(subject).alias("_s"), F.struct(*level).alias("_l"), F.col(value).alias("_v"))
+    both = e.join(e.select("_s", F.col("_l").alias("_m"), F.col("_v").alias("_u")), "_s")
+    c = both.groupBy("_l", "_m").agg(F.covar_samp("_v", "_u").alias("c"))
+    trace = F.sum(F.when(F.col("_l") == F.col("_m"), F.col("c")))
+    return c.agg((trace * trace / F.nullif(F.sum(F.col("c") ** 2), F.lit(0.0))).alias("_e")).select((F.col("_e") / p).alias("epsilon"))
 
 
 def rm_anova(df: DataFrame, subject: str, a: str, b: str, value: str) -> DataFrame:
-    """Two-way repeated measures: F and partial eta squared of a, b and a x b, for full designs of one value per cell."""
+    """Two-way repeated measures of a, b and a x b: sums of squares, degrees of freedom, F, p, partial eta squared, the
+    Greenhouse-Geisser epsilon and the p with it; for full designs of one value per cell. The cells' means are what
+    everything after the first aggregation works on."""
+    from tessera.functions.special import fisher_p
+
     cell = df.groupBy(subject, a, b).agg(F.avg(value).alias("y"))
     m = lambda *k: F.avg("y").over(Window.partitionBy(*[F.col(x) for x in k])) if k else F.avg("y").over(Window.partitionBy(F.lit(1)))
     c = cell.withColumns({"g": m(), "ma": m(a), "mb": m(b), "ms": m(subject), "mab": m(a, b), "mas": m(a, subject), "mbs": m(b, subject)})
@@ -122,11 +145,54 @@ def rm_anova(df: DataFrame, subject: str, a: str, b: str, value: str) -> DataFra
     sq = lambda x: F.sum(x**2)
     s = c.agg(
         sq(ma - g).alias("a"), sq(mb - g).alias("b"), sq(mab - ma - mb + g).alias("ab"), sq(mas - ma - ms + g).alias("ea"), sq(mbs - mb - ms + g).alias("eb"), sq(y - mab - mas - mbs + ma + mb + ms - g).alias("eab"),
-        F.count_distinct(a).alias("na"), F.count_distinct(b).alias("nb"), F.count_distinct(subject).alias("n"),
+        (F.count_distinct(a) - 1).alias("na"), (F.count_distinct(b) - 1).alias("nb"), (F.count_distinct(subject) - 1).alias("n"),
     )
-    na, nb, n = F.col("na") - 1, F.col("nb") - 1, F.col("n") - 1
-    row = lambda name, ss, e, d: F.struct(F.lit(name).alias("effect"), F.col(ss).alias("ss"), (F.col(ss) / d / (F.col(e) / (d * n))).alias("f"), (F.col(ss) / (F.col(ss) + F.col(e))).alias("partial_eta2"))
-    return s.select(F.inline(F.array(row("a", "a", "ea", na), row("b", "b", "eb", nb), row("ab", "ab", "eab", na * nb))))
+    row = lambda name, ss, e, d: F.struct(F.lit(name).alias("effect"), F.col(ss).alias("ss"), d.cast("double").alias("df1"), (d * F.col("n")).cast("double").alias("df2"), (F.col(ss) / d / F.nullif(F.col(e) / (d * F.col("n")), F.lit(0.0))).alias("f"), (F.col(ss) / F.nullif(F.col(ss) + F.col(e), F.lit(0.0))).alias("partial_eta2"))
+    out = s.select(F.inline(F.array(row("a", "a", "ea", F.col("na")), row("b", "b", "eb", F.col("nb")), row("ab", "ab", "eab", F.col("na") * F.col("nb")))))
+    parts = {
+        "a": (c.select(subject, a, (mas - ms).alias("v")).distinct(), [a]),
+        "b": (c.select(subject, b, (mbs - ms).alias("v")).distinct(), [b]),
+        "ab": (c.select(subject, a, b, (y - mas - mbs + ms).alias("v")), [a, b]),
+    }
+    eps = None
+    for name, (effects, level) in parts.items():
+        one = _epsilon(effects, subject, level, "v", F.lit(1.0)).withColumn("effect", F.lit(name))
+        eps = one if eps is None else eps.union(one)
+    out = out.join(F.broadcast(eps), "effect").withColumn("epsilon", F.col("epsilon") / F.col("df1"))
+    return out.withColumns({"p": fisher_p(F.col("f"), F.col("df1"), F.col("df2")), "p_gg": fisher_p(F.col("f"), F.col("df1") * F.col("epsilon"), F.col("df2") * F.col("epsilon"))})
+
+
+def normal_draw(*parts: Column) -> Column:
+    """A standard normal number from whole numbers, by two uniform draws."""
+    u, v = 1 - draw(*parts, F.lit(1)), draw(*parts, F.lit(2))
+    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+
+
+def random_option_baseline(test: DataFrame, anchors: DataFrame, keys: list[str], key: str, option: str, anchor: str, truth: str, n: int, seed: int) -> DataFrame:
+    """(keys, b, mae): error of predicting each test row by the training anchor of an option drawn at random, in each of n
+    replicates. ``anchors`` (keys, option, anchor) are few and broadcast; ``key`` is a whole number of the row."""
+    a = anchors.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(option, anchor))), lambda s: s[anchor]).alias("_a"))
+    r = replicates(test.select(*keys, key, truth), n).join(F.broadcast(a), keys)
+    pick = F.floor(draw(F.lit(seed), F.col("b"), F.col(key)) * F.size("_a")).cast("int")
+    return r.groupBy(*keys, "b").agg(F.avg(F.abs(F.get("_a", pick) - F.col(truth))).alias("mae"))
+
+
+def modal_share_null(cells: DataFrame, key: str, option: str, value: str, n: int, seed: int) -> DataFrame:
+    """One row: the share of the keys whose best option is the most frequent one, and the same under a shared surface.
+
+    Under the null every key has the options' means plus normal noise of the residuals' standard deviation, n times over.
+    ``p_value``: share of replicates whose modal share is no greater than the observed one. Keys are whole numbers.
+    """
+    means = cells.groupBy(option).agg(F.avg(value).alias("_m")).withColumn("_o", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(option)) - 1)
+    sd = cells.join(F.broadcast(means), option).agg(F.stddev_samp(F.col(value) - F.col("_m")).alias("residual_sd"))
+    share = lambda df, *by: df.groupBy(*by, "best").agg(F.count("*").alias("c")).groupBy(*by).agg((F.max("c") / F.sum("c")).alias("share"))
+    best = cells.groupBy(key).agg(F.max_by(option, F.struct(value, option)).alias("best"))
+    observed = share(best).select(F.col("share").alias("modal_share"))
+    noise = F.col("residual_sd") * normal_draw(F.lit(seed), F.col("b"), F.col(key), F.col("_o"))
+    drawn = replicates(cells.select(key).distinct(), n).join(F.broadcast(means)).join(F.broadcast(sd)).withColumn("_v", F.round(F.col("_m") + noise, 9))
+    null = share(drawn.groupBy("b", key).agg(F.max_by(option, F.struct("_v", option)).alias("best")), "b")
+    out = null.join(F.broadcast(observed)).groupBy("modal_share").agg(F.avg("share").alias("null_mean"), F.percentile("share", 0.025).alias("null_low"), F.percentile("share", 0.975).alias("null_high"), F.avg((F.col("share") <= F.col("modal_share")).cast("int")).alias("p_value"))
+    return out.join(F.broadcast(sd))
 
 
 def permute_within(df: DataFrame, keys: list[str], order: str, value: str, seed: int) -> DataFrame:

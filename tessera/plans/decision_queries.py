@@ -152,7 +152,13 @@ def _(t: Tables) -> DataFrame:
     return C.metric_differences(saved, c, ["user_id", "event_type"], "v", 1e-6).select("user_id", "event_type")
 
 
-@query("estimate_table_contract", "SELECT event_type, 'ci_low' AS violation FROM events GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    e = t.events.groupBy("event_type").agg(F.avg("value").alias("estimate"), F.max("value").alias("ci_high")).withColumn("inference_unit", F.lit("participant"))
-    return e.select("event_type", F.explode(F.array(*[F.lit(v) for v in C.estimate_violations(e)])).alias("violation"))
+@query("estimate_table_contract", """WITH e AS (SELECT user_id, event_type, avg(value) AS estimate, CASE WHEN count(*) > 2 THEN avg(value) - stddev_samp(value) END AS ci_low, CASE WHEN max(value) > 5 THEN max(value) / 2 END AS ci_high, CASE WHEN count(*) > 12 THEN 'window' WHEN count(*) > 1 THEN 'participant' END AS unit FROM events GROUP BY ALL)
+SELECT user_id, event_type, concat_ws(',', CASE WHEN ci_low IS NULL THEN 'ci_low' END, CASE WHEN ci_high IS NULL THEN 'ci_high' END, CASE WHEN unit IS NULL THEN 'inference_unit' END, CASE WHEN unit = 'window' THEN 'window_as_unit' END, CASE WHEN ci_low > estimate OR ci_high < estimate THEN 'interval_off_estimate' END) AS violations FROM e
+WHERE ci_low IS NULL OR ci_high IS NULL OR unit IS NULL OR unit = 'window' OR ci_low > estimate OR ci_high < estimate""")
+def _(t: Tables) -> DataFrame:
+    n = F.count("*")
+    e = t.events.groupBy("user_id", "event_type").agg(
+        F.avg("value").alias("estimate"), F.when(n > 2, F.avg("value") - F.stddev_samp("value")).alias("ci_low"), F.when(F.max("value") > 5, F.max("value") / 2).alias("ci_high"),
+        F.when(n > 12, "window").when(n > 1, "participant").alias("inference_unit"),
+    )
+    return C.estimate_problems(e).select("user_id", "event_type", F.array_join("violations", ",").alias("violations"))

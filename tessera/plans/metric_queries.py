@@ -89,9 +89,15 @@ def _(t: Tables) -> DataFrame:
     return rounded(x(t).groupBy("g").agg(M.weighted_mae(F.col("t"), F.col("p"), F.col("w")).alias("mae")), 9)
 
 
-@query("seed_metrics", f"WITH {X}, a AS (SELECT seed, g, sum(abs(p - t)) AS s, count(*) AS n FROM x GROUP BY ALL) SELECT seed, round(sum(s) / sum(n), 9) AS pooled_mae, round(avg(s / n), 9) AS macro_mae, count(*) AS members FROM a GROUP BY 1")
+@query("seed_metrics", f"""WITH {X}, a AS (SELECT seed, g, avg(abs(p - t)) AS m, sqrt(avg((p - t)**2)) AS r FROM x GROUP BY ALL), b AS (SELECT seed, avg(m) AS macro_mae, avg(r) AS macro_rmse, count(*) AS members FROM a GROUP BY 1), k AS (SELECT seed, {REG} FROM x GROUP BY 1)
+SELECT seed::VARCHAR AS seed, 'seed' AS kind, n, mae, rmse, r2, ccc, pearson, round(macro_mae, 6) AS macro_mae, round(macro_rmse, 6) AS macro_rmse, members FROM k JOIN b USING (seed)
+UNION ALL SELECT 'all', 'mean', sum(n)::BIGINT, round(avg(mae), 6), round(avg(rmse), 6), round(avg(r2), 4), round(avg(ccc), 4), round(avg(pearson), 4), round(avg(macro_mae), 6), round(avg(macro_rmse), 6), max(members) FROM k JOIN b USING (seed)
+UNION ALL SELECT 'all', 'std', sum(n)::BIGINT, round(stddev_pop(mae), 6), round(stddev_pop(rmse), 6), round(stddev_pop(r2), 4), round(stddev_pop(ccc), 4), round(stddev_pop(pearson), 4), round(stddev_pop(macro_mae), 6), round(stddev_pop(macro_rmse), 6), max(members) FROM k JOIN b USING (seed)""")
 def _(t: Tables) -> DataFrame:
-    return rounded(M.macro_of(x(t), ["seed"], "g", "t", "p"), 9)
+    s = M.seed_metrics(x(t), "seed", "g", "t", "p").withColumn("seed", F.coalesce(F.col("seed").cast("string"), F.lit("all")))
+    own = F.col("kind") == "seed"
+    digits = {"mae": (9, 6), "rmse": (9, 6), "r2": (6, 4), "ccc": (6, 4), "pearson": (6, 4), "macro_mae": (6, 6), "macro_rmse": (6, 6)}
+    return s.withColumns({c: F.when(own, F.round(c, a)).otherwise(F.round(c, b)) for c, (a, b) in digits.items()})
 
 
 @query("seed_averaged_metrics", f"WITH {X}, a AS (SELECT g, k % 5 AS k, avg(t) AS t, avg(p) AS p, count(DISTINCT seed) AS s FROM x GROUP BY ALL) SELECT {REG} FROM a WHERE s >= 3")
@@ -136,12 +142,27 @@ def _(t: Tables) -> DataFrame:
     return c.select("seed", F.round("coverage", 3).alias("coverage"), F.round("width", 6).alias("width"))
 
 
-@query("controller_trace_metrics", "WITH d AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT user_id, count(*) FILTER (b <> event_type) AS changes, count(*) FILTER (b = event_type) AS holds, count(*) FILTER (event_type = 'error') AS locked FROM d GROUP BY 1")
+@query("controller_trace_metrics", f"""WITH s AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, 1 + CAST(floor(value) AS BIGINT) % 9 AS c, event_type, value FROM events), b AS (SELECT *, lag(c) OVER w AS b, coalesce(ms - lag(ms) OVER w > {36_000_000}, FALSE) AS gap FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+t AS (SELECT *, CASE WHEN c = b THEN 'hold' ELSE 'step' END AS action, CASE WHEN c = b THEN NULL WHEN abs((c - 1) // 3 - (b - 1) // 3) + abs((c - 1) % 3 - (b - 1) % 3) <> 1 THEN 'illegal' WHEN (c - 1) // 3 <> (b - 1) // 3 THEN 'i' ELSE 'f' END AS move FROM b WHERE b IS NOT NULL),
+r AS (SELECT *, sum(CASE WHEN b = pb AND NOT gap THEN 0 ELSE 1 END) OVER w AS run FROM (SELECT *, lag(b) OVER w AS pb FROM t WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+l AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY ALL), d AS (SELECT user_id, avg(n) AS m, max(n) AS x, count(*) FILTER (n > 2) AS k FROM l GROUP BY 1),
+y AS (SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS reasons FROM (SELECT user_id, event_type, count(*) AS n FROM t WHERE action <> 'hold' GROUP BY ALL) GROUP BY 1)
+SELECT t.user_id, count(*) FILTER (action <> 'hold') AS changes, count(DISTINCT c) AS conditions, count(*) FILTER (move = 'i') AS intensity_changes, count(*) FILTER (move = 'f') AS frequency_changes, count(*) FILTER (move = 'illegal') AS illegal, round(coalesce(1 - count(*) FILTER (move = 'illegal') / nullif(count(*) FILTER (action <> 'hold'), 0), 1), 6) AS legal_share,
+count(*) FILTER (event_type = 'view' AND action = 'hold' AND value > 2) AS overstays, count(*) FILTER (action <> 'hold' AND c = 9 AND value > 50) AS locked_selections, count(*) FILTER (event_type = 'error' AND action <> 'hold') AS wrong_on_invalid, count(*) FILTER (action <> 'hold') >= 3 AND count(DISTINCT c) <= 2 AS bounce,
+count(*) FILTER (action <> 'hold') >= 3 AND count(DISTINCT c) >= 3 AND count(*) FILTER (move = 'illegal') = 0 AS varied, round(any_value(m), 6) AS mean_dwell, any_value(x) AS longest_dwell, any_value(k) AS long_runs, any_value(reasons) AS reasons FROM t JOIN d USING (user_id) LEFT JOIN y USING (user_id) GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    from tessera.operators.sequence import carryover
+    """A trace of conditions drawn from the values; types stand for state and reason."""
+    from tessera.operators.sequence import carryover, gap_flag
 
-    d = t.events.select("user_id", "event_type", carryover(["user_id"], "event_id", "event_type").alias("b"))
-    return d.groupBy("user_id").agg(F.count_if(F.col("b") != F.col("event_type")).alias("changes"), F.count_if(F.col("b") == F.col("event_type")).alias("holds"), F.count_if(F.col("event_type") == "error").alias("locked"))
+    s = t.events.select("user_id", "event_id", F.unix_millis("ts").alias("ms"), (1 + F.floor("value") % 9).alias("after"), "event_type", "value")
+    s = s.withColumns({"before": carryover(["user_id"], "event_id", "after"), "gap_reset": gap_flag(["user_id"], "ms", "ms", 36_000_000)}).filter("before is not null")
+    trace = s.withColumns({
+        "action": F.when(F.col("after") == F.col("before"), "hold").otherwise("step"), "reason": F.col("event_type"), "state": F.when(F.col("event_type") == "view", "active").otherwise("other"),
+        "dwell": F.col("value"), "signal_valid": F.col("event_type") != "error", "c9_locked": F.col("value") > 50,
+    })
+    m = M.controller_trace(trace, ["user_id"], "event_id", 2)
+    why = F.array_join(F.transform(F.map_entries("reasons"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return rounded(m.withColumn("reasons", why))
 
 
 @query("deployment_gate", f"WITH {X}, m AS (SELECT g, avg(abs(p - t)) AS mae, avg(abs(0.05 - t)) AS condition_only_mae, avg(abs(0.02 - t)) AS history_mae, corr(t, p) AS spearman FROM x GROUP BY 1) SELECT g, mae < condition_only_mae AND mae < history_mae AND spearman > 0 AS deployable, concat_ws(',', CASE WHEN NOT mae < condition_only_mae THEN 'not_better_than_condition_only' END, CASE WHEN NOT mae < history_mae THEN 'not_better_than_history' END, CASE WHEN NOT spearman > 0 THEN 'rank_correlation_not_positive' END) AS reasons FROM m")
@@ -197,11 +218,15 @@ def _(t: Tables) -> DataFrame:
     return B.argmax_stability(cell(t), "user_id", "event_type", "v", 200, 5)
 
 
-FLIP = "f AS (SELECT n_nationkey AS k, avg(s_acctbal) / 1000 - 4.5 AS d FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey < 10 GROUP BY 1), j AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS i FROM f)"
+FLIP = "a AS (SELECT n_regionkey AS k, avg(s_acctbal) AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1), b AS (SELECT n_regionkey AS k, avg(c_acctbal) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), f AS (SELECT k, (s - c) / 1000 AS d FROM a JOIN b USING (k)), j AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS i FROM f)"
 
 
 def flips(t: Tables) -> DataFrame:
-    return t.supplier.filter("s_nationkey < 10").groupBy(F.col("s_nationkey").alias("k")).agg((F.avg("s_acctbal") / 1000 - 4.5).alias("d"))
+    """Suppliers' mean balance less customers', by region."""
+    region = F.broadcast(t.nation.select("n_nationkey", F.col("n_regionkey").alias("k")))
+    mean = lambda df, nation, value: df.join(region, F.col(nation) == F.col("n_nationkey")).groupBy("k").agg(F.avg(value).alias(value))
+    both = mean(t.supplier, "s_nationkey", "s_acctbal").join(mean(t.customer, "c_nationkey", "c_acctbal"), "k")
+    return both.select("k", ((F.col("s_acctbal") - F.col("c_acctbal")) / 1000).alias("d"))
 
 
 @query("exact_sign_flip", f"WITH {FLIP}, m AS (SELECT unnest(range((1 << (SELECT count(*) FROM j))::BIGINT)) AS m), s AS (SELECT m, abs(sum(CASE WHEN m & (1 << i)::BIGINT <> 0 THEN -d ELSE d END)) AS s FROM m, j GROUP BY 1) SELECT round(avg(CASE WHEN s >= (SELECT abs(sum(d)) FROM j) - 1e-9 THEN 1 ELSE 0 END), 9) AS p_value, count(*) AS patterns FROM s")
@@ -214,21 +239,24 @@ def _(t: Tables) -> DataFrame:
     return rounded(B.monte_carlo_sign_flip(clusters(t), "user_id", "d", 200, 3), 9)
 
 
-P = "p AS (SELECT n_nationkey AS k, n_regionkey AS f, (n_nationkey * 37 % 101) / 1000.0 AS p FROM nation)"
+P = "z AS (SELECT user_id AS k, event_type AS f, (avg(value) - 50) / (stddev_samp(value) / sqrt(count(*))) AS z FROM events GROUP BY ALL HAVING count(*) > 2 AND stddev_samp(value) > 0), p AS (SELECT k, f, round(2 / (1 + exp(1.702 * abs(z))), 9) AS p FROM z)"
 
 
 def ps(t: Tables) -> DataFrame:
-    return t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("f"), ((F.col("n_nationkey") * 37 % 101) / 1000.0).alias("p"))
+    """A test of every user and event type against a mean of 50; p by the logistic curve, which SQL can draw too."""
+    z = (F.avg("value") - 50) / (F.stddev_samp("value") / F.sqrt(F.count("*").cast("double")))
+    g = t.events.groupBy(F.col("user_id").alias("k"), F.col("event_type").alias("f")).agg(z.alias("z"), F.count("*").alias("n"), F.stddev_samp("value").alias("s")).filter("n > 2 and s > 0")
+    return g.select("k", "f", F.round(2 / (1 + F.exp(1.702 * F.abs("z"))), 9).alias("p"))
 
 
-@query("holm_adjust", f"WITH {P}, r AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY f) - row_number() OVER (PARTITION BY f ORDER BY p, k) + 1)) AS h FROM p) SELECT k, round(max(h) OVER (PARTITION BY f ORDER BY p, k), 9) AS p_holm FROM r")
+@query("holm_adjust", f"WITH {P}, r AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY f) - row_number() OVER (PARTITION BY f ORDER BY p, k) + 1)) AS h FROM p) SELECT f, k, round(max(h) OVER (PARTITION BY f ORDER BY p, k), 8) AS p_holm FROM r")
 def _(t: Tables) -> DataFrame:
-    return rounded(B.holm(ps(t), ["f"], "p", "k").select("k", "p_holm"), 9)
+    return rounded(B.holm(ps(t), ["f"], "p", "k").select("f", "k", "p_holm"), 8)
 
 
-@query("bh_adjust", f"WITH {P}, r AS (SELECT *, least(1.0, p * count(*) OVER (PARTITION BY f) / row_number() OVER (PARTITION BY f ORDER BY p, k)) AS q FROM p) SELECT k, round(min(q) OVER (PARTITION BY f ORDER BY p, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 9) AS q_value FROM r")
+@query("bh_adjust", f"WITH {P}, r AS (SELECT *, least(1.0, p * count(*) OVER (PARTITION BY f) / row_number() OVER (PARTITION BY f ORDER BY p, k)) AS q FROM p) SELECT f, k, round(min(q) OVER (PARTITION BY f ORDER BY p, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 8) AS q_value FROM r")
 def _(t: Tables) -> DataFrame:
-    return rounded(B.benjamini_hochberg(ps(t), ["f"], "p", "k").select("k", "q_value"), 9)
+    return rounded(B.benjamini_hochberg(ps(t), ["f"], "p", "k").select("f", "k", "q_value"), 8)
 
 
 @query("rank_biserial", f"WITH {U}, r AS (SELECT user_id % 3 AS g, d, rank() OVER (PARTITION BY user_id % 3 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY user_id % 3, abs(d)) - 1) / 2.0 AS r FROM u WHERE d <> 0), s AS (SELECT g, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus FROM r GROUP BY 1) SELECT g, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, round((w_plus - w_minus) / (w_plus + w_minus), 9) AS rank_biserial FROM s")
@@ -238,14 +266,20 @@ def _(t: Tables) -> DataFrame:
 
 @query("paired_level_contrasts", f"""WITH {CELL}, d AS (SELECT a.event_type AS l, b.event_type AS r, a.v - b.v AS d FROM c a JOIN c b ON a.user_id = b.user_id AND a.event_type < b.event_type) SELECT l AS "left", r AS "right", round(avg(d), 6) AS difference, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, count(*) AS n FROM d GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    return rounded(B.paired_contrasts(cell(t), "user_id", "event_type", "v"))
+    return rounded(B.paired_contrasts(cell(t), "user_id", "event_type", "v").drop("p", "p_holm"))
 
 
-@query("rm_anova", """WITH c AS (SELECT l_suppkey % 10 AS s, l_linenumber % 2 AS a, l_partkey % 3 AS b, avg(l_quantity) AS y FROM lineitem GROUP BY ALL), m AS (SELECT *, avg(y) OVER () AS g, avg(y) OVER (PARTITION BY a) AS ma, avg(y) OVER (PARTITION BY s) AS ms, avg(y) OVER (PARTITION BY a, s) AS mas FROM c)
-SELECT 'a' AS effect, round(sum((ma - g)**2), 6) AS ss, round(sum((ma - g)**2) / (sum((mas - ma - ms + g)**2) / 9), 6) AS f FROM m""")
+@query("paired_level_contrasts_p")
+def _(t: Tables) -> DataFrame:
+    return B.paired_contrasts(cell(t), "user_id", "event_type", "v").select("left", "right", "t", "n", "p", "p_holm")
+
+
+@query("rm_anova", """WITH c AS (SELECT l_suppkey % 10 AS s, l_linenumber % 2 AS a, l_partkey % 3 AS b, avg(l_quantity) AS y FROM lineitem GROUP BY ALL), m AS (SELECT *, avg(y) OVER () AS g, avg(y) OVER (PARTITION BY a) AS ma, avg(y) OVER (PARTITION BY s) AS ms, avg(y) OVER (PARTITION BY a, s) AS mas, avg(y) OVER (PARTITION BY b) AS mb, avg(y) OVER (PARTITION BY b, s) AS mbs FROM c), d AS (SELECT DISTINCT s, b, mbs, ms FROM m)
+SELECT 'a' AS effect, round(sum((ma - g)**2), 6) AS ss, 1.0::DOUBLE AS df1, 9.0::DOUBLE AS df2, round(sum((ma - g)**2) / (sum((mas - ma - ms + g)**2) / 9), 6) AS f, round(sum((ma - g)**2) / (sum((ma - g)**2) + sum((mas - ma - ms + g)**2)), 6) AS partial_eta2, 1.0::DOUBLE AS epsilon FROM m
+UNION ALL SELECT 'b', round(sum((mb - g)**2), 6), 2.0, 18.0, round(sum((mb - g)**2) / 2 / (sum((mbs - mb - ms + g)**2) / 18), 6), round(sum((mb - g)**2) / (sum((mb - g)**2) + sum((mbs - mb - ms + g)**2)), 6), round((SELECT (sum(c) FILTER (l = r))**2 / (2 * sum(c * c)) FROM (SELECT x.b AS l, y.b AS r, covar_samp(x.mbs - x.ms, y.mbs - y.ms) AS c FROM d x JOIN d y USING (s) GROUP BY ALL)), 6) FROM m""")
 def _(t: Tables) -> DataFrame:
     c = t.lineitem.select((F.col("l_suppkey") % 10).alias("s"), (F.col("l_linenumber") % 2).alias("a"), (F.col("l_partkey") % 3).alias("b"), F.col("l_quantity").alias("y0"))
-    return rounded(B.rm_anova(c, "s", "a", "b", "y0").filter("effect = 'a'").select("effect", "ss", "f"))
+    return rounded(B.rm_anova(c, "s", "a", "b", "y0").filter("effect <> 'ab'").select("effect", "ss", "df1", "df2", "f", "partial_eta2", "epsilon"))
 
 
 @query("permute_within_condition", f"WITH a AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events), b AS (SELECT event_type, value AS shuffled, row_number() OVER (PARTITION BY event_type ORDER BY {draw_sql('11', 'event_id')}, event_id) AS n FROM events) SELECT event_id, shuffled FROM a JOIN b USING (event_type, n)")

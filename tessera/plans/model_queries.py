@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import models as L
+from tessera.operators import resample as B
 from tessera.operators.resample import modular_folds
 from tessera.plans.metric_queries import X, x
-from tessera.plans.registry import Tables, query
+from tessera.plans.registry import Tables, draw_sql, query
 from tessera.plans.summary_queries import CELL, cell
 from tessera.plans.window_queries import rounded
 
@@ -29,18 +30,24 @@ def _(t: Tables) -> DataFrame:
     return rounded(t.events.select("event_id", L.peer_anchor(["event_type"], "user_id", "value").alias("anchor")))
 
 
-@query("random_condition_baseline", f"WITH {FOLDS}, a AS (SELECT fold, event_type, avg(value) AS a FROM events JOIN f USING (user_id) WHERE role = 'train' GROUP BY ALL), n AS (SELECT fold, avg(a) AS m FROM a GROUP BY 1) SELECT fold, round(avg(abs(value - m)), 6) AS mae FROM events JOIN f USING (user_id) JOIN n USING (fold) WHERE role = 'test' GROUP BY 1")
+@query("random_condition_baseline", f"""WITH {FOLDS}, a AS (SELECT fold, event_type, avg(value) AS a FROM events JOIN f USING (user_id) WHERE role = 'train' GROUP BY ALL), l AS (SELECT fold, list(a ORDER BY event_type) AS l FROM a GROUP BY 1), c AS (SELECT user_id, event_id, value FROM events), b AS (SELECT unnest(range(20)) AS b),
+e AS (SELECT fold, b, avg(abs(l[1 + CAST(floor({draw_sql("13", "b", "event_id")} * len(l)) AS BIGINT)] - value)) AS mae FROM c JOIN f USING (user_id) JOIN l USING (fold), b WHERE role = 'test' GROUP BY ALL)
+SELECT fold, round(avg(mae), 6) AS mae_mean, round(stddev_pop(mae), 6) AS mae_std, round(quantile_cont(mae, 0.025), 6) AS mae_low, round(quantile_cont(mae, 0.975), 6) AS mae_high, count(*) AS replicates FROM e GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     a = L.condition_anchor(t.events.select("user_id", "event_type", "value"), folds(t), "user_id", "event_type", "value")
-    m = a.groupBy("fold").agg(F.avg("anchor").alias("m"))  # the expectation over a condition drawn at random
-    test = t.events.join(folds(t).filter("role = 'test'"), "user_id").join(F.broadcast(m), "fold")
-    return rounded(test.groupBy("fold").agg(F.avg(F.abs(F.col("value") - F.col("m"))).alias("mae")))
+    test = t.events.join(folds(t).filter("role = 'test'"), "user_id")
+    e = B.random_option_baseline(test, a, ["fold"], "event_id", "event_type", "anchor", "value", 20, 13)
+    q = lambda p: F.percentile("mae", p)
+    return rounded(e.groupBy("fold").agg(F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"), q(0.025).alias("mae_low"), q(0.975).alias("mae_high"), F.count("*").alias("replicates")))
 
 
-@query("modal_share_null", f"WITH {CELL}, o AS (SELECT user_id, arg_max(event_type, (v, event_type)) AS best FROM c GROUP BY 1), s AS (SELECT best, count(*) AS n FROM o GROUP BY 1) SELECT round(max(n) / sum(n), 9) AS modal_share FROM s")
+@query("modal_share_null", f"""WITH {CELL}, o AS (SELECT user_id, arg_max(event_type, (v, event_type)) AS best FROM c GROUP BY 1), w AS (SELECT max(n) / sum(n) AS modal_share FROM (SELECT count(*) AS n FROM o GROUP BY best)), m AS (SELECT event_type, avg(v) AS m, row_number() OVER (ORDER BY event_type) - 1 AS o FROM c GROUP BY 1), r AS (SELECT stddev_samp(v - m.m) AS residual_sd FROM c JOIN m USING (event_type)),
+d AS (SELECT b, user_id, event_type, round(m.m + residual_sd * sqrt(-2 * ln(1 - {draw_sql('21', 'b', 'user_id', 'o', '1')})) * cos(2 * pi() * {draw_sql('21', 'b', 'user_id', 'o', '2')}), 9) AS v FROM (SELECT DISTINCT user_id FROM c), m, r, (SELECT unnest(range(40)) AS b)),
+k AS (SELECT b, user_id, arg_max(event_type, (v, event_type)) AS best FROM d GROUP BY ALL), s AS (SELECT b, max(n) / sum(n) AS share FROM (SELECT b, count(*) AS n FROM k GROUP BY b, best) GROUP BY 1)
+SELECT round(modal_share, 9) AS modal_share, round(avg(share), 9) AS null_mean, round(quantile_cont(share, 0.025), 9) AS null_low, round(quantile_cont(share, 0.975), 9) AS null_high, avg(CASE WHEN share <= modal_share THEN 1 ELSE 0 END)::DOUBLE AS p_value, round(any_value(residual_sd), 6) AS residual_sd FROM s, w, r GROUP BY modal_share""")
 def _(t: Tables) -> DataFrame:
-    o = cell(t).groupBy("user_id").agg(F.max_by("event_type", F.struct("v", "event_type")).alias("best"))
-    return rounded(o.groupBy("best").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("modal_share")), 9)
+    r = B.modal_share_null(cell(t), "user_id", "event_type", "v", 40, 21)
+    return rounded(r.withColumn("residual_sd", F.round("residual_sd", 6)), 9)
 
 
 @query("residualize_by_condition", "WITH l AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS place FROM embeddings), m AS (SELECT label, place, avg(x) AS m FROM l WHERE vec_id % 4 <> 0 GROUP BY ALL) SELECT vec_id, CAST(place AS INTEGER) AS place, round(x - m, 6) AS value FROM l JOIN m USING (label, place)")
@@ -54,23 +61,29 @@ def _(t: Tables) -> DataFrame:
     return rounded(L.impute_scale(e, folds(t), "user_id", "value").select("fold", "event_id", "value"))
 
 
-@query("sparse_feature_filter", "SELECT 'l_quantity' AS feature UNION ALL SELECT 'l_tax'")
+@query("sparse_feature_filter", "WITH s AS (SELECT avg(CASE WHEN isfinite(l_quantity) THEN 1 ELSE 0 END) AS l_quantity, avg(CASE WHEN l_returnflag = 'R' AND isfinite(l_tax) THEN 1 ELSE 0 END) AS half, avg(CASE WHEN isfinite(l_tax) THEN 1 ELSE 0 END) AS l_tax FROM lineitem) SELECT feature FROM (UNPIVOT s ON l_quantity, half, l_tax INTO NAME feature VALUE share) WHERE share >= 0.8")
 def _(t: Tables) -> DataFrame:
-    d = t.lineitem.withColumn("half", F.when(F.col("l_orderkey") % 2 == 0, F.col("l_tax")))
+    d = t.lineitem.withColumn("half", F.when(F.col("l_returnflag") == "R", F.col("l_tax")))
     kept = L.dense_columns(d, ["l_quantity", "half", "l_tax"], 0.8)
     return t.spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
-@query("correlation_filter", "SELECT 'l_quantity' AS feature UNION ALL SELECT 'l_tax'")
+@query("correlation_filter", """WITH d AS (SELECT *, l_quantity * 2 + l_tax * 0.01 AS twice FROM lineitem), r AS (SELECT abs(corr(l_quantity, twice)) < 0.95 AS ab, abs(corr(l_quantity, l_tax)) < 0.95 AS ac, abs(corr(twice, l_tax)) < 0.95 AS bc FROM d)
+SELECT 'l_quantity' AS feature FROM r UNION ALL SELECT 'twice' FROM r WHERE ab UNION ALL SELECT 'l_tax' FROM r WHERE ac AND (NOT ab OR bc)""")
 def _(t: Tables) -> DataFrame:
     d = t.lineitem.withColumn("twice", F.col("l_quantity") * 2 + F.col("l_tax") * 0.01)
     return t.spark.createDataFrame([(c,) for c in L.uncorrelated_columns(d, ["l_quantity", "twice", "l_tax"])], "feature string")
 
 
-@query("lopo_ridge", f"WITH {X}, g AS (SELECT DISTINCT g FROM x), m AS (SELECT g.g, regr_slope(t, p) AS b, regr_intercept(t, p) AS a FROM g JOIN x ON x.g <> g.g GROUP BY 1) SELECT x.g, round(avg(abs(t - greatest(0, least(1, a + b * p)))), 6) AS mae FROM x JOIN m USING (g) GROUP BY 1")
+@query("lopo_ridge", f"""WITH {X}, o AS (SELECT g, seed AS c, count(*)::DOUBLE AS n, sum(t) AS st, sum(p) AS sp, sum(w) AS sw FROM x GROUP BY ALL), z AS (SELECT c, sum(n) AS n, sum(st) AS st, sum(sp) AS sp, sum(sw) AS sw FROM o GROUP BY 1), u AS (SELECT DISTINCT g FROM x),
+m AS (SELECT u.g, z.c, z.n - coalesce(o.n, 0) AS n, z.sp - coalesce(o.sp, 0) AS sp, z.sw - coalesce(o.sw, 0) AS sw, (z.st - coalesce(o.st, 0)) / (z.n - coalesce(o.n, 0)) AS m FROM u CROSS JOIN z LEFT JOIN o ON o.g = u.g AND o.c = z.c),
+k AS (SELECT g, sum(n) AS n, sum(sp * m) AS pm, sum(sw * m) AS wm FROM m GROUP BY 1), a AS (SELECT g, sum(p) AS p, sum(w) AS w, sum(p * p) AS pp, sum(w * w) AS ww, sum(p * w) AS pw, sum(p * t) AS pt, sum(w * t) AS wt FROM x GROUP BY 1), tot AS (SELECT sum(p) AS p, sum(w) AS w, sum(pp) AS pp, sum(ww) AS ww, sum(pw) AS pw, sum(pt) AS pt, sum(wt) AS wt FROM a),
+s AS (SELECT a.g, n, (tot.p - a.p) / n AS mp, (tot.w - a.w) / n AS mw, sqrt((tot.pp - a.pp) / n - ((tot.p - a.p) / n)**2) AS dp, sqrt((tot.ww - a.ww) / n - ((tot.w - a.w) / n)**2) AS dw, (tot.pw - a.pw) / n - (tot.p - a.p) / n * ((tot.w - a.w) / n) AS cov, tot.pt - a.pt - pm AS rp, tot.wt - a.wt - wm AS rw FROM a JOIN k USING (g), tot),
+b AS (SELECT *, n * cov / (dp * dw) AS q, rp / dp AS b1, rw / dw AS b2 FROM s), f AS (SELECT *, ((n + 25) * b1 - q * b2) / ((n + 25)**2 - q * q) AS w1, ((n + 25) * b2 - q * b1) / ((n + 25)**2 - q * q) AS w2 FROM b)
+SELECT x.g, round(avg(abs(t - greatest(0, least(1, m.m + (x.p - mp) / dp * w1 + (x.w - mw) / dw * w2)))), 6) AS mae FROM x JOIN f USING (g) JOIN m ON m.g = x.g AND m.c = x.seed GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    d, f = x(t), [F.col("p")]
-    p = L.predict_linear(d, L.lopo_linear(d, "g", f, F.col("t")), "g", f, clip=True)
+    d, f, levels = x(t), [F.col("p"), F.col("w")], list(range(1, 8))
+    p = L.predict_residual(d, L.lopo_residual_ridge(d, "g", "seed", levels, f, F.col("t"), 25.0), "g", "seed", levels, f)
     return rounded(p.groupBy("g").agg(F.avg(F.abs(F.col("t") - F.col("prediction"))).alias("mae")))
 
 
