@@ -173,13 +173,29 @@ def conservative_step(number: Column) -> Column:
     return F.when(grid_intensity_index(number) > 0, number - 3).when(grid_frequency_index(number) > 0, number - 1).otherwise(number)
 
 
-FAMILIES = [("eeg_", "eeg"), ("ecg_", "ecg"), ("head_", "head"), ("eye_", "eye"), ("video_", "video"), ("qc_", "quality")]
+# Fixed values: (modality, pattern, family) of feature names, the first that fits; H is head, P physiology.
+FAMILIES = [
+    ("H", "^head_speed_", "head_translational_speed"),
+    ("H", "^head_angular_speed_deg_s_", "head_angular_velocity"),
+    ("H", "^head_jerk_", "head_jerk"),
+    ("H", "^head_stationary_fraction$", "head_stationary_fraction"),
+    ("H", "^head_position_range$", "head_position_range"),
+    ("H", "^head_motion_spectral_entropy$", "head_motion_spectral_entropy"),
+    ("P", "^ecg_rr_std_ms_audit_only$", "ecg_rr_std_ms_audit_only"),
+    ("P", "^ecg_hrv_", "ecg_hrv"),
+    ("P", "^ecg_", "ecg_rate_signal_amplitude"),
+    ("P", "_relative$", "eeg_relative_band_power"),
+    ("P", "(_power|_robust_amplitude_uV)$", "eeg_absolute_power_amplitude"),
+    ("P", "_hjorth_|_spectral_entropy$", "eeg_hjorth_spectral_entropy"),
+    ("P", "^eeg_(alpha_beta_ratio|theta_beta_ratio|alpha_asymmetry_log_right_left)$", "eeg_ratios_asymmetry"),
+]
 
 
-def feature_family(c: Column) -> Column:
-    out = F.lit("context")
-    for prefix, family in reversed(FAMILIES):
-        out = F.when(c.startswith(prefix), family).otherwise(out)
+def feature_family(modality: Column, name: Column, strict: bool = False) -> Column:
+    """The one family of a feature name within its modality; NULL for a name that no rule maps, or an error if ``strict``."""
+    out = F.raise_error(F.concat(F.lit("no family: "), name)).cast("string") if strict else F.lit(None).cast("string")
+    for m, pattern, family in reversed(FAMILIES):
+        out = F.when((modality == m) & name.rlike(pattern), family).otherwise(out)
     return out
 
 

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -41,21 +42,19 @@ def _fisher(f: float, d1: float, d2: float) -> float | None:
     return 1.0 if f <= 0 else incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
-@F.pandas_udf("double")
-def _student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([_student(*x) for x in zip(t, df, strict=True)], dtype=float)
-
-
-@F.pandas_udf("double")
-def _fisher_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series([_fisher(*x) for x in zip(f, d1, d2, strict=True)], dtype=float)
-
-
 def student_p(t: Column, df: Column) -> Column:
     """Two-sided p of Student's t."""
-    return _student_p(t.cast("double"), df.cast("double"))
+
+    def p(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([_student(*x) for x in zip(t, df, strict=True)], dtype=float)
+
+    return F.pandas_udf(p, T.DoubleType())(t.cast("double"), df.cast("double"))
 
 
 def fisher_p(f: Column, d1: Column, d2: Column) -> Column:
     """Upper tail of F."""
-    return _fisher_p(f.cast("double"), d1.cast("double"), d2.cast("double"))
+
+    def p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+        return pd.Series([_fisher(*x) for x in zip(f, d1, d2, strict=True)], dtype=float)
+
+    return F.pandas_udf(p, T.DoubleType())(f.cast("double"), d1.cast("double"), d2.cast("double"))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import ramp
+
 # Weights and limits of the control policy.
 RELAXATION_WEIGHT, DISCOMFORT_WEIGHT = 0.85, -0.15
-EXTREME, SAFETY, HYSTERESIS, MIN_DWELL = 0.95, 0.50, 0.002, 1
-SWITCH = (0.10, 0.45, 0.85)
+EXTREME, SAFETY, HYSTERESIS = 0.95, 0.50, 0.002
+SWITCH, FORCED_AFTER = (0.10, 0.45, 0.85), 3
+BOREDOM, AROUSAL, DISCOMFORT, CALM = 0.25, 0.20, 0.30, 0.15
+SAFE, HIGH_LOAD, HIGH_LOAD_PENALTY, RECENT_PENALTY = (1, 2, 4, 5), (9,), 0.10, 0.12
+TEMPERATURE, FLOOR = 0.18, 0.08
 MODALITIES = ("eeg", "ecg", "head", "eye")
 WINDOW_MS = 10_000
 
@@ -63,20 +68,70 @@ def reactive_estimate(relaxation: Column, discomfort: Column, load_change: Colum
     return mode, unit(relaxation + 0.10 * want), unit(discomfort - 0.08 * want)
 
 
-def control_action(discomfort: Column, dwell: Column, holds: Column, draw: Column, gain: Column) -> tuple[Column, Column]:
-    """(action, reason): failsafe, safety pool, minimum dwell, switch chance by holds (forced after three), utility with hysteresis."""
-    p = F.when(holds >= 3, 1.0).otherwise(F.get(F.array(*[F.lit(x) for x in SWITCH]), F.least(holds, F.lit(2)).cast("int")))
-    case = [
-        (discomfort >= EXTREME, "failsafe", "extreme_discomfort"),
-        (discomfort >= SAFETY, "safety_pool", "high_discomfort"),
-        (dwell < MIN_DWELL, "hold", "minimum_dwell"),
-        (draw < p, "switch", "switch_probability"),
-        (gain > HYSTERESIS, "switch", "utility"),
+def switch_probability(relaxation: Column, discomfort: Column, dwell: Column, arousal: Column, boredom: Column) -> tuple[Column, Column]:
+    """(probability of leaving a condition, whether it is forced) by the windows shown and the sensors' state."""
+    shown = F.greatest(F.lit(1), dwell + 1)
+    base = F.get(F.array(*[F.lit(x) for x in SWITCH]), (F.least(shown, F.lit(len(SWITCH))) - 1).cast("int"))
+    calm = (relaxation >= 0.55) & (discomfort <= 0.40)
+    quiet = F.when(calm, F.least(ramp(arousal, 0.20, 0.60, True), ramp(boredom, 0.20, 0.65, True))).otherwise(0.0)
+    p = base + BOREDOM * boredom + AROUSAL * arousal + DISCOMFORT * ramp(discomfort, 0.25, SAFETY) - CALM * quiet
+    forced = shown >= FORCED_AFTER
+    return F.when(forced, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))), forced
+
+
+def weighted_pick(options: Column, draw: Column) -> Column:
+    """The ``candidate`` of one of the structs (candidate, score) by weights that fall with the distance from the best
+    score; NULL where there is none. ``draw`` is uniform."""
+    best = F.array_max(F.transform(options, lambda x: x["score"]))
+    weight = lambda x: FLOOR + F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), (x["score"] - best) / TEMPERATURE)))
+    total = F.aggregate(options, F.lit(0.0), lambda s, x: s + weight(x))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("pick"))
+    step = lambda s, x: F.struct((s["sum"] + weight(x)).alias("sum"), F.coalesce(s["pick"], F.when(s["sum"] + weight(x) >= draw * total, x["candidate"])).alias("pick"))
+    found = F.aggregate(options, start, step)
+    return F.coalesce(found["pick"], F.get(options, F.size(options) - 1)["candidate"])
+
+
+def control_step(state: DataFrame, key: str, candidates: DataFrame, min_dwell: int = 0) -> DataFrame:
+    """(key, action, target, reason, delta): one control decision for each state.
+
+    ``state``: key, condition (grid number), relaxation, discomfort, dwell, arousal, boredom, switch_draw and pick_draw
+    (uniform). ``candidates``: key, candidate, relaxation, discomfort, cooldown, recent; at most the nine of the grid.
+    In turn: extreme discomfort is a failsafe; high discomfort leaves for the safety pool; then the chance to switch
+    explores any condition that is not cooling; else a neighbour of better utility, by more than the hysteresis.
+    """
+    i, f = (lambda c: F.floor((c - 1) / 3)), (lambda c: (c - 1) % 3)
+    score = utility(F.col("relaxation"), F.col("discomfort"))
+    chosen = score - F.col("recent") * RECENT_PENALTY - F.when(F.col("candidate").isin(*HIGH_LOAD), HIGH_LOAD_PENALTY).otherwise(0.0)
+    one = F.struct(F.col("candidate").cast("int").alias("candidate"), chosen.alias("score"), score.alias("plain"), (F.col("cooldown") <= 0).alias("free"))
+    pool = candidates.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    s = state.join(pool, key, "left").withColumn("_all", F.filter(F.coalesce("_all", F.array().cast(pool.schema["_all"].dataType)), lambda x: x["candidate"] != F.col("condition")))
+    now, tense, calm_value = F.col("condition"), F.col("discomfort"), F.col("relaxation")
+    near = lambda x: F.abs(i(x["candidate"]) - i(now)) + F.abs(f(x["candidate"]) - f(now)) == 1
+    safe = F.filter("_all", lambda x: x["candidate"].isin(*SAFE) & x["free"])
+    free = F.filter("_all", lambda x: x["free"])
+    p, forced = switch_probability(calm_value, tense, F.col("dwell"), F.col("arousal"), F.col("boredom"))
+    best = F.array_max(F.transform(F.filter("_all", near), lambda x: F.struct(x["plain"].alias("score"), x["candidate"].alias("candidate"))))
+    s = s.withColumns({"_own": utility(calm_value, tense), "_p": p, "_forced": forced, "_safe": weighted_pick(safe, F.col("pick_draw")), "_free": weighted_pick(free, F.col("pick_draw")), "_best": best})
+    steady = ((calm_value >= 0.55) & (tense <= 0.40)) | ((calm_value >= 0.45) & (tense <= SAFETY))
+    ready = F.col("_forced") | steady | (F.col("arousal") >= 0.35) | (F.col("boredom") >= 0.35)
+    go = ready & (F.when(F.col("_forced"), 0.0).otherwise(F.col("switch_draw")) <= F.col("_p"))
+    gain = F.col("_best.score") - F.col("_own")
+    better = F.coalesce((F.col("_best.score") > F.col("_own")) & (gain >= HYSTERESIS), F.lit(False))
+    cases = [
+        (tense >= EXTREME, "failsafe", None, F.lit("extreme_predicted_discomfort")),
+        ((tense >= SAFETY) & now.isin(*SAFE) & (F.col("dwell") < min_dwell), "hold", None, F.lit("safety_min_condition_dwell")),
+        ((tense >= SAFETY) & F.col("_safe").isNotNull(), "apply", F.col("_safe"), F.lit("safety_recovery_stochastic")),
+        (tense >= SAFETY, "hold", None, F.lit("safety_no_available_condition")),
+        (go & F.col("_free").isNotNull(), "apply", F.col("_free"), F.when(F.col("_forced"), "sensor_probability_force_exploration").otherwise("sensor_probability_exploration")),
+        (go, "hold", None, F.lit("sensor_probability_no_available_condition")),
+        (ready, "hold", None, F.lit("sensor_probability_hold")),
+        (better, "apply", F.col("_best.candidate"), F.lit("adaptive_utility_step")),
     ]
-    action, reason = F.lit("hold"), F.lit("no_gain")
-    for cond, a, r in reversed(case):
-        action, reason = F.when(cond, a).otherwise(action), F.when(cond, r).otherwise(reason)
-    return action, reason
+    action, target, reason = F.lit("hold"), now, F.lit("stable_no_better_neighbor")
+    for when, a, to, why in reversed(cases):
+        action, reason = F.when(when, a).otherwise(action), F.when(when, why).otherwise(reason)
+        target = F.when(when, to if to is not None else now).otherwise(target)
+    return s.select(key, action.alias("action"), target.cast("int").alias("target"), reason.alias("reason"), F.when(reason.isin("adaptive_utility_step", "stable_no_better_neighbor"), F.greatest(gain, F.lit(0.0))).alias("delta"))
 
 
 def message_violations(start: Column, end: Column, shadow: Column, action: Column, participant: Column) -> Column:

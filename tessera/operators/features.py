@@ -21,10 +21,15 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def robust_stats(c: str, prefix: str | None = None) -> list[Column]:
-    """Aggregates of the finite values: mean, population std, median, IQR, range."""
+def robust_stats(c: str, prefix: str | None = None, accuracy: int | None = None) -> list[Column]:
+    """Aggregates of the finite values: mean, population std, median, IQR, range.
+
+    The quartiles are exact and keep a group's distinct values in memory; with ``accuracy`` they come from a sketch whose
+    ranks are off by 1 / accuracy of the group at most, for groups of any size.
+    """
     p, v = prefix or c, finite(F.col(c))
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = F.percentile_approx(v, shares, accuracy) if accuracy else F.percentile(v, shares)
     return [F.avg(v).alias(f"{p}__mean"), F.stddev_pop(v).alias(f"{p}__std"), F.get(q, F.lit(1)).alias(f"{p}__median"), (F.get(q, F.lit(2)) - F.get(q, F.lit(0))).alias(f"{p}__iqr"), (F.max(v) - F.min(v)).alias(f"{p}__range")]
 
 

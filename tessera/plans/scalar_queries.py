@@ -152,10 +152,23 @@ def _(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", S.grid_action(a, b).alias("action"), S.conservative_step(a).alias("safer"))
 
 
-@query("feature_family", "SELECT event_id, CASE event_type WHEN 'view' THEN 'video' WHEN 'click' THEN 'eye' ELSE 'context' END AS family FROM events")
+# One name of every family, and one that belongs to none in its modality.
+NAMES = [
+    ("H", "head_speed_mean"), ("H", "head_angular_speed_deg_s_iqr"), ("H", "head_jerk_std"), ("H", "head_stationary_fraction"), ("H", "head_position_range"), ("H", "head_motion_spectral_entropy"), ("P", "ecg_rr_std_ms_audit_only"), ("P", "ecg_hrv_60s_rmssd_ms"),
+    ("P", "ecg_hr_bpm"), ("P", "eeg_tp9_alpha_relative"), ("P", "eeg_tp9_alpha_power"), ("P", "eeg_m1_robust_amplitude_uV"), ("P", "eeg_tp9_hjorth_mobility"), ("P", "eeg_tp9_spectral_entropy"), ("P", "eeg_alpha_beta_ratio"), ("H", "eeg_alpha_beta_ratio"),
+]
+
+
+@query(
+    "feature_family",
+    f"""WITH n AS (SELECT event_id, [{", ".join(f"'{m}'" for m, _ in NAMES)}][1 + event_id % {len(NAMES)}] AS m, [{", ".join(f"'{n}'" for _, n in NAMES)}][1 + event_id % {len(NAMES)}] AS f FROM events)
+    SELECT event_id, CASE WHEN m = 'H' AND f LIKE 'head\\_speed\\_%' ESCAPE '\\' THEN 'head_translational_speed' WHEN m = 'H' AND starts_with(f, 'head_angular_speed_deg_s_') THEN 'head_angular_velocity' WHEN m = 'H' AND starts_with(f, 'head_jerk_') THEN 'head_jerk' WHEN m = 'H' AND f IN ('head_stationary_fraction', 'head_position_range', 'head_motion_spectral_entropy') THEN f
+    WHEN m = 'P' AND f = 'ecg_rr_std_ms_audit_only' THEN f WHEN m = 'P' AND starts_with(f, 'ecg_hrv_') THEN 'ecg_hrv' WHEN m = 'P' AND starts_with(f, 'ecg_') THEN 'ecg_rate_signal_amplitude' WHEN m = 'P' AND ends_with(f, '_relative') THEN 'eeg_relative_band_power'
+    WHEN m = 'P' AND (ends_with(f, '_power') OR ends_with(f, '_robust_amplitude_uV')) THEN 'eeg_absolute_power_amplitude' WHEN m = 'P' AND (contains(f, '_hjorth_') OR ends_with(f, '_spectral_entropy')) THEN 'eeg_hjorth_spectral_entropy' WHEN m = 'P' AND f IN ('eeg_alpha_beta_ratio', 'eeg_theta_beta_ratio', 'eeg_alpha_asymmetry_log_right_left') THEN 'eeg_ratios_asymmetry' END AS family FROM n""",
+)
 def _(t: Tables) -> DataFrame:
-    name = F.when(F.col("event_type") == "view", "video_mean").when(F.col("event_type") == "click", "eye_speed").otherwise(F.col("event_type"))
-    return t.events.select("event_id", S.feature_family(name).alias("family"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (1 + F.col("event_id") % len(NAMES)).cast("int"))
+    return t.events.select("event_id", S.feature_family(pick([m for m, _ in NAMES]), pick([n for _, n in NAMES])).alias("family"))
 
 
 @query(

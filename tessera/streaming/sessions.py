@@ -1,8 +1,8 @@
 """Stateful operators over session streams, and their batch twins.
 
-A session's rows go through one Python state machine in order of time. ``stream`` keeps its state in Structured
-Streaming (applyInPandasWithState), ``replay`` feeds recorded rows of each session to the same code, so both give
-the same rows. A session is one key; sessions run in parallel.
+A session's rows go through one small state machine in order of time. ``stream`` keeps its state in Structured
+Streaming (applyInPandasWithState), ``replay`` feeds recorded rows to the same code, so both give the same rows.
+A session is one key; sessions run in parallel, and a long session is read batch by batch.
 """
 
 from __future__ import annotations
@@ -13,40 +13,42 @@ from collections.abc import Iterator
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Cycle length and source timeout in ms, invalid windows to failsafe, longest dwell, history kept.
-CYCLE_MS, TIMEOUT_MS, INVALID_LIMIT, MAX_DWELL, HISTORY = 10_000, 3_000, 3, 6, 16
-HIGH_DISCOMFORT, LOW_RELAXATION, RISE, WARM_UP = 0.5, 0.35, 0.05, 3
+# Cycle length, source timeout and command expiry in ms, windows of low coverage to failsafe, history and
+# cooldown in windows, conditions of high load.
+CYCLE_MS, TIMEOUT_MS, EXPIRY_MS, LOW_LIMIT, HISTORY, COOLDOWN, HIGH_LOAD = 10_000, 3_000, 9_500, 3, 16, 6, (6, 8, 9)
 
 
 class Windows:
     """Closed windows of a session: the origin moves to each change of condition, and the cycle starts at 0 again.
 
-    A row earlier than the last is rejected as late. A change clears what is buffered; a closed window takes its
-    rows out of the buffer. Each window has its rows' count and mean, whether the source had been silent for longer
-    than the timeout at its end, the run of empty windows before the failsafe latches, the windows dwelt in the
-    condition, the visits it has had, and the session-wide number of the command that it gives.
+    A row earlier than the last is rejected as late. A closed window takes its rows out of the buffer; a change of
+    condition evicts what is left there. Each window has its rows' count and mean, whether the source had been silent for
+    longer than the timeout at its end, the windows and visits of its condition, and the number of the command it gives.
     """
 
-    columns = "kind string, cycle long, start long, stop long, condition string, n long, mean double, silent boolean, failsafe boolean, dwell long, visits long, command long, expires long"
+    inputs = ["ms", "condition", "value"]
+    columns = "kind string, cycle long, start long, stop long, condition string, n long, mean double, silent boolean, dwell long, visits long, command long, expires long"
 
-    def __init__(self, cycle: int = CYCLE_MS, timeout: int = TIMEOUT_MS):
-        self.cycle, self.timeout = cycle, timeout
+    def __init__(self, cycle: int = CYCLE_MS, timeout: int = TIMEOUT_MS, order: tuple[str, ...] = ("ms", "condition", "value")):
+        self.cycle, self.timeout, self.order = cycle, timeout, list(order)
 
     def begin(self) -> dict:
-        return {"condition": None, "origin": None, "index": 0, "last": None, "rows": [], "seen": None, "empty": 0, "latched": False, "dwell": 0, "command": 0, "history": []}
+        return {"condition": None, "origin": None, "index": 0, "last": None, "rows": [], "seen": None, "dwell": 0, "command": 0, "history": []}
 
     def feed(self, s: dict, ms: int, condition: str, value: float) -> Iterator[tuple]:
         if s["last"] is not None and ms < s["last"]:
-            yield ("late", None, ms, None, condition, None, value, None, s["latched"], None, None, None, None)
+            yield ("late", None, ms, None, condition, None, value, None, None, None, None, None)
             return
         s["last"] = ms
         while s["origin"] is not None and ms >= s["origin"] + (s["index"] + 1) * self.cycle:
             yield self.close(s)
         if condition != s["condition"]:
+            if s["rows"]:
+                yield ("evict", s["index"], s["origin"] + s["index"] * self.cycle, ms, s["condition"], len(s["rows"]), None, None, None, None, None, None)
             s.update(condition=condition, origin=ms, index=0, rows=[], dwell=0)
             s["history"] = (s["history"] + [condition])[-HISTORY:]
         s["rows"].append([ms, value])
@@ -55,126 +57,351 @@ class Windows:
     def close(self, s: dict) -> tuple:
         start = s["origin"] + s["index"] * self.cycle
         stop = start + self.cycle
-        own = [v for t, v in s["rows"] if start <= t < stop]
+        own = [v for t, v in s["rows"] if t < stop]
         s["rows"] = [r for r in s["rows"] if r[0] >= stop]
-        s["empty"] = 0 if own else s["empty"] + 1
-        s["latched"] = s["latched"] or s["empty"] >= INVALID_LIMIT
         s["dwell"] += 1
         s["command"] += 1
-        silent = stop - s["seen"] > self.timeout
-        out = ("window", s["index"], start, stop, s["condition"], len(own), sum(own) / len(own) if own else None, silent, s["latched"], s["dwell"], s["history"].count(s["condition"]), s["command"], stop + self.cycle - 500)
+        out = ("window", s["index"], start, stop, s["condition"], len(own), sum(own) / len(own) if own else None, stop - s["seen"] > self.timeout, s["dwell"], s["history"].count(s["condition"]), s["command"], stop + EXPIRY_MS)
         s["index"] += 1
         return out
 
 
-class Controller:
-    """Safety-first virtual recommendations from one prediction per window.
+class Sessions:
+    """Sessions of a device: one begins where none is active, rows that name another are refused until a stop comes."""
+
+    inputs = ["ms", "name", "stop"]
+    order = ["ms", "name"]
+    columns = "kind string, at long, name string, active string"
+
+    def begin(self) -> dict:
+        return {"active": None}
+
+    def feed(self, s: dict, ms: int, name: str, stop: bool) -> Iterator[tuple]:
+        if stop:
+            if s["active"] is not None:
+                yield ("end", ms, s["active"], None)
+            s["active"] = None
+        elif s["active"] is None:
+            s["active"] = name
+            yield ("begin", ms, name, name)
+        elif name != s["active"]:
+            yield ("refused", ms, name, s["active"])
+
+
+class Coverage:
+    """State of a session from its windows' coverage by modality.
 
-    In this order: a gap resets what was smoothed and the dwell; the third invalid window in a row returns to a safer
-    condition; the last three values are smoothed by their median; high or rising discomfort steps towards less load
-    and marks the condition as risky; the first windows only watch; then a long dwell or low relaxation explores the
-    neighbour with fewest visits, the longest unseen, the least load and the lowest number, risky ones and, until
-    both its sides have been calm, the ninth left out.
+    Fewer than ``active`` modalities of coverage ``least`` degrade it, and the ``limit``-th such window in a row locks the
+    failsafe for good. A headset that is known not to be worn holds, and starts the count anew.
     """
 
-    columns = "kind string, cycle long, start long, stop long, condition string, action string, reason string, relaxation double, discomfort double, dwell long"
+    inputs = ["ms", "coverage", "worn"]
+    order = ["ms"]
+    columns = "at long, state string, action string, reason string, n_active long, low_windows long"
 
-    def __init__(self, gap: int = CYCLE_MS):
-        self.gap = gap
+    def __init__(self, least: float = 0.5, active: int = 2, limit: int = LOW_LIMIT):
+        self.least, self.active, self.limit = least, active, limit
 
     def begin(self) -> dict:
-        return {"at": 5, "recent": [], "invalid": 0, "dwell": 0, "seen": 0, "last": None, "risky": [], "calm": [], "visits": {"5": 1}, "when": {"5": 0}, "step": 0}
+        return {"low": 0, "locked": False}
 
-    @staticmethod
-    def neighbours(c: int) -> list[int]:
-        i, f = divmod(c - 1, 3)
-        return [3 * a + b + 1 for a in range(3) for b in range(3) if abs(a - i) + abs(b - f) == 1]
+    def feed(self, s: dict, ms: int, coverage: list[float], worn: bool | None) -> Iterator[tuple]:
+        n = sum(c is not None and c >= self.least for c in coverage)
+        if s["locked"]:
+            yield (ms, "Failsafe", "failsafe", "failsafe_locked", n, s["low"])
+            return
+        if worn is False:
+            s["low"] = 0
+            yield (ms, "Degraded", "hold", "headset_not_worn", n, 0)
+        elif n >= self.active:
+            s["low"] = 0
+            yield (ms, "Running", "decide", "", n, 0)
+        else:
+            s["low"] += 1
+            s["locked"] = s["low"] >= self.limit
+            if s["locked"]:
+                yield (ms, "Failsafe", "failsafe", "low_modality_coverage_timeout", n, s["low"])
+            else:
+                yield (ms, "Degraded", "hold", "insufficient_active_modalities", n, s["low"])
+
+
+class Memory:
+    """What a session remembers of its conditions: windows dwelt, visits among the last ones, and cooldowns.
+
+    A condition of high load that is applied cools for ``cooldown`` windows; every window takes one off.
+    """
+
+    inputs = ["ms", "target", "applied"]
+    order = ["ms"]
+    columns = "at long, condition long, dwell long, visits long, cooling string"
+
+    def __init__(self, cooldown: int = COOLDOWN, high: tuple[int, ...] = HIGH_LOAD, first: int = 5):
+        self.cooldown, self.high, self.first = cooldown, high, first
+
+    def begin(self) -> dict:
+        return {"now": self.first, "dwell": 0, "history": [], "cool": {}}
+
+    def feed(self, s: dict, ms: int, target: int, applied: bool) -> Iterator[tuple]:
+        s["cool"] = {c: n - 1 for c, n in s["cool"].items() if n > 1}
+        now = int(target) if applied else s["now"]
+        s["dwell"] = s["dwell"] + 1 if now == s["now"] else 1
+        s["now"] = now
+        s["history"] = (s["history"] + [now])[-HISTORY:]
+        if applied and now in self.high:
+            s["cool"][str(now)] = self.cooldown
+        yield (ms, now, s["dwell"], s["history"].count(now), ",".join(f"{c}:{n}" for c, n in sorted(s["cool"].items())))
+
+
+class Controller:
+    """Safety-first virtual recommendations from two predictions a window, with ratings revealed after the fact.
+
+    The rating of a condition becomes known when the session leaves it, once, and never before. In this order: a gap
+    restarts smoothing and dwell; invalid windows hold, and from the third on return towards safety; a revealed risk,
+    smoothed discomfort that is high or one that rises steps back; then warm-up and recovery only watch; then monotony, low
+    relaxation or a long dwell explore a neighbour. Risky conditions are left out, and the ninth too while it is locked: both
+    of its axes must have been rated safe, discomfort be low and steady, and the last rating neither high nor too strong.
+    """
+
+    inputs = ["ms", "condition", "relaxation", "discomfort", "valid", "rating"]
+    order = ["ms"]
+    columns = "step long, at long, before long, after long, action string, reason string, state string, relaxation double, discomfort double, dwell long, revealed long, signal_valid boolean, gap_reset boolean, c9_locked boolean"
+
+    def __init__(self, gap: int = CYCLE_MS, baseline: float = 0.5, eps_relaxation: float = 0.05, eps_discomfort: float = 0.05, high: float = 0.5, monotony: float = 0.6, least: int = 3, longest: int = 6, fallback: int = 5):
+        self.gap, self.baseline, self.eps_relaxation, self.eps_discomfort = gap, baseline, eps_relaxation, eps_discomfort
+        self.high, self.monotony, self.least, self.longest, self.fallback = high, monotony, least, longest, fallback
+
+    def begin(self) -> dict:
+        return {
+            "at": self.fallback, "state": "warming_up", "relaxation": [], "discomfort": [], "seen": 0, "invalid": 0, "dwell": 0, "step": 0, "last_ms": None, "axis": None, "came": None,
+            "visits": {str(self.fallback): 1}, "when": {str(self.fallback): 0}, "ratings": {}, "risky": [], "safe": [], "intensity_safe": False, "frequency_safe": False, "latest": None, "actual": None, "pending": None,
+        }
 
     @staticmethod
-    def safer(c: int) -> int:
-        return c - 3 if c > 3 else c - 1 if c > 1 else c
+    def place(c: int) -> tuple[int, int]:
+        return divmod(c - 1, 3)
+
+    @classmethod
+    def neighbours(cls, c: int) -> list[int]:
+        i, f = cls.place(c)
+        return [n for n in range(1, 10) if abs(cls.place(n)[0] - i) + abs(cls.place(n)[1] - f) == 1]
+
+    @classmethod
+    def load(cls, c: int) -> int:
+        return sum(cls.place(c))
+
+    def towards(self, start: int, goal: int) -> int:
+        """One step on one axis, intensity first."""
+        (i, f), (a, b) = self.place(start), self.place(goal)
+        if i != a:
+            return start + (3 if a > i else -3)
+        return start + (b > f) - (b < f)
+
+    def rising(self, s: dict) -> bool:
+        d = s["discomfort"]
+        return len(d) == 3 and d[0] < d[1] < d[2] and d[2] - d[0] > self.eps_discomfort
+
+    def reveal(self, s: dict, condition: int, rating: dict | None) -> tuple[int | None, bool]:
+        """On a change of the actual condition: (the finished condition, whether its rating is a risk)."""
+        done, known = s["actual"], s["pending"]
+        s["actual"], s["pending"] = condition, rating
+        if done is None or done == condition or known is None or str(done) in s["ratings"]:
+            return None, False
+        s["ratings"][str(done)] = s["latest"] = known
+        strong = known.get("direction") == "too_strong"
+        risk = known["discomfort"] >= self.high or strong
+        if risk:
+            s["risky"] = sorted({*s["risky"], done})
+        elif known.get("fits"):
+            s["safe"] = sorted({*s["safe"], done})
+            i, f = self.place(done)
+            s["intensity_safe"] |= i == 2 and f < 2
+            s["frequency_safe"] |= f == 2 and i < 2
+        return done, risk
+
+    def locked(self, s: dict, smooth: float | None) -> bool:
+        last = s["latest"]
+        open_axes = s["intensity_safe"] and s["frequency_safe"]
+        calm = smooth is not None and smooth < self.high and not self.rising(s)
+        rated = last is not None and last["discomfort"] < self.high and last.get("direction") not in (None, "too_strong")
+        return not (open_axes and calm and rated)
+
+    def safer(self, s: dict) -> int:
+        """Back where it came from if that was a step down in load and no risk; else towards the nearest safe condition."""
+        at, came = s["at"], s["came"]
+        if came is not None and self.load(at) > self.load(came) and came not in s["risky"]:
+            return came
+        (i, f) = self.place(at)
+        safe = sorted({*s["safe"], self.fallback}, key=lambda c: (abs(self.place(c)[0] - i) + abs(self.place(c)[1] - f), self.load(c), c))
+        return self.towards(at, safe[0] if safe[0] != at else self.fallback)
 
     def move(self, s: dict, to: int) -> None:
-        s.update(at=to, dwell=0)
+        s["axis"] = "intensity" if abs(to - s["at"]) == 3 else "frequency"
+        s.update(came=s["at"], at=to, dwell=0)
         s["visits"][str(to)] = s["visits"].get(str(to), 0) + 1
         s["when"][str(to)] = s["step"]
 
-    def explore(self, s: dict, gentle: bool) -> int | None:
+    def explore(self, s: dict, smooth: float, gentle: bool) -> int | None:
         options = [c for c in self.neighbours(s["at"]) if c not in s["risky"]]
-        if not {6, 8} <= set(s["calm"]):
-            options = [c for c in options if c != 9]
+        options = [c for c in options if c != 9 or not self.locked(s, smooth)]
         if gentle:
-            options = [c for c in options if (c - 1) // 3 <= (s["at"] - 1) // 3]
-        rank = lambda c: (s["visits"].get(str(c), 0), s["when"].get(str(c), -1), sum(divmod(c - 1, 3)), c)
+            options = [c for c in options if self.place(c)[0] <= self.place(s["at"])[0]]
+
+        def rank(c: int) -> tuple:
+            k, rated = str(c), s["ratings"].get(str(c))
+            axis = "intensity" if abs(c - s["at"]) == 3 else "frequency"
+            liked = (rated.get("relaxation") or 0.0) + (rated.get("pleasantness") or 0.0) if rated else 0.0
+            visits = s["visits"].get(k, 0)
+            return (rated is not None or visits > 0, visits, s["when"].get(k, -1), self.load(c), not (s["axis"] is not None and axis != s["axis"]), -liked, c)
+
         return min(options, key=rank, default=None)
 
-    def feed(self, s: dict, ms: int, condition: str, value: float) -> Iterator[tuple]:
-        """``value``: discomfort, 0 to 1; relaxation is its complement; a NULL is an invalid window."""
+    def feed(self, s: dict, ms: int, condition: int, relaxation: float, discomfort: float, valid: bool, rating: dict | None) -> Iterator[tuple]:
         s["step"] += 1
-        if s["last"] is not None and ms - s["last"] > self.gap:
-            s.update(recent=[], dwell=0)
-        s["last"] = ms
-        action, reason = "hold", "watch"
-        if value is None or value != value:
+        before, action, reason = s["at"], "hold", "minimum_observation_warmup"
+        done, risk = self.reveal(s, condition, rating)
+        gap = s["last_ms"] is not None and ms - s["last_ms"] > self.gap
+        s["last_ms"] = ms
+        if gap:
+            s.update(relaxation=[], discomfort=[], seen=0, dwell=0)
+        if not valid or relaxation is None or discomfort is None:
             s["invalid"] += 1
             reason = "signal_invalid_hold"
-            if s["invalid"] >= INVALID_LIMIT and self.safer(s["at"]) != s["at"]:
-                self.move(s, self.safer(s["at"]))
-                action, reason = "safe_return", "three_invalid_windows"
-            yield ("decision", s["step"], ms, ms + self.gap, f"C{s['at']}", action, reason, None, None, s["dwell"])
+            if s["invalid"] >= 3:
+                s["state"], to, reason = "signal_safe_return", self.safer(s), "three_invalid_windows_already_safe"
+                if to != s["at"]:
+                    self.move(s, to)
+                    action, reason = "step", "three_invalid_windows_safe_return"
+            calm, tense = (float(median(s[k])) if s[k] else None for k in ("relaxation", "discomfort"))
+            yield (s["step"], ms, before, s["at"], action, reason, s["state"], calm, tense, s["dwell"], done, False, gap, self.locked(s, tense))
             return
-        s["invalid"], s["seen"] = 0, s["seen"] + 1
-        s["recent"] = (s["recent"] + [value])[-3:]
+        if s["invalid"]:
+            s.update(relaxation=[], discomfort=[], seen=0, invalid=0)
+        s["relaxation"], s["discomfort"] = (s["relaxation"] + [relaxation])[-3:], (s["discomfort"] + [discomfort])[-3:]
+        s["seen"] += 1
         s["dwell"] += 1
-        smooth = float(median(s["recent"]))
-        rising = len(s["recent"]) == 3 and s["recent"][0] < s["recent"][1] < s["recent"][2] and s["recent"][2] - s["recent"][0] > RISE
-        if smooth >= HIGH_DISCOMFORT or rising:
-            s["risky"] = sorted({*s["risky"], s["at"]}) if smooth >= HIGH_DISCOMFORT else s["risky"]
-            reason = "high_discomfort" if smooth >= HIGH_DISCOMFORT else "rising_discomfort"
-            if self.safer(s["at"]) != s["at"]:
-                self.move(s, self.safer(s["at"]))
-                action = "recover"
-        elif s["seen"] <= WARM_UP:
-            reason = "warm_up"
+        calm, tense = float(median(s["relaxation"])), float(median(s["discomfort"]))
+        if risk or self.rising(s) or s["seen"] >= self.least and tense >= self.high:
+            s["state"], to, reason = "recovering", self.safer(s), "safety_hold"
+            if to != s["at"]:
+                self.move(s, to)
+                action, reason = "step", "rating_recovery" if risk else "discomfort_recovery"
+        elif s["seen"] < self.least:
+            s["state"] = "warming_up"
+        elif s["state"] in ("recovering", "signal_safe_return"):
+            reason = "recovery_observation"
+            if s["dwell"] >= self.least:
+                s["state"], reason = "active", "recovery_complete_hold"
         else:
-            s["calm"] = sorted({*s["calm"], s["at"]})
-            gentle = 1 - smooth <= LOW_RELAXATION
-            if s["dwell"] >= MAX_DWELL or gentle:
-                to = self.explore(s, gentle)
-                reason = "max_dwell" if s["dwell"] >= MAX_DWELL else "low_relaxation"
+            s["state"], reason = "active", "active_observation_hold"
+            enough, overdue = s["dwell"] >= self.least, s["dwell"] >= self.longest
+            bored = s["latest"] is not None and (s["latest"].get("monotony") or 0.0) >= self.monotony and enough
+            low = calm < self.baseline - self.eps_relaxation and enough
+            if bored or low or overdue:
+                to, reason = self.explore(s, tense, low and not overdue), "exploration_filtered_hold"
                 if to is not None:
                     self.move(s, to)
-                    action = "explore"
-        yield ("decision", s["step"], ms, ms + self.gap, f"C{s['at']}", action, reason, 1 - smooth, smooth, s["dwell"])
+                    action, reason = "step", "monotony_exploration" if bored else "low_relaxation_probe" if low and not overdue else "maximum_dwell_exploration"
+        yield (s["step"], ms, before, s["at"], action, reason, s["state"], calm, tense, s["dwell"], done, True, gap, self.locked(s, tense))
+
+
+CHUNK = 5_000
+"""Rows of output that are handed on at once."""
 
 
-def _rows(machine, state: dict, frame: pd.DataFrame, session) -> pd.DataFrame:
-    names = [c.strip().split(" ")[0] for c in machine.columns.split(",")]
-    out = []
-    for ms, condition, value in frame.sort_values(["ms", "condition", "value"])[["ms", "condition", "value"]].itertuples(index=False):
-        out += machine.feed(state, int(ms), condition, None if pd.isna(value) else float(value))
-    return pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None).assign(session=session)
+def _names(machine) -> list[str]:
+    return [c.strip().split(" ")[0] for c in machine.columns.split(",")]
+
+
+def _plain(x):
+    """A machine's input as plain Python: NULL for NaN, lists and dicts for arrays and structs."""
+    if isinstance(x, dict):
+        return {k: _plain(v) for k, v in x.items()}
+    if hasattr(x, "tolist"):
+        return _plain(x.tolist())
+    if isinstance(x, list):
+        return [_plain(v) for v in x]
+    return None if x is None or x != x or x is pd.NaT else x
+
+
+def _run(machine, state: dict, frame: pd.DataFrame, session) -> Iterator[pd.DataFrame]:
+    """The machine's output for rows in order, a chunk at a time."""
+    out, names = [], _names(machine)
+    chunk = lambda rows: pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None).assign(session=session)
+    for row in frame[machine.inputs].itertuples(index=False):
+        ms, *rest = map(_plain, row)
+        out += machine.feed(state, int(ms), *rest)
+        if len(out) >= CHUNK:
+            yield chunk(out)
+            out = []
+    if out:
+        yield chunk(out)
 
 
 def stream(rows: DataFrame, machine) -> DataFrame:
-    """``rows`` (session long, ms long, condition string, value double), a stream, through the machine, state per session."""
+    """``rows`` (session long and the machine's inputs and order), a stream, through the machine, state per session.
+
+    The rows of a session in one micro-batch are put in order in memory; the source's options bound a micro-batch.
+    """
+    schema = f"session long, {machine.columns}"
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = json.loads(state.get[0]) if state.exists else machine.begin()
-        out = [_rows(machine, s, pd.concat(list(frames)), key[0])]
+        for out in _run(machine, s, pd.concat(list(frames)).sort_values(machine.order, kind="stable"), key[0]):
+            yield out[["session", *_names(machine)]]
         state.update((json.dumps(s),))
-        yield from out
 
-    schema = f"session long, {machine.columns}"
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return rows.groupBy("session").applyInPandasWithState(lambda k, f, s: (x[names] for x in run(k, f, s)), schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("session").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def replay(rows: DataFrame, machine) -> DataFrame:
-    """Recorded rows of each session, in order, through the same machine."""
+    """Recorded rows of each session, in order, through the same machine. Spark sorts them within its partitions; a task
+    holds one batch of rows and one state, however long a session is."""
     schema = f"session long, {machine.columns}"
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return rows.groupBy("session").applyInPandas(lambda g: _rows(machine, machine.begin(), g, g["session"].iloc[0])[names], schema)
+    need = list(dict.fromkeys(["session", *machine.order, *machine.inputs]))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for frame in frames:
+            change = frame["session"].ne(frame["session"].shift()).cumsum()
+            for _, part in frame.groupby(change, sort=False):
+                session = part["session"].iloc[0]
+                if now != session:
+                    now, state = session, machine.begin()
+                for out in _run(machine, state, part, session):
+                    yield out[["session", *_names(machine)]]
+
+    return rows.select(*need).repartition("session").sortWithinPartitions("session", *machine.order).mapInPandas(run, schema)
+
+
+def silences(rows: DataFrame, timeout: int, late: str) -> DataFrame:
+    """(session, source, kind, at): when a source falls silent, ``timeout`` ms after its last row, and when it is back.
+
+    ``rows`` (session long, source string, ts timestamp), a stream. A source that never comes back is reported by a
+    timer on event time, once the watermark (``late`` behind the newest row of all) has passed it.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, silent = state.get if state.exists else (None, False)
+        out = []
+        if state.hasTimedOut:
+            silent, out = True, [("silent", last + timeout)]
+        else:
+            stamps = pd.concat([f["ms"] for f in frames])
+            for ms in sorted(stamps.tolist()):
+                if last is not None and ms - last > timeout:
+                    out += [] if silent else [("silent", last + timeout)]
+                    out.append(("back", ms))
+                last, silent = max(ms, last or ms), False
+            if not silent and last + timeout < state.getCurrentWatermarkMs():
+                silent = True
+                out.append(("silent", last + timeout))
+        state.update((last, silent))
+        if not silent:
+            state.setTimeoutTimestamp(last + timeout)
+        yield pd.DataFrame([(key[0], key[1], *o) for o in out], columns=["session", "source", "kind", "at"])
+
+    timed = rows.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    return timed.groupBy("session", "source").applyInPandasWithState(run, "session long, source string, kind string, at long", "last long, silent boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -197,15 +424,22 @@ def decode_frames(raw: DataFrame, payload: str = "value", keep: list[str] = ())
     return j.select(*keep, "_j.session", "_j.source", "_j.ms", "_j.x", reject.alias("reject"))
 
 
-def watermarked(events: DataFrame, ts: str, keys: list[str], value: str, late: str, length: str, slide: str | None = None) -> DataFrame:
-    """Tumbling or sliding event-time windows: count, mean, std, least, greatest, root mean square, peak to peak."""
+def watermarked(events: DataFrame, ts: str, keys: list[str], value: str, late: str, length: str, slide: str | None = None, points: int = 0) -> DataFrame:
+    """Tumbling or sliding event-time windows: count, mean, std, least, greatest, root mean square, peak to peak; with
+    ``points`` also that many values spread over the window, the last of each equal part."""
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
     stats = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.sqrt(F.avg(F.col(value) ** 2)).alias("rms"), (F.max(value) - F.min(value)).alias("peak_to_peak")]
-    return events.withWatermark(ts, late).groupBy(*keys, w.alias("w")).agg(*stats)
-
-
-def latest(events: DataFrame, key: str, ts: str, columns: list[str], kind: str) -> DataFrame:
-    """Per key the last row's columns, and the last time of each kind as a map; for update-mode streams."""
-    return events.groupBy(key).agg(*[F.max_by(c, ts).alias(c) for c in columns], F.max(ts).alias("last_time"), F.count("*").alias("n_rows"), F.count_distinct(kind).alias("kinds") if not events.isStreaming else F.approx_count_distinct(kind).alias("kinds"))
-
-
+    d = events.withWatermark(ts, late).withColumn("w", w)
+    if points:
+        us = F.unix_micros
+        part = F.floor((us(F.col(ts)) - us(F.col("w.start"))) * points / (us(F.col("w.end")) - us(F.col("w.start"))))
+        d = d.withColumn("_part", part)
+        stats.append(F.array(*[F.max_by(F.when(F.col("_part") == i, F.col(value)), F.when(F.col("_part") == i, F.col(ts))) for i in range(points)]).alias("series"))
+    return d.groupBy(*keys, "w").agg(*stats)
+
+
+def latest(events: DataFrame, key: str, ts: str, columns: list[str], kind: str, kinds: list[str], now: Column) -> DataFrame:
+    """Per key the last row's columns and, by kind (a fixed few), the age in ms of its last row; NULL for one never seen.
+    For update-mode streams."""
+    seen = [(F.max(now) - F.max(F.when(F.col(kind) == k, now))).alias(f"age_{k}") for k in kinds]
+    return events.groupBy(key).agg(*[F.max_by(c, ts).alias(c) for c in columns], F.count("*").alias("n_rows"), *seen)

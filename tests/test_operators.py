@@ -41,6 +41,17 @@ def test_dialect_csv(spark, tmp_path):
     assert [r.y for r in T.read_dialect_csv(spark, str(tmp_path / "b.csv"), ["y"]).collect()] == [1.78057e12, 33.615214]
 
 
+def test_dialects_by_file_with_spaces_quotes_and_repeated_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('sep=;\nUnix Time;"y; 1";Note\n1,5;2,5;"a ""b"" ; c"\nUnix Time;y; 1\n\n')
+    (tmp_path / "b.csv").write_text('"Unix Time","y; 1",Other\n3.5,4.5,z\n')
+    got = T.read_dialect_csv(spark, str(tmp_path), ["Unix Time"])
+    rows = {tuple(r[c] for c in ("Unix Time", "y; 1", "Note", "Other")) for r in got.collect()}
+    assert rows == {(1.5, "2,5", 'a "b" ; c', None), (None, "y", " 1", None), (3.5, "4.5", None, "z")}
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.csv").write_text("")
+    assert T.read_dialect_csv(spark, str(tmp_path / "empty"), ["y"]).count() == 0
+
+
 def test_identifiers(spark):
     df = spark.createDataFrame([("p3", "c05"), ("N 003", "C9"), ("x", "c0")], "p string, c string")
     assert [tuple(r) for r in df.select(S.normalize_participant(F.col("p")), S.normalize_condition(F.col("c"))).collect()] == [("P003", "C5"), ("P003", "C9"), (None, None)]
@@ -141,14 +152,56 @@ def test_condition_windows_reset_and_reject_late_rows():
     assert w[:4] == ("window", 0, 12_345, 22_345) and w[5] == 2
     (late,) = m.feed(s, 20_000, "C2", 1.0)
     assert late[0] == "late"
-    assert list(m.feed(s, 30_000, "C2", 1.0)) == []
+    (gone,) = m.feed(s, 30_000, "C2", 1.0)
+    assert gone[:6] == ("evict", 1, 22_345, 30_000, "C1", 1)
     (w,) = m.feed(s, 40_000, "C2", 1.0)
-    assert w[:5] == ("window", 0, 30_000, 40_000, "C2")
+    assert w[:5] == ("window", 0, 30_000, 40_000, "C2") and w[-1] == 49_500
+
+
+def test_second_session_is_refused_until_the_first_ends():
+    m = Z.Sessions()
+    s = m.begin()
+    said = [m_[0] for ms, name, stop in [(1, "a", False), (2, "a", False), (3, "b", False), (4, None, True), (5, "b", False), (6, "a", False), (7, None, True), (8, None, True)] for m_ in m.feed(s, ms, name, stop)]
+    assert said == ["begin", "refused", "end", "begin", "refused", "end"]
+
+
+def test_low_coverage_locks_the_failsafe_and_a_headset_off_holds():
+    m = Z.Coverage()
+    s = m.begin()
+    good, low = [0.9, 0.9, 0.0, None], [0.9, 0.4, None, 0.0]
+    states = [next(m.feed(s, i, c, worn))[1:4] for i, (c, worn) in enumerate([(good, True), (low, True), (low, None), (low, False), (low, True), (low, True), (good, True), (low, True), (low, True), (low, True), (good, True)])]
+    assert [x[0] for x in states] == ["Running", "Degraded", "Degraded", "Degraded", "Degraded", "Degraded", "Running", "Degraded", "Degraded", "Failsafe", "Failsafe"]
+    assert states[3][2] == "headset_not_worn" and states[-2][2] == "low_modality_coverage_timeout" and states[-1][2] == "failsafe_locked"
+
 
+def test_silence_is_reported_by_timer_over_several_batches(spark, tmp_path):
+    day = "2024-01-01 00:"
+    batches = [[(1, "head", "00:00"), (1, "eye", "00:00")], [(1, "head", "00:02"), (2, "head", "05:00")], [(1, "head", "06:00"), (2, "head", "06:01")]]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "session long, source string, t string").select("session", "source", F.to_timestamp(F.concat(F.lit(day), "t")).alias("ts"))
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    out = Z.run_to_table(Z.silences(src, 3_000, "1 second"), str(tmp_path)).collect()
+    start = 1_704_067_200_000
+    got = sorted((r.session, r.source, r.kind, (r["at"] - start) // 1000) for r in out)
+    assert got == [(1, "eye", "silent", 3), (1, "head", "back", 360), (1, "head", "silent", 5), (2, "head", "back", 361), (2, "head", "silent", 303)]
 
-@pytest.mark.parametrize("machine", [Z.Windows(3_600_000), Z.Controller(86_400_000)])
-def test_stream_and_batch_agree_over_several_batches(spark, sf_dir, tmp_path, machine):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_type").alias("condition"), (F.col("value") / 150).alias("value"))
+
+def controller_rows(spark, sf_dir):
+    from tessera.plans.stream_queries import predictions
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return predictions(e.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def window_rows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("user_id").alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_type").alias("condition"), "value")
+
+
+@pytest.mark.parametrize("rows, machine", [(window_rows, Z.Windows(3_600_000)), (controller_rows, Z.Controller(86_400_000))])
+def test_stream_and_batch_agree_over_several_batches(spark, sf_dir, tmp_path, rows, machine):
+    e = rows(spark, sf_dir)
     cuts = e.approxQuantile("ms", [0.33, 0.66], 0.0)
     parts = [e.filter(F.col("ms") < cuts[0]), e.filter((F.col("ms") >= cuts[0]) & (F.col("ms") < cuts[1])), e.filter(F.col("ms") >= cuts[1])]
     for i, p in enumerate(parts):
@@ -160,12 +213,44 @@ def test_stream_and_batch_agree_over_several_batches(spark, sf_dir, tmp_path, ma
     assert sorted(map(str, got.drop("batch").collect())) == sorted(map(str, want.collect()))
 
 
-def test_controller_never_jumps_and_unlocks_nine_last():
+def controller_session(n=400, seed=1):
+    rng = np.random.default_rng(seed)
+    rows, shown = [], 5
+    for i in range(n):
+        if i % 17 == 0:
+            shown = int(rng.integers(1, 10))
+        rating = {"discomfort": float(rng.random() * 0.7), "relaxation": 0.5, "pleasantness": 0.4, "monotony": float(rng.random()), "fits": True, "direction": "balanced"}
+        rows.append((i * 10_000 + 60_000 * (i // 50), shown, float(rng.random()), float(rng.random() * 0.6), i % 50 not in (7, 8, 9), rating))
+    return rows
+
+
+def test_controller_moves_one_step_and_unlocks_nine_by_ratings():
+    for seed in range(5):
+        m = Z.Controller()
+        s, at = m.begin(), 5
+        for row in controller_session(seed=seed):
+            (r,) = m.feed(s, *row)
+            step, ms, before, after, action, reason, *_ = r
+            assert before == at and (after == at or after in m.neighbours(at)) and (action == "hold") == (after == before)
+            if after == 9 and action != "hold" and "exploration" in reason:
+                assert s["intensity_safe"] and s["frequency_safe"] and s["latest"]["discomfort"] < 0.5
+            at = after
+
+
+def test_ratings_act_only_after_their_condition_is_left():
+    rows = controller_session()
+    decide = lambda data: [r[:11] for row in data for r in m.feed(s, *row)]
     m = Z.Controller()
-    s, at = m.begin(), 5
-    for i in range(400):
-        for row in m.feed(s, i * 10_000, "x", None if i % 50 in (7, 8, 9) else 0.1 + 0.6 * (i % 37 == 0)):
-            now = int(row[4][1:])
-            assert now == at or now in m.neighbours(at)
-            assert now != 9 or {6, 8} <= set(s["calm"])
-            at = now
+    s = m.begin()
+    want = decide(rows)
+    # a condition that is new, and was no risk, is rated otherwise all the time that it is shown
+    until = lambda i: next(j for j in range(i + 1, 400) if rows[j][1] != rows[i][1])
+    cut = next(i for i in range(10, 300) if rows[i][1] not in {r[1] for r in rows[:i]} and rows[until(i) - 1][5]["discomfort"] < 0.5)
+    stay = until(cut)
+    other = [(*r[:5], r[5] | {"discomfort": 1.0, "direction": "too_strong"}) if cut <= i < stay else r for i, r in enumerate(rows)]
+    s = m.begin()
+    got = decide(other)
+    assert got[:stay] == want[:stay]
+    assert got[stay:] != want[stay:] and got[stay][10] == rows[cut][1]
+    revealed = [r[10] for r in want if r[10] is not None]
+    assert len(revealed) == len(set(revealed))
