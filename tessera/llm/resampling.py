@@ -78,7 +78,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> np.nd
     """
     small_batches(docs.sparkSession)
     ids = target_ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).filter("doc_id is not null").distinct().withColumn("\x00target", F.lit(True))
-    marked = join_sparse(docs.select("doc_id", "text"), ids, "left", "doc_id").select(F.coalesce("\x00target", F.lit(False)).alias("target"), "text")
+    marked = join_sparse(docs.select("doc_id", "text"), ids, "left", "doc_id", shuffled=True).select(F.coalesce("\x00target", F.lit(False)).alias("target"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, n, t = Grams(buckets), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)

@@ -80,16 +80,17 @@ BUCKETS = 1 << 20
 """Hash classes of keys; at most so many rows are broadcast by ``join_sparse``, whatever the corpus."""
 
 
-def join_sparse(rows: DataFrame, lists: DataFrame, how: str = "inner", key: str = "key") -> DataFrame:
+def join_sparse(rows: DataFrame, lists: DataFrame, how: str = "inner", key: str = "key", shuffled: bool = False) -> DataFrame:
     """Join on ``key``, "inner" or "left", of wide rows with something that few of them have.
 
     The hash classes of the keys in ``lists`` are broadcast, and rows of other classes stay out of the shuffle.
-    Where most keys are listed this is a common join.
+    Where most keys are listed this is a common join. ``shuffled``: never a broadcast of ``lists`` themselves, for
+    one plan at every size.
     """
     lists = cut(lists)
     bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
     some = F.broadcast(lists.select(bucket.alias("\x00bucket")).distinct())
-    met = rows.join(some, bucket == F.col("\x00bucket"), "left_semi").join(lists, key, how)
+    met = rows.join(some, bucket == F.col("\x00bucket"), "left_semi").join(lists.hint("merge") if shuffled else lists, key, how)
     if how == "inner":
         return met
     return met.unionByName(rows.join(some, bucket == F.col("\x00bucket"), "left_anti"), allowMissingColumns=True)
