@@ -154,10 +154,10 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.array_join(v, ",").alias("violations"))
 
 
-@query("validate_predictions", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'truth_differs' WHEN doc_id % 11 = 0 THEN 'not_finite' WHEN doc_id % 13 = 0 THEN 'out_of_range' END AS problem FROM labels WHERE doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0")
+@query("validate_predictions", "SELECT doc_id, CASE WHEN quality = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'truth_differs' WHEN doc_id % 11 = 0 THEN 'not_finite' WHEN doc_id % 13 = 0 THEN 'out_of_range' END AS problem FROM labels WHERE quality = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0")
 def _(t: Tables) -> DataFrame:
     i = F.col("doc_id")
-    found = t.labels.filter(i % 5 != 0).select("doc_id", F.when(i % 7 == 0, F.col("toxic") + 1).otherwise(F.col("toxic")).alias("toxic"), F.when(i % 11 != 0, F.when(i % 13 == 0, 2.0).otherwise(0.5)).alias("pred"))
+    found = t.labels.filter("quality = 1").select("doc_id", F.when(i % 7 == 0, F.col("toxic") + 1).otherwise(F.col("toxic")).alias("toxic"), F.when(i % 11 != 0, F.when(i % 13 == 0, 2.0).otherwise(0.5)).alias("pred"))
     return C.prediction_problems(t.labels, found, ["doc_id"], "toxic", "pred")
 
 

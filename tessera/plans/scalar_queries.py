@@ -202,10 +202,11 @@ def _(t: Tables) -> DataFrame:
     return t.labels.select("doc_id", "toxic", (F.col("toxic") >= 0.5).alias("high_risk"), F.when(F.col("quality") == 1, "ok").otherwise("warning").alias("status"))
 
 
-@query("filter_plausible_time", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE epoch_us(ts) // 1000 >= 100000000000 AND event_id % 4 <> 0")
+@query("filter_plausible_time", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE epoch_us(ts) // 1000 >= 100000000000 AND event_type <> 'error'")
 def _(t: Tables) -> DataFrame:
-    direct = F.when(F.col("event_id") % 4 == 0, F.lit(1780.0)).when(F.col("event_id") % 4 == 1, F.lit(None)).otherwise(F.unix_millis("ts").cast("double"))
-    iso = F.when(F.col("event_id") % 4 == 1, F.unix_millis("ts"))
+    kind = F.col("event_type")  # errors have a rounded clock, views only an ISO time
+    direct = F.when(kind == "error", F.lit(1780.0)).when(kind == "view", F.lit(None)).otherwise(F.unix_millis("ts").cast("double"))
+    iso = F.when(kind == "view", F.unix_millis("ts"))
     ms = F.coalesce(iso, direct.cast("long"))
     return t.events.select("event_id", ms.alias("ms")).filter(ms.isNotNull() & (ms >= 100_000_000_000))
 
