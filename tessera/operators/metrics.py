@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.ranges import running
+
 
 def regression(t: Column, p: Column) -> list[Column]:
     """MAE, RMSE, R2, concordance and Pearson correlation as aggregates."""
@@ -35,24 +37,10 @@ def confusion(truth: Column, flag: Column) -> list[Column]:
 
 
 def by_score(df: DataFrame, score: str, truth: Column) -> DataFrame:
-    """(score, n, pos, n_above, pos_above): counts of each score and of all at or above it.
-
-    Scores are grouped first and dealt into ranges by their approximate quantiles, as many as shuffle partitions; each
-    range runs its own sums and takes over the totals of the ranges above it, a row for each range. So no task sorts all
-    scores, however many of them differ.
-    """
+    """(score, n, pos, n_above, pos_above): counts of each score and of all at or above it. Scores are grouped first, and
+    run in ranges, so no task sorts all of them, however many differ."""
     g = df.groupBy(score).agg(F.count("*").alias("n"), F.count_if(truth).alias("pos"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
-    bounds = sorted(set(g.agg(F.percentile_approx(F.col(score).cast("double"), shares)).head()[0] or []))
-    cuts = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    g = g.withColumn("_part", F.size(F.filter(cuts, lambda b: b <= F.col(score).cast("double"))))
-    w = Window.partitionBy("_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    top = g.groupBy("_part").agg(F.sum("n").alias("_tn"), F.sum("pos").alias("_tp"))
-    before = Window.partitionBy(F.lit(1)).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    top = top.select("_part", F.coalesce(F.sum("_tn").over(before), F.lit(0)).alias("_an"), F.coalesce(F.sum("_tp").over(before), F.lit(0)).alias("_ap"))
-    out = g.join(F.broadcast(top), "_part")
-    return out.select(score, "n", "pos", (F.sum("n").over(w) + F.col("_an")).alias("n_above"), (F.sum("pos").over(w) + F.col("_ap")).alias("pos_above"))
+    return running(g, score, {"n_above": ("sum", "n"), "pos_above": ("sum", "pos")}, descending=True)
 
 
 def average_precision(df: DataFrame, score: str, truth: Column) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.ranges import running
+
 
 def group_optimum(df: DataFrame, keys: list[str], option: str, score: str, tie: str) -> DataFrame:
     """Per group the option of the highest score, then of the lowest ``tie``, then by name; and all of the highest score."""
@@ -20,8 +22,8 @@ def pareto(df: DataFrame, key: str, better_high: str, better_low: str) -> DataFr
     no worse than those of its own level.
     """
     level = df.groupBy(better_high).agg(F.min(better_low).alias("_m"))
-    w = Window.orderBy(F.desc(better_high)).rowsBetween(Window.unboundedPreceding, -1)
-    front = level.withColumn("_b", F.min("_m").over(w)).filter("_b is null or _m < _b").select(better_high, F.col("_m").alias(better_low))
+    level = running(level, better_high, {"_b": ("min", "_m")}, descending=True, own=False)
+    front = level.filter("_b is null or _m < _b").select(better_high, F.col("_m").alias(better_low))
     return df.join(front, [better_high, better_low])
 
 

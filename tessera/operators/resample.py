@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.ranges import numbered
+
 
 def modular_folds(members: DataFrame, key: str, folds: int) -> DataFrame:
     """(key, fold, role) for integer keys: key mod folds is the test fold, the next one validation, the rest train."""
@@ -37,11 +39,11 @@ def bootstrap_clusters(clusters: DataFrame, key: str, n: int, seed: int) -> Data
 
     ``clusters`` has one row per cluster. The i-th draw of a replicate picks a cluster by number.
     """
-    numbered = clusters.select(key).withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
-    size = numbered.agg(F.count("*").alias("size"))
-    picks = replicates(numbered.select("i"), n).join(F.broadcast(size))
+    members = numbered(clusters.select(key), key)
+    size = members.agg(F.count("*").alias("size"))
+    picks = replicates(members.select("i"), n).join(F.broadcast(size))
     pick = F.floor(draw(F.lit(seed), F.col("b"), F.col("i")) * F.col("size"))
-    return picks.select("b", pick.alias("i")).groupBy("b", "i").agg(F.count("*").alias("times")).join(numbered, "i").select("b", key, "times")
+    return picks.select("b", pick.alias("i")).groupBy("b", "i").agg(F.count("*").alias("times")).join(members, "i").select("b", key, "times")
 
 
 def bootstrap_mean(clusters: DataFrame, key: str, total: str, count: str, n: int, seed: int) -> DataFrame:
@@ -63,10 +65,10 @@ def sign_p_value(estimates: DataFrame) -> DataFrame:
 
 def exact_sign_flip(deltas: DataFrame, order: str, delta: str, most: int = 20) -> DataFrame:
     """Two-sided p of the mean over all 2^n signs; raises beyond ``most`` rows."""
-    d = deltas.select(delta, (F.row_number().over(Window.orderBy(order)) - 1).alias("i"))
-    n = d.count()
+    n = deltas.limit(most + 1).count()
     if n > most:
-        raise ValueError(f"{n} deltas: use monte_carlo_sign_flip")
+        raise ValueError(f"over {most} deltas: use monte_carlo_sign_flip")
+    d = deltas.select(delta, (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1).alias("i"))
     observed = d.agg(F.abs(F.sum(delta)).alias("observed"))
     sign = F.when(F.col("m").bitwiseAND(F.pow(F.lit(2), F.col("i")).cast("bigint")) != 0, -1).otherwise(1)
     s = d.sparkSession.range(1 << n).withColumnRenamed("id", "m").join(F.broadcast(d)).groupBy("m").agg(F.abs(F.sum(sign * F.col(delta))).alias("s"))
@@ -218,7 +220,7 @@ def argmax_stability(cells: DataFrame, key: str, option: str, value: str, n: int
 
 def lopo_manifest(members: DataFrame, key: str) -> DataFrame:
     """(fold_index, key, role): in fold i the i-th key is the test, the one after it (cyclic) validation, the rest train."""
-    m = members.select(key).distinct().withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
+    m = numbered(members.select(key).distinct(), key)
     n = m.agg(F.count("*").alias("n"))
     f = m.select(F.col("i").alias("fold_index")).join(F.broadcast(n))
     role = F.when(F.col("i") == F.col("fold_index"), "test").when(F.col("i") == F.pmod(F.col("fold_index") + 1, F.col("n")), "validation").otherwise("train")
