@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a new temporary folder takes its place.
+    Only where that is unset (tests, one machine) a new temporary folder takes its place, one for each application.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    folder, application = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not folder and application not in _OWN:
+        _OWN[application] = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return folder or _OWN[application]
 
 
 def cut(df: DataFrame) -> DataFrame:
