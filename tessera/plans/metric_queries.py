@@ -239,24 +239,24 @@ def _(t: Tables) -> DataFrame:
     return rounded(B.monte_carlo_sign_flip(clusters(t), "user_id", "d", 200, 3), 9)
 
 
-P = "z AS (SELECT user_id AS k, event_type AS f, (avg(value) - 50) / (stddev_samp(value) / sqrt(count(*))) AS z FROM events GROUP BY ALL HAVING count(*) > 2 AND stddev_samp(value) > 0), p AS (SELECT k, f, round(2 / (1 + exp(1.702 * abs(z))), 9) AS p FROM z)"
+P = "z AS (SELECT user_id AS k, event_type AS f, (avg(value) - 50) / (stddev_samp(value) / sqrt(count(*))) AS z FROM events GROUP BY ALL HAVING count(*) > 2 AND stddev_samp(value) > 0), p AS (SELECT k, f, 2 / (1 + exp(1.702 * abs(z))) AS p FROM z)"
 
 
 def ps(t: Tables) -> DataFrame:
     """A test of every user and event type against a mean of 50; p by the logistic curve, which SQL can draw too."""
     z = (F.avg("value") - 50) / (F.stddev_samp("value") / F.sqrt(F.count("*").cast("double")))
     g = t.events.groupBy(F.col("user_id").alias("k"), F.col("event_type").alias("f")).agg(z.alias("z"), F.count("*").alias("n"), F.stddev_samp("value").alias("s")).filter("n > 2 and s > 0")
-    return g.select("k", "f", F.round(2 / (1 + F.exp(1.702 * F.abs("z"))), 9).alias("p"))
+    return g.select("k", "f", (2 / (1 + F.exp(1.702 * F.abs("z")))).alias("p"))
 
 
-@query("holm_adjust", f"WITH {P}, r AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY f) - row_number() OVER (PARTITION BY f ORDER BY p, k) + 1)) AS h FROM p) SELECT f, k, round(max(h) OVER (PARTITION BY f ORDER BY p, k), 8) AS p_holm FROM r")
+@query("holm_adjust", f"WITH {P}, r AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY f) - row_number() OVER (PARTITION BY f ORDER BY p, k) + 1)) AS h FROM p) SELECT f, k, round(max(h) OVER (PARTITION BY f ORDER BY p, k), 6) AS p_holm FROM r")
 def _(t: Tables) -> DataFrame:
-    return rounded(B.holm(ps(t), ["f"], "p", "k").select("f", "k", "p_holm"), 8)
+    return rounded(B.holm(ps(t), ["f"], "p", "k").select("f", "k", "p_holm"), 6)
 
 
-@query("bh_adjust", f"WITH {P}, r AS (SELECT *, least(1.0, p * count(*) OVER (PARTITION BY f) / row_number() OVER (PARTITION BY f ORDER BY p, k)) AS q FROM p) SELECT f, k, round(min(q) OVER (PARTITION BY f ORDER BY p, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 8) AS q_value FROM r")
+@query("bh_adjust", f"WITH {P}, r AS (SELECT *, least(1.0, p * count(*) OVER (PARTITION BY f) / row_number() OVER (PARTITION BY f ORDER BY p, k)) AS q FROM p) SELECT f, k, round(min(q) OVER (PARTITION BY f ORDER BY p, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS q_value FROM r")
 def _(t: Tables) -> DataFrame:
-    return rounded(B.benjamini_hochberg(ps(t), ["f"], "p", "k").select("f", "k", "q_value"), 8)
+    return rounded(B.benjamini_hochberg(ps(t), ["f"], "p", "k").select("f", "k", "q_value"), 6)
 
 
 @query("rank_biserial", f"WITH {U}, r AS (SELECT user_id % 3 AS g, d, rank() OVER (PARTITION BY user_id % 3 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY user_id % 3, abs(d)) - 1) / 2.0 AS r FROM u WHERE d <> 0), s AS (SELECT g, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus FROM r GROUP BY 1) SELECT g, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, round((w_plus - w_minus) / (w_plus + w_minus), 9) AS rank_biserial FROM s")
