@@ -29,7 +29,7 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SAFE = "\\x00-\u024f\u0391-\u03a1\u03a3-\u03ff\u0400-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 """Characters that every Unicode version since 6 puts in the same class. Other texts are split by the library."""
 
-STRETCH = 2_000_000
+STRETCH = 1_000_000
 """Characters of text that share one pair index; a longer text is a stretch of its own."""
 
 CACHED = 100_000
