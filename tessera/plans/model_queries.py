@@ -136,9 +136,11 @@ def _(t: Tables) -> DataFrame:
     return L.pairwise_ranker(cell(t).withColumn("n", F.col("n").cast("double")), ["user_id"], "event_type", "v", ["n", "m"])
 
 
-@query("calibration_blend")
+@query("calibration_blend", f"""WITH {CELL}, z AS (SELECT user_id, event_type, v, coalesce((n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0), 0) AS a, coalesce((m - avg(m) OVER w) / nullif(stddev_pop(m) OVER w, 0), 0) AS b FROM c WINDOW w AS (PARTITION BY user_id)),
+p AS (SELECT x.v > y.v AS up, x.a - y.a AS da, x.b - y.b AS db FROM z x JOIN z y ON x.user_id = y.user_id AND x.event_type < y.event_type AND x.v <> y.v), k AS (SELECT i / 10.0::DOUBLE AS weight FROM (SELECT unnest(range(11)) AS i)), s AS (SELECT weight, avg(CASE WHEN (weight * da + (1 - weight) * db > 0) = up THEN 1 ELSE 0 END) AS accuracy FROM p, k GROUP BY 1)
+SELECT weight, round(accuracy, 9) AS accuracy, row_number() OVER (ORDER BY accuracy DESC, weight) = 1 AS best FROM s""")
 def _(t: Tables) -> DataFrame:
-    return L.blend(cell(t), ["user_id"], "event_type", "v", "n", "m")
+    return rounded(L.blend(cell(t), ["user_id"], "event_type", "v", "n", "m"), 9)
 
 
 @query("personal_bias_calibration", "WITH d AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), b AS (SELECT *, avg(CASE WHEN n <= 3 THEN value - 50 END) OVER (PARTITION BY user_id) AS bias FROM d) SELECT event_id, round(50 + bias, 6) AS calibrated FROM b WHERE n > 3")
