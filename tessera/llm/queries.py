@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontamination, lines, resampling, secrets, sharding, simhash, suffixes, toxicity, weighted_sampling
+from tessera.llm import bpe, conversation_trie, decontamination, lines, resampling, secrets, sharding, simhash, suffixes, toxicity, weighted_sampling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,11 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations, with the totals of its subtree."""
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_resampling": op2_resampling,
@@ -117,6 +122,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
     "op10_suffixes": op10_suffixes,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 ORACLES: dict[str, str] = {"op6_lines": OP6_SQL}
