@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, conversation_trie, decontamination, lines, resampling, secrets, sharding, simhash, suffixes, toxicity, weighted_sampling
+from tessera.llm import bpe, conversation_trie, decontamination, hard_negatives, html_extraction, lines, resampling, secrets, sharding, simhash, suffixes, toxicity, weighted_sampling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,11 +106,25 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by a model trained on labelled pages."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extraction.extract(pages, html_extraction.train(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of the rebuilt conversations, with the totals of its subtree."""
     return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, by exact scores against all vectors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.whole_numbers(F.col("embedding")).alias("numbers"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_resampling": op2_resampling,
@@ -122,7 +136,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
     "op10_suffixes": op10_suffixes,
+    "op11_html_extraction": op11_html_extraction,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {"op6_lines": OP6_SQL}
