@@ -12,6 +12,7 @@ from tessera.plans.window_queries import rounded
 from tessera.streaming import sessions as S
 
 HOUR = 3_600_000
+FILES = 64
 TYPES = ["click", "error", "purchase", "signup", "view"]
 ROWS = "r AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS ms, event_type AS condition, value, event_id FROM events)"
 
@@ -21,9 +22,9 @@ def folder(t: Tables) -> str:
 
 
 def source(t: Tables) -> DataFrame:
-    """The events table as a file stream; a path pattern, as a stream's path is else a folder."""
+    """The events table as a file stream of at most FILES files a micro-batch; a path pattern, as a stream's path is else a folder."""
     schema = t.spark.read.parquet(f"{t.folder}/events.parquet").schema
-    e = t.spark.readStream.schema(schema).parquet(f"{t.folder}/events.parque[t]")
+    e = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{t.folder}/events.parque[t]")
     return e.withColumns({c: F.col(c).cast("timestamp") for c, kind in e.dtypes if kind == "timestamp_ntz"})
 
 
@@ -50,7 +51,7 @@ o AS (SELECT m.*, visits, cycle + 1 AS dwell, row_number() OVER (PARTITION BY m.
 
 
 def windows(t: Tables) -> DataFrame:
-    return S.run_to_table(S.stream(rows(source(t)), S.Windows(HOUR, 2 * HOUR)), folder(t))
+    return S.stream(rows(source(t)), S.Windows(HOUR, 2 * HOUR), folder(t))
 
 
 @query("stream_condition_windows", WINDOWS + " SELECT session, cycle, start, stop, condition FROM o")
@@ -83,7 +84,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Views arrive four hundred events late, so rows that came before them in time are there already."""
     late = rows(source(t)).withColumn("arrival", F.col("event_id") + F.when(F.col("condition") == "view", 400).otherwise(0))
-    out = S.run_to_table(S.stream(late, S.Windows(HOUR, 2 * HOUR, ("arrival", "ms"))), folder(t))
+    out = S.stream(late, S.Windows(HOUR, 2 * HOUR, ("arrival", "ms")), folder(t))
     return out.filter("kind = 'late'").select("session", "start", "condition", F.col("mean").alias("value"))
 
 
@@ -103,7 +104,7 @@ SELECT session, ms AS at, CASE WHEN n = 1 THEN 'begin' ELSE 'refused' END AS kin
 def _(t: Tables) -> DataFrame:
     """Users as devices, types as session names, errors as stops."""
     e = source(t).select(F.col("user_id").alias("session"), F.unix_millis("ts").alias("ms"), F.col("event_type").alias("name"), (F.col("event_type") == "error").alias("stop"))
-    return S.run_to_table(S.stream(e, S.Sessions()), folder(t)).filter("kind <> 'end'").select("session", "at", "kind", "name", "active")
+    return S.stream(e, S.Sessions(), folder(t)).filter("kind <> 'end'").select("session", "at", "kind", "name", "active")
 
 
 def coverage(e: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ c AS (SELECT *, count(*) FILTER (NOT low) OVER (PARTITION BY session ORDER BY ms
 e AS (SELECT *, coalesce(max(run) OVER (PARTITION BY session ORDER BY ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 3, FALSE) AS locked FROM d)
 SELECT session, ms AS at, n_active, CASE WHEN locked OR run >= 3 THEN 'Failsafe' WHEN condition = 'signup' OR low THEN 'Degraded' ELSE 'Running' END AS state, CASE WHEN locked THEN 'failsafe_locked' WHEN run >= 3 THEN 'low_modality_coverage_timeout' WHEN condition = 'signup' THEN 'headset_not_worn' WHEN low THEN 'insufficient_active_modalities' ELSE '' END AS reason FROM e""")
 def _(t: Tables) -> DataFrame:
-    return S.run_to_table(S.stream(coverage(source(t)), S.Coverage()), folder(t)).select("session", "at", "n_active", "state", "reason")
+    return S.stream(coverage(source(t)), S.Coverage(), folder(t)).select("session", "at", "n_active", "state", "reason")
 
 
 @query("stream_condition_memory", f"""WITH {ROWS}, a AS (SELECT *, 1 + CAST(floor(value) AS BIGINT) % 9 AS target, condition IN ('click', 'purchase', 'view') AS applied, row_number() OVER (PARTITION BY session ORDER BY ms) AS i FROM r),
@@ -126,7 +127,7 @@ d AS (SELECT *, row_number() OVER (PARTITION BY session, part ORDER BY i) AS dwe
 SELECT session, ms AS at, now AS condition, dwell, len(list_filter(past, lambda x: x = now)) AS visits, concat_ws(',', {", ".join(f"CASE WHEN c{c} < {S.COOLDOWN} THEN '{c}:' || ({S.COOLDOWN} - c{c}) END" for c in S.HIGH_LOAD)}) AS cooling FROM d""")
 def _(t: Tables) -> DataFrame:
     e = source(t).select(F.col("user_id").alias("session"), F.unix_millis("ts").alias("ms"), (1 + F.floor("value") % 9).alias("target"), F.col("event_type").isin("click", "purchase", "view").alias("applied"))
-    return S.run_to_table(S.stream(e, S.Memory()), folder(t)).drop("batch")
+    return S.stream(e, S.Memory(), folder(t)).drop("batch")
 
 
 def rating(condition: Column) -> Column:
@@ -136,21 +137,28 @@ def rating(condition: Column) -> Column:
     return F.struct(at(7, 3).alias("discomfort"), at(1, 9).alias("relaxation"), at(9, 1).alias("pleasantness"), at(3, 1).alias("monotony"), (at(7, 3) < 0.4).alias("fits"), direction.alias("direction"))
 
 
-def predictions(e: DataFrame) -> DataFrame:
-    """Each event as a window of two predictions; the shown condition changes every three days."""
+def persons(e: DataFrame) -> DataFrame:
+    """(session, own): each user's baseline and variability, from all of its events."""
+    tense = F.least(F.lit(1.0), F.col("value") / 150)
+    own = F.struct(F.round(1 - F.avg(tense), 9).alias("baseline"), F.round(F.stddev_pop(tense) / 4, 9).alias("eps_relaxation"), F.round(F.stddev_pop(tense) / 3, 9).alias("eps_discomfort"))
+    return e.groupBy(F.col("user_id").alias("session")).agg(own.alias("own"))
+
+
+def predictions(e: DataFrame, own: DataFrame) -> DataFrame:
+    """Each event as a window of two predictions, with its user's own numbers; the shown condition changes every three days."""
     condition = (1 + (F.floor(F.unix_millis("ts") / (3 * DAY)) + F.col("user_id")) % 9).cast("long")
     tense = F.least(F.lit(1.0), F.col("value") / 150)
-    return e.select(F.col("user_id").alias("session"), F.unix_millis("ts").alias("ms"), condition.alias("condition"), (1 - tense).alias("relaxation"), tense.alias("discomfort"), (F.col("value") > 5).alias("valid"), rating(condition).alias("rating"))
+    return e.select(F.col("user_id").alias("session"), F.unix_millis("ts").alias("ms"), condition.alias("condition"), (1 - tense).alias("relaxation"), tense.alias("discomfort"), (F.col("value") > 5).alias("valid"), rating(condition).alias("rating")).join(own, "session", "left")
 
 
 @query("stream_shadow_controller")
 def _(t: Tables) -> DataFrame:
-    return S.run_to_table(S.stream(predictions(source(t)), S.Controller(DAY)), folder(t)).drop("batch")
+    return S.stream(predictions(source(t), persons(t.events)), S.Controller(DAY), folder(t)).drop("batch")
 
 
 @query("shadow_controller_replay")
 def _(t: Tables) -> DataFrame:
-    return S.replay(predictions(t.events), S.Controller(DAY))
+    return S.replay(predictions(t.events, persons(t.events)), S.Controller(DAY))
 
 
 AGES = ", ".join(f"max(epoch_us(ts) // 1000) - max(epoch_us(ts) // 1000) FILTER (event_type = '{k}') AS age_{k}" for k in TYPES)

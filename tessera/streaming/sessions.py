@@ -1,20 +1,23 @@
 """Stateful operators over session streams, and their batch twins.
 
-A session's rows go through one small state machine in order of time. ``stream`` keeps its state in Structured
-Streaming (applyInPandasWithState), ``replay`` feeds recorded rows to the same code, so both give the same rows.
-A session is one key; sessions run in parallel, and a long session is read batch by batch.
+A session's rows go through one small state machine in order of time. ``replay`` feeds recorded rows to it; ``stream`` does
+so with every micro-batch and keeps the states between them as a typed table, so both give the same rows. Spark sorts the
+rows of a micro-batch, on disk where they are many, and a task holds one Arrow batch and one state: neither a long
+session nor a large micro-batch is ever a frame in memory. Machines keep sums and short histories, no rows.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Cycle length, source timeout and command expiry in ms, windows of low coverage to failsafe, history and
@@ -32,12 +35,13 @@ class Windows:
 
     inputs = ["ms", "condition", "value"]
     columns = "kind string, cycle long, start long, stop long, condition string, n long, mean double, silent boolean, dwell long, visits long, command long, expires long"
+    state = "condition string, origin long, index long, last long, n long, valued long, total double, seen long, dwell long, command long, history array<string>"
 
     def __init__(self, cycle: int = CYCLE_MS, timeout: int = TIMEOUT_MS, order: tuple[str, ...] = ("ms", "condition", "value")):
         self.cycle, self.timeout, self.order = cycle, timeout, list(order)
 
     def begin(self) -> dict:
-        return {"condition": None, "origin": None, "index": 0, "last": None, "rows": [], "seen": None, "dwell": 0, "command": 0, "history": []}
+        return {"condition": None, "origin": None, "index": 0, "last": None, "n": 0, "valued": 0, "total": 0.0, "seen": None, "dwell": 0, "command": 0, "history": []}
 
     def feed(self, s: dict, ms: int, condition: str, value: float) -> Iterator[tuple]:
         if s["last"] is not None and ms < s["last"]:
@@ -47,21 +51,22 @@ class Windows:
         while s["origin"] is not None and ms >= s["origin"] + (s["index"] + 1) * self.cycle:
             yield self.close(s)
         if condition != s["condition"]:
-            if s["rows"]:
-                yield ("evict", s["index"], s["origin"] + s["index"] * self.cycle, ms, s["condition"], len(s["rows"]), None, None, None, None, None, None)
-            s.update(condition=condition, origin=ms, index=0, rows=[], dwell=0)
+            if s["n"]:
+                yield ("evict", s["index"], s["origin"] + s["index"] * self.cycle, ms, s["condition"], s["n"], None, None, None, None, None, None)
+            s.update(condition=condition, origin=ms, index=0, n=0, valued=0, total=0.0, dwell=0)
             s["history"] = (s["history"] + [condition])[-HISTORY:]
-        s["rows"].append([ms, value])
-        s["seen"] = ms
+        s.update(n=s["n"] + 1, seen=ms)
+        if value is not None:
+            s.update(valued=s["valued"] + 1, total=s["total"] + value)
 
     def close(self, s: dict) -> tuple:
         start = s["origin"] + s["index"] * self.cycle
         stop = start + self.cycle
-        own = [v for t, v in s["rows"] if t < stop]
-        s["rows"] = [r for r in s["rows"] if r[0] >= stop]
+        n, mean = s["n"], s["total"] / s["valued"] if s["valued"] else None  # rows come in order, so all of them are before its end
+        s.update(n=0, valued=0, total=0.0)
         s["dwell"] += 1
         s["command"] += 1
-        out = ("window", s["index"], start, stop, s["condition"], len(own), sum(own) / len(own) if own else None, stop - s["seen"] > self.timeout, s["dwell"], s["history"].count(s["condition"]), s["command"], stop + EXPIRY_MS)
+        out = ("window", s["index"], start, stop, s["condition"], n, mean, stop - s["seen"] > self.timeout, s["dwell"], s["history"].count(s["condition"]), s["command"], stop + EXPIRY_MS)
         s["index"] += 1
         return out
 
@@ -72,6 +77,7 @@ class Sessions:
     inputs = ["ms", "name", "stop"]
     order = ["ms", "name"]
     columns = "kind string, at long, name string, active string"
+    state = "active string"
 
     def begin(self) -> dict:
         return {"active": None}
@@ -98,6 +104,7 @@ class Coverage:
     inputs = ["ms", "coverage", "worn"]
     order = ["ms"]
     columns = "at long, state string, action string, reason string, n_active long, low_windows long"
+    state = "low long, locked boolean"
 
     def __init__(self, least: float = 0.5, active: int = 2, limit: int = LOW_LIMIT):
         self.least, self.active, self.limit = least, active, limit
@@ -134,6 +141,7 @@ class Memory:
     inputs = ["ms", "target", "applied"]
     order = ["ms"]
     columns = "at long, condition long, dwell long, visits long, cooling string"
+    state = "now long, dwell long, history array<long>, cool map<string,long>"
 
     def __init__(self, cooldown: int = COOLDOWN, high: tuple[int, ...] = HIGH_LOAD, first: int = 5):
         self.cooldown, self.high, self.first = cooldown, high, first
@@ -152,6 +160,7 @@ class Memory:
         yield (ms, now, s["dwell"], s["history"].count(now), ",".join(f"{c}:{n}" for c, n in sorted(s["cool"].items())))
 
 
+# The controller's order of branches, its order of ranks and its reasons.
 class Controller:
     """Safety-first virtual recommendations from two predictions a window, with ratings revealed after the fact.
 
@@ -160,11 +169,18 @@ class Controller:
     smoothed discomfort that is high or one that rises steps back; then warm-up and recovery only watch; then monotony, low
     relaxation or a long dwell explore a neighbour. Risky conditions are left out, and the ninth too while it is locked: both
     of its axes must have been rated safe, discomfort be low and steady, and the last rating neither high nor too strong.
+    ``own`` of a row, a struct, holds its person's baseline of relaxation and variability (epsilons) of both predictions; where it or
+    a field is null, the machine's own numbers stand in. A join with a table of persons puts it there.
     """
 
-    inputs = ["ms", "condition", "relaxation", "discomfort", "valid", "rating"]
+    inputs = ["ms", "condition", "relaxation", "discomfort", "valid", "rating", "own"]
     order = ["ms"]
     columns = "step long, at long, before long, after long, action string, reason string, state string, relaxation double, discomfort double, dwell long, revealed long, signal_valid boolean, gap_reset boolean, c9_locked boolean"
+    rated = "struct<discomfort:double,relaxation:double,pleasantness:double,monotony:double,fits:boolean,direction:string>"
+    state = (
+        "at long, state string, relaxation array<double>, discomfort array<double>, seen long, invalid long, dwell long, step long, last_ms long, axis string, came long, visits map<string,long>, when map<string,long>, "
+        f"ratings map<string,{rated}>, risky array<long>, safe array<long>, intensity_safe boolean, frequency_safe boolean, latest {rated}, actual long, pending {rated}, own struct<baseline:double,eps_relaxation:double,eps_discomfort:double>"
+    )
 
     def __init__(self, gap: int = CYCLE_MS, baseline: float = 0.5, eps_relaxation: float = 0.05, eps_discomfort: float = 0.05, high: float = 0.5, monotony: float = 0.6, least: int = 3, longest: int = 6, fallback: int = 5):
         self.gap, self.baseline, self.eps_relaxation, self.eps_discomfort = gap, baseline, eps_relaxation, eps_discomfort
@@ -173,7 +189,7 @@ class Controller:
     def begin(self) -> dict:
         return {
             "at": self.fallback, "state": "warming_up", "relaxation": [], "discomfort": [], "seen": 0, "invalid": 0, "dwell": 0, "step": 0, "last_ms": None, "axis": None, "came": None,
-            "visits": {str(self.fallback): 1}, "when": {str(self.fallback): 0}, "ratings": {}, "risky": [], "safe": [], "intensity_safe": False, "frequency_safe": False, "latest": None, "actual": None, "pending": None,
+            "visits": {str(self.fallback): 1}, "when": {str(self.fallback): 0}, "ratings": {}, "risky": [], "safe": [], "intensity_safe": False, "frequency_safe": False, "latest": None, "actual": None, "pending": None, "own": self.personal(None),
         }
 
     @staticmethod
@@ -196,9 +212,14 @@ class Controller:
             return start + (3 if a > i else -3)
         return start + (b > f) - (b < f)
 
-    def rising(self, s: dict) -> bool:
+    def personal(self, own: dict | None) -> dict:
+        given = {"baseline": self.baseline, "eps_relaxation": self.eps_relaxation, "eps_discomfort": self.eps_discomfort}
+        return given | {k: v for k, v in (own or {}).items() if v is not None}
+
+    @staticmethod
+    def rising(s: dict) -> bool:
         d = s["discomfort"]
-        return len(d) == 3 and d[0] < d[1] < d[2] and d[2] - d[0] > self.eps_discomfort
+        return len(d) == 3 and d[0] < d[1] < d[2] and d[2] - d[0] > s["own"]["eps_discomfort"]
 
     def reveal(self, s: dict, condition: int, rating: dict | None) -> tuple[int | None, bool]:
         """On a change of the actual condition: (the finished condition, whether its rating is a risk)."""
@@ -255,8 +276,9 @@ class Controller:
 
         return min(options, key=rank, default=None)
 
-    def feed(self, s: dict, ms: int, condition: int, relaxation: float, discomfort: float, valid: bool, rating: dict | None) -> Iterator[tuple]:
+    def feed(self, s: dict, ms: int, condition: int, relaxation: float, discomfort: float, valid: bool, rating: dict | None, own: dict | None = None) -> Iterator[tuple]:
         s["step"] += 1
+        s["own"] = self.personal(own)
         before, action, reason = s["at"], "hold", "minimum_observation_warmup"
         done, risk = self.reveal(s, condition, rating)
         gap = s["last_ms"] is not None and ms - s["last_ms"] > self.gap
@@ -295,7 +317,7 @@ class Controller:
             s["state"], reason = "active", "active_observation_hold"
             enough, overdue = s["dwell"] >= self.least, s["dwell"] >= self.longest
             bored = s["latest"] is not None and (s["latest"].get("monotony") or 0.0) >= self.monotony and enough
-            low = calm < self.baseline - self.eps_relaxation and enough
+            low = calm < s["own"]["baseline"] - s["own"]["eps_relaxation"] and enough
             if bored or low or overdue:
                 to, reason = self.explore(s, tense, low and not overdue), "exploration_filtered_hold"
                 if to is not None:
@@ -308,69 +330,125 @@ CHUNK = 5_000
 """Rows of output that are handed on at once."""
 
 
-def _names(machine) -> list[str]:
-    return [c.strip().split(" ")[0] for c in machine.columns.split(",")]
-
-
 def _plain(x):
-    """A machine's input as plain Python: NULL for NaN, lists and dicts for arrays and structs."""
-    if isinstance(x, dict):
-        return {k: _plain(v) for k, v in x.items()}
-    if hasattr(x, "tolist"):
-        return _plain(x.tolist())
+    """A machine's input with NULL for NaN."""
     if isinstance(x, list):
         return [_plain(v) for v in x]
-    return None if x is None or x != x or x is pd.NaT else x
+    return None if x != x else x
+
+
+def _revived(value, kind: T.DataType):
+    """A state as it was: maps come back from Arrow as lists of pairs."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: _revived(value[f.name], f.dataType) for f in kind}
+    if isinstance(kind, T.MapType):
+        return {k: _revived(v, kind.valueType) for k, v in value}
+    return value
+
+
+def _stored(value, kind: T.DataType):
+    """A state as Arrow takes it: a struct's fields alone, maps as pairs."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: _stored(value.get(f.name), f.dataType) for f in kind}
+    if isinstance(kind, T.MapType):
+        return [(k, _stored(v, kind.valueType)) for k, v in value.items()]
+    return value
+
+
+def _kept(machine) -> T.StructType:
+    return T.StructType([T.StructField("last_ms", T.LongType()), T.StructField("state", T._parse_datatype_string(machine.state))])
+
+
+def _through(rows: DataFrame, machine, states: bool) -> DataFrame:
+    """Rows (session, was, inputs, order) of every session in order through the machine; ``was``, where it isn't null, is a
+    state to go on from and comes first. With ``states`` also a row for each session with the state (``now``, last ``ms``) that it ends in."""
+    out_type = T._parse_datatype_string(f"session long, {machine.columns}")
+    state_type = T._parse_datatype_string(machine.state)
+    kept = _kept(machine)
+    schema = T.StructType([*out_type, T.StructField("now", kept)]) if states else out_type
+    arrow = [to_arrow_type(f.dataType) for f in schema]
+    inputs, order = machine.inputs, machine.order
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, arrow, strict=True)], schema.names)
+
+    def ended(session: int, state: dict, last: int | None) -> tuple:
+        return (session, *[None] * (len(out_type) - 1), {"last_ms": last, "state": _stored(state, state_type)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, last, out = None, None, None, []
+        for b in batches:
+            sessions, before = b.column("session").to_pylist(), b.column("was").to_pylist() if states else [None] * b.num_rows
+            for session, was, ms, *rest in zip(sessions, before, *(b.column(c).to_pylist() for c in inputs), strict=True):
+                if session != now or state is None:
+                    if states and state is not None:
+                        out.append(ended(now, state, last))
+                    now, state, last = session, machine.begin(), None
+                if was is not None:
+                    last, state = was["last_ms"], _revived(was["state"], state_type)
+                    continue
+                last = ms
+                out += [(session, *o, None) if states else (session, *o) for o in machine.feed(state, ms, *map(_plain, rest))]
+                if len(out) >= CHUNK:
+                    yield batch(out)
+                    out = []
+        if states and state is not None:
+            out.append(ended(now, state, last))
+        yield batch(out)
+
+    first = ["was_first"] if states else []
+    rows = rows.filter("ms is not null or was is not null" if states else "ms is not null")  # a row without a time is left out
+    return rows.repartition("session").sortWithinPartitions("session", *first, *order).mapInArrow(run, schema)
 
 
-def _run(machine, state: dict, frame: pd.DataFrame, session) -> Iterator[pd.DataFrame]:
-    """The machine's output for rows in order, a chunk at a time."""
-    out, names = [], _names(machine)
-    chunk = lambda rows: pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None).assign(session=session)
-    for row in frame[machine.inputs].itertuples(index=False):
-        ms, *rest = map(_plain, row)
-        out += machine.feed(state, int(ms), *rest)
-        if len(out) >= CHUNK:
-            yield chunk(out)
-            out = []
-    if out:
-        yield chunk(out)
+def replay(rows: DataFrame, machine) -> DataFrame:
+    """Recorded ``rows`` (session long and the machine's inputs and order) of each session, in order, through the machine. Spark
+    sorts them within its partitions; a task holds one batch of rows and one state, however long a session is."""
+    need = list(dict.fromkeys(["session", *machine.order, *machine.inputs]))
+    return _through(rows.select(*need), machine, states=False)
 
 
-def stream(rows: DataFrame, machine) -> DataFrame:
-    """``rows`` (session long and the machine's inputs and order), a stream, through the machine, state per session.
+def stream(rows: DataFrame, machine, folder: str, ttl: int | None = None) -> DataFrame:
+    """Run ``rows``, a stream, through the machine over what there is now and return all its output, with the ``batch`` of each row.
 
-    The rows of a session in one micro-batch are put in order in memory; the source's options bound a micro-batch.
+    Each micro-batch goes on from the states of the one before and writes its output and its states in one folder named by its
+    number, so one that runs again gives the same; states of older batches are deleted. With ``ttl`` (ms), the state of a session whose
+    last row is that far behind the newest of all sessions ends, and the session begins anew if it comes back.
+    ``folder`` is shared by driver and executors. The source's options bound a micro-batch; its size bounds no memory.
     """
-    schema = f"session long, {machine.columns}"
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else machine.begin()
-        for out in _run(machine, s, pd.concat(list(frames)).sort_values(machine.order, kind="stable"), key[0]):
-            yield out[["session", *_names(machine)]]
-        state.update((json.dumps(s),))
-
-    return rows.groupBy("session").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    spark, path = rows.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
+    need = list(dict.fromkeys(["session", *machine.order, *machine.inputs]))
+    kept = _kept(machine)
+    out_type = T._parse_datatype_string(f"session long, {machine.columns}")
 
+    def write(batch: DataFrame, number: int) -> None:
+        now = batch.select(*need, F.lit(None).cast(kept).alias("was"), F.lit(1).alias("was_first"))
+        if number:
+            known = spark.read.schema(T.StructType([out_type["session"]]).add("now", kept)).parquet(f"{path}/all/batch={number - 1}/ended=true")
+            if ttl is not None:
+                newest = known.agg(F.max("now.last_ms")).head()[0]
+                known = known.filter(F.col("now.last_ms") >= (newest or 0) - ttl)
+            now = now.unionByName(known.select("session", F.col("now").alias("was"), F.lit(0).alias("was_first")), allowMissingColumns=True)
+        out = _through(now, machine, states=True)
+        out.withColumn("ended", F.col("now").isNotNull()).write.mode("overwrite").partitionBy("ended").parquet(f"{path}/all/batch={number}")
+        if number > 1:
+            _delete(spark, f"{path}/all/batch={number - 2}/ended=true")
+
+    q = rows.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    _delete(spark, f"{path}/checkpoint")
+    every = T.StructType([*out_type, T.StructField("ended", T.BooleanType()), T.StructField("batch", T.LongType())])
+    return spark.read.schema(every).parquet(f"{path}/all").filter("not ended").drop("ended")
 
-def replay(rows: DataFrame, machine) -> DataFrame:
-    """Recorded rows of each session, in order, through the same machine. Spark sorts them within its partitions; a task
-    holds one batch of rows and one state, however long a session is."""
-    schema = f"session long, {machine.columns}"
-    need = list(dict.fromkeys(["session", *machine.order, *machine.inputs]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
-        for frame in frames:
-            change = frame["session"].ne(frame["session"].shift()).cumsum()
-            for _, part in frame.groupby(change, sort=False):
-                session = part["session"].iloc[0]
-                if now != session:
-                    now, state = session, machine.begin()
-                for out in _run(machine, state, part, session):
-                    yield out[["session", *_names(machine)]]
-
-    return rows.select(*need).repartition("session").sortWithinPartitions("session", *machine.order).mapInPandas(run, schema)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def silences(rows: DataFrame, timeout: int, late: str) -> DataFrame:

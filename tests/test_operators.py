@@ -188,10 +188,11 @@ def test_silence_is_reported_by_timer_over_several_batches(spark, tmp_path):
 
 
 def controller_rows(spark, sf_dir):
-    from tessera.plans.stream_queries import predictions
+    from tessera.plans.stream_queries import persons, predictions
 
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return predictions(e.withColumn("ts", F.col("ts").cast("timestamp")))
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
+    return predictions(e, persons(e))
 
 
 def window_rows(spark, sf_dir):
@@ -199,7 +200,11 @@ def window_rows(spark, sf_dir):
     return e.select(F.col("user_id").alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_type").alias("condition"), "value")
 
 
-@pytest.mark.parametrize("rows, machine", [(window_rows, Z.Windows(3_600_000)), (controller_rows, Z.Controller(86_400_000))])
+def memory_rows(spark, sf_dir):
+    return window_rows(spark, sf_dir).select("session", "ms", (1 + F.floor("value") % 9).alias("target"), (F.col("value") > 20).alias("applied"))
+
+
+@pytest.mark.parametrize("rows, machine", [(window_rows, Z.Windows(3_600_000)), (controller_rows, Z.Controller(86_400_000)), (memory_rows, Z.Memory())])
 def test_stream_and_batch_agree_over_several_batches(spark, sf_dir, tmp_path, rows, machine):
     e = rows(spark, sf_dir)
     cuts = e.approxQuantile("ms", [0.33, 0.66], 0.0)
@@ -207,12 +212,35 @@ def test_stream_and_batch_agree_over_several_batches(spark, sf_dir, tmp_path, ro
     for i, p in enumerate(parts):
         p.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
     src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
-    got = Z.run_to_table(Z.stream(src, machine), str(tmp_path))
+    got = Z.stream(src, machine, str(tmp_path))
     assert got.select("batch").distinct().count() == 3
     want = Z.replay(e, machine)
     assert sorted(map(str, got.drop("batch").collect())) == sorted(map(str, want.collect()))
 
 
+def test_states_of_sessions_end(spark, tmp_path):
+    """A session that falls behind by more than ttl begins anew; one that doesn't goes on, and null times are left out."""
+    for i, rows in enumerate([[(1, 0, "a", 1.0), (2, 0, "a", 1.0), (1, None, "z", 9.0)], [(2, 90_000, "a", 1.0)], [(1, 95_000, "a", None), (2, 95_000, "b", 1.0)]]):
+        spark.createDataFrame(rows, "session long, ms long, condition string, value double").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    src = lambda: spark.readStream.schema("session long, ms long, condition string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    out = Z.stream(src(), Z.Windows(10_000), str(tmp_path), ttl=50_000).collect()
+    count = lambda session, kind: sum(r.session == session and r.kind == kind for r in out)
+    assert (count(1, "window"), count(2, "window"), count(2, "evict")) == (0, 9, 1)
+    kept = Z.stream(src(), Z.Windows(10_000), str(tmp_path)).collect()
+    assert sum(r.session == 1 and r.kind == "window" for r in kept) == 9
+
+
+def test_personal_numbers_of_the_controller():
+    """A higher baseline calls for a probe where the common one does not."""
+    rows = [(i * 10_000, 5, 0.55, 0.1, True, None) for i in range(5)]
+    act = lambda own: [r[5] for row in rows for r in m.feed(s, *row, own)]
+    m = Z.Controller()
+    s = m.begin()
+    assert "low_relaxation_probe" not in act(None)
+    s = m.begin()
+    assert "low_relaxation_probe" in act({"baseline": 0.8, "eps_relaxation": None, "eps_discomfort": 0.2})
+
+
 def controller_session(n=400, seed=1):
     rng = np.random.default_rng(seed)
     rows, shown = [], 5
