@@ -2,7 +2,9 @@
 
 A stretch of text within k edits of a passage of m characters shares at least m - q + 1 - k q of its q-grams, all
 on diagonals that differ by at most k. Shared q-grams are counted in bands of diagonals that overlap, so that any
-such stretch lies in one band; bands that meet the bound are verified by banded alignment.
+such stretch lies in one band; bands that meet the bound are verified by banded alignment. A q-gram that a passage
+repeats often, as periodic ones do, is not met place by place: where a band's stretch of text has it at all, all its places
+in the passage count as shared, which never counts too few.
 """
 
 from __future__ import annotations
@@ -26,6 +28,14 @@ INDEX_BYTES = 4_000_000
 FILTER_BITS = 24
 """Bits of a q-gram's hash that the filter before the join looks at: 2 MB for any benchmark."""
 STRETCH = 1_000_000
+OFTEN = 16
+"""Places of one q-gram in one passage from which on they are not met one by one."""
+COMMON = 64
+"""Places of one q-gram in all passages of the joined way beyond which a passage is asked for by its rarer q-grams."""
+BAND = 65_536
+"""Diagonals that are aligned at once, where neighbouring blocks ask for it."""
+MEETINGS = 2_000_000
+"""Meetings of q-grams that are counted at a time."""
 
 # ASCII signs that stand for a space when texts are compared.
 SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -64,14 +74,23 @@ class Index:
         norm = [(i, normal(t)) for i, t in items]
         self.q = q
         self.items = [(i, b) for i, b in norm if len(b) >= q]
+        size = np.array([len(b) for _, b in self.items], np.int64)
         self.k = np.array([budget(len(b), q, rate) for _, b in self.items], np.int64)
-        self.need = np.array([len(b) - q + 1 - k * q for (_, b), k in zip(self.items, self.k.tolist(), strict=True)], np.int64)
+        self.need = size - q + 1 - self.k * q
+        self.lead = -(-size // (self.k + 1))
+        """Blocks of diagonals before that of 0, as a diagonal is a text's place less a passage's."""
         grams = [_grams(np.frombuffer(b, np.uint8), q) for _, b in self.items]
         h = np.concatenate([np.zeros(0, np.uint64), *grams])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
-        order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.place = h[order], item[order], place[order]
+        order = np.lexsort((place, item, h))
+        h, item, place = h[order], item[order], place[order]
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (item[1:] != item[:-1]))))
+        count = np.diff(np.concatenate((new, [len(h)])))
+        one_by_one = np.repeat(count <= OFTEN, count)
+        self.hash, self.item, self.place = h[one_by_one], item[one_by_one], place[one_by_one]
+        many = new[count > OFTEN]
+        self.many_hash, self.many_item, self.many_count = h[many], item[many], count[count > OFTEN]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(h >> np.uint64(42)).astype(np.int64)] = True
 
@@ -85,38 +104,92 @@ class Index:
         ends = np.cumsum(size)
         h = _grams(np.frombuffer(b"".join(docs), np.uint8), self.q)
         at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-        first = np.searchsorted(self.hash, h[at], "left")
-        real = self.hash[np.minimum(first, len(self.hash) - 1)] == h[at]
-        at, first = at[real], first[real]
-        count = np.searchsorted(self.hash, h[at], "right") - first
-        total = int(count.sum())
-        entry = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(total)
-        at = np.repeat(at, count)
-        item, doc = self.item[entry], np.searchsorted(ends, at, "right")
-        start = ends - size
-        diagonal = at - start[doc] - self.place[entry] + len(self.bits)  # kept positive
-        width = self.k[item] + 1
-        block = diagonal // width
-        # one count per (text, passage, block); a passage q-gram that occurs often in a block counts once for each place
-        key = np.stack((doc, item, block))
-        order = np.lexsort(key[::-1])
-        key = key[:, order]
-        new = np.flatnonzero(np.concatenate((np.ones(min(1, total), bool), (key[:, 1:] != key[:, :-1]).any(axis=0))))
-        doc, item, block = key[:, new]
-        shared = np.diff(np.concatenate((new, [total])))
-        after = np.concatenate(((doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (block[1:] == block[:-1] + 1), np.zeros(min(1, len(doc)), bool)))
-        band = shared + np.where(after, np.concatenate((shared[1:], np.zeros(min(1, len(doc)), np.int64))), 0)
-        best: dict[tuple[int, int], dict] = {}
-        for j in np.flatnonzero(band >= self.need[item]):
-            d, i, w = int(doc[j]), int(item[j]), int(self.k[item[j]]) + 1
-            low = int(block[j]) * w - len(self.bits)
-            found = align(self.items[i][1], docs[d], low, low + 2 * w - 1, w - 1)
-            if found and (best.get((d, i)) is None or found[0] < best[d, i]["edits"]):
-                best[d, i] = {"item_id": self.items[i][0], "start": found[1], "stop": found[2], "edits": found[0]}
-        for d, i in sorted(best):
-            out[d].append(best[d, i])
+        doc = np.searchsorted(ends, at, "right")
+        spot, blocks = at - (ends - size)[doc], int((size.max(initial=0) + self.q) // int(self.k.min() + 1) + self.lead.max() + 2)
+
+        def counted(hashes: np.ndarray, key_of) -> tuple[np.ndarray, np.ndarray]:
+            """Distinct keys of the meetings with ``hashes`` and how often each came, from MEETINGS at a time."""
+            first, last = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+            held = np.flatnonzero(last > first)
+            times = np.cumsum((last - first)[held])
+            keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            done = 0
+            while done < len(held):
+                upto = max(done + 1, int(np.searchsorted(times, (times[done - 1] if done else 0) + MEETINGS, "right")))
+                some = held[done:upto]
+                count = (last - first)[some]
+                entry = np.repeat(first[some] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                got, c = np.unique(key_of(entry, np.repeat(some, count)), return_counts=True)
+                keys, place = np.unique(np.concatenate((keys, got)), return_inverse=True)
+                n = np.bincount(place, np.concatenate((n, c)), len(keys)).astype(np.int64)
+                done = upto
+            return keys, n
+
+        def band_key(entry: np.ndarray, i: np.ndarray) -> np.ndarray:
+            item = self.item[entry]
+            block = (spot[i] - self.place[entry]) // (self.k[item] + 1) + self.lead[item]
+            return (doc[i] * len(self.items) + item) * blocks + block
+
+        def spot_key(entry: np.ndarray, i: np.ndarray) -> np.ndarray:
+            return (doc[i] * len(self.many_hash) + entry) * blocks + spot[i] // (self.k[self.many_item[entry]] + 1)
+
+        keys, n = counted(self.hash, band_key)
+        pair, block = np.divmod(keys, blocks)
+        after = np.concatenate(((keys[1:] == keys[:-1] + 1) & (pair[1:] == pair[:-1]), np.zeros(min(1, len(keys)), bool)))
+        band = n + np.where(after, np.concatenate((n[1:], np.zeros(min(1, len(n)), np.int64))), 0)
+        credit = self._credit(counted(self.many_hash, spot_key)[0], blocks, size)
+        asked: dict[tuple[int, int], list[int]] = {}
+        for j in np.flatnonzero(band >= self.need[pair % len(self.items)]):
+            asked.setdefault(divmod(int(pair[j]), len(self.items)), []).append(int(block[j]))
+        for (d, i), more in credit.items():
+            own = slice(*np.searchsorted(pair, [d * len(self.items) + i, d * len(self.items) + i + 1]))
+            np.add.at(more, block[own], n[own])
+            later = np.maximum(block[own] - 1, 0)
+            np.add.at(more, later[block[own] > 0], n[own][block[own] > 0])
+            asked[d, i] = np.flatnonzero(more >= self.need[i]).tolist()
+        for d, i in sorted(k for k, v in asked.items() if v):
+            best, w = None, int(self.k[i]) + 1
+            whole = docs[d].find(self.items[i][1])
+            if whole >= 0:
+                best = 0, whole, whole + len(self.items[i][1])
+            for first, last in _runs(asked[d, i], BAND // w) if best is None else []:
+                low, high = ((j - int(self.lead[i])) * w for j in (first, last + 2))
+                found = align(self.items[i][1], docs[d], low, high - 1, w - 1)
+                if found and (best is None or found[0] < best[0]):
+                    best = found
+            if best:
+                out[d].append({"item_id": self.items[i][0], "start": best[1], "stop": best[2], "edits": best[0]})
         return out
 
+    def _credit(self, keys: np.ndarray, blocks: int, size: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """For each (text, passage) that share an often repeated q-gram, by block of diagonals: the places in the passage of such
+        q-grams that are anywhere in the block's band."""
+        pair, where = np.divmod(keys, blocks)
+        out: dict[tuple[int, int], np.ndarray] = {}
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1])))
+        for a, b in zip(new, np.concatenate((new[1:], [len(pair)])), strict=True):
+            d, entry = divmod(int(pair[a]), len(self.many_hash))
+            i = int(self.many_item[entry])
+            lead = int(self.lead[i])
+            more = out.setdefault((d, i), np.zeros(int(size[d]) // (int(self.k[i]) + 1) + lead + 2, np.int64))
+            step = np.zeros(len(more) + 1, np.int64)  # a place of the text is in the bands of two blocks before its own to lead after it
+            np.add.at(step, np.maximum(where[a:b] - 2, 0), 1)
+            np.add.at(step, np.minimum(where[a:b] + lead + 1, len(more)), -1)
+            more[np.cumsum(step)[:-1] > 0] += self.many_count[entry]
+        return out
+
+
+def _runs(blocks: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring blocks as (first, last), of at most ``most`` + 1 blocks."""
+    first = last = None
+    for j in sorted(set(blocks)):
+        if first is not None and (j > last + 1 or last - first >= most):
+            yield first, last
+            first = None
+        first, last = j if first is None else first, j
+    if first is not None:
+        yield first, last
+
 
 def align(passage: bytes, text: bytes, low: int, high: int, k: int) -> tuple[int, int, int] | None:
     """(edits, start, stop) of the stretch of ``text`` nearest to the passage among alignments that start on the
@@ -170,8 +243,11 @@ def _stretches(column: pa.Array) -> Iterator[list[str | None]]:
 
 def _mark_by_index(docs: DataFrame, passages: DataFrame, text: str, leaks: str) -> DataFrame:
     """Row-wise with the whole index in every task, for passages of INDEX_BYTES at most."""
-    index = Index([(r.item_id, r.text) for r in passages.orderBy("item_id", "text").collect()])
-    at = docs.columns.index(text)
+    return _indexed(docs, [(r.item_id, r.text) for r in passages.orderBy("item_id", "text").collect()], text, leaks)
+
+
+def _indexed(docs: DataFrame, passages: list[tuple[int, str]], text: str, leaks: str) -> DataFrame:
+    index, at = Index(passages), docs.columns.index(text)
     schema = T.StructType([*docs.schema, T.StructField(leaks, LEAKS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +287,18 @@ def _item_grams(items: DataFrame) -> DataFrame:
 
 
 def _mark_by_join(docs: DataFrame, passages: DataFrame, text: str, leaks: str) -> DataFrame:
-    """The same for a benchmark of any size: q-grams of texts that pass a bit table meet the passages' in a join, bands
-    are counted by group-bys, and texts with a band that meets the bound are aligned. Needs a column ``doc_id``."""
+    """The same for a benchmark of any size: q-grams of texts that pass a bit table meet the passages' rarer ones in a join, bands
+    are counted by group-bys, and texts with a band that meets the bound are aligned. Needs a column ``doc_id``.
+
+    Passages that repeat q-grams so often that few of their places are alone make indexes of INDEX_BYTES each, a pass over the texts each."""
     name = "\x00row"
     rows = keyed(docs, name)
     whole = rows.select(name, F.col(text).alias("text"))
     items = cut(_items(passages))
-    grams = cut(_item_grams(items))
+    every = cut(_item_grams(items))
+    many = every.groupBy("item", "gram").agg(F.count("*").alias("n"), F.min("need").alias("need")).filter(F.col("n") > OFTEN)
+    periodic = cut(many.groupBy("item").agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need").select("item"))
+    grams = cut(_asked_by(every.join(periodic, "item", "left_anti")))
     bit = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
     bits = np.zeros(1 << FILTER_BITS, bool)
     for r in grams.groupBy((bit / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(bit % 32768).alias("bits")).collect():
@@ -232,31 +313,73 @@ def _mark_by_join(docs: DataFrame, passages: DataFrame, text: str, leaks: str) -
                 at = np.flatnonzero(table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key.as_py(), np.int64)), pa.array(h[at].view(np.int64)), pa.array(at.astype(np.int32))], [name, "gram", "at"])
 
-    met = whole.mapInArrow(hits, f"`{name}` long, gram long, at int").join(grams, "gram")
+    found = whole.mapInArrow(hits, f"`{name}` long, gram long, at int")
+    met = found.join(grams, "gram")
     block = F.floor((F.col("at") - F.col("place") + F.lit(1 << 40)) / (F.col("k") + 1)).alias("block")
     shared = met.groupBy(name, "item", block).agg(F.count("*").alias("n"), F.min("need").alias("need"))
     order = Window.partitionBy(name, "item").orderBy("block")
     band = F.col("n") + F.when(F.lead("block").over(order) == F.col("block") + 1, F.lead("n").over(order)).otherwise(0)
     asked = shared.withColumn("band", band).filter("band >= need").select(name, "item", "block")
-    lists = asked.join(items, "item").groupBy(name).agg(F.collect_list(F.struct("item_id", "item", "block", "k", "passage")).alias("asked"))
+    passages_of = cut(asked.join(items, "item").select(name, "item_id", "item", "block", "k", "passage"))
+    texts_of = join_sparse(whole, passages_of.select(name).distinct(), "inner", name).select(name, F.lit(-1).cast("bigint").alias("item"), F.col("text"))
+    both = texts_of.unionByName(passages_of, allowMissingColumns=True).select(name, "item", "block", "text", "item_id", "k", "passage")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A text comes before what is asked of it, a passage and block at a time; one text is held."""
+        row, doc, best = None, b"", {}
         for b in batches:
-            found = []
-            for t, wanted in zip(b.column(1), b.column(2), strict=True):
-                doc, best = normal(t.as_py()), {}
-                for w in sorted(wanted.as_py(), key=lambda w: (w["item_id"], w["item"], w["block"])):
-                    low = w["block"] * (w["k"] + 1) - (1 << 40)
-                    got = align(w["passage"], doc, low, low + 2 * w["k"] + 1, w["k"])
-                    if got and (w["item"] not in best or got[0] < best[w["item"]]["edits"]):
-                        best[w["item"]] = {"item_id": w["item_id"], "start": got[1], "stop": got[2], "edits": got[0]}
-                found.append(list(best.values()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _leak_type())], [name, leaks])
+            out = []
+            for i in range(b.num_rows):
+                now, item = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                if now != row:
+                    out.append((row, list(best.values())))
+                    row, best = now, {}
+                if item < 0:
+                    doc = normal(b.column(3)[i].as_py())
+                    continue
+                if best.get(item, {}).get("edits") == 0:
+                    continue
+                k = b.column(5)[i].as_py()
+                low = b.column(2)[i].as_py() * (k + 1) - (1 << 40)
+                got = align(b.column(6)[i].as_py(), doc, low, low + 2 * k + 1, k)
+                if got and (item not in best or got[0] < best[item]["edits"]):
+                    best[item] = {"item_id": b.column(4)[i].as_py(), "start": got[1], "stop": got[2], "edits": got[0]}
+            yield _found(out, name, leaks)
+        yield _found([(row, list(best.values()))], name, leaks)
 
     schema = T.StructType([T.StructField(name, T.LongType()), T.StructField(leaks, LEAKS)])
-    held = join_sparse(whole, lists, "inner", name).select(name, "text", "asked").mapInArrow(verify, schema)
+    held = both.repartition(name).sortWithinPartitions(name, "item", "block").mapInArrow(verify, schema)
     marked = join_sparse(rows, held, "left", name)
-    return marked.withColumn(leaks, F.coalesce(leaks, F.array().cast(LEAKS)))
+    marked = marked.withColumn(leaks, F.coalesce(leaks, F.array().cast(LEAKS)))
+    left = periodic.join(items, "item").withColumn("size", F.octet_length("passage"))
+    before = F.sum("size").over(Window.partitionBy(F.lit(1)).orderBy("item").rowsBetween(Window.unboundedPreceding, -1))
+    group = left.select("item", F.floor(F.coalesce(before, F.lit(0)) / max(1, INDEX_BYTES)).alias("group"))
+    left = cut(left.join(group, "item").select("group", "item_id", F.decode("passage", "utf-8").alias("text")))
+    for r in left.select("group").distinct().orderBy("group").collect():
+        few = [(x.item_id, x.text) for x in left.filter(F.col("group") == r.group).orderBy("item_id", "text").collect()]
+        marked = _indexed(marked, few, text, "\x00more").withColumn(leaks, F.concat(leaks, "\x00more")).drop("\x00more")
+    return marked
+
+
+def _found(rows: list[tuple[int | None, list[dict]]], name: str, leaks: str) -> pa.RecordBatch:
+    rows = [r for r in rows if r[1]]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], _leak_type())], [name, leaks])
+
+
+def _asked_by(grams: DataFrame) -> DataFrame:
+    """Of (gram, item, place, k, need) the rows by which each passage is asked for, ``need`` less what is left out.
+
+    Left out are the places of q-grams that the passage itself repeats often, then of those that are common among all passages, as
+    many as leave the bound at one: a text that has the passage then still shares one of the rarer ones. A q-gram that most texts
+    have meets few passages so.
+    """
+    common = grams.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON)
+    own = F.count("*").over(Window.partitionBy("item", "gram"))
+    known = grams.join(common, "gram", "left").withColumn("n", F.when(own > OFTEN, F.lit(1 << 60)).otherwise(F.coalesce("n", F.lit(0))))
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("n"), "gram", "place"))
+    out = known.withColumn("out", (F.col("n") > 0) & (place < F.col("need")))
+    less = F.sum(F.col("out").cast("int")).over(Window.partitionBy("item"))
+    return out.withColumn("need", F.col("need") - less).filter("not out").select("gram", "item", "place", "k", "need")
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", leaks: str = "leaks") -> DataFrame:

@@ -37,7 +37,7 @@ def test_same_as_brute_force(spark, monkeypatch, index_bytes):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choices(["the", "on", "er", "an", "re", "é"], k=rnd.randrange(1, 4)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, prose(rnd.randrange(4, 25))) for i in range(25)] + [(90, None), (None, "some text of no id"), (91, "short")]
+    items = [(i, prose(rnd.randrange(4, 25))) for i in range(22)] + [(22, "ab " * 40), (23, "1 2 3 4 5 6 7 8 9 0 " * 9 + "the end"), (24, "on the re " * 14 + prose(9))] + [(90, None), (None, "some text of no id"), (91, "short")]
     docs = []
     for d in range(120):
         t = prose(rnd.randrange(0, 40))
@@ -45,6 +45,9 @@ def test_same_as_brute_force(spark, monkeypatch, index_bytes):
             i, p = rnd.choice(items[:25])
             t += rnd.choice([" ", ".\n"]) + edited(rnd, p.upper() if rnd.random() < 0.2 else p, rnd.choice([0, 0, 1, 3, 6, 12])) + " " + prose(rnd.randrange(20))
         docs.append((d, t, 4))
+    near = lambda p, n: [edited(rnd, p, n) for _ in range(2)]
+    periodic = ["ab " * 100, "xy " * 60, "1 2 3 4 5 6 7 8 9 0 " * 20, *near(items[22][1], 5), *near("so " + items[23][1] + " it", 9), *near(items[24][1] * 2, 8), "ab " * 30 + "cd " * 9 + "ab " * 30]
+    docs += [(200 + i, t, 4) for i, t in enumerate(periodic)]
     docs += [(500, None, 1), (501, "", 1), (501, items[3][1], 1), (502, "the on " * 30000 + items[4][1], 1)]
     df = spark.createDataFrame(docs, "doc_id long, text string, leaks int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -62,6 +65,30 @@ def test_same_as_brute_force(spark, monkeypatch, index_bytes):
     assert clean == {d for d, x in got.items() if not x} | {501}
 
 
+def test_periodic_texts_in_bounded_memory():
+    """Every place of the passage has a partner at every third place of the text."""
+    import tracemalloc
+
+    index = dec.Index([(1, "ab " * 1500), (2, "ab " * 1500 + "and then")])
+    tracemalloc.start()
+    found = index.leaks(["ab " * 40_000, "ab " * 700])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(x["item_id"], x["edits"]) for x in found[0]] == [(1, 0), (2, 6)] and found[1] == [] and peak < 200 << 20
+
+
+def test_common_qgrams_are_left_out_of_the_join(spark, monkeypatch):
+    monkeypatch.setattr(dec, "INDEX_BYTES", 0)
+    monkeypatch.setattr(dec, "COMMON", 5)
+    frame = "which of the following is right about the number"
+    items = [(i, f"{frame} {i * 7919} and {i * i} here") for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(1, f"{frame} nothing else to see " * 3), (2, "a " + items[7][1] + " b"), (3, items[9][1] + " " + items[30][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {d: {i for i, p in items if least_edits(dec.normal(p), dec.normal(t)) <= dec.budget(len(dec.normal(p)))} for d, t in docs}
+    assert {r.doc_id: {x.item_id for x in r.leaks} for r in dec.mark(df, bench).collect()} == want
+
+
 def test_large_benchmark_and_empty_tables(spark, monkeypatch):
     items = [(i, f"passage number {i} has words like these and some others {i * i}") for i in range(6)]
     bench = spark.createDataFrame(items, "item_id long, text string")
