@@ -166,7 +166,9 @@ class Index:
         q-grams that are anywhere in the block's band."""
         pair, where = np.divmod(keys, blocks)
         out: dict[tuple[int, int], np.ndarray] = {}
-        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1])))
+        if not len(pair):
+            return out
+        new = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
         for a, b in zip(new, np.concatenate((new[1:], [len(pair)])), strict=True):
             d, entry = divmod(int(pair[a]), len(self.many_hash))
             i = int(self.many_item[entry])

@@ -77,6 +77,11 @@ def test_periodic_texts_in_bounded_memory():
     assert [(x["item_id"], x["edits"]) for x in found[0]] == [(1, 0), (2, 6)] and found[1] == [] and peak < 200 << 20
 
 
+def test_benchmark_without_repeated_qgrams():
+    index = dec.Index([(1, "some passage of a few words that repeat nothing")])
+    assert index.leaks(["", None, "x", "so: some passage of a few words that repeat nothing!"])[3] == [{"item_id": 1, "start": 3, "stop": 50, "edits": 0}]
+
+
 def test_common_qgrams_are_left_out_of_the_join(spark, monkeypatch):
     monkeypatch.setattr(dec, "INDEX_BYTES", 0)
     monkeypatch.setattr(dec, "COMMON", 5)
