@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.folds import held_out_logistic, moments
+
 
 def condition_anchor(df: DataFrame, folds: DataFrame, member: str, condition: str, value: str) -> DataFrame:
     """(fold, condition, anchor): mean of the training rows; a condition without any takes the fold's mean."""
@@ -135,13 +137,76 @@ def lopo_residual_ridge(df: DataFrame, group: str, condition: str, levels: list,
     return _solve(gram(df, group, columns), group, len(columns), model)
 
 
+def lopo_ridge_blend(df: DataFrame, group: str, inner: Column, condition: str, levels: list, features: list[Column], target: Column, penalties: list[float], keep: int = 3) -> DataFrame:
+    """(group, coefficients, ranked, scores): as ``lopo_residual_ridge``, with the penalties ranked by held-out error among the
+    other groups and the models of the best ``keep`` averaged.
+
+    ``inner`` deals groups into a few inner folds. Everything comes from the groups' Gram matrices, in the one pass over the rows: an
+    inner fold's training matrix is the total less the group's own less the fold's, all penalties share one eigendecomposition of
+    it, and the squared error on the inner fold is a form of that fold's matrix. ``ranked`` are the penalties from the
+    least mean squared error on, ``scores`` those errors in that order.
+    """
+    k, p = len(levels), len(features)
+    columns = [F.lit(1.0), *features, *[(F.col(condition) == v).cast("double") for v in levels], target]
+    size, ij = len(columns), [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    own = df.groupBy(group).agg(F.array(*[F.coalesce(F.sum(columns[i] * columns[j]), F.lit(0.0)) for i, j in ij]).alias("own")).withColumn("fold", inner.cast("int"))
+    folds = own.groupBy("fold").agg(F.array(*[F.sum(F.get("own", F.lit(n))) for n in range(len(ij))]).alias("gram"))
+    grams = own.join(F.broadcast(folds.agg(F.array_sort(F.collect_list(F.struct("fold", "gram"))).alias("folds"))))
+    upper = np.triu_indices(size)
+    x, z, t = slice(1, 1 + p), slice(1 + p, 1 + p + k), 1 + p + k
+
+    def square(v: list[float]) -> np.ndarray:
+        m = np.zeros((size, size))
+        m[upper] = v
+        return m + np.triu(m, 1).T
+
+    def parts(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(means of the conditions, of the features, their standard deviations, a weight vector for each penalty)."""
+        n, counts = max(m[0, 0], 1e-12), np.diag(m)[z]
+        means = np.where(counts > 0, m[z, t] / np.maximum(counts, 1e-12), m[0, t] / n)
+        mu = m[0, x] / n
+        sd = np.sqrt(np.maximum(np.diag(m)[x] / n - mu**2, 0))
+        sd[sd < 1e-12] = 1.0
+        left, rest = m[x, t] - m[x, z] @ means, m[0, t] - m[0, z] @ means
+        values, vectors = np.linalg.eigh((m[x, x] - n * np.outer(mu, mu)) / np.outer(sd, sd))
+        along = vectors.T @ ((left - mu * rest) / sd)
+        return means, mu, sd, [vectors @ (along / (np.maximum(values, 0) + a)) for a in penalties]
+
+    def model(own: list[float], fold: int, folds: list[tuple[int, list[float]]]) -> tuple[list[float], list[float], list[float]]:
+        mine = square(own)
+        sums = {r["fold"]: square(r["gram"]) for r in folds}
+        sums[fold] = sums[fold] - mine
+        total, errors = sum(sums.values()), []
+        for test in sums.values():
+            if test[0, 0] < 0.5 or total[0, 0] - test[0, 0] < 0.5:
+                continue
+            means, mu, sd, weights = parts(total - test)
+            u = [np.concatenate(([w / sd @ mu], -w / sd, -means, [1.0])) for w in weights]
+            errors.append([max(0.0, v @ test @ v) / test[0, 0] for v in u])
+        means, mu, sd, weights = parts(total)
+        score = np.mean(errors, axis=0) if errors else np.zeros(len(penalties))
+        order = np.argsort(score, kind="stable")
+        w = np.mean([weights[i] for i in order[:keep]], axis=0)
+        return np.concatenate((means, np.stack((mu, sd, w), axis=1).ravel())).tolist(), [penalties[i] for i in order], score[order].tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [model(*r) for r in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+            lists = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], lists) for i in range(3))], [group, "coefficients", "ranked", "scores"])
+
+    lists = "array<double>"
+    schema = grams.select(group, *[F.lit(None).cast(lists).alias(c) for c in ("coefficients", "ranked", "scores")]).schema
+    return grams.select(group, "own", "fold", "folds").mapInArrow(run, schema)
+
+
 def predict_residual(df: DataFrame, models: DataFrame, group: str, condition: str, levels: list, features: list[Column]) -> DataFrame:
     """``df`` with ``prediction``: the condition's mean plus the weighted standardised features, within 0 and 1."""
     at = lambda i: F.get("coefficients", F.lit(i))
     base = F.coalesce(*[F.when(F.col(condition) == v, at(i)) for i, v in enumerate(levels)])
     k = len(levels)
     p = sum(((f - at(k + 3 * i)) / at(k + 3 * i + 1) * at(k + 3 * i + 2) for i, f in enumerate(features)), base)
-    return df.join(models, group).withColumn("prediction", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).drop("coefficients")
+    return df.join(models, group).withColumn("prediction", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).drop("coefficients", "ranked", "scores")
 
 
 def predict_linear(df: DataFrame, models: DataFrame, group: str, features: list[Column], clip: bool = False) -> DataFrame:
@@ -172,15 +237,15 @@ FOLDS = 64
 """Folds that get a Spark ML model each; the folds of more groups are hashes of them."""
 
 
-def per_fold(df: DataFrame, fold: str, fit: Callable[[DataFrame], object], most: int = FOLDS) -> DataFrame:
-    """Predictions of every fold by a Spark ML model fitted on the others; ``fit`` takes the training rows. Folds are few:
-    each is a distributed fit, and more than ``most`` raise."""
+def per_fold(df: DataFrame, fold: str, fit: Callable[[DataFrame, object], Callable[[DataFrame], DataFrame]], most: int = FOLDS) -> DataFrame:
+    """Predictions of every fold by a Spark ML model fitted on the others; ``fit`` takes the training rows and the fold, and gives a
+    function of the held-out rows. Folds are few: each is a distributed fit, and more than ``most`` raise."""
     found = sorted(x[fold] for x in df.select(fold).distinct().limit(most + 1).collect())
     if len(found) > most:
         raise ValueError(f"over {most} folds: deal the groups into fewer, by hash")
     out = None
     for r in found:
-        p = fit(df.filter(F.col(fold) != r)).transform(df.filter(F.col(fold) == r))
+        p = fit(df.filter(F.col(fold) != r), r)(df.filter(F.col(fold) == r))
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -191,30 +256,53 @@ def assemble(df: DataFrame, features: list[str], name: str = "features") -> Data
     return VectorAssembler(inputCols=features, outputCol=name, handleInvalid="skip").transform(df)
 
 
-def risk_logistic(df: DataFrame, fold: str, label: str) -> DataFrame:
-    """Balanced logistic risk per held-out fold, ``probability`` of label 1."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
+def risk_logistic(df: DataFrame, group: str, label: str, features: list[Column], reg: float = 0.01) -> DataFrame:
+    """``df`` with ``probability`` of label 1 by the balanced logistic model of all other groups, however many there are."""
+    return held_out_logistic(df, [group], label, features, reg)
 
-    def fit(train: DataFrame):
-        share = train.agg(F.avg(label)).first()[0]
-        weighted = train.withColumn("_w", F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-        return LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w", regParam=0.01, maxIter=25).fit(weighted)
 
-    return per_fold(df, fold, fit).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
+def leakage_audit(df: DataFrame, subject: str, task: str, target: str, features: list[Column] | Column, reg: float = 0.05) -> DataFrame:
+    """(hold_out, accuracy, balanced, n): the same probe for one 0/1 ``target`` with subjects held out, with tasks held out, and with both,
+    where a row is scored by rows of other subjects and other tasks alone. Accuracy that falls when a key is held out came from it."""
+    out = None
+    for name, keys in (("subject", [subject]), ("task", [task]), ("subject_task", [subject, task])):
+        p = held_out_logistic(df, keys, target, features, reg).filter(F.col("probability").isNotNull())
+        hit = ((F.col("probability") > 0.5) == (F.col(target) > 0.5)).cast("int")
+        by_class = (F.avg(F.when(F.col(target) > 0.5, hit)) + F.avg(F.when(F.col(target) <= 0.5, hit))) / 2
+        a = p.agg(F.lit(name).alias("hold_out"), F.avg(hit).alias("accuracy"), by_class.alias("balanced"), F.count("*").alias("n"))
+        out = a if out is None else out.union(a)
+    return out
+
 
+def residual_anchors(df: DataFrame, fold: str, condition: str, target: str) -> DataFrame:
+    """(fold, condition, anchor): the condition's mean over the rows of all other folds, or the mean of those rows where it has none."""
+    own = df.groupBy(fold, condition).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
+    grid = own.select(fold).distinct().join(own.groupBy(condition).agg(F.sum("s").alias("cs"), F.sum("n").alias("cn")))
+    rest = own.groupBy(fold).agg(F.sum("s").alias("fs"), F.sum("n").alias("fn"))
+    both = grid.join(own, [fold, condition], "left").join(rest, fold).join(F.broadcast(own.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))))
+    s, n = F.col("cs") - F.coalesce("s", F.lit(0.0)), F.col("cn") - F.coalesce("n", F.lit(0))
+    return both.select(fold, condition, F.coalesce(s / F.nullif(n, F.lit(0)), (F.col("ts") - F.col("fs")) / F.nullif(F.col("tn") - F.col("fn"), F.lit(0))).alias("anchor"))
 
-def tree_regressor(df: DataFrame, fold: str, label: str, boosted: bool = False) -> DataFrame:
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    model = GBTRegressor(featuresCol="features", labelCol=label, maxIter=10, maxDepth=3, seed=7) if boosted else RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=20, maxDepth=4, seed=7)
-    return per_fold(df, fold, model.fit)
+def residual_regressor(df: DataFrame, fold: str, condition: str, target: str, kind: str) -> DataFrame:
+    """``df`` (with ``features``) and ``prediction``: the training folds' mean of the condition plus a model of what it leaves, within
+    0 and 1. ``kind``: "forest", "boosted" or "elastic_net". A fold's rows, training rows and held-out rows alike, take the anchors of its training folds."""
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
+    make = {
+        "forest": lambda: RandomForestRegressor(labelCol="_residual", predictionCol="_p", numTrees=20, maxDepth=4, seed=7),
+        "boosted": lambda: GBTRegressor(labelCol="_residual", predictionCol="_p", maxIter=10, maxDepth=3, seed=7),
+        "elastic_net": lambda: LinearRegression(labelCol="_residual", predictionCol="_p", regParam=0.01, elasticNetParam=0.5),
+    }[kind]
+    anchors = residual_anchors(df, fold, condition, target)
 
-def elastic_net(df: DataFrame, fold: str, label: str, reg: float = 0.01, mix: float = 0.5) -> DataFrame:
-    from pyspark.ml.regression import LinearRegression
+    def fit(train: DataFrame, held: object):
+        own = F.broadcast(anchors.filter(F.col(fold) == held).select(condition, "anchor"))
+        model = make().fit(train.join(own, condition).withColumn("_residual", F.col(target) - F.col("anchor")))
+        unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("anchor") + F.col("_p")))
+        return lambda test: model.transform(test.join(own, condition)).withColumn("prediction", unit).drop("_p", "anchor")
 
-    return per_fold(df, fold, LinearRegression(featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=mix).fit)
+    return per_fold(df, fold, fit)
 
 
 def pairwise_ranker(df: DataFrame, keys: list[str], order: str, truth: str, features: list[str]) -> DataFrame:
@@ -295,17 +383,10 @@ def fuse(experts: list[str], weights: list[float]) -> Column:
 
 
 def covariance(df: DataFrame, vector: str, size: int, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, covariance) of vectors from sums of products: one row for each pair of places comes to the driver."""
-    w = weight if weight is not None else F.lit(1.0)
-    x = df.select(w.alias("_w"), F.transform(vector, lambda v: v.cast("double")).alias("_x"))
-    n = x.agg(F.sum("_w")).first()[0]
-    first = {r.i: r.s for r in x.select("_w", F.posexplode("_x").alias("i", "v")).groupBy("i").agg(F.sum(F.col("_w") * F.col("v")).alias("s")).collect()}
-    long = x.select("_w", "_x", F.posexplode("_x").alias("i", "v")).select("_w", "i", "v", F.posexplode("_x").alias("j", "u")).filter("j >= i")
-    mean = np.array([first[i] / n for i in range(size)])
-    c = np.zeros((size, size))
-    for r in long.groupBy("i", "j").agg(F.sum(F.col("_w") * F.col("v") * F.col("u")).alias("s")).collect():
-        c[r.i, r.j] = c[r.j, r.i] = r.s / n
-    return mean, c - np.outer(mean, mean)
+    """(mean, covariance) of vectors: each task sums the products of its rows as one matrix, and the matrices' sum comes to the driver."""
+    m = moments(df, vector, size, weight)
+    mean = m[0, 1:] / m[0, 0]
+    return mean, m[1:, 1:] / m[0, 0] - np.outer(mean, mean)
 
 
 def pca(df: DataFrame, vector: str, size: int, k: int, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,9 +413,17 @@ def effective_rank(values: np.ndarray) -> float:
     return float(np.exp(-(p[p > 0] * np.log(p[p > 0])).sum()))
 
 
-def linear_cka(df: DataFrame, vector: str, split: int, size: int) -> float:
-    """Similarity of two representations held side by side in one vector, places below ``split`` and from it on."""
-    _, c = covariance(df, vector, size)
+def without_effects(df: DataFrame, effects: list[str], vector: str) -> DataFrame:
+    """``df`` with ``vector`` less its mean over the rows of the same ``effects``: residuals of their fixed effects."""
+    long = df.groupBy(*effects).agg(F.count("*").alias("_n")).join(df.select(*effects, F.posexplode(vector).alias("_i", "_v")).groupBy(*effects, "_i").agg(F.avg(F.col("_v").cast("double")).alias("_m")), effects)
+    means = long.groupBy(*effects).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_mean"))
+    return df.join(means, effects).withColumn(vector, F.zip_with(vector, "_mean", lambda x, m: x.cast("double") - m)).drop("_mean")
+
+
+def linear_cka(df: DataFrame, vector: str, split: int, size: int, effects: list[str] | None = None) -> float:
+    """Similarity of two representations held side by side in one vector, places below ``split`` and from it on; with
+    ``effects``, of what those fixed effects leave of them."""
+    _, c = covariance(without_effects(df, effects, vector) if effects else df, vector, size)
     x, y, xy = c[:split, :split], c[split:, split:], c[:split, split:]
     return float((xy**2).sum() / np.sqrt((x**2).sum() * (y**2).sum()))
 

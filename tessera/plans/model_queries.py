@@ -75,7 +75,7 @@ def _(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(c,) for c in L.uncorrelated_columns(d, ["l_quantity", "twice", "l_tax"])], "feature string")
 
 
-@query("lopo_ridge", f"""WITH {X}, o AS (SELECT g, seed AS c, count(*)::DOUBLE AS n, sum(t) AS st, sum(p) AS sp, sum(w) AS sw FROM x GROUP BY ALL), z AS (SELECT c, sum(n) AS n, sum(st) AS st, sum(sp) AS sp, sum(sw) AS sw FROM o GROUP BY 1), u AS (SELECT DISTINCT g FROM x),
+@query("lopo_residual_ridge", f"""WITH {X}, o AS (SELECT g, seed AS c, count(*)::DOUBLE AS n, sum(t) AS st, sum(p) AS sp, sum(w) AS sw FROM x GROUP BY ALL), z AS (SELECT c, sum(n) AS n, sum(st) AS st, sum(sp) AS sp, sum(sw) AS sw FROM o GROUP BY 1), u AS (SELECT DISTINCT g FROM x),
 m AS (SELECT u.g, z.c, z.n - coalesce(o.n, 0) AS n, z.sp - coalesce(o.sp, 0) AS sp, z.sw - coalesce(o.sw, 0) AS sw, (z.st - coalesce(o.st, 0)) / (z.n - coalesce(o.n, 0)) AS m FROM u CROSS JOIN z LEFT JOIN o ON o.g = u.g AND o.c = z.c),
 k AS (SELECT g, sum(n) AS n, sum(sp * m) AS pm, sum(sw * m) AS wm FROM m GROUP BY 1), a AS (SELECT g, sum(p) AS p, sum(w) AS w, sum(p * p) AS pp, sum(w * w) AS ww, sum(p * w) AS pw, sum(p * t) AS pt, sum(w * t) AS wt FROM x GROUP BY 1), tot AS (SELECT sum(p) AS p, sum(w) AS w, sum(pp) AS pp, sum(ww) AS ww, sum(pw) AS pw, sum(pt) AS pt, sum(wt) AS wt FROM a),
 s AS (SELECT a.g, n, (tot.p - a.p) / n AS mp, (tot.w - a.w) / n AS mw, sqrt((tot.pp - a.pp) / n - ((tot.p - a.p) / n)**2) AS dp, sqrt((tot.ww - a.ww) / n - ((tot.w - a.w) / n)**2) AS dw, (tot.pw - a.pw) / n - (tot.p - a.p) / n * ((tot.w - a.w) / n) AS cov, tot.pt - a.pt - pm AS rp, tot.wt - a.wt - wm AS rw FROM a JOIN k USING (g), tot),
@@ -87,6 +87,34 @@ def _(t: Tables) -> DataFrame:
     return rounded(p.groupBy("g").agg(F.avg(F.abs(F.col("t") - F.col("prediction"))).alias("mae")))
 
 
+PENALTIES = [10.0, 300.0, 3000.0, 30000.0]
+INNER = 4
+RIDGE = f"""WITH {X}, o AS (SELECT g, seed AS c, count(*)::DOUBLE AS n, sum(t) AS st, sum(p) AS sp, sum(w) AS sw FROM x GROUP BY ALL), a AS (SELECT g, sum(p) AS p, sum(w) AS w, sum(p * p) AS pp, sum(w * w) AS ww, sum(p * w) AS pw, sum(p * t) AS pt, sum(w * t) AS wt FROM x GROUP BY 1),
+u AS (SELECT DISTINCT x.g, i.k FROM x, (SELECT unnest(range({INNER + 1})) AS k) i), m AS (SELECT u.g, u.k, c, sum(n) AS n, sum(sp) AS sp, sum(sw) AS sw, sum(st) / sum(n) AS m FROM u JOIN o ON o.g <> u.g AND o.g % {INNER} <> u.k GROUP BY ALL),
+z AS (SELECT g, k, sum(n) AS n, sum(sp * m) AS pm, sum(sw * m) AS wm FROM m GROUP BY ALL), tot AS (SELECT u.g, u.k, sum(p) AS p, sum(w) AS w, sum(pp) AS pp, sum(ww) AS ww, sum(pw) AS pw, sum(pt) AS pt, sum(wt) AS wt FROM u JOIN a ON a.g <> u.g AND a.g % {INNER} <> u.k GROUP BY ALL),
+s AS (SELECT g, k, n, p / n AS mp, w / n AS mw, sqrt(pp / n - (p / n)**2) AS dp, sqrt(ww / n - (w / n)**2) AS dw, pw / n - p / n * (w / n) AS cov, pt - pm AS rp, wt - wm AS rw FROM tot JOIN z USING (g, k)),
+b AS (SELECT *, n * cov / (dp * dw) AS q, rp / dp AS b1, rw / dw AS b2 FROM s), f AS (SELECT g, k, a, mp, mw, dp, dw, ((n + a) * b1 - q * b2) / ((n + a)**2 - q * q) AS w1, ((n + a) * b2 - q * b1) / ((n + a)**2 - q * q) AS w2 FROM b, (SELECT unnest({PENALTIES})::DOUBLE AS a)),
+e AS (SELECT f.g, f.k, a, avg((x.t - m.m - (x.p - mp) / dp * w1 - (x.w - mw) / dw * w2)**2) AS mse FROM x JOIN f ON f.g <> x.g AND x.g % {INNER} = f.k JOIN m ON m.g = f.g AND m.k = f.k AND m.c = x.seed GROUP BY ALL),
+r AS (SELECT g, a, avg(mse) AS mse, row_number() OVER (PARTITION BY g ORDER BY avg(mse), a) AS place FROM e GROUP BY g, a), v AS (SELECT f.g, any_value(mp) AS mp, any_value(mw) AS mw, any_value(dp) AS dp, any_value(dw) AS dw, avg(w1) AS w1, avg(w2) AS w2 FROM f JOIN r USING (g, a) WHERE k = {INNER} AND place <= 3 GROUP BY 1)"""
+
+
+def ridge(t: Tables) -> DataFrame:
+    return L.lopo_ridge_blend(x(t), "g", F.col("g") % INNER, "seed", list(range(1, 8)), [F.col("p"), F.col("w")], F.col("t"), PENALTIES)
+
+
+@query("lopo_ridge", RIDGE + f" SELECT x.g, round(avg(abs(t - greatest(0, least(1, m.m + (x.p - mp) / dp * w1 + (x.w - mw) / dw * w2)))), 6) AS mae FROM x JOIN v USING (g) JOIN m ON m.g = x.g AND m.k = {INNER} AND m.c = x.seed GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """Penalties ranked by inner folds, the best three averaged."""
+    p = L.predict_residual(x(t), ridge(t), "g", "seed", list(range(1, 8)), [F.col("p"), F.col("w")])
+    return rounded(p.groupBy("g").agg(F.avg(F.abs(F.col("t") - F.col("prediction"))).alias("mae")))
+
+
+@query("lopo_ridge_ranking", RIDGE + " SELECT g, a AS penalty, CAST(place AS INTEGER) AS place, round(mse, 9) AS mse FROM r")
+def _(t: Tables) -> DataFrame:
+    r = ridge(t).select("g", F.posexplode(F.arrays_zip("ranked", "scores")).alias("place", "r"))
+    return rounded(r.select("g", F.col("r.ranked").alias("penalty"), (F.col("place") + 1).alias("place"), F.col("r.scores").alias("mse")), 9)
+
+
 @query("lopo_surface_ols", f"WITH {X}, m AS (SELECT g, (sum(sum(t)) OVER () - sum(t)) / (sum(count(*)) OVER () - count(*)) AS m FROM x GROUP BY g) SELECT round(avg(abs(t - m)), 9) AS grand_mean_mae FROM x JOIN m USING (g)")
 def _(t: Tables) -> DataFrame:
     d = x(t)
@@ -109,26 +137,41 @@ def _(t: Tables) -> DataFrame:
     return rounded(L.within_ols(x(t), "g", "p", "t"), 9)
 
 
-def features(t: Tables) -> DataFrame:
-    d = t.lineitem.select((F.col("l_suppkey") % 3).alias("fold"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_quantity") > 25).cast("double").alias("risk"))
-    return L.assemble(d, ["l_discount", "l_tax", "l_partkey"])
+@query("lopo_risk_logistic")
+def _(t: Tables) -> DataFrame:
+    """Every supplier's rows by the model of all other suppliers."""
+    d = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_tax", (F.col("l_extendedprice") > 30_000).cast("double").alias("risk"))
+    p = L.risk_logistic(d, "l_suppkey", "risk", [F.col("l_discount"), F.col("l_tax"), F.col("l_partkey"), F.col("l_linenumber")])
+    return rounded(p.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "risk", "probability"), 9)
+
 
+def residual_rows(t: Tables) -> DataFrame:
+    return t.lineitem.select((F.col("l_suppkey") % 3).alias("fold"), F.col("l_linenumber").alias("condition"), "l_quantity", "l_partkey", "l_tax", (F.col("l_extendedprice") / 110_000).alias("y"))
 
-@query("lopo_risk_logistic")
+
+@query("residual_anchors", "WITH r AS (SELECT l_suppkey % 3 AS fold, l_linenumber AS condition, l_extendedprice / 110000 AS y FROM lineitem), f AS (SELECT DISTINCT fold FROM r) SELECT f.fold, condition, round(avg(y), 9) AS anchor FROM r JOIN f ON f.fold <> r.fold GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return L.risk_logistic(features(t), "fold", "risk").select("fold", "l_orderkey", "l_linenumber", "risk", "probability")
+    return rounded(L.residual_anchors(residual_rows(t), "fold", "condition", "y"), 9)
+
+
+def residual_errors(t: Tables, kind: str, features: list[str]) -> DataFrame:
+    p = L.residual_regressor(L.assemble(residual_rows(t), features), "fold", "condition", "y", kind)
+    return p.groupBy("fold").agg(F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("mae"), F.count("*").alias("n"))
 
 
 @query("lopo_tree_regressor")
 def _(t: Tables) -> DataFrame:
-    d = L.assemble(features(t).drop("features"), ["l_quantity", "l_partkey"])
-    return L.tree_regressor(d, "fold", "y").groupBy("fold").agg(F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("mae"), F.count("*").alias("n"))
+    return residual_errors(t, "forest", ["l_quantity", "l_partkey"])
+
+
+@query("lopo_boosted_regressor")
+def _(t: Tables) -> DataFrame:
+    return residual_errors(t, "boosted", ["l_quantity", "l_partkey"])
 
 
 @query("elastic_net_regressor")
 def _(t: Tables) -> DataFrame:
-    d = L.assemble(features(t).drop("features"), ["l_quantity", "l_partkey"])
-    return L.elastic_net(d, "fold", "y").groupBy("fold").agg(F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("mae"), F.count("*").alias("n"))
+    return residual_errors(t, "elastic_net", ["l_quantity", "l_partkey", "l_tax"])
 
 
 @query("pairwise_ranker")
@@ -185,28 +228,44 @@ def _(t: Tables) -> DataFrame:
     return t.embeddings.agg(F.count("*").alias("n")).withColumn("effective_rank", F.lit(L.effective_rank(values)))
 
 
-@query("linear_cka")
+@query("embedding_covariance", """WITH l AS (SELECT vec_id, 1.0 + label / 10 AS w, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), n AS (SELECT sum(1.0 + label / 10) AS n FROM embeddings), m AS (SELECT i, sum(w * x) / any_value(n) AS m FROM l, n GROUP BY 1), p AS (SELECT a.i, b.i AS j, sum(a.w * a.x * b.x) AS s FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL)
+SELECT CAST(p.i AS INTEGER) AS i, CAST(p.j AS INTEGER) AS j, round(s / n - a.m * b.m, 9) AS cov FROM p, n JOIN m a ON a.i = p.i JOIN m b ON b.i = p.j""")
+def _(t: Tables) -> DataFrame:
+    _, c = L.covariance(t.embeddings, "embedding", 64, F.lit(1.0) + F.col("label") / 10)
+    return t.spark.createDataFrame([(i, j, round(float(c[i, j]), 9)) for i in range(64) for j in range(i, 64)], "i int, j int, cov double")
+
+
+CKA = "p AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM l a JOIN l b ON a.vec_id = b.vec_id GROUP BY ALL), c AS (SELECT p.i, p.j, s - n * a.m * b.m AS c FROM p, n JOIN m a ON a.i = p.i JOIN m b ON b.i = p.j) SELECT n, round(sum(c * c) FILTER (i < 32 AND j >= 32) / sqrt(sum(c * c) FILTER (i < 32 AND j < 32) * sum(c * c) FILTER (i >= 32 AND j >= 32)), 6) AS cka FROM c, n GROUP BY n"
+
+
+@query("linear_cka", f"WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings), m AS (SELECT i, avg(x) AS m FROM l GROUP BY 1), {CKA}")
+def _(t: Tables) -> DataFrame:
+    return t.embeddings.agg(F.count("*").alias("n")).withColumn("cka", F.round(F.lit(L.linear_cka(t.embeddings, "embedding", 32, 64)), 6))
+
+
+@query("linear_cka_residual", f"WITH r AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS y, unnest(range(len(embedding))) AS i FROM embeddings), l AS (SELECT vec_id, i, y - avg(y) OVER (PARTITION BY label, i) AS x FROM r), n AS (SELECT count(*) AS n FROM embeddings), m AS (SELECT i, avg(x) AS m FROM l GROUP BY 1), {CKA}")
 def _(t: Tables) -> DataFrame:
-    return t.embeddings.agg(F.count("*").alias("n")).withColumn("cka", F.lit(L.linear_cka(t.embeddings, "embedding", 32, 64)))
+    """After the fixed effects of the label."""
+    return t.embeddings.agg(F.count("*").alias("n")).withColumn("cka", F.round(F.lit(L.linear_cka(t.embeddings, "embedding", 32, 64, ["label"])), 6))
 
 
 def probe(t: Tables, fold: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    e = t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), (F.col("vec_id") % 3).alias("subject"), (F.col("label") % 3).alias("task"), array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
-    e = e.withColumn("subject_task", F.col("subject") * 3 + F.col("task"))
-    target = (F.col("vec_id") % 2).cast("double") if fold == "task" else F.col("label")
-    return L.per_fold(e.withColumn("target", target), fold, LogisticRegression(labelCol="target", regParam=0.05, maxIter=15).fit)
+    e = t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), (F.col("vec_id") % 3).alias("subject"), array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
+
+    def fit(train: DataFrame, held: object):
+        return LogisticRegression(labelCol="label", regParam=0.05, maxIter=15).fit(train).transform
+
+    return L.per_fold(e, fold, fit)
 
 
 @query("leakage_audit")
 def _(t: Tables) -> DataFrame:
-    out = None
-    for fold in ("subject", "task"):
-        a = probe(t, fold).agg(F.lit(fold).alias("hold_out"), F.avg((F.col("prediction") == F.col("target")).cast("int")).alias("accuracy"))
-        out = a if out is None else out.union(a)
-    return out
+    """One target, whether the label is in the upper half, under three hold-outs."""
+    e = t.embeddings.select("vec_id", (F.col("vec_id") % 4).alias("subject"), (F.floor(F.col("vec_id") / 4) % 3).alias("task"), (F.col("label") >= 5).cast("double").alias("target"), "embedding")
+    return L.leakage_audit(e, "subject", "task", "target", F.col("embedding"))
 
 
 @query("stimulus_probe")

@@ -151,37 +151,102 @@ def test_residual_ridge_same_as_two_steps(spark):
         assert np.allclose(own, sorted(zip(x[~t, 0], want[~t], strict=True)), atol=1e-9)
 
 
-def folds_frame(spark, n=400):
+def newton(x, y, reg):
+    """Balanced logistic weights of one training set, a fit of its own."""
+    a, sd = np.column_stack((np.ones(len(x)), x)), x.std(axis=0)
+    share = np.where(y > 0.5, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    pen, w = np.diag(np.concatenate(([0.0], reg * sd**2))), np.zeros(a.shape[1])
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-a @ w))
+        w = w + np.linalg.solve((a * (share * q * (1 - q))[:, None]).T @ a + pen, a.T @ (share * (y - q)) - pen @ w)
+    return w
+
+
+@pytest.mark.parametrize("keys", [["g"], ["g", "h"]])
+def test_logistic_folds_equal_fits_of_their_own(spark, keys):
     rng = np.random.default_rng(8)
-    rows = [(i, i % 3, float(a), float(b), float(1 + 2 * a - b + 0.1 * e), float(a + 0.3 * e > 0)) for i, (a, b, e) in enumerate(rng.normal(size=(n, 3)))]
-    return L.assemble(spark.createDataFrame(rows, "i int, fold int, a double, b double, y double, r double"), ["a", "b"]), np.array(rows)
-
-
-@pytest.mark.parametrize("kind", ["logistic", "tree", "boosted", "elastic"])
-def test_models_by_fold_learn_and_leave_the_fold_out(spark, kind):
-    df, rows = folds_frame(spark)
-    run = {"logistic": lambda d: L.risk_logistic(d, "fold", "r"), "tree": lambda d: L.tree_regressor(d, "fold", "y"), "boosted": lambda d: L.tree_regressor(d, "fold", "y", True), "elastic": lambda d: L.elastic_net(d, "fold", "y")}[kind]
-    column = "probability" if kind == "logistic" else "prediction"
-    got = {r.i: r[column] for r in run(df).collect()}
-    assert len(got) == len(rows)
-    turned = df.withColumns({"y": F.when(F.col("fold") == 1, -F.col("y")).otherwise(F.col("y")), "r": F.when(F.col("fold") == 1, 1 - F.col("r")).otherwise(F.col("r"))})
-    again = {r.i: r[column] for r in run(turned).filter("fold = 1").collect()}
+    rows = [(i, int(rng.integers(0, 25)), int(rng.integers(0, 4)), *(float(v) for v in (a, 40 + 9 * b, c)), float(a - b + e > 0.4)) for i, (a, b, c, e) in enumerate(rng.normal(size=(900, 4)))]
+    rows += [(9001, None, 1, 0.0, 0.0, 0.0, 1.0), (9002, 1, 1, None, 0.0, 0.0, 1.0), (9003, 1, 1, float("nan"), 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "i int, g int, h int, a double, b double, c double, y double").repartition(5)
+    got = {r.i: r.probability for r in L.held_out_logistic(df, keys, "y", [F.col(c) for c in "abc"]).collect()}
+    good = [r for r in rows if r[0] < 9000]
+    x, y, at = np.array([r[3:6] for r in good]), np.array([r[6] for r in good]), np.array([[r[1], r[2]][: len(keys)] for r in good])
+    models = {}
+    for r, k in zip(good, map(tuple, at.tolist()), strict=True):
+        train = (at != np.array(k)).all(axis=1)
+        w = models[k] if k in models else models.setdefault(k, newton(x[train], y[train], 0.01))
+        assert abs(got[r[0]] - 1 / (1 + np.exp(-(w[0] + w[1:] @ np.array(r[3:6]))))) < 1e-6
+    assert len(models) == (25 if len(keys) == 1 else 100) and [got[i] for i in (9001, 9002, 9003)] == [None] * 3
+
+
+def test_logistic_of_a_thousand_groups_and_of_one_class(spark):
+    df = spark.range(4000).select((F.col("id") % 1000).alias("g"), F.col("id").alias("i"), F.sin("id").alias("x"), (F.sin("id") + 0.3 * F.cos(F.col("id") * 7) > 0).cast("double").alias("y"))
+    p = L.risk_logistic(df, "g", "y", [F.col("x")])
+    assert p.filter("(probability > 0.5) = (y > 0.5)").count() > 3600
+    assert L.risk_logistic(df.withColumn("y", F.lit(1.0)), "g", "y", [F.col("x")]).filter("probability is not null").count() == 0
+    assert L.risk_logistic(df.limit(0), "g", "y", [F.col("x")]).count() == 0
+
+
+def residual_frame(spark, n=500):
+    """A condition's level plus what two features add, within 0 and 1."""
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3, int(c), float(a), float(b), float(np.clip(0.3 + 0.1 * c + 0.1 * a - 0.05 * b + 0.01 * e, 0, 1))) for i, (a, b, e, c) in enumerate(zip(*rng.normal(size=(3, n)), rng.integers(0, 4, n), strict=True))]
+    return L.assemble(spark.createDataFrame(rows, "i int, fold int, c int, a double, b double, y double"), ["a", "b"]), rows
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted", "elastic_net"])
+def test_residual_models_learn_and_leave_the_fold_out(spark, kind):
+    df, rows = residual_frame(spark)
+    got = {r.i: r.prediction for r in L.residual_regressor(df, "fold", "c", "y", kind).collect()}
+    anchor = {(f, c): np.mean([r[5] for r in rows if r[1] != f and r[2] == c]) for f in range(3) for c in range(4)}
+    assert len(got) == len(rows) and all(0 <= v <= 1 for v in got.values())
+    error, base = (np.mean([abs(p - r[5]) for p, r in zip(ps, rows, strict=True)]) for ps in ([got[r[0]] for r in rows], [anchor[r[1], r[2]] for r in rows]))
+    assert error < (0.75 if kind != "elastic_net" else 0.5) * base
+    other = df.withColumn("y", F.when(F.col("fold") == 1, 1 - F.col("y")).otherwise(F.col("y")))
+    again = {r.i: r.prediction for r in L.residual_regressor(other, "fold", "c", "y", kind).filter("fold = 1").collect()}
     assert all(abs(got[i] - v) < 1e-9 for i, v in again.items())
-    if kind == "logistic":
-        assert np.mean([(got[int(i)] > 0.5) == (r > 0.5) for i, _, _, _, _, r in rows]) > 0.9
-    else:
-        err = np.mean([abs(got[int(i)] - y) for i, _, _, _, y, _ in rows])
-        assert err < 0.5 * np.mean(np.abs(rows[:, 4] - rows[:, 4].mean()))
-    if kind == "elastic":
-        for fold in range(3):
-            t = rows[:, 1] != fold
-            w = np.linalg.lstsq(np.column_stack((np.ones(t.sum()), rows[t, 2:4])), rows[t, 4], rcond=None)[0]
-            assert all(abs(got[int(i)] - (w[0] + w[1] * a + w[2] * b)) < 0.15 for i, f, a, b, _, _ in rows if f == fold)
+    if kind == "forest":
+        found = {(r.fold, r.c): r.anchor for r in L.residual_anchors(df, "fold", "c", "y").collect()}
+        assert found.keys() == anchor.keys() and all(abs(found[k] - v) < 1e-12 for k, v in anchor.items())
+
+
+def test_ridge_of_ranked_penalties_equals_nested_fits(spark):
+    """Rows of every inner fold are scored by fits of their own; a condition that a fold lacks takes the mean."""
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(c), *(float(v) for v in x), float(0.4 + 0.1 * c + 0.05 * x[0] - 0.03 * x[2] + 0.05 * e)) for g, c, x, e in zip(rng.integers(0, 14, 400), rng.integers(0, 3, 400), rng.normal(size=(400, 3)), rng.normal(size=400), strict=True)]
+    rows.append((3, 3, 0.0, 0.0, 0.0, 0.9))
+    df = spark.createDataFrame(rows, "g int, c int, a double, b double, d double, y double")
+    penalties = [0.1, 5.0, 50.0, 500.0, 5000.0]
+    got = {r.g: r for r in L.lopo_ridge_blend(df, "g", F.col("g") % 4, "c", [0, 1, 2, 3], [F.col(k) for k in "abd"], F.col("y"), penalties).collect()}
+    m = np.array(rows)
+
+    def fit(train, alpha):
+        means = {c: train[train[:, 1] == c, 5].mean() if (train[:, 1] == c).any() else train[:, 5].mean() for c in range(4)}
+        x = train[:, 2:5]
+        mu, sd = x.mean(axis=0), x.std(axis=0)
+        left = train[:, 5] - np.array([means[c] for c in train[:, 1]])
+        z = (x - mu) / sd
+        return means, mu, sd, np.linalg.solve(z.T @ z + alpha * np.eye(3), z.T @ left)
+
+    for g in range(14):
+        rest = m[m[:, 0] != g]
+        score = []
+        for alpha in penalties:
+            errors = []
+            for k in range(4):
+                test, train = rest[rest[:, 0] % 4 == k], rest[rest[:, 0] % 4 != k]
+                means, mu, sd, w = fit(train, alpha)
+                errors.append(np.mean([(r[5] - means[r[1]] - (r[2:5] - mu) / sd @ w) ** 2 for r in test]))
+            score.append(np.mean(errors))
+        order = np.argsort(score, kind="stable")
+        assert got[g].ranked == [penalties[i] for i in order] and np.allclose(got[g].scores, np.array(score)[order])
+        w = np.mean([fit(rest, penalties[i])[3] for i in order[:3]], axis=0)
+        assert np.allclose(np.array(got[g].coefficients[4:]).reshape(3, 3)[:, 2], w)
 
 
 def test_too_many_folds_raise(spark):
     with pytest.raises(ValueError):
-        L.per_fold(spark.range(10), "id", lambda d: d, 5)
+        L.per_fold(spark.range(10), "id", lambda d, f: lambda r: r, 5)
 
 
 def test_ranker_and_blend(spark):
@@ -239,16 +304,23 @@ def test_hashes_of_files_and_tables(spark, tmp_path):
     assert h(df) == h(df.orderBy(F.desc("a")).select("b", "a").repartition(7)) and len({h(df), h(df.union(df.limit(1))), h(df.withColumn("a", F.col("a") + 1)), h(df.limit(49))}) == 4
 
 
-def test_leakage_shows_between_two_hold_outs(spark):
-    """A feature that names the subject predicts a label that depends on the subject, unless subjects are held out."""
-    from pyspark.ml.classification import LogisticRegression
-
+def test_leakage_shows_by_what_is_held_out(spark):
+    """A cue of the subject and one of the task, each enough to tell the target while its key is among the training rows."""
     rng = np.random.default_rng(12)
-    rows = [(s, int(rng.integers(0, 3)), float(s in (0, 3, 4)), *(1.0 if s == j else 0.0 for j in range(6))) for s in range(6) for _ in range(60)]
-    df = L.assemble(spark.createDataFrame(rows, "s int, task int, label double, " + ", ".join(f"f{j} double" for j in range(6))), [f"f{j}" for j in range(6)])
-    fit = LogisticRegression(regParam=0.01, maxIter=20).fit
-    hit = lambda fold: L.per_fold(df, fold, fit).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
-    assert hit("task") > 0.99 and hit("s") < 0.6
+    rows = [(s, k, float(rng.permutation(2)[0] if (s + k) % 5 == 0 else s in (0, 3, 4)), *(1.0 if s == j else 0.0 for j in range(6))) for s in range(6) for k in range(4) for _ in range(15)]
+    df = spark.createDataFrame(rows, "s int, task int, y double, " + ", ".join(f"f{j} double" for j in range(6)))
+    got = {r.hold_out: r for r in L.leakage_audit(df, "s", "task", "y", [F.col(f"f{j}") for j in range(6)], 0.01).collect()}
+    assert set(got) == {"subject", "task", "subject_task"} and all(r.n == len(rows) for r in got.values())
+    assert got["task"].accuracy > 0.8 and got["subject"].accuracy < 0.6 and got["subject_task"].accuracy < 0.6
+
+
+def test_moments_skip_vectors_of_another_length(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 6))
+    df = spark.createDataFrame([(v.tolist(), float(i % 5)) for i, v in enumerate(x)] + [(None, 1.0), ([1.0], 1.0)], "v array<double>, w double").repartition(6)
+    mean, c = L.covariance(df, "v", 6, F.col("w"))
+    w = np.arange(700) % 5
+    assert np.allclose(mean, np.average(x, axis=0, weights=w)) and np.allclose(c, np.cov(x.T, aweights=w, ddof=0))
 
 
 def test_degenerate_embeddings_are_named(spark):
