@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from tessera.operators.ranges import running
@@ -201,23 +206,38 @@ def deployment_gate(df: DataFrame) -> DataFrame:
 
 
 def peak_f1(reference: DataFrame, found: DataFrame, keys: list[str], t: str, tolerance: float) -> DataFrame:
-    """F1 of two peak lists, each peak used once, in order of time; a group is one window."""
-    import pandas as pd
+    """F1 of two peak lists, each peak used once, in order of time; a group is one window or a whole history.
 
-    both = reference.select(*keys, t, F.lit(0).alias("_s")).union(found.select(*keys, t, F.lit(1).alias("_s")))
+    The peaks of a group pass in order of time, Spark's sort having merged the lists; what is held is those of one list that are within
+    the tolerance of the last peak and not matched yet. Peaks without a time are left out.
+    """
+    both = reference.select(*keys, t, F.lit(0).alias("_s")).union(found.select(*keys, t, F.lit(1).alias("_s"))).filter(F.col(t).isNotNull())
     schema = both.select(*keys, F.lit(0.0).alias("f1"), F.lit(0).cast("bigint").alias("matched")).schema
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(g[t][g["_s"] == 0]), sorted(g[t][g["_s"] == 1])
-        i = j = hit = 0
-        while i < len(a) and j < len(b):
-            if abs(a[i] - b[j]) <= tolerance:
-                i, j, hit = i + 1, j + 1, hit + 1
-            elif a[i] < b[j]:
-                i += 1
-            else:
-                j += 1
-        out = {k: [g[k].iloc[0]] for k in keys} | {"f1": [2 * hit / (len(a) + len(b))], "matched": [hit]}
-        return pd.DataFrame(out)
-
-    return both.groupBy(*keys).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total, hits, side, waiting = None, 0, 0, 0, deque()
+        for b in batches:
+            out = []
+            for *now, at, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now != group:
+                    if group is not None:
+                        out.append((*group, 2 * hits / total, hits))
+                    group, total, hits, side = now, 0, 0, s
+                    waiting.clear()
+                total += 1
+                while waiting and at - waiting[0] > tolerance:
+                    waiting.popleft()
+                if waiting and s != side:
+                    waiting.popleft()
+                    hits += 1
+                else:
+                    side = s
+                    waiting.append(at)
+            yield batch(out)
+        yield batch([(*group, 2 * hits / total, hits)] if group is not None else [])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=True)], schema.names)
+
+    return both.repartition(*keys).sortWithinPartitions(*keys, t, "_s").mapInArrow(run, schema)

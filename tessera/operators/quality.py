@@ -6,19 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.ranges import quantiles
+
 # Thresholds of the cohorts, and the outlier limit of a clock residual in ms.
 COHORT = {"window": 0.95, "ecg": 0.80, "eeg": 0.70, "gaze": 0.80, "head": 0.90, "video": 0.90}
 OUTLIER_MS = 50.0
 
 
 def clock_offset(pairs: DataFrame, keys: list[str], a: Column, b: Column, outlier: float = OUTLIER_MS) -> DataFrame:
-    """Median of a - b, largest residual and number of outliers per key."""
-    d = pairs.withColumn("_d", (a - b).cast("double"))
-    d = d.join(d.groupBy(*keys).agg(F.percentile("_d", 0.5).alias("offset")), keys)
-    r = F.abs(F.col("_d") - F.col("offset"))
+    """Median of a - b, largest residual and number of outliers per key; ``clock_outliers`` lists them."""
+    d, r = _residuals(pairs, keys, a, b)
     return d.groupBy(*keys, "offset").agg(F.max(r).alias("max_residual"), F.count_if(r >= outlier).alias("outliers"))
 
 
+def clock_outliers(pairs: DataFrame, keys: list[str], a: Column, b: Column, outlier: float = OUTLIER_MS) -> DataFrame:
+    """The rows whose a - b is ``outlier`` or more from their key's median, with ``offset`` and the signed ``residual``; a row each, as
+    a clock that jumped may give most of a session's."""
+    d, r = _residuals(pairs, keys, a, b)
+    return d.filter(r >= outlier).withColumn("residual", F.col("_d") - F.col("offset")).drop("_d")
+
+
+def _residuals(pairs: DataFrame, keys: list[str], a: Column, b: Column) -> tuple[DataFrame, Column]:
+    d = pairs.withColumn("_d", (a - b).cast("double"))
+    d = d.join(quantiles(d, keys, "_d", {"offset": 0.5}).drop("n"), keys)
+    return d, F.abs(F.col("_d") - F.col("offset"))
+
+
 def counter_gaps(samples: DataFrame, keys: list[str], order: str, counter: str) -> DataFrame:
     """Share of counter steps that differ from the median positive step."""
     s = samples.withColumn("_d", F.col(counter) - F.lag(counter).over(Window.partitionBy(*keys).orderBy(order)))
@@ -41,16 +54,26 @@ def segment_quality(samples: DataFrame, keys: list[str], segment: Column, value:
 
 def window_quality(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Range of the middle 90 %, variance and excess kurtosis."""
-    return samples.groupBy(*keys).agg((F.percentile(value, 0.95) - F.percentile(value, 0.05)).alias("robust_range"), F.var_pop(value).alias("variance"), F.kurtosis(value).alias("kurtosis"))
+    q = quantiles(samples, keys, value, {"_low": 0.05, "_high": 0.95})
+    m = samples.groupBy(*keys).agg(F.var_pop(value).alias("variance"), F.kurtosis(value).alias("kurtosis"))
+    return m.join(q, keys, "left").select(*keys, (F.col("_high") - F.col("_low")).alias("robust_range"), "variance", "kurtosis")
 
 
-def participant_manifest(labels: DataFrame, windows: DataFrame, usable: DataFrame, key: str, conditions: int, modalities: list[str]) -> DataFrame:
-    """One row per participant: label completeness, windows seen, usable share of each modality, their mean as score."""
+def participant_manifest(labels: DataFrame, windows: DataFrame, usable: DataFrame, key: str, conditions: int, modalities: list[str], expected: DataFrame | None = None) -> DataFrame:
+    """One row per participant: label completeness, windows seen, usable share of each modality, their mean as score.
+
+    With ``expected`` (key, expected_windows) also the expected windows, the share of them that was seen, and that share in the
+    score; a participant of whom none is expected has no share, and one that is expected but has no label is listed too.
+    """
     a = labels.groupBy(key).agg((F.count_distinct("condition") / conditions).alias("label_ratio"))
     b = windows.groupBy(key).agg(F.count("*").alias("windows"))
     c = usable.groupBy(key).agg(*[F.avg(F.col(f"{m}_usable").cast("int")).alias(f"{m}_ratio") for m in modalities])
     out = a.join(b, key, "left").join(c, key, "left").withColumn("windows", F.coalesce("windows", F.lit(0)))
-    return out.withColumn("score", sum((F.coalesce(f"{m}_ratio", F.lit(0.0)) for m in modalities), F.col("label_ratio")) / (len(modalities) + 1))
+    if expected is None:
+        return out.withColumn("score", sum((F.coalesce(f"{m}_ratio", F.lit(0.0)) for m in modalities), F.col("label_ratio")) / (len(modalities) + 1))
+    out = out.join(expected, key, "full_outer").withColumns({"windows": F.coalesce("windows", F.lit(0)), "label_ratio": F.coalesce("label_ratio", F.lit(0.0))})
+    out = out.withColumn("window_ratio", F.least(F.lit(1.0), F.col("windows") / F.nullif(F.col("expected_windows"), F.lit(0))))
+    return out.withColumn("score", sum((F.coalesce(f"{m}_ratio", F.lit(0.0)) for m in ["window", *modalities]), F.col("label_ratio")) / (len(modalities) + 2))
 
 
 def cohorts(manifest: DataFrame, key: str, limits: dict[str, float], pilot: int) -> DataFrame:
@@ -139,8 +162,13 @@ def cadence(log: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 
 def latency(df: DataFrame, key: str, delay: Column) -> DataFrame:
-    """Delays per session and over all (key NULL)."""
-    return df.withColumn("_d", delay.cast("double")).rollup(key).agg(F.avg("_d").alias("mean"), F.percentile("_d", 0.5).alias("median"), F.percentile("_d", 0.95).alias("p95"), F.min("_d").alias("min"), F.max("_d").alias("max"), F.count("*").alias("n"))
+    """Delays per session and over all (key NULL); the quantiles of all are counted in ranges, as one session's are."""
+    d = df.withColumn("_d", delay.cast("double"))
+    m = d.rollup(key).agg(F.avg("_d").alias("mean"), F.min("_d").alias("min"), F.max("_d").alias("max"), F.count("*").alias("n"), F.grouping(key).alias("_all"))
+    shares = {"median": 0.5, "p95": 0.95}
+    q = quantiles(d, [key], "_d", shares).withColumn("_all", F.lit(0)).unionByName(quantiles(d, [], "_d", shares).withColumns({key: F.lit(None).cast(d.schema[key].dataType), "_all": F.lit(1)}), allowMissingColumns=True)
+    q = q.select(F.col(key).alias("_k"), F.col("_all").alias("_a"), *shares)
+    return m.join(q, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_all") == F.col("_a")), "left").select(key, "mean", "median", "p95", "min", "max", "n")
 
 
 def modality_ages(df: DataFrame, keys: list[str], ages: str) -> DataFrame:

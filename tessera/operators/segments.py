@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 
@@ -79,27 +84,74 @@ def bin_centres(windows: DataFrame, start: str, end: str, count: int) -> DataFra
     return windows.withColumn("target", F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.col(start) + step * (i + 0.5))))
 
 
+class _Centres:
+    """The frames of a window, in order of time, that its bin centres can take: ``count`` on either side of each."""
+
+    def __init__(self, start: float, end: float, count: int):
+        self.centres = [start + (end - start) / count * (i + 0.5) for i in range(count)]
+        self.count, self.n, self.last, self.same, self.passed = count, 0, None, 0, 0
+        self.before: deque[tuple] = deque(maxlen=2 * count)
+        self.held: dict[tuple, None] = {}
+        self.until = 0
+        """Frames from here on are held whatever the centre, as they follow one."""
+
+    def add(self, at: float, frame: object) -> None:
+        self.n += 1
+        self.same = self.same + 1 if at == self.last else 1
+        self.last = at
+        if self.same > self.count:
+            return  # of frames of one time no more than that can be taken
+        while self.passed < len(self.centres) and self.centres[self.passed] <= at:
+            self.held.update(dict.fromkeys(self.before))
+            self.passed += 1
+            self.until = 2 * self.count
+        if self.until:
+            self.held[at, self.n, frame] = None
+            self.until -= 1
+        self.before.append((at, self.n, frame))
+
+    def chosen(self) -> list[tuple]:
+        if self.n < self.count:
+            return []
+        if self.passed < len(self.centres):
+            self.held.update(dict.fromkeys(self.before))
+        free = sorted(self.held)
+        taken = []
+        for c in self.centres:
+            best = min(free, key=lambda x: (abs(x[0] - c), *x[:2]))
+            free.remove(best)
+            taken.append(best)
+        return [(at, f) for at, _, f in sorted(taken)]
+
+
 def uniform_frames(frames: DataFrame, windows: DataFrame, keys: list[str], ts: str, frame: str, start: str, end: str, count: int) -> DataFrame:
     """``count`` distinct frames of each window, taken for the bin centres in turn, each the nearest not yet taken (ties
-    to the earlier); none for a window with fewer frames. The order matters, so a window is one small group."""
-    import pandas as pd
+    to the earlier); none for a window with fewer frames.
 
+    A window's frames pass in order of time, and of them are held those that a centre can take, at most 4 * ``count`` for
+    each, so a window of any length is no frame in memory. Frames without a time are left out.
+    """
     inside = frames.join(windows, keys).filter((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end)))
-    schema = inside.select(*keys, start, end, F.col(ts).cast("double").alias(ts), frame).schema
-
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([ts, frame], ignore_index=True)
-        if len(g) < count:
-            return g.head(0)[schema.names]
-        a, b, free, taken = g[start][0], g[end][0], list(range(len(g))), []
-        for i in range(count):
-            centre = a + (b - a) / count * (i + 0.5)
-            best = min(free, key=lambda j: (abs(g[ts][j] - centre), g[ts][j]))
-            free.remove(best)
-            taken.append(best)
-        return g.loc[sorted(taken), schema.names]
-
-    return inside.select(*schema.names).withColumn(ts, F.col(ts).cast("double")).groupBy(*keys, start).applyInPandas(lambda g: choose(g), schema)
+    inside = inside.select(*keys, start, end, F.col(ts).cast("double").alias(ts), frame)
+    schema = inside.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, held = None, None
+        for b in batches:
+            out = []
+            for *now, at, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now != window:
+                    out += [(*window, *x) for x in held.chosen()] if held else []
+                    window, held = now, _Centres(float(now[-2]), float(now[-1]), count)
+                held.add(at, f)
+            yield batch(out)
+        yield batch([(*window, *x) for x in held.chosen()] if held else [])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=True)], schema.names)
+
+    return inside.repartition(*keys, start).sortWithinPartitions(*keys, start, end, ts, frame).mapInArrow(run, schema)
 
 
 def timestamp_source(frames: DataFrame, key: str, direct: str, iso: str, order: str) -> DataFrame:

@@ -29,9 +29,9 @@ def _(t: Tables) -> DataFrame:
     return reg(x(t))
 
 
-@query("participant_metrics", f"WITH {X} SELECT g, seed, {REG} FROM x GROUP BY ALL HAVING count(*) > 4")
+@query("participant_metrics", f"WITH {X} SELECT g, seed, {REG} FROM x GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return reg(x(t), "g", "seed").filter("n > 4")
+    return reg(x(t), "g", "seed")
 
 
 @query("spearman", f"WITH {X}, r AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY t) + (count(*) OVER (PARTITION BY g, t) - 1) / 2.0 AS a, rank() OVER (PARTITION BY g ORDER BY p) + (count(*) OVER (PARTITION BY g, p) - 1) / 2.0 AS b FROM x) SELECT g, round(corr(a, b), 6) AS spearman, count(*) AS n FROM r GROUP BY g")
@@ -274,12 +274,19 @@ def _(t: Tables) -> DataFrame:
     return B.paired_contrasts(cell(t), "user_id", "event_type", "v").select("left", "right", "t", "n", "p", "p_holm")
 
 
-@query("rm_anova", """WITH c AS (SELECT l_suppkey % 10 AS s, l_linenumber % 2 AS a, l_partkey % 3 AS b, avg(l_quantity) AS y FROM lineitem GROUP BY ALL), m AS (SELECT *, avg(y) OVER () AS g, avg(y) OVER (PARTITION BY a) AS ma, avg(y) OVER (PARTITION BY s) AS ms, avg(y) OVER (PARTITION BY a, s) AS mas, avg(y) OVER (PARTITION BY b) AS mb, avg(y) OVER (PARTITION BY b, s) AS mbs FROM c), d AS (SELECT DISTINCT s, b, mbs, ms FROM m)
+@query("rm_anova", """WITH c AS (SELECT l_suppkey % 10 AS s, l_linenumber % 2 AS a, l_partkey % 3 AS b, avg(l_quantity) AS y FROM lineitem GROUP BY ALL), m AS (SELECT *, avg(y) OVER () AS g, avg(y) OVER (PARTITION BY a) AS ma, avg(y) OVER (PARTITION BY s) AS ms, avg(y) OVER (PARTITION BY a, s) AS mas, avg(y) OVER (PARTITION BY b) AS mb, avg(y) OVER (PARTITION BY b, s) AS mbs, avg(y) OVER (PARTITION BY a, b) AS mab FROM c), d AS (SELECT DISTINCT s, b, mbs, ms FROM m), i AS (SELECT s, a || '-' || b AS l, y - mas - mbs + ms AS v FROM m)
 SELECT 'a' AS effect, round(sum((ma - g)**2), 6) AS ss, 1.0::DOUBLE AS df1, 9.0::DOUBLE AS df2, round(sum((ma - g)**2) / (sum((mas - ma - ms + g)**2) / 9), 6) AS f, round(sum((ma - g)**2) / (sum((ma - g)**2) + sum((mas - ma - ms + g)**2)), 6) AS partial_eta2, 1.0::DOUBLE AS epsilon FROM m
-UNION ALL SELECT 'b', round(sum((mb - g)**2), 6), 2.0, 18.0, round(sum((mb - g)**2) / 2 / (sum((mbs - mb - ms + g)**2) / 18), 6), round(sum((mb - g)**2) / (sum((mb - g)**2) + sum((mbs - mb - ms + g)**2)), 6), round((SELECT (sum(c) FILTER (l = r))**2 / (2 * sum(c * c)) FROM (SELECT x.b AS l, y.b AS r, covar_samp(x.mbs - x.ms, y.mbs - y.ms) AS c FROM d x JOIN d y USING (s) GROUP BY ALL)), 6) FROM m""")
+UNION ALL SELECT 'b', round(sum((mb - g)**2), 6), 2.0, 18.0, round(sum((mb - g)**2) / 2 / (sum((mbs - mb - ms + g)**2) / 18), 6), round(sum((mb - g)**2) / (sum((mb - g)**2) + sum((mbs - mb - ms + g)**2)), 6), round((SELECT (sum(c) FILTER (l = r))**2 / (2 * sum(c * c)) FROM (SELECT x.b AS l, y.b AS r, covar_samp(x.mbs - x.ms, y.mbs - y.ms) AS c FROM d x JOIN d y USING (s) GROUP BY ALL)), 6) FROM m
+UNION ALL SELECT 'ab', round(sum((mab - ma - mb + g)**2), 6), 2.0, 18.0, round(sum((mab - ma - mb + g)**2) / 2 / (sum((y - mab - mas - mbs + ma + mb + ms - g)**2) / 18), 6), round(sum((mab - ma - mb + g)**2) / (sum((mab - ma - mb + g)**2) + sum((y - mab - mas - mbs + ma + mb + ms - g)**2)), 6), round((SELECT (sum(c) FILTER (l = r))**2 / (2 * sum(c * c)) FROM (SELECT x.l, y.l AS r, covar_samp(x.v, y.v) AS c FROM i x JOIN i y USING (s) GROUP BY ALL)), 6) FROM m""")
 def _(t: Tables) -> DataFrame:
     c = t.lineitem.select((F.col("l_suppkey") % 10).alias("s"), (F.col("l_linenumber") % 2).alias("a"), (F.col("l_partkey") % 3).alias("b"), F.col("l_quantity").alias("y0"))
-    return rounded(B.rm_anova(c, "s", "a", "b", "y0").filter("effect <> 'ab'").select("effect", "ss", "df1", "df2", "f", "partial_eta2", "epsilon"))
+    return rounded(B.rm_anova(c, "s", "a", "b", "y0").select("effect", "ss", "df1", "df2", "f", "partial_eta2", "epsilon"))
+
+
+@query("rm_anova_p")
+def _(t: Tables) -> DataFrame:
+    c = t.lineitem.select((F.col("l_suppkey") % 10).alias("s"), (F.col("l_linenumber") % 2).alias("a"), (F.col("l_partkey") % 3).alias("b"), F.col("l_quantity").alias("y0"))
+    return B.rm_anova(c, "s", "a", "b", "y0").select("effect", "f", "df1", "df2", "epsilon", "p", "p_gg")
 
 
 @query("permute_within_condition", f"WITH a AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events), b AS (SELECT event_type, value AS shuffled, row_number() OVER (PARTITION BY event_type ORDER BY {draw_sql('11', 'event_id')}, event_id) AS n FROM events) SELECT event_id, shuffled FROM a JOIN b USING (event_type, n)")

@@ -26,6 +26,11 @@ def _(t: Tables) -> DataFrame:
     return rounded(Q.clock_offset(t.events, ["user_id"], F.col("value") * 4, F.col("value")))
 
 
+@query("clock_offset_outliers", """WITH d AS (SELECT user_id, event_id, value * 3 AS d FROM events), m AS (SELECT user_id, quantile_cont(d, 0.5) AS o FROM d GROUP BY 1) SELECT user_id, event_id, round(o, 6) AS "offset", round(d - o, 6) AS residual FROM d JOIN m USING (user_id) WHERE abs(d - o) >= 50""")
+def _(t: Tables) -> DataFrame:
+    return rounded(Q.clock_outliers(t.events.select("user_id", "event_id", "value"), ["user_id"], F.col("value") * 4, F.col("value")).drop("value"))
+
+
 @query("counter_gap_qc", """WITH d AS (SELECT l_suppkey, l_partkey - lag(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_partkey) AS d FROM lineitem), m AS (SELECT l_suppkey, quantile_cont(d, 0.5) FILTER (d > 0) AS m FROM d GROUP BY 1)
 SELECT l_suppkey, round(avg(CASE WHEN d IS NOT NULL THEN CASE WHEN d <> m THEN 1 ELSE 0 END END), 6) AS gap_fraction FROM d JOIN m USING (l_suppkey) GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
@@ -44,10 +49,10 @@ def _(t: Tables) -> DataFrame:
     return Q.segment_quality(e, ["user_id"], F.col("event_id") % 5, "value", 20.0)
 
 
-@query("window_quality", "SELECT user_id, round(quantile_cont(value, 0.95) - quantile_cont(value, 0.05), 6) AS robust_range, round(var_pop(value), 4) AS variance FROM events GROUP BY 1")
+@query("window_quality", "SELECT user_id, round(quantile_cont(value, 0.95) - quantile_cont(value, 0.05), 6) AS robust_range, round(var_pop(value), 4) AS variance, round(kurtosis_pop(value), 6) AS kurtosis FROM events GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     q = Q.window_quality(t.events, ["user_id"], "value")
-    return q.select("user_id", F.round("robust_range", 6).alias("robust_range"), F.round("variance", 4).alias("variance"))
+    return q.select("user_id", F.round("robust_range", 6).alias("robust_range"), F.round("variance", 4).alias("variance"), F.round("kurtosis", 6).alias("kurtosis"))
 
 
 MANIFEST = "m AS (SELECT user_id, count(DISTINCT event_type) / 5.0 AS label_ratio, count(*) AS windows, avg(CASE WHEN value > 5 THEN 1 ELSE 0 END) AS eeg_ratio, (count(DISTINCT event_type) / 5.0 + avg(CASE WHEN value > 5 THEN 1 ELSE 0 END)) / 2 AS score FROM events GROUP BY 1)"
@@ -63,6 +68,15 @@ def _(t: Tables) -> DataFrame:
     return rounded(manifest(t))
 
 
+@query("participant_expected_windows", """WITH m AS (SELECT user_id, count(DISTINCT event_type) / 5.0 AS label_ratio, count(*) AS windows, avg(CASE WHEN value > 5 THEN 1 ELSE 0 END) AS eeg_ratio FROM events GROUP BY 1), x AS (SELECT c_custkey AS user_id, c_custkey % 40 AS expected_windows FROM customer),
+j AS (SELECT coalesce(m.user_id, x.user_id) AS user_id, coalesce(label_ratio, 0.0) AS label_ratio, coalesce(windows, 0) AS windows, eeg_ratio, expected_windows FROM m FULL JOIN x ON m.user_id = x.user_id), r AS (SELECT *, least(1.0, windows / nullif(expected_windows, 0)) AS window_ratio FROM j)
+SELECT user_id, label_ratio, windows, round(eeg_ratio, 6) AS eeg_ratio, expected_windows, round(window_ratio, 6) AS window_ratio, round((label_ratio + coalesce(eeg_ratio, 0) + coalesce(window_ratio, 0)) / 3, 6) AS score FROM r""")
+def _(t: Tables) -> DataFrame:
+    e = t.events
+    expected = t.customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 40).alias("expected_windows"))
+    return rounded(Q.participant_manifest(e.select("user_id", F.col("event_type").alias("condition")), e, e.select("user_id", (F.col("value") > 5).alias("eeg_usable")), "user_id", 5, ["eeg"], expected))
+
+
 @query("build_cohorts", f"WITH {MANIFEST}, u AS (SELECT * FROM m WHERE label_ratio >= 1 AND eeg_ratio >= 0.9) SELECT user_id, 'usable' AS cohort FROM u UNION ALL (SELECT user_id, 'pilot' FROM u ORDER BY score DESC, user_id LIMIT 7)")
 def _(t: Tables) -> DataFrame:
     return Q.cohorts(manifest(t), "user_id", {"label_ratio": 1.0, "eeg_ratio": 0.9}, 7)

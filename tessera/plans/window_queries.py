@@ -150,6 +150,12 @@ def _(t: Tables) -> DataFrame:
     return rounded(t.events.groupBy("user_id", "event_type").agg(*X.robust_stats("value")))
 
 
+@query("robust_stats_by_type", "SELECT event_type, round(avg(value), 6) AS value__mean, round(stddev_pop(value), 6) AS value__std, round(quantile_cont(value, 0.5), 6) AS value__median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS value__iqr, round(max(value) - min(value), 6) AS value__range FROM events GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    """Few groups, each a share of the table."""
+    return rounded(X.robust_table(t.events, ["event_type"], "value"))
+
+
 @query(
     "condition_summary_stats",
     CELLS + """ SELECT participant, condition, count(*) AS window_count, round(avg(CASE WHEN x IS NULL THEN 1 ELSE 0 END), 9) AS v__missing_ratio, round(avg(x), 9) AS v__mean, round(stddev_pop(x), 9) AS v__std, round(min(x), 9) AS v__min, round(max(x), 9) AS v__max, round(quantile_cont(x, 0.5), 9) AS v__median,
@@ -161,10 +167,11 @@ def _(t: Tables) -> DataFrame:
     return rounded(s.withColumn("v__slope", F.round("v__slope", 6)), 9)
 
 
-@query("causal_prefix_stats", CELLS + " SELECT participant, condition, k, round(avg(v) OVER w, 9) AS v__so_far_mean, round(max(v) OVER w, 9) AS v__so_far_max, round(first_value(v) OVER w, 9) AS v__so_far_first, count(v) OVER w AS v__so_far_count FROM c WINDOW w AS (PARTITION BY participant, condition ORDER BY k ROWS UNBOUNDED PRECEDING)")
+@query("causal_prefix_stats", CELLS + " SELECT participant, condition, k, round(avg(v) OVER w, 9) AS v__so_far_mean, round(stddev_pop(v) OVER w, 6) AS v__so_far_std, round(min(v) OVER w, 9) AS v__so_far_min, round(max(v) OVER w, 9) AS v__so_far_max, round(first_value(v) OVER w, 9) AS v__so_far_first, round(last_value(v IGNORE NULLS) OVER w, 9) AS v__so_far_last, count(v) OVER w AS v__so_far_count FROM c WINDOW w AS (PARTITION BY participant, condition ORDER BY k ROWS UNBOUNDED PRECEDING)")
 def _(t: Tables) -> DataFrame:
     p = X.prefix_stats(cells(t), ["participant", "condition"], "k", "v")
-    return rounded(p.select("participant", "condition", "k", *[f"v__so_far_{n}" for n in ("mean", "max", "first", "count")]), 9)
+    p = p.select("participant", "condition", "k", *[f"v__so_far_{n}" for n in ("mean", "std", "min", "max", "first", "last", "count")])
+    return rounded(p.withColumn("v__so_far_std", F.round("v__so_far_std", 6)), 9)
 
 
 @query("condition_mean_features", "SELECT l_returnflag, l_linestatus, round(avg(l_discount), 6) AS l_discount, round(avg(l_tax), 6) AS l_tax FROM lineitem GROUP BY ALL")
