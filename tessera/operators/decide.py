@@ -14,6 +14,8 @@ SWITCH, FORCED_AFTER = (0.10, 0.45, 0.85), 3
 BOREDOM, AROUSAL, DISCOMFORT, CALM = 0.25, 0.20, 0.30, 0.15
 SAFE, HIGH_LOAD, HIGH_LOAD_PENALTY, RECENT_PENALTY = (1, 2, 4, 5), (9,), 0.10, 0.12
 TEMPERATURE, FLOOR = 0.18, 0.08
+CALM_DWELL, CALM_STEP, CALM_MOST = 3, 0.025, 0.12
+STEP_REASONS = {"stable_probe": "stable_probe", "calm_exploration": "calm_exploration", "stress_recovery": "stress_recovery_step"}
 MODALITIES = ("eeg", "ecg", "head", "eye")
 WINDOW_MS = 10_000
 
@@ -91,47 +93,74 @@ def weighted_pick(options: Column, draw: Column) -> Column:
     return F.coalesce(found["pick"], F.get(options, F.size(options) - 1)["candidate"])
 
 
-def control_step(state: DataFrame, key: str, candidates: DataFrame, min_dwell: int = 0) -> DataFrame:
+def calm_penalty(relaxation: Column, discomfort: Column, dwell: Column) -> Column:
+    """What a calm condition loses for each window from the CALM_DWELL-th on, so that a neighbour comes to top it."""
+    calm = (relaxation >= 0.55) & (discomfort <= 0.40) & (dwell >= CALM_DWELL)
+    return F.when(calm, F.least(F.lit(CALM_MOST), (dwell - CALM_DWELL + 1) * CALM_STEP)).otherwise(0.0)
+
+
+def control_step(state: DataFrame, key: str, candidates: DataFrame, min_dwell: int = 0, mode: str = "probability", max_dwell: int = 2, adjacent: bool = False) -> DataFrame:
     """(key, action, target, reason, delta): one control decision for each state.
 
     ``state``: key, condition (grid number), relaxation, discomfort, dwell, arousal, boredom, switch_draw and pick_draw
     (uniform). ``candidates``: key, candidate, relaxation, discomfort, cooldown, recent; at most the nine of the grid.
     In turn: extreme discomfort is a failsafe; high discomfort leaves for the safety pool; then the chance to switch
     explores any condition that is not cooling; else a neighbour of better utility, by more than the hysteresis.
+
+    ``mode`` names how it explores: "probability" by the chance to switch; "dwell" from ``max_dwell`` windows on, or CALM_DWELL of a calm
+    state, while calm and steady states otherwise wait; "utility" not at all, but a calm state's own utility loses ``calm_penalty``.
+    With ``adjacent``, only neighbours are explored. Where ``candidates`` have a ``mode``, a step in utility is named by it.
     """
+    if mode not in ("probability", "dwell", "utility"):
+        raise ValueError(f"no mode {mode}")
     i, f = (lambda c: F.floor((c - 1) / 3)), (lambda c: (c - 1) % 3)
     score = utility(F.col("relaxation"), F.col("discomfort"))
     chosen = score - F.col("recent") * RECENT_PENALTY - F.when(F.col("candidate").isin(*HIGH_LOAD), HIGH_LOAD_PENALTY).otherwise(0.0)
-    one = F.struct(F.col("candidate").cast("int").alias("candidate"), chosen.alias("score"), score.alias("plain"), (F.col("cooldown") <= 0).alias("free"))
+    one = F.struct(F.col("candidate").cast("int").alias("candidate"), chosen.alias("score"), score.alias("plain"), (F.col("cooldown") <= 0).alias("free"), (F.col("mode") if "mode" in candidates.columns else F.lit(None).cast("string")).alias("mode"))
     pool = candidates.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_all"))
     s = state.join(pool, key, "left").withColumn("_all", F.filter(F.coalesce("_all", F.array().cast(pool.schema["_all"].dataType)), lambda x: x["candidate"] != F.col("condition")))
     now, tense, calm_value = F.col("condition"), F.col("discomfort"), F.col("relaxation")
     near = lambda x: F.abs(i(x["candidate"]) - i(now)) + F.abs(f(x["candidate"]) - f(now)) == 1
     safe = F.filter("_all", lambda x: x["candidate"].isin(*SAFE) & x["free"])
-    free = F.filter("_all", lambda x: x["free"])
+    free = F.filter("_all", lambda x: x["free"] & near(x) if adjacent else x["free"])
     p, forced = switch_probability(calm_value, tense, F.col("dwell"), F.col("arousal"), F.col("boredom"))
-    best = F.array_max(F.transform(F.filter("_all", near), lambda x: F.struct(x["plain"].alias("score"), x["candidate"].alias("candidate"))))
+    best = F.array_max(F.transform(F.filter("_all", near), lambda x: F.struct(x["plain"].alias("score"), x["candidate"].alias("candidate"), x["mode"].alias("mode"))))
     s = s.withColumns({"_own": utility(calm_value, tense), "_p": p, "_forced": forced, "_safe": weighted_pick(safe, F.col("pick_draw")), "_free": weighted_pick(free, F.col("pick_draw")), "_best": best})
-    steady = ((calm_value >= 0.55) & (tense <= 0.40)) | ((calm_value >= 0.45) & (tense <= SAFETY))
+    calm = (calm_value >= 0.55) & (tense <= 0.40)
+    steady = calm | ((calm_value >= 0.45) & (tense <= SAFETY))
     ready = F.col("_forced") | steady | (F.col("arousal") >= 0.35) | (F.col("boredom") >= 0.35)
     go = ready & (F.when(F.col("_forced"), 0.0).otherwise(F.col("switch_draw")) <= F.col("_p"))
-    gain = F.col("_best.score") - F.col("_own")
-    better = F.coalesce((F.col("_best.score") > F.col("_own")) & (gain >= HYSTERESIS), F.lit(False))
+    penalty = calm_penalty(calm_value, tense, F.col("dwell")) if mode == "utility" else F.lit(0.0)
+    gain = F.col("_best.score") - (F.col("_own") - penalty)
+    better = F.coalesce((gain > 0) & (gain >= HYSTERESIS), F.lit(False))
+    named = F.coalesce(*[F.when(F.col("_best.mode") == k, v) for k, v in STEP_REASONS.items()], F.lit("adaptive_utility_step"))
+    step = F.when((penalty > 0) & (F.col("_best.score") <= F.col("_own")), "calm_dwell_exploration").otherwise(named)
+    long = (F.col("dwell") >= max_dwell) & (tense < SAFETY) if max_dwell > 0 else F.lit(False)
+    explore = {
+        "probability": [
+            (go & F.col("_free").isNotNull(), "apply", F.col("_free"), F.when(F.col("_forced"), "sensor_probability_force_exploration").otherwise("sensor_probability_exploration")),
+            (go, "hold", None, F.lit("sensor_probability_no_available_condition")),
+            (ready, "hold", None, F.lit("sensor_probability_hold")),
+        ],
+        "dwell": [
+            ((long | calm & (F.col("dwell") >= CALM_DWELL)) & F.col("_free").isNotNull(), "apply", F.col("_free"), F.when(long, "stochastic_max_dwell_exploration").otherwise("stochastic_calm_exploration")),
+            (steady, "hold", None, F.when(calm, "calm_wait_for_stochastic_exploration").otherwise("steady_wait_for_stochastic_exploration")),
+        ],
+        "utility": [],
+    }[mode]
     cases = [
         (tense >= EXTREME, "failsafe", None, F.lit("extreme_predicted_discomfort")),
         ((tense >= SAFETY) & now.isin(*SAFE) & (F.col("dwell") < min_dwell), "hold", None, F.lit("safety_min_condition_dwell")),
         ((tense >= SAFETY) & F.col("_safe").isNotNull(), "apply", F.col("_safe"), F.lit("safety_recovery_stochastic")),
         (tense >= SAFETY, "hold", None, F.lit("safety_no_available_condition")),
-        (go & F.col("_free").isNotNull(), "apply", F.col("_free"), F.when(F.col("_forced"), "sensor_probability_force_exploration").otherwise("sensor_probability_exploration")),
-        (go, "hold", None, F.lit("sensor_probability_no_available_condition")),
-        (ready, "hold", None, F.lit("sensor_probability_hold")),
-        (better, "apply", F.col("_best.candidate"), F.lit("adaptive_utility_step")),
+        *explore,
+        (better, "apply", F.col("_best.candidate"), step),
     ]
-    action, target, reason = F.lit("hold"), now, F.lit("stable_no_better_neighbor")
+    action, target, reason = F.lit("hold"), now, F.when(penalty > 0, "dwell_exploration_no_better_neighbor").otherwise("stable_no_better_neighbor")
     for when, a, to, why in reversed(cases):
         action, reason = F.when(when, a).otherwise(action), F.when(when, why).otherwise(reason)
         target = F.when(when, to if to is not None else now).otherwise(target)
-    return s.select(key, action.alias("action"), target.cast("int").alias("target"), reason.alias("reason"), F.when(reason.isin("adaptive_utility_step", "stable_no_better_neighbor"), F.greatest(gain, F.lit(0.0))).alias("delta"))
+    return s.select(key, action.alias("action"), target.cast("int").alias("target"), reason.alias("reason"), F.when(reason.isin("adaptive_utility_step", *STEP_REASONS.values(), "calm_dwell_exploration", "dwell_exploration_no_better_neighbor", "stable_no_better_neighbor"), F.greatest(gain, F.lit(0.0))).alias("delta"))
 
 
 def message_violations(start: Column, end: Column, shadow: Column, action: Column, participant: Column) -> Column:
@@ -146,12 +175,13 @@ def message_violations(start: Column, end: Column, shadow: Column, action: Colum
     )
 
 
-def prediction_problems(expected: DataFrame, found: DataFrame, keys: list[str], truth: str, pred: str, tolerance: float = 1e-9) -> DataFrame:
-    """(keys, problem): missing and extra keys, other truths, predictions that are missing or outside 0..1."""
+def prediction_problems(expected: DataFrame, found: DataFrame, keys: list[str], truth: str, pred: str, tolerance: float = 1e-9, meta: list[str] = ()) -> DataFrame:
+    """(keys, problem): missing and extra keys, other truths, predictions that are missing or outside 0..1, then the first of the
+    ``meta`` columns (fold, validation member, seed, variant) in which the two tables differ."""
     from tessera.operators.joins import reconcile
 
-    f = found.select(*keys, F.col(truth).alias("_t"), F.col(pred).alias("_p"))
-    j = reconcile(expected.select(*keys, truth), f, keys)
+    f = found.select(*keys, F.col(truth).alias("_t"), F.col(pred).alias("_p"), *[F.col(m).alias(f"_m_{m}") for m in meta])
+    j = reconcile(expected.select(*keys, truth, *meta), f, keys)
     both = F.col("side") == "both"
     problem = (
         F.when(F.col("side") == "left", "missing")
@@ -160,6 +190,8 @@ def prediction_problems(expected: DataFrame, found: DataFrame, keys: list[str],
         .when(both & (F.col("_p").isNull() | F.isnan("_p")), "not_finite")
         .when(both & ~F.col("_p").between(0, 1), "out_of_range")
     )
+    for m in meta:
+        problem = problem.when(both & ~F.col(m).eqNullSafe(F.col(f"_m_{m}")), f"{m}_differs")
     return j.select(*keys, problem.alias("problem")).filter("problem is not null")
 
 

@@ -221,7 +221,7 @@ def argmax_stability(cells: DataFrame, key: str, option: str, value: str, n: int
 def lopo_manifest(members: DataFrame, key: str) -> DataFrame:
     """(fold_index, key, role): in fold i the i-th key is the test, the one after it (cyclic) validation, the rest train."""
     m = numbered(members.select(key).distinct(), key)
-    n = m.agg(F.count("*").alias("n"))
-    f = m.select(F.col("i").alias("fold_index")).join(F.broadcast(n))
+    n = m.agg(F.count("*").alias("n"))  # one row; folds are numbers, so each member makes its own rows and no list of members travels
+    f = m.join(F.broadcast(n)).withColumn("fold_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     role = F.when(F.col("i") == F.col("fold_index"), "test").when(F.col("i") == F.pmod(F.col("fold_index") + 1, F.col("n")), "validation").otherwise("train")
-    return f.join(F.broadcast(m)).select("fold_index", key, role.alias("role"))
+    return f.select("fold_index", key, role.alias("role"))

@@ -123,19 +123,21 @@ def _(t: Tables) -> DataFrame:
     return rounded(t.events.select("event_id", mode.alias("mode"), r.alias("relaxation"), d.alias("discomfort")), 9)
 
 
-@query("control_decision", """WITH e AS (SELECT event_id, 1 + event_id % 9 AS c, least(1.0, value / 140) AS d, 1 - least(1.0, value / 110) AS r, event_id % 4 AS dwell, (event_id * 31 % 100) / 100.0 AS ar, (event_id * 57 % 100) / 100.0 AS bo, (event_id * 7919 % 1000) / 1000.0 AS u, (event_id * 104729 % 1000) / 1000.0 AS k FROM events),
+CONTROL = """WITH e AS (SELECT event_id, 1 + event_id % 9 AS c, least(1.0, value / 140) AS d, 1 - least(1.0, value / 110) AS r, event_id % 4 AS dwell, (event_id * 31 % 100) / 100.0 AS ar, (event_id * 57 % 100) / 100.0 AS bo, (event_id * 7919 % 1000) / 1000.0 AS u, (event_id * 104729 % 1000) / 1000.0 AS k FROM events),
 g AS (SELECT unnest(range(1, 10)) AS n), o AS (SELECT e.*, n, greatest(0, least(1, r + ((n * 7 + event_id) % 11 - 5) / 60.0)) AS cr, greatest(0, least(1, d + ((n * 5 + event_id) % 7 - 3) / 60.0)) AS cd, (n + event_id) % 3 AS cool, (n * event_id) % 4 AS recent FROM e, g WHERE n <> c),
 s AS (SELECT *, 0.85 * cr - 0.15 * cd AS plain, 0.85 * cr - 0.15 * cd - recent * 0.12 - CASE WHEN n = 9 THEN 0.1 ELSE 0 END AS score, cool <= 0 AS free, n IN (1, 2, 4, 5) AS safe, abs((n - 1) // 3 - (c - 1) // 3) + abs((n - 1) % 3 - (c - 1) % 3) = 1 AS near FROM o),
 f AS (SELECT event_id, n, k, 0.08 + exp(greatest(-60, (score - max(score) OVER (PARTITION BY event_id)) / 0.18)) AS w FROM s WHERE free), fp AS (SELECT event_id, min(n) FILTER (cum >= k * total) AS pick FROM (SELECT *, sum(w) OVER (PARTITION BY event_id ORDER BY n) AS cum, sum(w) OVER (PARTITION BY event_id) AS total FROM f) GROUP BY 1),
 h AS (SELECT event_id, n, k, 0.08 + exp(greatest(-60, (score - max(score) OVER (PARTITION BY event_id)) / 0.18)) AS w FROM s WHERE free AND safe), hp AS (SELECT event_id, min(n) FILTER (cum >= k * total) AS pick FROM (SELECT *, sum(w) OVER (PARTITION BY event_id ORDER BY n) AS cum, sum(w) OVER (PARTITION BY event_id) AS total FROM h) GROUP BY 1),
-b AS (SELECT event_id, max(plain) AS top, arg_max(n, (plain, n)) AS best FROM s WHERE near GROUP BY 1),
-z AS (SELECT e.*, fp.pick AS fpick, hp.pick AS hpick, top - (0.85 * r - 0.15 * d) AS gain, best, dwell >= 2 AS forced, (r >= 0.55 AND d <= 0.4) OR (r >= 0.45 AND d <= 0.5) AS steady, CASE WHEN dwell >= 2 THEN 1.0 ELSE greatest(0, least(1, [0.10, 0.45, 0.85][dwell + 1] + 0.25 * bo + 0.2 * ar + 0.3 * greatest(0, least(1, (d - 0.25) / 0.25)) - 0.15 * CASE WHEN r >= 0.55 AND d <= 0.4 THEN least(1 - greatest(0, least(1, (ar - 0.2) / 0.4)), 1 - greatest(0, least(1, (bo - 0.2) / 0.45))) ELSE 0 END)) END AS p FROM e LEFT JOIN fp USING (event_id) LEFT JOIN hp USING (event_id) LEFT JOIN b USING (event_id)),
-y AS (SELECT *, forced OR steady OR ar >= 0.35 OR bo >= 0.35 AS ready FROM z), q AS (SELECT *, ready AND (forced OR u <= p) AS go FROM y),
-t AS (SELECT event_id, c, fpick, hpick, best, gain, CASE WHEN d >= 0.95 THEN 'extreme_predicted_discomfort' WHEN d >= 0.5 AND c IN (1, 2, 4, 5) AND dwell < 1 THEN 'safety_min_condition_dwell' WHEN d >= 0.5 AND hpick IS NOT NULL THEN 'safety_recovery_stochastic' WHEN d >= 0.5 THEN 'safety_no_available_condition' WHEN go AND fpick IS NOT NULL THEN CASE WHEN forced THEN 'sensor_probability_force_exploration' ELSE 'sensor_probability_exploration' END
-WHEN go THEN 'sensor_probability_no_available_condition' WHEN ready THEN 'sensor_probability_hold' WHEN gain >= 0.002 THEN 'adaptive_utility_step' ELSE 'stable_no_better_neighbor' END AS reason FROM q)
-SELECT event_id, reason, CASE WHEN reason = 'extreme_predicted_discomfort' THEN 'failsafe' WHEN reason IN ('safety_recovery_stochastic', 'sensor_probability_force_exploration', 'sensor_probability_exploration', 'adaptive_utility_step') THEN 'apply' ELSE 'hold' END AS action,
-CAST(CASE reason WHEN 'safety_recovery_stochastic' THEN hpick WHEN 'sensor_probability_force_exploration' THEN fpick WHEN 'sensor_probability_exploration' THEN fpick WHEN 'adaptive_utility_step' THEN best ELSE c END AS INTEGER) AS target, CASE WHEN reason IN ('adaptive_utility_step', 'stable_no_better_neighbor') THEN round(greatest(0, gain), 9) END AS delta FROM t""")
-def _(t: Tables) -> DataFrame:
+b AS (SELECT event_id, max(plain) AS top, arg_max(n, (plain, n)) AS best, ['stable_probe', 'calm_exploration', 'stress_recovery', 'conservative_stay'][1 + (arg_max(n, (plain, n)) + event_id) % 4] AS mode FROM s WHERE near GROUP BY 1),
+z AS (SELECT e.*, fp.pick AS fpick, hp.pick AS hpick, top - (0.85 * r - 0.15 * d) AS gain, best, mode, r >= 0.55 AND d <= 0.4 AS calm, dwell >= 2 AS forced, (r >= 0.55 AND d <= 0.4) OR (r >= 0.45 AND d <= 0.5) AS steady, CASE WHEN dwell >= 2 THEN 1.0 ELSE greatest(0, least(1, [0.10, 0.45, 0.85][dwell + 1] + 0.25 * bo + 0.2 * ar + 0.3 * greatest(0, least(1, (d - 0.25) / 0.25)) - 0.15 * CASE WHEN r >= 0.55 AND d <= 0.4 THEN least(1 - greatest(0, least(1, (ar - 0.2) / 0.4)), 1 - greatest(0, least(1, (bo - 0.2) / 0.45))) ELSE 0 END)) END AS p FROM e LEFT JOIN fp USING (event_id) LEFT JOIN hp USING (event_id) LEFT JOIN b USING (event_id))"""
+SAFETY = "CASE WHEN d >= 0.95 THEN 'extreme_predicted_discomfort' WHEN d >= 0.5 AND c IN (1, 2, 4, 5) AND dwell < 1 THEN 'safety_min_condition_dwell' WHEN d >= 0.5 AND hpick IS NOT NULL THEN 'safety_recovery_stochastic' WHEN d >= 0.5 THEN 'safety_no_available_condition'"
+STEP = "CASE mode WHEN 'stress_recovery' THEN 'stress_recovery_step' WHEN 'conservative_stay' THEN 'adaptive_utility_step' ELSE mode END"
+STEPS = "('adaptive_utility_step', 'stable_probe', 'calm_exploration', 'stress_recovery_step', 'calm_dwell_exploration')"
+DECIDED = f"""SELECT event_id, reason, CASE WHEN reason = 'extreme_predicted_discomfort' THEN 'failsafe' WHEN reason = 'safety_recovery_stochastic' OR reason LIKE 'stochastic%' OR reason IN {STEPS} THEN 'apply' ELSE 'hold' END AS action,
+CAST(CASE WHEN reason = 'safety_recovery_stochastic' THEN hpick WHEN reason LIKE 'stochastic%' THEN fpick WHEN reason IN {STEPS} THEN best ELSE c END AS INTEGER) AS target, CASE WHEN reason IN {STEPS} OR reason LIKE '%no_better_neighbor' THEN round(greatest(0, gain), 9) END AS delta FROM t"""
+
+
+def control(t: Tables, mode: str) -> DataFrame:
     i, unit = F.col("event_id"), lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     state = t.events.select(
         "event_id", (1 + i % 9).cast("int").alias("condition"), (1 - F.least(F.lit(1.0), F.col("value") / 110)).alias("relaxation"), F.least(F.lit(1.0), F.col("value") / 140).alias("discomfort"), (i % 4).alias("dwell"),
@@ -143,8 +145,32 @@ def _(t: Tables) -> DataFrame:
     )
     n = F.col("candidate")
     c = state.select("event_id", "relaxation", "discomfort", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("candidate"))
-    c = c.select("event_id", "candidate", unit(F.col("relaxation") + ((n * 7 + i) % 11 - 5) / 60.0).alias("relaxation"), unit(F.col("discomfort") + ((n * 5 + i) % 7 - 3) / 60.0).alias("discomfort"), ((n + i) % 3).alias("cooldown"), ((n * i) % 4).alias("recent"))
-    return rounded(C.control_step(state, "event_id", c, 1), 9)
+    c = c.select("event_id", "candidate", unit(F.col("relaxation") + ((n * 7 + i) % 11 - 5) / 60.0).alias("relaxation"), unit(F.col("discomfort") + ((n * 5 + i) % 7 - 3) / 60.0).alias("discomfort"), ((n + i) % 3).alias("cooldown"), ((n * i) % 4).alias("recent"), *([] if mode == "probability" else [F.get(F.array(*[F.lit(m) for m in ("stable_probe", "calm_exploration", "stress_recovery", "conservative_stay")]), ((n + i) % 4).cast("int")).alias("mode")]))
+    return rounded(C.control_step(state, "event_id", c, 1, mode), 9)
+
+
+@query("control_decision", CONTROL + """,
+y AS (SELECT *, forced OR steady OR ar >= 0.35 OR bo >= 0.35 AS ready FROM z), q AS (SELECT *, ready AND (forced OR u <= p) AS go FROM y),
+t AS (SELECT event_id, c, fpick, hpick, best, gain, CASE WHEN d >= 0.95 THEN 'extreme_predicted_discomfort' WHEN d >= 0.5 AND c IN (1, 2, 4, 5) AND dwell < 1 THEN 'safety_min_condition_dwell' WHEN d >= 0.5 AND hpick IS NOT NULL THEN 'safety_recovery_stochastic' WHEN d >= 0.5 THEN 'safety_no_available_condition' WHEN go AND fpick IS NOT NULL THEN CASE WHEN forced THEN 'sensor_probability_force_exploration' ELSE 'sensor_probability_exploration' END
+WHEN go THEN 'sensor_probability_no_available_condition' WHEN ready THEN 'sensor_probability_hold' WHEN gain >= 0.002 THEN 'adaptive_utility_step' ELSE 'stable_no_better_neighbor' END AS reason FROM q)
+SELECT event_id, reason, CASE WHEN reason = 'extreme_predicted_discomfort' THEN 'failsafe' WHEN reason IN ('safety_recovery_stochastic', 'sensor_probability_force_exploration', 'sensor_probability_exploration', 'adaptive_utility_step') THEN 'apply' ELSE 'hold' END AS action,
+CAST(CASE reason WHEN 'safety_recovery_stochastic' THEN hpick WHEN 'sensor_probability_force_exploration' THEN fpick WHEN 'sensor_probability_exploration' THEN fpick WHEN 'adaptive_utility_step' THEN best ELSE c END AS INTEGER) AS target, CASE WHEN reason IN ('adaptive_utility_step', 'stable_no_better_neighbor') THEN round(greatest(0, gain), 9) END AS delta FROM t""")
+def _(t: Tables) -> DataFrame:
+    return control(t, "probability")
+
+
+@query("control_decision_dwell", CONTROL + f""", t AS (SELECT event_id, c, fpick, hpick, best, gain, {SAFETY} WHEN (dwell >= 2 AND d < 0.5 OR calm AND dwell >= 3) AND fpick IS NOT NULL THEN CASE WHEN dwell >= 2 AND d < 0.5 THEN 'stochastic_max_dwell_exploration' ELSE 'stochastic_calm_exploration' END
+WHEN calm THEN 'calm_wait_for_stochastic_exploration' WHEN steady THEN 'steady_wait_for_stochastic_exploration' WHEN gain >= 0.002 THEN {STEP} ELSE 'stable_no_better_neighbor' END AS reason FROM z) {DECIDED}""")
+def _(t: Tables) -> DataFrame:
+    """Explores when a condition has been shown long enough."""
+    return control(t, "dwell")
+
+
+@query("control_decision_utility", CONTROL + f""", q AS (SELECT *, CASE WHEN calm AND dwell >= 3 THEN least(0.12, (dwell - 2) * 0.025) ELSE 0 END AS pen FROM z), t AS (SELECT event_id, c, fpick, hpick, best, gain + pen AS gain, {SAFETY} WHEN gain + pen >= 0.002 THEN CASE WHEN pen > 0 AND gain <= 0 THEN 'calm_dwell_exploration' ELSE {STEP} END
+WHEN pen > 0 THEN 'dwell_exploration_no_better_neighbor' ELSE 'stable_no_better_neighbor' END AS reason FROM q) {DECIDED}""")
+def _(t: Tables) -> DataFrame:
+    """Explores by utility alone, a calm condition losing some with every window."""
+    return control(t, "utility")
 
 
 @query("validate_message", "SELECT event_id, concat_ws(',', CASE WHEN event_id % 9 = 0 THEN 'participant_missing' END, CASE WHEN event_id % 4 = 0 THEN 'length' END, CASE WHEN event_id % 5 = 0 THEN 'not_shadow' END, CASE WHEN event_type = 'error' THEN 'action' END) AS violations FROM events")
@@ -161,6 +187,15 @@ def _(t: Tables) -> DataFrame:
     return C.prediction_problems(t.labels, found, ["doc_id"], "toxic", "pred")
 
 
+@query("validate_prediction_folds", """SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'fold_differs' WHEN doc_id % 10 = 7 THEN 'validation_differs' WHEN doc_id % 1000 < 100 THEN 'seed_differs' END AS problem FROM labels WHERE doc_id % 10 IN (3, 7) OR doc_id % 1000 < 100""")
+def _(t: Tables) -> DataFrame:
+    """Predictions that carry another fold, validation member or seed than the manifest."""
+    i = F.col("doc_id")
+    expected = t.labels.select("doc_id", "toxic", (i % 5).alias("fold"), F.concat(F.lit("v"), (i + 1) % 5).alias("validation"), F.lit(7).alias("seed"))
+    found = expected.withColumns({"pred": F.lit(0.5), "fold": F.when(i % 10 == 3, 0 - F.col("fold") - 1).otherwise(F.col("fold")), "validation": F.when(i % 10 != 7, F.col("validation")), "seed": F.when(i % 1000 < 100, 8).otherwise(7)})
+    return C.prediction_problems(expected, found, ["doc_id"], "toxic", "pred", meta=["fold", "validation", "seed"])
+
+
 @query("compare_saved_metrics", f"WITH {CELL} SELECT user_id, event_type FROM c WHERE user_id % 4 = 0")
 def _(t: Tables) -> DataFrame:
     c = cell(t)
