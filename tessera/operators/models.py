@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.operators.folds import held_out_logistic, moments
@@ -428,18 +429,19 @@ def linear_cka(df: DataFrame, vector: str, split: int, size: int, effects: list[
     return float((xy**2).sum() / np.sqrt((x**2).sum() * (y**2).sum()))
 
 
-def knn_probe(df: DataFrame, key: str, subject: str, label: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """(key, label, predicted): vote of the k nearest by cosine among other subjects' vectors; ties by key, then by the
-    votes' count and sum of cosines.
-
-    Exact, so every block of about ``block`` vectors meets every other: a pair of blocks is one matrix product, of which
-    each query keeps its k best before anything is shuffled. More vectors make more blocks, not larger ones.
-    """
+def _unit(df: DataFrame, key: str, subject: str, label: str, vector: str) -> DataFrame:
+    """(k, s, l, v): vectors of length 1; a vector of zeros, or none, takes no part."""
     norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    n = -(-df.count() // block)
-    v = df.select(F.col(key).alias("k"), F.col(subject).alias("s"), F.col(label).alias("l"), F.transform(vector, lambda x: x.cast("double") / norm).alias("v"))
-    packed = v.groupBy(F.pmod(F.xxhash64("k"), F.lit(max(1, n))).cast("int").alias("b")).agg(F.collect_list(F.struct("k", "s", "l", "v")).alias("rows"))
-    queries = packed.select(F.col("rows").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1))).alias("b"))
+    d = df.withColumn("_norm", norm).filter("_norm > 0")
+    return d.select(F.col(key).alias("k"), F.col(subject).alias("s"), F.col(label).alias("l"), F.transform(vector, lambda x: x.cast("double") / F.col("_norm")).alias("v"))
+
+
+def _packed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct("k", "s", "l", "v")).alias("rows"))
+
+
+def _nearest(pairs: DataFrame, v: DataFrame, k: int) -> DataFrame:
+    """(q, ql, k, l, c) of pairs of blocks (q, rows): each query's k best of the block by cosine among other subjects, ties by key."""
     schema = v.select(F.col("k").alias("q"), F.col("l").alias("ql"), "k", "l", F.lit(0.0).alias("c")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +463,78 @@ def knn_probe(df: DataFrame, key: str, subject: str, label: str, vector: str, k:
                     at = by_key[best[row, col]]
                     yield pa.RecordBatch.from_arrays([q.field("k").take(pa.array(i + row)), q.field("l").take(pa.array(i + row)), d.field("k").take(pa.array(at)), d.field("l").take(pa.array(at)), pa.array(value[row, col])], ["q", "ql", "k", "l", "c"])
 
-    near = queries.join(packed, "b").select("q", "rows").mapInArrow(run, schema)
+    return pairs.select("q", "rows").mapInArrow(run, schema)
+
+
+def _voted(near: DataFrame, key: str, k: int) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c"), "k"))
     votes = near.withColumn("_r", r).filter(F.col("_r") <= k).groupBy("q", "ql", "l").agg(F.count("*").alias("_n"), F.sum("c").alias("_s"))
     return votes.groupBy("q", "ql").agg(F.max_by("l", F.struct("_n", "_s")).alias("predicted")).select(F.col("q").alias(key), F.col("ql").alias("label"), "predicted")
+
+
+def knn_probe(df: DataFrame, key: str, subject: str, label: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """(key, label, predicted): vote of the k nearest by cosine among other subjects' vectors; ties by key, then by the
+    votes' count and sum of cosines.
+
+    Exact, so every block of about ``block`` vectors meets every other: a pair of blocks is one matrix product, of which
+    each query keeps its k best before anything is shuffled. More vectors make more blocks, not larger ones; beyond some
+    millions, ``knn_indexed`` looks at a share of them.
+    """
+    n = max(1, -(-df.count() // block))
+    v = _unit(df, key, subject, label, vector)
+    packed = _packed(v.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")), "b")
+    queries = packed.select(F.col("rows").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    return _voted(_nearest(queries.join(packed, "b"), v, k), key, k)
+
+
+SAMPLE = 20_000
+"""Vectors that the cells of an index are fitted on."""
+
+
+def cell_centres(v: DataFrame, cells: int, rounds: int = 8) -> np.ndarray:
+    """Unit centres of ``cells`` cells by spherical k-means on the SAMPLE vectors of the smallest hashes of their keys; on the driver."""
+    x = np.array([r.v for r in v.orderBy(F.xxhash64("k"), "k").limit(SAMPLE).select("v").collect()])
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)] if len(x) else np.zeros((0, 1))
+    for _ in range(rounds if len(x) else 0):
+        of = np.argmax(x @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
+    return centres
+
+
+def nearest_indexed(df: DataFrame, key: str, subject: str, label: str, vector: str, k: int, share: float = 0.6, block: int = 4096) -> DataFrame:
+    """(q, ql, k, l, c): for every vector its k nearest of other subjects, by an index of cells.
+
+    Vectors are dealt to the nearest of about sqrt(n) centres, and each asks the ``share`` of the cells whose centres are nearest to it;
+    what it meets there is scored exactly, block by block, so that a cell of any size is many small groups. Shuffled are the
+    vectors once and the queries once for each cell asked: linear in n for a fixed number of cells, n * sqrt(n) for a fixed share.
+    """
+    v = _unit(df, key, subject, label, vector)
+    n = v.count()
+    centres = cell_centres(v, max(1, round(n**0.5)))
+    probes = max(1, -(-len(centres) * share // 1)) if len(centres) else 1
+    near = T.StructType([*v.schema, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(3).flatten().to_numpy().reshape(b.num_rows, -1)
+            order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, : int(probes)].astype(np.int32) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(order), pa.list_(pa.int32()))], near.names)
+
+    dealt = v.mapInArrow(run, near)
+    own = dealt.withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
+    size = own.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("nb"))  # a row for each cell
+    data = _packed(own.join(F.broadcast(size), "cell").withColumn("b", F.pmod(F.xxhash64("k"), F.col("nb"))), "cell", "b")
+    asked = dealt.withColumn("cell", F.explode("cells")).drop("cells")
+    chunk = asked.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("nq"))
+    queries = _packed(asked.join(F.broadcast(chunk), "cell").withColumn("qb", F.pmod(F.xxhash64("k"), F.col("nq"))), "cell", "qb")
+    met = queries.select("cell", F.col("rows").alias("q")).join(data.select("cell", "rows"), "cell")
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c"), "k"))
+    return _nearest(met, v, k).withColumn("_r", best).filter(F.col("_r") <= k).drop("_r")
+
+
+def knn_indexed(df: DataFrame, key: str, subject: str, label: str, vector: str, k: int, share: float = 0.6, block: int = 4096) -> DataFrame:
+    """(key, label, predicted): as ``knn_probe``, with the neighbours that ``nearest_indexed`` finds."""
+    return _voted(nearest_indexed(df, key, subject, label, vector, k, share, block), key, k)

@@ -279,3 +279,10 @@ SELECT e.vec_id, e.label, arg_max(w.label, (n, s)) AS predicted FROM w JOIN embe
 def _(t: Tables) -> DataFrame:
     e = t.embeddings.withColumn("s", F.col("vec_id") % 5)
     return L.knn_probe(e, "vec_id", "s", "label", "embedding", 5)
+
+
+@query("knn_probe_indexed")
+def _(t: Tables) -> DataFrame:
+    """The vote of the neighbours that an index of cells finds."""
+    e = t.embeddings.withColumn("s", F.col("vec_id") % 5)
+    return L.knn_indexed(e, "vec_id", "s", "label", "embedding", 5)
