@@ -204,17 +204,28 @@ def _ids_column(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column ``ids`` array<int> in place of the column ``text``.
+def _texts_of(vocab: Vocabulary, ids: pa.Array) -> pa.Array:
+    """The ids' bytes as UTF-8 of each row, U+FFFD for what is not UTF-8; of a null row nothing."""
+    out = []
+    for row in ids:
+        i = np.zeros(0, np.int64) if not row.is_valid else row.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        out.append(gather(vocab.blob, vocab.start[i], vocab.length[i]).tobytes().decode("utf-8", "replace"))
+    return pa.array(out, pa.string())
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with a column ``ids`` array<int> in place of the column ``text``; with ``decoded`` also what those ids decode to, a
+    round trip in one pass of one worker.
 
     Row-wise: no shuffle; a task holds one stretch of texts at a time. Null and empty texts have no ids;
     special tokens' strings in a text are special tokens, as in the library by default; other columns pass.
-    A column of the name ``ids`` is replaced.
+    Columns of the new names are replaced.
     """
     vocab = Vocabulary(path)
     small_batches(docs.sparkSession)
-    keep = [f for f in docs.schema if f.name not in (text, ids)]
-    schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    keep = [f for f in docs.schema if f.name not in (text, ids, decoded)]
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([*keep, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab)
@@ -223,7 +234,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             for texts in _stretches(b.column(b.num_columns - 1)):
                 out = _ids_column(encoder.encode(texts))
                 part = b.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(b.num_columns - 1)), out], schema.names)
+                back = [_texts_of(vocab, out)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(b.num_columns - 1)), out, *back], schema.names)
                 at += len(texts)
 
     return docs.select(*[f.name for f in keep], text).mapInArrow(run, schema)
@@ -242,10 +254,6 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for row in b.column(at):
-                i = np.zeros(0, np.int64) if not row.is_valid else row.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                out.append(gather(vocab.blob, vocab.start[i], vocab.length[i]).tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, _texts_of(vocab, b.column(at))], schema.names)
 
     return tokens.select(*[f.name for f in keep]).mapInArrow(run, schema)

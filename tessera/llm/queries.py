@@ -87,9 +87,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    hashed = tokens.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
-    return bpe.decode(hashed, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokens = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
+    digest = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256")
+    return tokens.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest, F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

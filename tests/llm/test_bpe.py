@@ -14,6 +14,8 @@ def test_same_as_library_and_round_trip(spark):
     texts = ["".join(rnd.choices(PARTS, k=rnd.randrange(80))) for _ in range(300)] + ["", None, "a" * 20000, "ab" * 9000, "word " * 40000]
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, ids int").repartition(3)
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(df, PATH), PATH).collect()}
+    once = {r.doc_id: r for r in bpe.encode(df, PATH, decoded="decoded").collect()}
+    assert all(once[i].ids == r.ids and once[i].decoded == r.decoded for i, r in got.items())
     lib = Tokenizer.from_file(PATH)
     for i, t in enumerate(texts):
         ids = lib.encode(t or "", add_special_tokens=False).ids
