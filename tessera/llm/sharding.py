@@ -25,14 +25,17 @@ def _is_prime(n: int) -> bool:
 def fill(shards: list[str], slots: int = SLOTS, weights: list[int] | None = None) -> list[int]:
     """The table: for each slot the index of its shard. Setup of fixed size; no data row is seen.
 
-    ``weights``: turns a shard gets in each round, 1 by default. Names must be unique.
+    ``weights``: turns a shard gets in each round, 1 by default, 0 for none. Names must be unique, and one shard at least must have a turn.
     """
+    weights = [1] * len(shards) if weights is None else weights
+    if len(weights) != len(shards) or min(weights, default=0) < 0 or not any(weights):
+        raise ValueError("weights are one for each shard, none negative and not all zero")
     if not _is_prime(slots) or not 0 < len(shards) <= slots or len(set(shards)) < len(shards):
         raise ValueError("slots must be a prime, no less than the shards, which need unique names")
     digest = [hashlib.md5(s.encode()).digest() for s in shards]
     at = [int.from_bytes(d[:8], "big") % slots for d in digest]
     skip = [int.from_bytes(d[8:], "big") % (slots - 1) + 1 for d in digest] if slots > 2 else [1] * len(shards)
-    turns = [i for i, w in enumerate(weights or [1] * len(shards)) for _ in range(w)]
+    turns = [i for i, w in enumerate(weights) for _ in range(w)]
     table, left = [-1] * slots, slots
     while left:
         for i in turns:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.shared import cut
+
 SAMPLES = 32
 SPACE = "[ \\t\\n\\x0b\\f\\r]+"
 _LOW = (1 << 31) - 1
@@ -82,7 +84,7 @@ def as_text(sig: Column) -> Column:
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """``docs`` with ``fingerprint`` and ``sig`` added; equal texts have equal ones, null texts those of empty ones."""
     names = [c for c in docs.columns if c not in ("fingerprint", "sig")]
-    rows = docs.select(*names).withColumn("\x00row", F.monotonically_increasing_id())
+    rows = cut(docs.select(*names).withColumn("\x00row", F.monotonically_increasing_id()))  # written, as both sides of the join must see the same numbers
     marked = signatures(rows.select("\x00row", F.coalesce("text", F.lit("")).alias("text")), ["\x00row"], [], samples)
     return rows.join(marked, "\x00row").select(*names, as_text(F.col("sig")).alias("fingerprint"), "sig")
 

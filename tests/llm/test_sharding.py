@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import queries, sharding
@@ -84,3 +85,10 @@ def test_query_same_as_brute_force(spark, sf_dir):
     assert all((r["slot"], r.shard, r.shard_name) == (r.h, table[r.h], names[table[r.h]]) for r in rows)
     turns = Counter(table)
     assert max(turns.values()) - min(turns.values()) == 1
+
+
+@pytest.mark.parametrize("weights", [[0, 0], [1], [1, -1], []])
+def test_weights_that_fill_nothing_raise(weights):
+    with pytest.raises(ValueError):
+        sharding.fill(["a", "b"], 101, weights)
+    assert set(sharding.fill(["a", "b"], 101, [0, 3])) == {1}
