@@ -3,6 +3,7 @@ looked up in the rows before it, and only the place, its trail and the state are
 
 from statistics import median
 
+# The grid, the order of branches and the names of reasons and states.
 GRID = {c: ((c - 1) // 3, (c - 1) % 3) for c in range(1, 10)}
 START = 5
 
