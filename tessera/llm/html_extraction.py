@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 
 SAMPLE = 60
 """Pages of the corpus that lend their blocks to labelled pages, and that are labelled pages themselves where they mark their article."""
-LAYOUTS = 1600
+LAYOUTS = 2000
 """Pages laid out for training."""
-ROUNDS, RATE, DECAY = 200, 0.12, 5e-5
+ROUNDS, RATE, DECAY = 300, 0.12, 5e-5
 STRETCH = 2_000_000
 
 # HTML's elements by how they are parsed.
@@ -54,9 +54,9 @@ KINDS = {  # kinds of child for the potentials
     "part": "article main section div body center",
     "landmark": "nav aside header footer form dialog address fieldset",
 }
-NAMED_PART, OTHER_KIND = len(KINDS), len(KINDS) + 1
+NAMED_PART, NAMED_TEXT, OTHER_KIND = len(KINDS), len(KINDS) + 1, len(KINDS) + 2
 KIND = {tag: k for k, tags in enumerate(KINDS.values()) for tag in tags.split()}
-PARTS = set(KINDS["part"].split())
+PARTS, TEXTS = set(KINDS["part"].split()), set(KINDS["text"].split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -151,7 +151,7 @@ class Page(HTMLParser):
         self.label.append(int(given["data-y"] == "1") if "data-y" in given else self.label[parent])
         self.own.append(0)
         self.linked.append(0)
-        self.kind.append(NAMED_PART if given and tag in PARTS else KIND.get(tag, OTHER_KIND))
+        self.kind.append((NAMED_PART if tag in PARTS else NAMED_TEXT) if given and (tag in PARTS or tag in TEXTS or tag in INLINE) else KIND.get(tag, OTHER_KIND))
         return len(self.parent) - 1
 
     def handle_endtag(self, tag: str) -> None:
@@ -291,6 +291,7 @@ def fit(pages: list[Page], rounds: int = ROUNDS) -> Model:
 
 # Names that page authors give to the parts of a page.
 CONTENT_NAMES = "article content main post entry story body text article-body post-content entry-content story-body main-content articleBody content-main prose".split()
+PLAIN_NAMES = "hl x1 c-2 lead intro first dropcap highlight big center paragraph".split()
 FRAME_NAMES = "wrapper container page site row inner outer layout wrap grid app root col column".split()
 OTHER_NAMES = {
     "menu": "nav navbar menu navigation main-nav breadcrumb breadcrumbs toc tabs topbar pagination pager links share social sharing follow tags".split(),
@@ -323,7 +324,7 @@ class _Layout:
             text = " ".join(words)
         if len(words) > 3 and self.rnd.random() < 0.3:
             i = self.rnd.randrange(len(words) - 1)
-            mark = self.rnd.choice(["a href='/x'", "b", "em", "span", "strong"])
+            mark = self.rnd.choice(["a href='/x'", "b", "em", "span", "strong", *(f"span class={c}" for c in PLAIN_NAMES[:3])])
             return f"{escape(' '.join(words[:i]))} <{mark}>{escape(' '.join(words[i : i + 3]))}</{mark.split()[0]}> {escape(' '.join(words[i + 3 :]))}"
         return escape(text)
 
@@ -332,6 +333,9 @@ class _Layout:
         attrs = f' {by}="{name}"' if name else ""
         return f"<{tag}{attrs}" + (f' data-y="{y}"' if y is not None else "") + f">{inside}</{tag}>"
 
+    def link(self) -> str:
+        return f'<a href="/y">{self.words(6)}</a>'
+
     def links(self) -> str:
         found = [f'<a href="/{i}">{self.words(3)}</a>' for i in range(self.rnd.randint(2, 8))]
         kind = self.rnd.random()
@@ -342,6 +346,8 @@ class _Layout:
         r = self.rnd
         own = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form", "comments": "section"}.get(kind, "div")
         tag = own if r.random() < 0.5 else r.choice(["div", "section"] if kind != "form" else ["form", "div"])
+        if kind in ("advert", "notice") and r.random() < 0.15:
+            return self.element(r.choice(["p", "p", "span"]), r.choice(OTHER_NAMES[kind]), 0, self.words(15))
         name = r.choice(OTHER_NAMES[kind])
         if tag not in ("div", "section") and bare and r.random() < 0.5:
             name = ""
@@ -375,13 +381,14 @@ class _Layout:
         for _ in range(r.choice([1, 2, 4, 7, 12])):
             k = r.random()
             if k < 0.62:
-                out.append(f"<p>{self.prose()}" + ("</p>" if r.random() < 0.8 else "<br>"))
+                name = f' class="{r.choice(PLAIN_NAMES)}"' if r.random() < 0.08 else ""
+                out.append(f"<p{name}>{self.prose()}" + ("</p>" if r.random() < 0.8 else "<br>"))
             elif k < 0.68:
-                out.append(f"<p>{self.words(2)}</p>")
+                out.append(f"<p>{self.words(2) if r.random() < 0.8 else self.link()}</p>")
             elif k < 0.74:
                 out.append(f"<h{r.choice('234')}>{self.words(6)}</h2>".replace("</h2>", "") + "</h2></h3></h4>")
             elif k < 0.79:
-                out.append("<ul>" + "".join(f"<li>{self.prose() if r.random() < 0.5 else self.words(5)}" for _ in range(r.randint(1, 5))) + "</ul>")
+                out.append("<ul>" + "".join(f"<li>{r.choice([self.prose, self.prose, lambda: self.words(5), self.link])()}" for _ in range(r.randint(1, 5))) + "</ul>")
             elif k < 0.83:
                 out.append(f"<blockquote>{r.choice(['<p>', ''])}{self.prose()}</blockquote>")
             elif k < 0.87:

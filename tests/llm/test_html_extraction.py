@@ -10,6 +10,10 @@ from tessera.llm import html_extraction as hx
 from tessera.llm import queries
 
 
+P = "A paragraph of some length that says what there is to say. It has a second sentence, and a third. And so it goes on."
+NAV = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li><li><a href='/c'>Sport</a></li></ul>"
+
+
 @pytest.fixture(scope="module")
 def model():
     return hx.fit(hx.labelled_pages([]))
@@ -60,6 +64,12 @@ def test_labels_of_held_out_layouts(model):
         ("<div id=cookie-notice>We use cookies <button>OK</button></div><div class='sidebar'><p>Popular posts of this week</p></div><div class=post-body><h1>T</h1><p>Text of it, which is <b>lon</b>ger, for sure.<p>Be.</div>"
          "<div class='related-posts'><h3>Related</h3><ul><li><a href=x>one</a><li><a href=y>two</a></ul></div><form><input><label>Email</label><button>Send</button></form>", "T Text of it, which is longer, for sure. Be."),
         ("<head><title>t</title><script>var t='</p>';</script><style>p{}</style><body><nav><ul><li><a href=/>x</a></ul></nav><!-- ad --><div class=ad>Buy it</div><article><h1>Head</h1><p><b>One.<br><p>Two &#233;&eacute;.</p><p>Three", "Head One. Two éé. Three"),
+        (f"<div id='page'><div id='header'><a href=/>Site name</a></div><div id='nav'>{NAV}</div><div id='content'><h1>Title here</h1><p>{P}</p><p>{P}</p><p>Be.</p></div><div id='sidebar'><h3>Popular</h3>{NAV}</div><div id='footer'>&copy; site</div></div>", f"Title here {P} {P} Be."),
+        (f"<table><tr><td class='menu'>{NAV}</td><td class='main'><h1>Title here</h1><p>{P}</p><p>{P}</p></td></tr></table><div class=footer>copyright</div>", f"Title here {P} {P}"),
+        (f"<article class=post><h1>T</h1><p>{P}</p><div class='share-buttons'><a href=1>Mail</a></div><p class='ad'>Buy it</p><p>{P}</p><div class='comments'><h2>3 comments</h2><div class='comment'><b>Ann</b><p>{P}</p></div></div></article>", f"T {P} {P}"),
+        (f"<nav>{NAV}</nav><section class='post'><h1>T</h1><p>{P} <a href=x>link one</a> and <a href=y>another</a>.</p><ul><li>Item one</li><li><a href=z>Item two</a></li></ul></section>", f"T {P} link one and another. Item one Item two"),
+        (f"<nav>{NAV}</nav><article><h1>T</h1><h2>Sub</h2><blockquote><p>{P}</p></blockquote><pre>code  x = 1</pre><table><tr><th>a</th><td>b</td></tr></table></article><div class='advert'>Buy our thing today</div>", f"T Sub {P} code x = 1 a b"),
+        (f"<div class='top'>{NAV}</div><div class='x9'><div class='k2'><h1>T</h1><div>{P}</div><div>{P}</div></div></div><div class='bottom'>{NAV}</div>", f"T {P} {P}"),
     ],
 )
 def test_pages(model, page, want):
