@@ -359,3 +359,52 @@ def test_every_pattern_counts_in_a_sign_flip(spark):
     got = B.exact_sign_flip(spark.createDataFrame(list(enumerate(d)), "k long, d double"), "k", "d").first()
     hits = [abs(sum(s * x for s, x in zip(signs, d, strict=True))) >= abs(sum(d)) - 1e-9 for signs in itertools.product((1, -1), repeat=4)]
     assert got.patterns == 16 and got.p_value == np.mean(hits)
+
+
+def test_quantiles_by_counting(spark):
+    """Ties, null keys, a group that holds most rows, groups of one value, nulls and an empty table."""
+    from tessera.operators.ranges import quantiles
+
+    rng = np.random.default_rng(21)
+    rows = [(None if i % 50 == 0 else int(rng.integers(0, 4)) if i % 3 else 7, int(i % 2), None if i % 11 == 0 else float(np.round(rng.normal() * 3, 1))) for i in range(3000)] + [(9, 0, 2.5), (8, 1, None)]
+    df = spark.createDataFrame(rows, "g int, h int, v double").repartition(6)
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.975, "least": 0.0, "most": 1.0}
+    got = {(r.g, r.h): tuple(r[k] for k in ("n", *shares)) for r in quantiles(df, ["g", "h"], "v", shares).collect()}
+    want = {}
+    for k in {r[:2] for r in rows}:
+        v = [r[2] for r in rows if r[:2] == k and r[2] is not None]
+        if v:
+            want[k] = (len(v), *np.quantile(v, list(shares.values())))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], w) for k, w in want.items())
+    (one,) = quantiles(df, [], "v", {"q": 0.25}).collect()
+    assert abs(one.q - np.quantile([r[2] for r in rows if r[2] is not None], 0.25)) < 1e-9
+    assert quantiles(df.limit(0), ["g"], "v", {"q": 0.5}).count() == 0
+
+
+def test_peaks_and_frames_of_one_long_group(spark):
+    """A group that no frame would hold passes in order; equal times and rows without a time."""
+    rng = np.random.default_rng(22)
+    a, b = (np.round(np.sort(rng.uniform(0, 4000, 5000)), 2) for _ in range(2))
+    make = lambda x: spark.createDataFrame([("k", float(v)) for v in x] + [("k", None)], "g string, t double").repartition(5)
+    i = j = hit = 0
+    while i < len(a) and j < len(b):
+        if abs(a[i] - b[j]) <= 0.1:
+            i, j, hit = i + 1, j + 1, hit + 1
+        elif a[i] < b[j]:
+            i += 1
+        else:
+            j += 1
+    (r,) = M.peak_f1(make(a), make(b), ["g"], "t", 0.1).collect()
+    assert r.matched == hit and abs(r.f1 - 2 * hit / 10_000) < 1e-12
+    frames = [("k", float(v), n) for n, v in enumerate(np.round(rng.uniform(0, 100, 3000), 0))] + [("k", 50.0, 10_000 + n) for n in range(200)]
+    (w0, w1), count = (0.0, 101.0), 7
+    free, want = sorted((t, n) for _, t, n in frames), []
+    for c in (w0 + (w1 - w0) / count * (i + 0.5) for i in range(count)):
+        best = min(free, key=lambda x: (abs(x[0] - c), x))
+        free.remove(best)
+        want.append(best)
+    from tessera.operators import segments as G
+
+    windows = spark.createDataFrame([("k", w0, w1), ("none", 0.0, 1.0)], "g string, s double, e double")
+    got = G.uniform_frames(spark.createDataFrame(frames, "g string, t double, f long").repartition(4), windows, ["g"], "t", "f", "s", "e", count).collect()
+    assert sorted((r.t, r.f) for r in got) == sorted(want)
