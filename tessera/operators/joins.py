@@ -61,6 +61,29 @@ def overlapping(windows: DataFrame, intervals: DataFrame, keys: list[str], width
     return windows.join(met.select(*keys, start, end).distinct(), [*keys, start, end], how)
 
 
+def _merged(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, columns: list[str], names: list[str], bucket: int | None) -> DataFrame:
+    """Both sides as rows (keys, _t, _l, _r) of one time column, with ``_b``, the stretch of ``bucket`` units of time."""
+    payload = F.struct(F.col(right_ts), *columns)
+    a = left.select(*keys, F.col(left_ts).alias("_t"), F.struct(*names).alias("_l"), F.lit(None).cast(right.select(payload.alias("x")).schema["x"].dataType).alias("_r"))
+    b = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), payload.alias("_r"))
+    return a.unionByName(b).withColumn("_b", F.floor(F.col("_t") / bucket) if bucket else F.lit(0))
+
+
+def _beside(both: DataFrame, keys: list[str], sides: dict[str, bool], bucket: int | None) -> DataFrame:
+    """The left rows with a column for each of ``sides``, name -> forward: the last right row before or the first after, in its stretch
+    or carried over from the nearest that has one. Right rows of the same time count on either side."""
+    part = [*keys, "_b"] if bucket else list(keys)
+    order = lambda forward: Window.partitionBy(*part).orderBy(F.desc("_t") if forward else F.asc("_t"), F.col("_l").isNotNull().cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumns({n: F.last("_r", True).over(order(forward)) for n, forward in sides.items()}).filter("_l is not null")
+    if not bucket:
+        return out
+    edge = {n: F.min_by("_r", "_t") if forward else F.max_by("_r", "_t") for n, forward in sides.items()}
+    ends = both.filter("_r is not null").groupBy(*part).agg(*[e.alias(f"_e{n}") for n, e in edge.items()]).join(both.select(*part).distinct(), part, "right")
+    far = lambda forward: Window.partitionBy(*keys).orderBy(F.desc("_b") if forward else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*part, *[F.last(f"_e{n}", True).over(far(forward)).alias(f"_c{n}") for n, forward in sides.items()])
+    return out.join(ends, part).withColumns({n: F.coalesce(n, f"_c{n}") for n in sides})
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, columns: list[str], forward: bool = False, bucket: int | None = None) -> DataFrame:
     """``left`` with ``columns`` and ``right_ts`` of the last right row at or before it, or the first at or after it.
 
@@ -68,39 +91,24 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right
     one stretch of a key, and only each stretch's last right row is carried on; so a key can be many tasks.
     """
     names = [c for c in left.columns if c not in columns]
-    payload = F.struct(F.col(right_ts), *columns)
-    a = left.select(*keys, F.col(left_ts).alias("_t"), F.struct(*names).alias("_l"), F.lit(None).cast(right.select(payload.alias("x")).schema["x"].dataType).alias("_r"))
-    b = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), payload.alias("_r"))
-    both = a.unionByName(b)
-    part = list(keys)
-    if bucket:
-        both = both.withColumn("_b", F.floor(F.col("_t") / bucket))
-        part.append("_b")
-    sign = F.col("_l").isNull().cast("int") if forward else F.col("_l").isNotNull().cast("int")
-    w = Window.partitionBy(*part).orderBy("_t", sign)
-    near = F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("_m", near)
-    if bucket:
-        edge = F.min_by("_r", "_t") if forward else F.max_by("_r", "_t")
-        ends = both.groupBy(*part).agg(edge.alias("_e"))  # rows without _r carry a NULL, passed over below
-        ends = both.filter("_r is not null").groupBy(*part).agg(edge.alias("_e")).join(both.select(*part).distinct(), part, "right")
-        c = Window.partitionBy(*keys).orderBy(F.desc("_b") if forward else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-        ends = ends.select(*part, F.last("_e", True).over(c).alias("_c"))
-        out = out.filter("_l is not null").join(ends, part).withColumn("_m", F.coalesce("_m", "_c"))
-    out = out.filter("_l is not null")
+    both = _merged(left, right, keys, left_ts, right_ts, columns, names, bucket)
+    out = _beside(both, keys, {"_m": forward}, bucket)
     return out.select(*[F.col(f"_l.{c}").alias(c) for c in names], *[F.col(f"_m.{c}").alias(c) for c in (right_ts, *columns)])
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, columns: list[str], tolerance: float) -> DataFrame:
-    """``left`` with the nearest right row in time, the earlier of two as near; NULL beyond ``tolerance``."""
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, columns: list[str], tolerance: float, bucket: int | None = None) -> DataFrame:
+    """``left`` with the nearest right row in time, the earlier of two as near; NULL beyond ``tolerance``.
+
+    Both neighbours come from one shuffle; ``bucket`` as in ``asof``.
+    """
     both = [right_ts, *columns]
-    back = asof(left, right, keys, left_ts, right_ts, columns).withColumnsRenamed({c: f"_back_{c}" for c in both})
-    out = asof(back, right, keys, left_ts, right_ts, columns, forward=True)
-    lag_back, lag_on = F.col(left_ts) - F.col(f"_back_{right_ts}"), F.col(right_ts) - F.col(left_ts)
+    names = [c for c in left.columns if c not in both]
+    out = _beside(_merged(left, right, keys, left_ts, right_ts, columns, names, bucket), keys, {"_back": False, "_on": True}, bucket)
+    lag_back, lag_on = F.col("_t") - F.col(f"_back.{right_ts}"), F.col(f"_on.{right_ts}") - F.col("_t")
     use_back = lag_back.isNotNull() & (lag_on.isNull() | (lag_back <= lag_on))
     lag = F.when(use_back, lag_back).otherwise(lag_on)
-    chosen = {c: F.when(lag <= tolerance, F.when(use_back, F.col(f"_back_{c}")).otherwise(F.col(c))) for c in both}
-    return out.select(*[c for c in left.columns if c not in both], *[v.alias(c) for c, v in chosen.items()], F.when(lag <= tolerance, lag).alias("lag"))
+    chosen = [F.when(lag <= tolerance, F.when(use_back, F.col(f"_back.{c}")).otherwise(F.col(f"_on.{c}"))).alias(c) for c in both]
+    return out.select(*[F.col(f"_l.{c}").alias(c) for c in names], *chosen, F.when(lag <= tolerance, lag).alias("lag"))
 
 
 def pair_by_key(events: DataFrame, keys: list[str], kind: str, ts: str) -> DataFrame:

@@ -92,7 +92,7 @@ def _(t: Tables) -> DataFrame:
         SELECT event_id, CASE WHEN bl IS NOT NULL AND (fl IS NULL OR bl <= fl) THEN CASE WHEN bl <= {HOUR * 24}000 THEN bv END WHEN fl <= {HOUR * 24}000 THEN fv END AS v FROM d""",
 )
 def _(t: Tables) -> DataFrame:
-    return J.nearest(*_sides(t), ["user_id"], "lus", "rus", ["v"], HOUR * 24 * 1000).select("event_id", "v")
+    return J.nearest(*_sides(t), ["user_id"], "lus", "rus", ["v"], HOUR * 24 * 1000, bucket=24 * HOUR * 1000).select("event_id", "v")
 
 
 @query(
