@@ -360,14 +360,14 @@ def _stored(value, kind: T.DataType):
 
 
 def _kept(machine) -> T.StructType:
-    return T.StructType([T.StructField("last_ms", T.LongType()), T.StructField("state", T._parse_datatype_string(machine.state))])
+    return T.StructType([T.StructField("last_ms", T.LongType()), T.StructField("state", T.StructType.fromDDL(machine.state))])
 
 
 def _through(rows: DataFrame, machine, states: bool) -> DataFrame:
     """Rows (session, was, inputs, order) of every session in order through the machine; ``was``, where it isn't null, is a
     state to go on from and comes first. With ``states`` also a row for each session with the state (``now``, last ``ms``) that it ends in."""
-    out_type = T._parse_datatype_string(f"session long, {machine.columns}")
-    state_type = T._parse_datatype_string(machine.state)
+    out_type = T.StructType.fromDDL(f"session long, {machine.columns}")
+    state_type = T.StructType.fromDDL(machine.state)
     kept = _kept(machine)
     schema = T.StructType([*out_type, T.StructField("now", kept)]) if states else out_type
     arrow = [to_arrow_type(f.dataType) for f in schema]
@@ -424,7 +424,7 @@ def stream(rows: DataFrame, machine, folder: str, ttl: int | None = None) -> Dat
     spark, path = rows.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
     need = list(dict.fromkeys(["session", *machine.order, *machine.inputs]))
     kept = _kept(machine)
-    out_type = T._parse_datatype_string(f"session long, {machine.columns}")
+    out_type = T.StructType.fromDDL(f"session long, {machine.columns}")
 
     def write(batch: DataFrame, number: int) -> None:
         now = batch.select(*need, F.lit(None).cast(kept).alias("was"), F.lit(1).alias("was_first"))
