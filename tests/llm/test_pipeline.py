@@ -72,7 +72,7 @@ def test_stages_take_odd_rows(spark, sf_dir, odd):
     assert ids(lines) == ids(before)
     text = {r.doc_id - BASE: r for r in lines if r.doc_id is not None}
     assert text[6].text.endswith("end") and text[7].text == "other" and text[7].n_chars == 5 and text[1].text is None and text[4].text == "word " * 200_000
-    near = out["simhash near-dedup"].collect()
+    near = out["near-dedup by shingles"].collect()
     assert sum(not (r.text or "").strip() for r in near) == 1 and sum(r.doc_id == BASE + 9 for r in near) <= 2
     clean = out["benchmark decontamination"].collect()
     left = {r.doc_id - BASE for r in clean if r.doc_id is not None}
