@@ -118,7 +118,8 @@ def control_step(state: DataFrame, key: str, candidates: DataFrame, min_dwell: i
     chosen = score - F.col("recent") * RECENT_PENALTY - F.when(F.col("candidate").isin(*HIGH_LOAD), HIGH_LOAD_PENALTY).otherwise(0.0)
     one = F.struct(F.col("candidate").cast("int").alias("candidate"), chosen.alias("score"), score.alias("plain"), (F.col("cooldown") <= 0).alias("free"), (F.col("mode") if "mode" in candidates.columns else F.lit(None).cast("string")).alias("mode"))
     pool = candidates.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_all"))
-    s = state.join(pool, key, "left").withColumn("_all", F.filter(F.coalesce("_all", F.array().cast(pool.schema["_all"].dataType)), lambda x: x["candidate"] != F.col("condition")))
+    # as many rows as states, and much larger than the planner takes arrays for: never to be broadcast
+    s = state.join(pool.hint("merge"), key, "left").withColumn("_all", F.filter(F.coalesce("_all", F.array().cast(pool.schema["_all"].dataType)), lambda x: x["candidate"] != F.col("condition")))
     now, tense, calm_value = F.col("condition"), F.col("discomfort"), F.col("relaxation")
     near = lambda x: F.abs(i(x["candidate"]) - i(now)) + F.abs(f(x["candidate"]) - f(now)) == 1
     safe = F.filter("_all", lambda x: x["candidate"].isin(*SAFE) & x["free"])
