@@ -11,6 +11,6 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["control_decision_dwell"])
+@pytest.mark.parametrize("name", ["control_decision_dwell", "control_decision_utility"])
 def test_candidates_of_states_are_not_broadcast(spark, sf_dir, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, sf_dir))
