@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import metrics as M
 from tessera.plans import QUERIES
+from tessera.plans.window_queries import rounded
 
 
 def plan(df) -> str:
@@ -14,3 +16,17 @@ def plan(df) -> str:
 @pytest.mark.parametrize("name", ["control_decision_dwell", "control_decision_utility"])
 def test_candidates_of_states_are_not_broadcast(spark, sf_dir, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, sf_dir))
+
+
+def test_equal_errors_are_no_advantage_whatever_their_sums(spark):
+    df = spark.createDataFrame([(0.7 - 0.4, 0.3, 0.3, 1e-17, None), (0.3, 0.7 - 0.4, 0.31, 0.5, None), (0.2, 0.3, 0.3, 0.5, None)], "mae double, condition_only_mae double, history_mae double, spearman double, risk_recall double")
+    want = [["not_better_than_condition_only", "not_better_than_history", "rank_correlation_not_positive"], ["not_better_than_condition_only"], []]
+    assert [r.reasons for r in M.deployment_gate(df).collect()] == want
+
+
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    v = [-2e-7, -0.0, 0.0, 2e-7, 1.0000005, -1.0000005, 2.5000005, 0.1234565, 1e300, -1e18, float("nan"), float("inf"), None]
+    want = [duckdb.connect().execute(f"SELECT round(CAST({'NULL' if x is None else repr(str(x))} AS DOUBLE), 6)").fetchone()[0] for x in v]
+    assert [str(r.v) for r in rounded(spark.createDataFrame([(x,) for x in v], "v double")).collect()] == [str(x) for x in want]
