@@ -93,10 +93,12 @@ def holm(df: DataFrame, family: list[str], p: str, order: str) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, family: list[str], p: str, order: str) -> DataFrame:
+    """Benjamini and Hochberg's step-up adjusted p in each family; the least of what follows runs from the greatest p down, once."""
     w = Window.partitionBy(*family).orderBy(p, order)
+    down = Window.partitionBy(*family).orderBy(F.desc(p), F.desc(order))
     n = F.count("*").over(Window.partitionBy(*family))
     raw = F.least(F.lit(1.0), F.col(p) * n / F.row_number().over(w))
-    return df.withColumn("_q", raw).withColumn("q_value", F.min("_q").over(w.rowsBetween(0, Window.unboundedFollowing))).drop("_q")
+    return df.withColumn("_q", raw).withColumn("q_value", F.min("_q").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_q")
 
 
 def rank_biserial(deltas: DataFrame, keys: list[str], delta: str) -> DataFrame:

@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import features as X
 from tessera.operators import metrics as M
+from tessera.operators import models as L
+from tessera.operators import resample as B
 from tessera.plans import QUERIES
 from tessera.plans.window_queries import rounded
 
@@ -30,3 +33,15 @@ def test_rounding_is_that_of_sql(spark):
     v = [-2e-7, -0.0, 0.0, 2e-7, 1.0000005, -1.0000005, 2.5000005, 0.1234565, 1e300, -1e18, float("nan"), float("inf"), None]
     want = [duckdb.connect().execute(f"SELECT round(CAST({'NULL' if x is None else repr(str(x))} AS DOUBLE), 6)").fetchone()[0] for x in v]
     assert [str(r.v) for r in rounded(spark.createDataFrame([(x,) for x in v], "v double")).collect()] == [str(x) for x in want]
+
+
+def test_step_up_runs_once_from_the_greatest_p_down(spark):
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random(400), 2)
+    df = spark.createDataFrame([(i % 2, i, float(x)) for i, x in enumerate(p)], "f int, k int, p double")
+    out = B.benjamini_hochberg(df, ["f"], "p", "k")
+    assert "unboundedfollowing" not in plan(out).lower()
+    for f in (0, 1):
+        rows = sorted((r for r in out.collect() if r.f == f), key=lambda r: (r.p, r.k))
+        raw = [min(1.0, r.p * len(rows) / (i + 1)) for i, r in enumerate(rows)]
+        assert np.allclose([r.q_value for r in rows], np.minimum.accumulate(raw[::-1])[::-1], atol=1e-12)
