@@ -40,8 +40,87 @@ def test_step_up_runs_once_from_the_greatest_p_down(spark):
     p = np.round(rng.random(400), 2)
     df = spark.createDataFrame([(i % 2, i, float(x)) for i, x in enumerate(p)], "f int, k int, p double")
     out = B.benjamini_hochberg(df, ["f"], "p", "k")
-    assert "unboundedfollowing" not in plan(out).lower()
+    assert "currentrow$(), unboundedfollowing" not in plan(out).lower()
     for f in (0, 1):
         rows = sorted((r for r in out.collect() if r.f == f), key=lambda r: (r.p, r.k))
         raw = [min(1.0, r.p * len(rows) / (i + 1)) for i, r in enumerate(rows)]
         assert np.allclose([r.q_value for r in rows], np.minimum.accumulate(raw[::-1])[::-1], atol=1e-12)
+
+
+def test_draws_are_dealt_in_bounded_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([(k, float(k % 7), 1 + k % 3) for k in range(100, 340)], "k long, s double, n long")
+    whole = sorted(map(tuple, B.bootstrap_mean(df, "k", "s", "n", 10, 7).collect()))
+    times = B.bootstrap_clusters(df, "k", 10, 7).join(df, "k")
+    by_times = times.groupBy("b").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("e"))
+    monkeypatch.setattr(B, "DRAWS", 100)
+    many = B._picks(spark, 240, 10, 7)
+    assert many.rdd.getNumPartitions() == 24 and max(many.rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()) < 400
+    for other in (by_times, B.bootstrap_mean(df, "k", "s", "n", 10, 7)):
+        assert np.allclose(whole, sorted(map(tuple, other.collect())), atol=1e-12)
+
+
+def test_rank_correlation_counts_equal_pairs_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(a), float(b)) for g, a, b in zip(rng.integers(0, 3, 500), rng.integers(0, 6, 500), rng.integers(0, 5, 500), strict=True)]
+    df = spark.createDataFrame([*rows, (7, 1.0, 1.0), (7, 1.0, 2.0), (8, 3.0, 4.0), (0, None, 1.0)], "g int, a double, b double")
+    out = M.spearman(df, ["g"], "a", "b")
+    got = {r.g: (r.spearman, r.n) for r in out.collect()}
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    for g in range(3):
+        a, b = (np.array([r[i] for r in rows if r[0] == g]) for i in (1, 2))
+        assert got[g][1] == len(a) and abs(got[g][0] - np.corrcoef(rank(a), rank(b))[0, 1]) < 1e-12
+    assert got[7] == (None, 2) and got[8] == (None, 1)
+    text = plan(out)
+    assert text.rindex("partial_count") > text.rindex("Window")  # counted below, that is before, the first window
+
+
+def test_medians_of_folds_are_counted_in_ranges(spark):
+    df = spark.createDataFrame([(k, None if k % 4 == 0 else float(k * k % 31)) for k in range(60)], "k int, v double")
+    out = L.impute_scale(df, B.modular_folds(df, "k", 3), "k", "v")
+    assert "percentile(CASE" not in plan(out)
+    for f in range(3):
+        train = np.array([k * k % 31 for k in range(60) if k % 4 and k % 3 not in (f, (f + 1) % 3)], float)
+        m = np.median(train)
+        filled = {k: float(k * k % 31) if k % 4 else m for k in range(60)}
+        t = np.array([v for k, v in filled.items() if k % 3 not in (f, (f + 1) % 3)])
+        assert all(abs(r.v - (filled[r.k] - t.mean()) / t.std()) < 1e-9 for r in out.filter(F.col("fold") == f).collect())
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_heart_rate_variability_from_running_sums(spark, kind):
+    rng = np.random.default_rng(8)
+    at = np.cumsum(rng.choice([0, 400, 700, 900, 4000, 40_000], 200, p=[0.05, 0.3, 0.3, 0.3, 0.03, 0.02]))
+    df = spark.createDataFrame([(1, int(t)) for t in at], "g int, ms long").withColumn("ms", F.col("ms").cast(kind))
+    out = X.hrv(df, ["g"], "ms", 10_000)
+    assert "collect_list" not in plan(out)
+    for r in out.collect():
+        rr = np.diff(at[(at >= r.ms - 10_000) & (at <= r.ms)])
+        assert r.n_rr == len(rr)
+        if r.ms - at[0] < 8000 or (at <= r.ms).sum() < 3 or len(rr) < 2:
+            assert r.rmssd is None and r.sdnn is None and r.pnn50 is None
+        else:
+            d = np.diff(rr)
+            assert np.allclose([r.rmssd, r.sdnn, r.pnn50], [np.sqrt((d**2).mean()), rr.std(ddof=1), (abs(d) > 50).mean()], atol=1e-6)
+
+
+@pytest.mark.parametrize("segment", [None, 8])
+def test_spectra_of_one_length_are_made_together(spark, segment):
+    rng = np.random.default_rng(9)
+    rows = [(g, i, None if i == 3 and g % 2 else float(rng.normal())) for g in range(30) for i in range(int(rng.integers(0, 24)))]
+    df = spark.createDataFrame(rows, "g int, i int, v double").repartition(5)
+    out = X.spectrum(df, ["g"], "i", "v", 100.0, segment)
+    assert "InPandas" not in plan(out)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.g, []).append((r.frequency, r.power))
+    want = {}
+    for g in range(30):
+        x = np.array([v for k, _, v in rows if k == g and v is not None])
+        if len(x) >= 4:
+            n = min(len(x), segment or len(x))
+            h = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+            parts = [x[i : i + n] for i in range(0, len(x) - n + 1, max(1, n - n // 2))]
+            p = np.mean([abs(np.fft.rfft((y - y.mean()) * h)) ** 2 for y in parts], axis=0) / (100 * (h**2).sum())
+            p[1 : -1 if n % 2 == 0 else None] *= 2
+            want[g] = list(zip(np.fft.rfftfreq(n, 0.01), p, strict=True))
+    assert got.keys() == want.keys() and all(np.allclose(sorted(got[g]), want[g], atol=1e-12) for g in want)
