@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.operators.folds import held_out_logistic, moments
+from tessera.operators.ranges import quantiles
 
 
 def condition_anchor(df: DataFrame, folds: DataFrame, member: str, condition: str, value: str) -> DataFrame:
@@ -47,10 +48,10 @@ def impute_scale(df: DataFrame, folds: DataFrame, member: str, column: str) -> D
     """Every row of every fold, missing values by the training median and scaled by the training mean and std."""
     j = df.join(folds, member)
     t = F.col("role") == "train"
-    s = j.groupBy("fold").agg(F.percentile(F.when(t, F.col(column)), 0.5).alias("_md"))
-    filled = j.join(s, "fold").withColumn(column, F.coalesce(column, "_md"))
+    s = quantiles(j.filter(t), ["fold"], column, {"_md": 0.5}).drop("n")  # a row for each fold
+    filled = j.join(F.broadcast(s), "fold", "left").withColumn(column, F.coalesce(column, "_md"))
     m = filled.groupBy("fold").agg(F.avg(F.when(t, F.col(column))).alias("_m"), F.stddev_pop(F.when(t, F.col(column))).alias("_s"))
-    return filled.join(m, "fold").withColumn(column, (F.col(column) - F.col("_m")) / F.coalesce(F.nullif("_s", F.lit(0.0)), F.lit(1.0))).drop("_md", "_m", "_s")
+    return filled.join(F.broadcast(m), "fold").withColumn(column, (F.col(column) - F.col("_m")) / F.coalesce(F.nullif("_s", F.lit(0.0)), F.lit(1.0))).drop("_md", "_m", "_s")
 
 
 def dense_columns(df: DataFrame, columns: list[str], least: float) -> list[str]:
