@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,22 +34,33 @@ def replicates(df: DataFrame, n: int) -> DataFrame:
     return df.join(F.broadcast(df.sparkSession.range(n).withColumnRenamed("id", "b")))
 
 
+DRAWS = 1_000_000
+"""Draws of a resampling that one task holds."""
+
+
+def _picks(spark: SparkSession, size: int, n: int, seed: int) -> DataFrame:
+    """(b, i): the numbers drawn, ``size`` in each of n resamples, a number's in one task of about DRAWS draws."""
+    tasks = max(1, -(-size * n // DRAWS))
+    d = spark.range(0, size, 1, tasks).join(F.broadcast(spark.range(n).withColumnRenamed("id", "b")))
+    return d.select("b", F.floor(draw(F.lit(seed), F.col("b"), F.col("id")) * size).alias("i")).repartition(tasks, "i")
+
+
 def bootstrap_clusters(clusters: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """(b, key, times): how often each cluster is drawn in each of n resamples of as many clusters.
 
-    ``clusters`` has one row per cluster. The i-th draw of a replicate picks a cluster by number.
+    ``clusters`` has one row per cluster. The i-th draw of a replicate picks a cluster by number. More clusters make more tasks,
+    not larger ones.
     """
-    members = numbered(clusters.select(key), key)
-    size = members.agg(F.count("*").alias("size"))
-    picks = replicates(members.select("i"), n).join(F.broadcast(size))
-    pick = F.floor(draw(F.lit(seed), F.col("b"), F.col("i")) * F.col("size"))
-    return picks.select("b", pick.alias("i")).groupBy("b", "i").agg(F.count("*").alias("times")).join(members, "i").select("b", key, "times")
+    members = clusters.select(key)
+    times = _picks(clusters.sparkSession, members.count(), n, seed).groupBy("b", "i").agg(F.count("*").alias("times"))
+    return times.join(numbered(members, key), "i").select("b", key, "times")
 
 
 def bootstrap_mean(clusters: DataFrame, key: str, total: str, count: str, n: int, seed: int) -> DataFrame:
-    """(b, estimate): mean of each resample from the clusters' sums and counts."""
-    t = bootstrap_clusters(clusters, key, n, seed).join(clusters, key)
-    return t.groupBy("b").agg((F.sum(F.col("times") * F.col(total)) / F.sum(F.col("times") * F.col(count))).alias("estimate"))
+    """(b, estimate): mean of each resample from the clusters' sums and counts, which the draws meet by number."""
+    c = clusters.select(key, F.col(total).alias("_total"), F.col(count).alias("_count"))
+    t = _picks(clusters.sparkSession, c.select(key).count(), n, seed).join(numbered(c, key), "i")
+    return t.groupBy("b").agg((F.sum("_total") / F.sum("_count")).alias("estimate"))
 
 
 def interval(estimates: DataFrame, level: float = 0.95) -> DataFrame:
@@ -214,8 +225,10 @@ def uniform_baseline(df: DataFrame, key: str, truth: str, n: int, seed: int) ->
 
 def argmax_stability(cells: DataFrame, key: str, option: str, value: str, n: int, seed: int) -> DataFrame:
     """Share of resamples of keys in which each option has the highest mean."""
-    t = bootstrap_clusters(cells.select(key).distinct(), key, n, seed).join(cells, key)
-    m = t.groupBy("b", option).agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("m"))
+    members = cells.select(key).distinct()
+    own = numbered(members, key).join(cells, key).select("i", option, F.col(value).alias("_v"))
+    t = _picks(cells.sparkSession, members.count(), n, seed).join(own, "i")
+    m = t.groupBy("b", option).agg(F.avg("_v").alias("m"))
     best = m.groupBy("b").agg(F.max_by(option, F.struct("m", option)).alias(option))
     return best.groupBy(option).agg((F.count("*") / n).alias("share"))
 
