@@ -124,3 +124,11 @@ def test_spectra_of_one_length_are_made_together(spark, segment):
             p[1 : -1 if n % 2 == 0 else None] *= 2
             want[g] = list(zip(np.fft.rfftfreq(n, 0.01), p, strict=True))
     assert got.keys() == want.keys() and all(np.allclose(sorted(got[g]), want[g], atol=1e-12) for g in want)
+
+
+def test_manifest_is_made_in_as_many_tasks_as_its_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(B, "MADE", 500)
+    out = B.lopo_manifest(spark.createDataFrame([(k,) for k in range(10, 80)], "k long"), "k")
+    assert out.rdd.getNumPartitions() == 10
+    got = sorted(map(tuple, out.collect()))
+    assert got == [(f, k, "test" if k - 10 == f else "validation" if k - 10 == (f + 1) % 70 else "train") for f in range(70) for k in range(10, 80)]
