@@ -441,6 +441,20 @@ def _packed(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.collect_list(F.struct("k", "s", "l", "v")).alias("rows"))
 
 
+def _best(c: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k greatest values over minus infinity, by row; equals in the order of ``place``.
+
+    Only what reaches a row's k-th value is put in order.
+    """
+    least = np.partition(c, -k, axis=1)[:, -k] if k < c.shape[1] else np.full(len(c), -np.inf)
+    row, at = np.nonzero((c >= least[:, None]) & (c > -np.inf))
+    order = np.lexsort((place[at], -c[row, at], row))
+    row, at = row[order], at[order]
+    first = np.searchsorted(row, np.arange(len(c)))
+    kept = np.arange(len(row)) - first[row] < k
+    return row[kept], at[kept]
+
+
 def _nearest(pairs: DataFrame, v: DataFrame, k: int) -> DataFrame:
     """(q, ql, k, l, c) of pairs of blocks (q, rows): each query's k best of the block by cosine among other subjects, ties by key."""
     schema = v.select(F.col("k").alias("q"), F.col("l").alias("ql"), "k", "l", F.lit(0.0).alias("c")).schema
@@ -452,17 +466,12 @@ def _nearest(pairs: DataFrame, v: DataFrame, k: int) -> DataFrame:
                 x, y = (np.stack(z.field("v").to_numpy(zero_copy_only=False)) for z in (q, d))
                 qs, ds = (z.field("s").to_numpy(zero_copy_only=False) for z in (q, d))
                 keys = d.field("k").to_numpy(zero_copy_only=False)
-                by_key = np.argsort(keys, kind="stable")
+                place = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
                 for i in range(0, len(x), 1024):
                     c = np.round(x[i : i + 1024] @ y.T, 9)
                     c[qs[i : i + 1024, None] == ds[None, :]] = -np.inf
-                    c = c[:, by_key]
-                    few = min(k, c.shape[1])
-                    best = np.argsort(-c, axis=1, kind="stable")[:, :few]  # equals by key
-                    value = np.take_along_axis(c, best, axis=1)
-                    row, col = np.nonzero(value > -np.inf)
-                    at = by_key[best[row, col]]
-                    yield pa.RecordBatch.from_arrays([q.field("k").take(pa.array(i + row)), q.field("l").take(pa.array(i + row)), d.field("k").take(pa.array(at)), d.field("l").take(pa.array(at)), pa.array(value[row, col])], ["q", "ql", "k", "l", "c"])
+                    row, at = _best(c, place, k)
+                    yield pa.RecordBatch.from_arrays([q.field("k").take(pa.array(i + row)), q.field("l").take(pa.array(i + row)), d.field("k").take(pa.array(at)), d.field("l").take(pa.array(at)), pa.array(c[row, at])], ["q", "ql", "k", "l", "c"])
 
     return pairs.select("q", "rows").mapInArrow(run, schema)
 

@@ -132,3 +132,15 @@ def test_manifest_is_made_in_as_many_tasks_as_its_rows_ask_for(spark, monkeypatc
     assert out.rdd.getNumPartitions() == 10
     got = sorted(map(tuple, out.collect()))
     assert got == [(f, k, "test" if k - 10 == f else "validation" if k - 10 == (f + 1) % 70 else "train") for f in range(70) for k in range(10, 80)]
+
+
+def test_best_of_a_block_are_those_of_a_full_sort():
+    rng = np.random.default_rng(1)
+    for k, wide in ((5, 300), (5, 3), (5, 5), (1, 40)):
+        c = np.round(rng.normal(size=(50, wide)), 1)
+        c[rng.random(c.shape) < 0.3] = -np.inf
+        c[0] = -np.inf
+        place = rng.permutation(wide)
+        want = [(i, j) for i in range(50) for j in [x for x in np.lexsort((place, -c[i])) if c[i, x] > -np.inf][:k]]
+        row, at = L._best(c, place, k)
+        assert list(zip(row.tolist(), at.tolist(), strict=True)) == [(i, int(j)) for i, j in want]
