@@ -437,8 +437,8 @@ def _unit(df: DataFrame, key: str, subject: str, label: str, vector: str) -> Dat
     return d.select(F.col(key).alias("k"), F.col(subject).alias("s"), F.col(label).alias("l"), F.transform(vector, lambda x: x.cast("double") / F.col("_norm")).alias("v"))
 
 
-def _packed(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.collect_list(F.struct("k", "s", "l", "v")).alias("rows"))
+def _packed(rows: DataFrame, *keys: str, more: tuple[str, ...] = ()) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct("k", "s", "l", "v", *more)).alias("rows"))
 
 
 def _best(c: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -455,8 +455,9 @@ def _best(c: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return row[kept], at[kept]
 
 
-def _nearest(pairs: DataFrame, v: DataFrame, k: int) -> DataFrame:
-    """(q, ql, k, l, c) of pairs of blocks (q, rows): each query's k best of the block by cosine among other subjects, ties by key."""
+def _nearest(pairs: DataFrame, v: DataFrame, k: int, indexed: bool = False) -> DataFrame:
+    """(q, ql, k, l, c) of pairs of blocks (q, rows): each query's k best of the block by cosine among other subjects, ties by key;
+    ``indexed``, among those of its ``cells``, where the block's rows have a ``cell``."""
     schema = v.select(F.col("k").alias("q"), F.col("l").alias("ql"), "k", "l", F.lit(0.0).alias("c")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,9 +468,19 @@ def _nearest(pairs: DataFrame, v: DataFrame, k: int) -> DataFrame:
                 qs, ds = (z.field("s").to_numpy(zero_copy_only=False) for z in (q, d))
                 keys = d.field("k").to_numpy(zero_copy_only=False)
                 place = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
-                for i in range(0, len(x), 1024):
-                    c = np.round(x[i : i + 1024] @ y.T, 9)
-                    c[qs[i : i + 1024, None] == ds[None, :]] = -np.inf
+                step = max(64, min(1024, 4_194_304 // len(y)))
+                if indexed:
+                    cells, cell = np.unique(d.field("cell").to_numpy(zero_copy_only=False), return_inverse=True)
+                    of = np.repeat(np.arange(len(q)), q.field("cells").value_lengths().to_numpy(zero_copy_only=False))
+                    to = q.field("cells").flatten().to_numpy(zero_copy_only=False)
+                    asked = np.zeros((len(q), len(cells)), bool)
+                    there = np.isin(to, cells)
+                    asked[of[there], np.searchsorted(cells, to[there])] = True
+                for i in range(0, len(x), step):
+                    c = np.round(x[i : i + step] @ y.T, 9)
+                    c[qs[i : i + step, None] == ds[None, :]] = -np.inf
+                    if indexed:
+                        c[~asked[i : i + step][:, cell]] = -np.inf
                     row, at = _best(c, place, k)
                     yield pa.RecordBatch.from_arrays([q.field("k").take(pa.array(i + row)), q.field("l").take(pa.array(i + row)), d.field("k").take(pa.array(at)), d.field("l").take(pa.array(at)), pa.array(c[row, at])], ["q", "ql", "k", "l", "c"])
 
@@ -514,12 +525,17 @@ def cell_centres(v: DataFrame, cells: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+SHELF = 16_384
+"""Vectors of the cells that a query meets at a time."""
+
+
 def nearest_indexed(df: DataFrame, key: str, subject: str, label: str, vector: str, k: int, share: float = 0.6, block: int = 4096) -> DataFrame:
     """(q, ql, k, l, c): for every vector its k nearest of other subjects, by an index of cells.
 
     Vectors are dealt to the nearest of about sqrt(n) centres, and each asks the ``share`` of the cells whose centres are nearest to it;
-    what it meets there is scored exactly, block by block, so that a cell of any size is many small groups. Shuffled are the
-    vectors once and the queries once for each cell asked: linear in n for a fixed number of cells, n * sqrt(n) for a fixed share.
+    what it meets there is scored exactly, block by block. Cells stand on shelves of about SHELF vectors, a larger one alone and in
+    many blocks. Shuffled are the vectors once and a query once for each shelf that it asks, which are n / SHELF at most, not once
+    for each cell.
     """
     v = _unit(df, key, subject, label, vector)
     n = v.count()
@@ -535,14 +551,23 @@ def nearest_indexed(df: DataFrame, key: str, subject: str, label: str, vector: s
 
     dealt = v.mapInArrow(run, near)
     own = dealt.withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
-    size = own.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("nb"))  # a row for each cell
-    data = _packed(own.join(F.broadcast(size), "cell").withColumn("b", F.pmod(F.xxhash64("k"), F.col("nb"))), "cell", "b")
-    asked = dealt.withColumn("cell", F.explode("cells")).drop("cells")
-    chunk = asked.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("nq"))
-    queries = _packed(asked.join(F.broadcast(chunk), "cell").withColumn("qb", F.pmod(F.xxhash64("k"), F.col("nq"))), "cell", "qb")
-    met = queries.select("cell", F.col("rows").alias("q")).join(data.select("cell", "rows"), "cell")
+    sizes = {r.cell: r.n for r in own.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # about sqrt(n) numbers
+    shelves, rows = [0] * max(1, len(centres)), [0]
+    for cell in range(len(centres)):
+        if rows[-1] and rows[-1] + sizes.get(cell, 0) > SHELF:
+            rows.append(0)
+        rows[-1] += sizes.get(cell, 0)
+        shelves[cell] = len(rows) - 1
+    shelf = F.array(*[F.lit(i) for i in shelves])
+    parts = F.array(*[F.lit(-(-max(n, 1) // SHELF)) for n in rows])
+    data = own.withColumn("shelf", F.get(shelf, F.col("cell"))).withColumn("b", F.pmod(F.xxhash64("k"), F.get(parts, F.col("shelf"))))
+    data = _packed(data, "shelf", "b", more=("cell",))
+    asked = dealt.withColumn("shelf", F.explode(F.array_distinct(F.transform("cells", lambda c: F.get(shelf, c)))))
+    asked = asked.withColumn("cells", F.filter("cells", lambda c: F.get(shelf, c) == F.col("shelf")))
+    queries = _packed(asked.withColumn("qb", F.pmod(F.xxhash64("k"), F.lit(max(1, -(-n // block))))), "shelf", "qb", more=("cells",))
+    met = queries.select("shelf", F.col("rows").alias("q")).join(data.select("shelf", "rows"), "shelf")
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c"), "k"))
-    return _nearest(met, v, k).withColumn("_r", best).filter(F.col("_r") <= k).drop("_r")
+    return _nearest(met, v, k, indexed=True).withColumn("_r", best).filter(F.col("_r") <= k).drop("_r")
 
 
 def knn_indexed(df: DataFrame, key: str, subject: str, label: str, vector: str, k: int, share: float = 0.6, block: int = 4096) -> DataFrame:

@@ -144,3 +144,15 @@ def test_best_of_a_block_are_those_of_a_full_sort():
         want = [(i, j) for i in range(50) for j in [x for x in np.lexsort((place, -c[i])) if c[i, x] > -np.inf][:k]]
         row, at = L._best(c, place, k)
         assert list(zip(row.tolist(), at.tolist(), strict=True)) == [(i, int(j)) for i, j in want]
+
+
+def test_index_finds_the_same_whatever_stands_on_a_shelf(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, i % 5, i % 3, rng.normal(size=8).tolist()) for i in range(600)], "k int, s int, l int, v array<double>")
+    found = lambda: {(r.q, r.k) for r in L.nearest_indexed(df, "k", "s", "l", "v", 3, 0.3, block=100).collect()}
+    one = found()
+    sizes = []
+    monkeypatch.setattr(L, "SHELF", 150)
+    monkeypatch.setattr(L, "_packed", lambda rows, *keys, more=(), f=L._packed: sizes.append(rows.count()) or f(rows, *keys, more=more))
+    assert found() == one and len(one) == 1800
+    assert sizes[0] == 600 and sizes[1] <= 600 * 7  # once a shelf, where 0.3 of 24 cells are 8
