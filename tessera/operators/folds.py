@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS = 2048
-"""Rows that are held against all folds at a time."""
+"""Rows that are held against all folds at a time, at most."""
+
+HELD = 16_777_216
+"""Numbers that such a matrix of rows x folds has, at most."""
 
 
 def summed(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
@@ -65,9 +68,10 @@ class _Rows:
             codes = b.column(0).flatten().to_numpy().reshape(n, -1)
             x = b.column(2).flatten().to_numpy().reshape(n, -1)
             y = b.column(1).to_numpy().astype(float)
-            for i in range(0, n, ROWS):
-                train = (codes[i : i + ROWS, None, :] != self.folds).all(axis=2)
-                yield train, y[i : i + ROWS], np.concatenate((np.ones((len(train), 1)), x[i : i + ROWS]), axis=1)
+            step = max(1, min(ROWS, HELD // max(1, len(self.folds))))
+            for i in range(0, n, step):
+                train = (codes[i : i + step, None, :] != self.folds).all(axis=2)
+                yield train, y[i : i + step], np.concatenate((np.ones((len(train), 1)), x[i : i + step]), axis=1)
 
     def square(self, upper: np.ndarray) -> np.ndarray:
         """Symmetric matrices [fold, p, p] of their upper triangles."""

@@ -1,6 +1,7 @@
 """What grew faster than the input: plans without it, and the same results by the ways that replace it."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,12 @@ def test_index_finds_the_same_whatever_stands_on_a_shelf(spark, monkeypatch):
     monkeypatch.setattr(L, "_packed", lambda rows, *keys, more=(), f=L._packed: sizes.append(rows.count()) or f(rows, *keys, more=more))
     assert found() == one and len(one) == 1800
     assert sizes[0] == 600 and sizes[1] <= 600 * 7  # once a shelf, where 0.3 of 24 cells are 8
+
+
+def test_rows_held_against_many_folds_are_few(monkeypatch):
+    from tessera.operators import folds as H
+
+    monkeypatch.setattr(H, "HELD", 1000)
+    b = pa.RecordBatch.from_arrays([pa.array([[i % 300] for i in range(50)]), pa.array([1.0] * 50), pa.array([[float(i)] for i in range(50)])], ["c", "y", "x"])
+    parts = list(H._Rows(np.arange(300)[:, None], 1).slices(iter([b])))
+    assert max(t.size for t, _, _ in parts) <= 1000 and np.concatenate([a[:, 1] for _, _, a in parts]).tolist() == list(range(50))
