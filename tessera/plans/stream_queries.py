@@ -95,7 +95,7 @@ DAY = 24 * HOUR
 SELECT session, condition AS source, 'silent' AS kind, ms + {2 * DAY} AS at FROM n, m WHERE next - ms > {2 * DAY} OR next IS NULL AND ms + {2 * DAY} < watermark UNION ALL SELECT session, condition, 'back', next FROM n WHERE next - ms > {2 * DAY}""")
 def _(t: Tables) -> DataFrame:
     e = source(t).select(F.col("user_id").alias("session"), F.col("event_type").alias("source"), "ts")
-    return S.run_to_table(S.silences(e, 2 * DAY, "1 minute"), folder(t)).drop("batch")
+    return S.silences_to_table(e, 2 * DAY, 60_000, folder(t)).drop("batch")
 
 
 @query("stream_session_begin", f"""WITH {ROWS}, a AS (SELECT *, count(*) FILTER (condition = 'error') OVER (PARTITION BY session ORDER BY ms, condition ROWS UNBOUNDED PRECEDING) AS part FROM r),

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 # Cycle length, source timeout and command expiry in ms, windows of low coverage to failsafe, history and
 # cooldown in windows, conditions of high load.
@@ -455,7 +456,8 @@ def silences(rows: DataFrame, timeout: int, late: str) -> DataFrame:
     """(session, source, kind, at): when a source falls silent, ``timeout`` ms after its last row, and when it is back.
 
     ``rows`` (session long, source string, ts timestamp), a stream. A source that never comes back is reported by a
-    timer on event time, once the watermark (``late`` behind the newest row of all) has passed it.
+    timer on event time, once the watermark (``late`` behind the newest row of all) has passed it. Each source of a micro-batch is
+    a call of Python, so this is for a live sink with few of them; ``silences_to_table`` is for many.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -482,6 +484,51 @@ def silences(rows: DataFrame, timeout: int, late: str) -> DataFrame:
     return timed.groupBy("session", "source").applyInPandasWithState(run, "session long, source string, kind string, at long", "last long, silent boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def silences_to_table(rows: DataFrame, timeout: int, late: int, folder: str) -> DataFrame:
+    """What ``silences`` reports of ``rows``, a stream, over what there is now, as one table (session, source, kind, at, batch).
+
+    For many sources: a micro-batch is one sort by (session, source, ms), and the last row of each source is a typed table that the next goes
+    on from, so a source costs a row and no call of Python. Timers run at the end of a micro-batch, ``late`` ms behind the newest row of all.
+    A row that comes after its source was reported silent, and not from after that silence began, is too late and changes nothing, as is one
+    older than its source's last of earlier batches; rows without a time are left out.
+    ``folder`` is shared by driver and executors. States of older batches are deleted.
+    """
+    spark, path = rows.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
+    out_type = T.StructType([rows.schema["session"], rows.schema["source"], *T.StructType.fromDDL("kind string, at long, silent boolean")])
+    source = Window.partitionBy("session", "source").orderBy("was_first", "ms")
+
+    def write(batch: DataFrame, number: int) -> None:
+        now = batch.select("session", "source", F.unix_millis("ts").alias("ms"), F.lit(None).cast("boolean").alias("silent"), F.lit(1).alias("was_first")).filter("ms is not null")
+        if number:
+            known = spark.read.schema(out_type).parquet(f"{path}/all/batch={number - 1}/ended=true")
+            now = now.union(known.select("session", "source", F.col("at").alias("ms"), "silent", F.lit(0).alias("was_first")))
+        newest = now.agg(F.max("ms")).head()[0]
+        d = now.withColumn("begun", F.when(F.first("silent").over(source), F.first("ms").over(source) + timeout)).filter("was_first = 0 or begun is null or ms > begun")
+        d = d.withColumns({"before": F.max("ms").over(source.rowsBetween(Window.unboundedPreceding, -1)), "end": F.lead("was_first").over(source).isNull()})
+        told = F.coalesce(F.col("before") + timeout == F.col("begun"), F.lit(False))
+        d = d.withColumns({"told": told, "last": F.greatest("ms", "before")})
+        back = (F.col("was_first") == 1) & (F.col("ms") - F.col("before") > timeout)
+        kept = F.coalesce("silent", F.lit(False))  # of a state that no row follows
+        over = F.col("last") + timeout < F.lit((newest or 0) - late)
+        said = lambda kind, at, silent=F.lit(None).cast("boolean"): F.struct(F.lit(kind).alias("kind"), at.alias("at"), silent.alias("silent"))
+        events = [
+            F.when(back & ~F.col("told"), said("silent", F.col("before") + timeout)),
+            F.when(back, said("back", F.col("ms"))),
+            F.when(F.col("end") & ~kept & over, said("silent", F.col("last") + timeout)),
+            F.when(F.col("end"), said("state", F.col("last"), kept | over)),
+        ]
+        out = d.select("session", "source", F.inline(F.array_compact(F.array(*events))))
+        out.withColumn("ended", F.col("kind") == "state").write.mode("overwrite").partitionBy("ended").parquet(f"{path}/all/batch={number}")
+        if number > 1:
+            _delete(spark, f"{path}/all/batch={number - 2}/ended=true")
+
+    q = rows.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    _delete(spark, f"{path}/checkpoint")
+    every = T.StructType([*out_type, T.StructField("ended", T.BooleanType()), T.StructField("batch", T.LongType())])
+    return spark.read.schema(every).parquet(f"{path}/all").filter("not ended").select("session", "source", "kind", "at", "batch")
+
+
 def run_to_table(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what there is now and read its result back. Each micro-batch is a Parquet folder of its own, so
     one that runs again writes the same folder again. ``folder`` is shared by driver and executors."""

@@ -166,3 +166,20 @@ def test_rows_held_against_many_folds_are_few(monkeypatch):
     b = pa.RecordBatch.from_arrays([pa.array([[i % 300] for i in range(50)]), pa.array([1.0] * 50), pa.array([[float(i)] for i in range(50)])], ["c", "y", "x"])
     parts = list(H._Rows(np.arange(300)[:, None], 1).slices(iter([b])))
     assert max(t.size for t, _, _ in parts) <= 1000 and np.concatenate([a[:, 1] for _, _, a in parts]).tolist() == list(range(50))
+
+
+def test_silences_of_many_sources_take_no_python(spark, sf_dir, tmp_path, monkeypatch):
+    """Over several batches as ``silences`` reports them, with a source whose rows come in the last batch though they are the oldest."""
+    from tessera.streaming import sessions as Z
+
+    rows = [[(1, "head", 0), (1, "eye", 0), (4, None, 0)], [(1, "head", 2), (2, "head", 300), (2, "head", None)], [(1, "head", 360), (2, "head", 361), (3, "eye", 10), (3, "eye", 11), (3, "eye", 40), (1, "eye", 0), (1, "eye", 3)]]
+    for i, part in enumerate(rows):
+        df = spark.createDataFrame(part, "session long, source string, s long").select("session", "source", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    out = Z.silences_to_table(src, 3_000, 1_000, str(tmp_path)).collect()
+    got = sorted((r.session, r.source or "", r.kind, r["at"] // 1000) for r in out)
+    by_head = [(1, "head", "back", 360), (1, "head", "silent", 5), (2, "head", "back", 361), (2, "head", "silent", 303)]
+    assert got == sorted([(1, "eye", "silent", 3), *by_head, (3, "eye", "back", 40), (3, "eye", "silent", 14), (3, "eye", "silent", 43), (4, "", "silent", 3)])
+    monkeypatch.setattr(Z, "silences", None)
+    assert QUERIES["stream_source_timeout"](spark, sf_dir).count() > 0
