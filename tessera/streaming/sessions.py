@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from statistics import median
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -279,7 +279,8 @@ class Controller:
 
     def feed(self, s: dict, ms: int, condition: int, relaxation: float, discomfort: float, valid: bool, rating: dict | None, own: dict | None = None) -> Iterator[tuple]:
         s["step"] += 1
-        s["own"] = self.personal(own)
+        if s.get("given", s) is not own:  # rows in turn share theirs
+            s["given"], s["own"] = own, self.personal(own)
         before, action, reason = s["at"], "hold", "minimum_observation_warmup"
         done, risk = self.reveal(s, condition, rating)
         gap = s["last_ms"] is not None and ms - s["last_ms"] > self.gap
@@ -294,7 +295,7 @@ class Controller:
                 if to != s["at"]:
                     self.move(s, to)
                     action, reason = "step", "three_invalid_windows_safe_return"
-            calm, tense = (float(median(s[k])) if s[k] else None for k in ("relaxation", "discomfort"))
+            calm, tense = (float(_median(s[k])) if s[k] else None for k in ("relaxation", "discomfort"))
             yield (s["step"], ms, before, s["at"], action, reason, s["state"], calm, tense, s["dwell"], done, False, gap, self.locked(s, tense))
             return
         if s["invalid"]:
@@ -302,7 +303,7 @@ class Controller:
         s["relaxation"], s["discomfort"] = (s["relaxation"] + [relaxation])[-3:], (s["discomfort"] + [discomfort])[-3:]
         s["seen"] += 1
         s["dwell"] += 1
-        calm, tense = float(median(s["relaxation"])), float(median(s["discomfort"]))
+        calm, tense = float(_median(s["relaxation"])), float(_median(s["discomfort"]))
         if risk or self.rising(s) or s["seen"] >= self.least and tense >= self.high:
             s["state"], to, reason = "recovering", self.safer(s), "safety_hold"
             if to != s["at"]:
@@ -338,6 +339,30 @@ def _plain(x):
     return None if x != x else x
 
 
+def _values(column: pa.Array, plain: bool = True) -> list:
+    """The values of a machine's input, NULL for NaN but in structs. Rows in turn that have equal structs share one, which machines never change."""
+    kind = column.type
+    if pa.types.is_struct(kind):
+        names, last, value, out = [f.name for f in kind], None, None, []
+        for row in zip(*(_values(c, False) for c in column.flatten()), strict=True):
+            if row != last:
+                last, value = row, dict(zip(names, row, strict=True))
+            out.append(value)
+        return [v if there else None for v, there in zip(out, column.is_valid().to_pylist(), strict=True)] if column.null_count else out
+    if pa.types.is_nested(kind):
+        return [_plain(x) for x in column.to_pylist()]
+    number = pa.types.is_floating(kind)
+    if column.null_count or not (number or pa.types.is_integer(kind)):
+        return [_plain(x) for x in column.to_pylist()] if number and plain else column.to_pylist()
+    values = column.to_numpy()
+    return [_plain(x) for x in values.tolist()] if number and plain and np.isnan(values).any() else values.tolist()
+
+
+def _median(x: list[float]) -> float:
+    x, n = sorted(x), len(x)
+    return x[n // 2] if n % 2 else (x[n // 2 - 1] + x[n // 2]) / 2
+
+
 def _revived(value, kind: T.DataType):
     """A state as it was: maps come back from Arrow as lists of pairs."""
     if value is None:
@@ -384,8 +409,8 @@ def _through(rows: DataFrame, machine, states: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, last, out = None, None, None, []
         for b in batches:
-            sessions, before = b.column("session").to_pylist(), b.column("was").to_pylist() if states else [None] * b.num_rows
-            for session, was, ms, *rest in zip(sessions, before, *(b.column(c).to_pylist() for c in inputs), strict=True):
+            before = b.column("was").to_pylist() if states and b.column("was").null_count < b.num_rows else [None] * b.num_rows
+            for session, was, ms, *rest in zip(_values(b.column("session")), before, *(_values(b.column(c)) for c in inputs), strict=True):
                 if session != now or state is None:
                     if states and state is not None:
                         out.append(ended(now, state, last))
@@ -394,7 +419,8 @@ def _through(rows: DataFrame, machine, states: bool) -> DataFrame:
                     last, state = was["last_ms"], _revived(was["state"], state_type)
                     continue
                 last = ms
-                out += [(session, *o, None) if states else (session, *o) for o in machine.feed(state, ms, *map(_plain, rest))]
+                for o in machine.feed(state, ms, *rest):
+                    out.append((session, *o, None) if states else (session, *o))
                 if len(out) >= CHUNK:
                     yield batch(out)
                     out = []

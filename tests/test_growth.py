@@ -183,3 +183,17 @@ def test_silences_of_many_sources_take_no_python(spark, sf_dir, tmp_path, monkey
     assert got == sorted([(1, "eye", "silent", 3), *by_head, (3, "eye", "back", 40), (3, "eye", "silent", 14), (3, "eye", "silent", 43), (4, "", "silent", 3)])
     monkeypatch.setattr(Z, "silences", None)
     assert QUERIES["stream_source_timeout"](spark, sf_dir).count() > 0
+
+
+def test_rows_in_turn_share_equal_structs_and_lose_no_value():
+    from tessera.streaming import sessions as Z
+
+    kind = pa.struct([("a", pa.float64()), ("s", pa.string())])
+    rows = [{"a": 1.0, "s": "x"}, {"a": 1.0, "s": "x"}, None, {"a": None, "s": "x"}, {"a": 2.0, "s": None}, {"a": 2.0, "s": None}]
+    got = Z._values(pa.array(rows, kind))
+    assert got == rows and got[0] is got[1] and got[4] is got[5]
+    assert Z._values(pa.array(rows, kind)[3:]) == rows[3:]
+    assert Z._values(pa.array([1.5, float("nan"), None])) == [1.5, None, None] and Z._values(pa.array([1.5, float("nan")])) == [1.5, None]
+    assert Z._values(pa.array([[1.0, float("nan")], None])) == [[1.0, None], None] and Z._values(pa.array([True, None])) == [True, None]
+    assert Z._values(pa.array([3, 4])) == [3, 4] and Z._values(pa.array([3, None])) == [3, None]
+    assert [Z._median(x) for x in ([3.0], [3.0, 1.0], [3.0, 1.0, 2.0])] == [3.0, 2.0, 2.0]
