@@ -1,13 +1,14 @@
 """Stateful operators over session streams, and their batch twins.
 
 A session's rows go through one small state machine in order of time. ``replay`` feeds recorded rows to it; ``stream`` does
-so with every micro-batch and keeps the states between them as a typed table, so both give the same rows. Spark sorts the
+so with every micro-batch and keeps the states between them as a table, so both give the same rows. Spark sorts the
 rows of a micro-batch, on disk where they are many, and a task holds one Arrow batch and one state: neither a long
 session nor a large micro-batch is ever a frame in memory. Machines keep sums and short histories, no rows.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -330,6 +331,7 @@ class Controller:
 
 CHUNK = 5_000
 """Rows of output that are handed on at once."""
+_KEPT = [T.StructField("last_ms", T.LongType()), T.StructField("now", T.StringType())]
 
 
 def _plain(x):
@@ -363,39 +365,17 @@ def _median(x: list[float]) -> float:
     return x[n // 2] if n % 2 else (x[n // 2 - 1] + x[n // 2]) / 2
 
 
-def _revived(value, kind: T.DataType):
-    """A state as it was: maps come back from Arrow as lists of pairs."""
-    if value is None:
-        return None
-    if isinstance(kind, T.StructType):
-        return {f.name: _revived(value[f.name], f.dataType) for f in kind}
-    if isinstance(kind, T.MapType):
-        return {k: _revived(v, kind.valueType) for k, v in value}
-    return value
-
-
-def _stored(value, kind: T.DataType):
-    """A state as Arrow takes it: a struct's fields alone, maps as pairs."""
-    if value is None:
-        return None
-    if isinstance(kind, T.StructType):
-        return {f.name: _stored(value.get(f.name), f.dataType) for f in kind}
-    if isinstance(kind, T.MapType):
-        return [(k, _stored(v, kind.valueType)) for k, v in value.items()]
-    return value
-
-
-def _kept(machine) -> T.StructType:
-    return T.StructType([T.StructField("last_ms", T.LongType()), T.StructField("state", T.StructType.fromDDL(machine.state))])
+def _stored(state: dict, fields: list[str], last: int | None) -> str:
+    """A state as JSON text: a nested column of states, null in all rows but one a session, costs more in every row than the row's own step."""
+    return json.dumps({"last_ms": last, "state": {k: state[k] for k in fields}})
 
 
 def _through(rows: DataFrame, machine, states: bool) -> DataFrame:
     """Rows (session, was, inputs, order) of every session in order through the machine; ``was``, where it isn't null, is a
-    state to go on from and comes first. With ``states`` also a row for each session with the state (``now``, last ``ms``) that it ends in."""
+    state to go on from and comes first. With ``states`` also a row for each session with the state (``now``, and ``last_ms``) that it ends in."""
     out_type = T.StructType.fromDDL(f"session long, {machine.columns}")
-    state_type = T.StructType.fromDDL(machine.state)
-    kept = _kept(machine)
-    schema = T.StructType([*out_type, T.StructField("now", kept)]) if states else out_type
+    fields = list(machine.begin())
+    schema = T.StructType([*out_type, *_KEPT]) if states else out_type
     arrow = [to_arrow_type(f.dataType) for f in schema]
     inputs, order = machine.inputs, machine.order
 
@@ -404,7 +384,7 @@ def _through(rows: DataFrame, machine, states: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, arrow, strict=True)], schema.names)
 
     def ended(session: int, state: dict, last: int | None) -> tuple:
-        return (session, *[None] * (len(out_type) - 1), {"last_ms": last, "state": _stored(state, state_type)})
+        return (session, *[None] * (len(out_type) - 1), last, _stored(state, fields, last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, last, out = None, None, None, []
@@ -416,11 +396,11 @@ def _through(rows: DataFrame, machine, states: bool) -> DataFrame:
                         out.append(ended(now, state, last))
                     now, state, last = session, machine.begin(), None
                 if was is not None:
-                    last, state = was["last_ms"], _revived(was["state"], state_type)
+                    last, state = (known := json.loads(was))["last_ms"], known["state"]
                     continue
                 last = ms
                 for o in machine.feed(state, ms, *rest):
-                    out.append((session, *o, None) if states else (session, *o))
+                    out.append((session, *o, None, None) if states else (session, *o))
                 if len(out) >= CHUNK:
                     yield batch(out)
                     out = []
@@ -450,16 +430,15 @@ def stream(rows: DataFrame, machine, folder: str, ttl: int | None = None) -> Dat
     """
     spark, path = rows.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
     need = list(dict.fromkeys(["session", *machine.order, *machine.inputs]))
-    kept = _kept(machine)
     out_type = T.StructType.fromDDL(f"session long, {machine.columns}")
 
     def write(batch: DataFrame, number: int) -> None:
-        now = batch.select(*need, F.lit(None).cast(kept).alias("was"), F.lit(1).alias("was_first"))
+        now = batch.select(*need, F.lit(None).cast("string").alias("was"), F.lit(1).alias("was_first"))
         if number:
-            known = spark.read.schema(T.StructType([out_type["session"]]).add("now", kept)).parquet(f"{path}/all/batch={number - 1}/ended=true")
+            known = spark.read.schema(T.StructType([out_type["session"], *_KEPT])).parquet(f"{path}/all/batch={number - 1}/ended=true")
             if ttl is not None:
-                newest = known.agg(F.max("now.last_ms")).head()[0]
-                known = known.filter(F.col("now.last_ms") >= (newest or 0) - ttl)
+                newest = known.agg(F.max("last_ms")).head()[0]
+                known = known.filter(F.col("last_ms") >= (newest or 0) - ttl)
             now = now.unionByName(known.select("session", F.col("now").alias("was"), F.lit(0).alias("was_first")), allowMissingColumns=True)
         out = _through(now, machine, states=True)
         out.withColumn("ended", F.col("now").isNotNull()).write.mode("overwrite").partitionBy("ended").parquet(f"{path}/all/batch={number}")

@@ -197,3 +197,18 @@ def test_rows_in_turn_share_equal_structs_and_lose_no_value():
     assert Z._values(pa.array([[1.0, float("nan")], None])) == [[1.0, None], None] and Z._values(pa.array([True, None])) == [True, None]
     assert Z._values(pa.array([3, 4])) == [3, 4] and Z._values(pa.array([3, None])) == [3, None]
     assert [Z._median(x) for x in ([3.0], [3.0, 1.0], [3.0, 1.0, 2.0])] == [3.0, 2.0, 2.0]
+
+
+def test_no_row_of_a_stream_carries_a_nested_state(spark):
+    from tessera.streaming import sessions as Z
+
+    rows = spark.createDataFrame([(1, i, i % 9, 10 * i, None, 0) for i in range(6)], "session long, ms long, target long, v int, was string, was_first int").selectExpr("*", "v > 20 applied")
+    out = Z._through(rows, Z.Memory(), states=True)
+    assert not [f.name for f in out.schema if f.dataType.typeName() in ("struct", "map", "array")]
+    (end,) = out.filter("now is not null").select("last_ms", "now").collect()
+    more = rows.select("session", (rows.ms + 6).alias("ms"), "target", "applied", "was", F.lit(1).alias("was_first"))
+    known = spark.createDataFrame([(1, end.now, 0)], "session long, was string, was_first int")
+    whole = Z._through(rows.unionByName(more.withColumn("v", F.lit(0))), Z.Memory(), states=True)
+    onward = Z._through(more.unionByName(known, allowMissingColumns=True), Z.Memory(), states=True)
+    seen = lambda df, least: sorted(map(tuple, df.filter(f"at >= {least} or now is not null").collect()), key=str)
+    assert end.last_ms == 5 and seen(onward, 6) == seen(whole, 6)
