@@ -37,7 +37,6 @@ class Windows:
 
     inputs = ["ms", "condition", "value"]
     columns = "kind string, cycle long, start long, stop long, condition string, n long, mean double, silent boolean, dwell long, visits long, command long, expires long"
-    state = "condition string, origin long, index long, last long, n long, valued long, total double, seen long, dwell long, command long, history array<string>"
 
     def __init__(self, cycle: int = CYCLE_MS, timeout: int = TIMEOUT_MS, order: tuple[str, ...] = ("ms", "condition", "value")):
         self.cycle, self.timeout, self.order = cycle, timeout, list(order)
@@ -79,7 +78,6 @@ class Sessions:
     inputs = ["ms", "name", "stop"]
     order = ["ms", "name"]
     columns = "kind string, at long, name string, active string"
-    state = "active string"
 
     def begin(self) -> dict:
         return {"active": None}
@@ -106,7 +104,6 @@ class Coverage:
     inputs = ["ms", "coverage", "worn"]
     order = ["ms"]
     columns = "at long, state string, action string, reason string, n_active long, low_windows long"
-    state = "low long, locked boolean"
 
     def __init__(self, least: float = 0.5, active: int = 2, limit: int = LOW_LIMIT):
         self.least, self.active, self.limit = least, active, limit
@@ -143,7 +140,6 @@ class Memory:
     inputs = ["ms", "target", "applied"]
     order = ["ms"]
     columns = "at long, condition long, dwell long, visits long, cooling string"
-    state = "now long, dwell long, history array<long>, cool map<string,long>"
 
     def __init__(self, cooldown: int = COOLDOWN, high: tuple[int, ...] = HIGH_LOAD, first: int = 5):
         self.cooldown, self.high, self.first = cooldown, high, first
@@ -178,11 +174,6 @@ class Controller:
     inputs = ["ms", "condition", "relaxation", "discomfort", "valid", "rating", "own"]
     order = ["ms"]
     columns = "step long, at long, before long, after long, action string, reason string, state string, relaxation double, discomfort double, dwell long, revealed long, signal_valid boolean, gap_reset boolean, c9_locked boolean"
-    rated = "struct<discomfort:double,relaxation:double,pleasantness:double,monotony:double,fits:boolean,direction:string>"
-    state = (
-        "at long, state string, relaxation array<double>, discomfort array<double>, seen long, invalid long, dwell long, step long, last_ms long, axis string, came long, visits map<string,long>, when map<string,long>, "
-        f"ratings map<string,{rated}>, risky array<long>, safe array<long>, intensity_safe boolean, frequency_safe boolean, latest {rated}, actual long, pending {rated}, own struct<baseline:double,eps_relaxation:double,eps_discomfort:double>"
-    )
 
     def __init__(self, gap: int = CYCLE_MS, baseline: float = 0.5, eps_relaxation: float = 0.05, eps_discomfort: float = 0.05, high: float = 0.5, monotony: float = 0.6, least: int = 3, longest: int = 6, fallback: int = 5):
         self.gap, self.baseline, self.eps_relaxation, self.eps_discomfort = gap, baseline, eps_relaxation, eps_discomfort
