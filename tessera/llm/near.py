@@ -1,6 +1,9 @@
-"""Near-duplicates by word shingles: MinHash bands propose pairs, the exact Jaccard similarity decides.
+"""Near-duplicates by word shingles: ball hashing of SimHash fingerprints, then MinHash bands for the rest, propose pairs;
+the exact Jaccard similarity decides.
 
-Texts whose sets of shingles have a Jaccard similarity of at least ``SIMILARITY`` are linked. A band is the hash of
+Texts whose sets of shingles have a Jaccard similarity of at least ``SIMILARITY`` are linked. First come the links of
+``simhash.links``, of fingerprints of these shingles that differ in at most 4 bits. A similarity of 0.8 lets about 10 bits
+differ, so bands take up what is outside the balls, among texts that those have not joined. A band is the hash of
 ``ROWS`` minima, so a pair of similarity s shares at least one with probability 1 - (1 - s**ROWS)**BANDS: 0.99998 at 0.8.
 Each member of a bucket is held against the bucket's first member, and then, where that left the two apart, against two
 members that each bucket picks by another order. That links copies and their edits at a cost that follows the
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import simhash
 from tessera.llm.shared import components, cut, discard, free_shuffles, join_sparse, keyed, small_batches
 
 SHINGLE = 5
@@ -31,19 +35,16 @@ _RND = np.random.default_rng(11)
 _FACTOR = _RND.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _SHIFT = _RND.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _BAND = [b.to_bytes(1, "little") for b in range(BANDS)]
+_EMPTY = np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct XXH64 values of the word shingles; a text of fewer words is one shingle, none included.
+    """Sorted distinct ``simhash.hashes`` of a text; one without words has the empty shingle."""
+    return _distinct(simhash.hashes(text, shingle))
 
-    Words are runs without ASCII white space, A-Z lower-cased.
-    """
-    words = (text or "").encode().lower().split()
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=False)] or [digest(line, 42)], np.uint64))
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    return np.unique(h) if len(h) else _EMPTY
 
 
 def bands(values: np.ndarray) -> list[int]:
@@ -56,17 +57,19 @@ def bands(values: np.ndarray) -> list[int]:
 
 
 def _prints(rows: DataFrame, shingle: int) -> DataFrame:
-    """(key, set_id, n, buckets) of rows (key, text); n is the number of shingles."""
+    """(key, set_id, n, fp, buckets) of rows (key, text); n is the number of shingles, fp the fingerprint of ``simhash``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), shingle) for t in b.column(1)]
+            all_ = [simhash.hashes(t.as_py(), shingle) for t in b.column(1)]
+            sets = [_distinct(h) for h in all_]
+            fp = np.fromiter((simhash.majority(h) for h in all_), np.uint64, len(all_)).view(np.int64)
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), n, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "set_id", "n", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), n, pa.array(fp), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "set_id", "n", "fp", "buckets"])
 
     small_batches(rows.sparkSession)
-    return rows.select("key", "text").mapInArrow(run, "key long, set_id long, n long, buckets array<long>")
+    return rows.select("key", "text").mapInArrow(run, "key long, set_id long, n long, fp long, buckets array<long>")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -179,8 +182,21 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
+def in_balls(reps: DataFrame) -> DataFrame:
+    """Pairs (u, v) of keys of ``reps`` (key, fp) that ball hashing proposes: each link of fingerprints as one of the first keys
+    that have them, and every other key with its fingerprint's first."""
+    firsts = cut(reps.groupBy("fp").agg(F.min("key").alias("first")))
+    linked = cut(simhash.links(firsts.select("fp")))
+    of = lambda fp, key: firsts.select(F.col("fp").alias(fp), F.col("first").alias(key))
+    far = linked.join(of("u", "a"), "u").join(of("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    equal = reps.join(firsts, "fp").filter("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
+    out = cut(far.union(equal).distinct())
+    discard(firsts, linked)
+    return out
+
+
 def classes(reps: DataFrame, rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(node, component) for the rows ``reps`` (key, n, buckets), one of each set of shingles, that aren't the first of their
+    """(node, component) for the rows ``reps`` (key, n, fp, buckets), one of each set of shingles, that aren't the first of their
     component; ``rows`` (key, text) has their texts.
 
     Buckets take a group-by with map-side combine and a join that adaptive execution can split, so a large
@@ -195,15 +211,16 @@ def classes(reps: DataFrame, rows: DataFrame, shingle: int = SHINGLE) -> DataFra
     def paired(v: str) -> DataFrame:
         return met.filter(F.col("key") != F.col(v)).select(F.greatest("key", v).alias("u"), F.least("key", v).alias("v"))
 
-    edges = _similar(cut(paired("first").distinct()), rows, shingle)
-    named = components(edges)
-    rest = paired("low").union(paired("high")).distinct()
-    rest = rest.join(named.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(named.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-    rest = cut(rest.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu <> cv"))
-    more = _similar(rest.select("u", "v"), rows, shingle).join(rest, ["u", "v"])
-    named = cut(_onward(named, components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v")))))
+    balls = in_balls(reps)
+    named = components(_similar(balls, rows, shingle))
+    for picks in (paired("first"), paired("low").union(paired("high"))):
+        rest = picks.distinct().join(named.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(named.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+        rest = cut(rest.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu <> cv"))
+        more = _similar(rest.select("u", "v"), rows, shingle).join(rest, ["u", "v"])
+        named = cut(_onward(named, components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v")))))
+        discard(rest)
     out = _onward(named, components(_still_apart(met, named, rows, shingle)))
-    discard(picked, met, rest)
+    discard(picked, met, balls)
     return out
 
 
@@ -224,7 +241,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows = all_rows.select(F.col(name).alias("key"), "text")
     prints = cut(_prints(rows, shingle))
     firsts = prints.groupBy("set_id").agg(F.min("key").alias("key"))
-    reps = cut(prints.join(firsts.select("key"), "key", "left_semi").select("key", "n", "buckets"))
+    reps = cut(prints.join(firsts.select("key"), "key", "left_semi").select("key", "n", "fp", "buckets"))
     later = classes(reps, rows, shingle).select(F.col("node").alias("key"))
     kept = reps.select("key").join(later, "key", "left_anti")
     dropped = cut(prints.select(F.col("key").alias(name)).join(kept.withColumnRenamed("key", name), name, "left_anti"))

@@ -31,24 +31,34 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _BYTE = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a text; 0 where there is no word.
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 values of the word shingles of a text, repeats included; none where there is no word.
 
-    Words are runs without ASCII white space, A-Z lower-cased; repeated shingles count each time and a
-    text of fewer words is one shingle. A bit is set if it is set in over half the XXH64 values.
+    Words are runs without ASCII white space, A-Z lower-cased; a text of fewer words is one shingle.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.array([], np.uint64)
     line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
     ends = ends.tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [digest(line, 42)]
-    h = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    counts = np.bincount((h + _BYTE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int.from_bytes(np.packbits((counts.ravel() * 2 > len(hashes)), bitorder="little").tobytes(), "little")
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [digest(line, 42)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of hash values: a bit is set if it is set in over half of them; 0 where there are none."""
+    if not len(h):
+        return 0
+    octets = h.astype("<u8").view(np.uint8).reshape(-1, 8)
+    counts = np.bincount((octets + _BYTE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
+    return int.from_bytes(np.packbits((counts.ravel() * 2 > len(h)), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a text, repeated shingles counted each time; 0 where there is no word."""
+    return majority(hashes(text, shingle))
 
 
 def with_fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -99,6 +99,26 @@ def test_families_of_one_template(spark, monkeypatch, shape):
     assert sorted(r.doc_id for r in near.keep_one(df).collect()) == want
 
 
+def test_ball_hashing_links_without_bands(spark, monkeypatch):
+    """Of pairs of one or two edits, those within 4 bits; the rest, and they alone, need the bands."""
+    from tessera.llm import simhash
+
+    rnd, rows, want = random.Random(12), [], []
+    for k in range(60):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for at in rnd.sample(range(300), 1 + k % 2):
+            other[at] = f"x{at}"
+        pair = [" ".join(words), " ".join(other)]
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+        far = (simhash.fingerprint(pair[0], 5) ^ simhash.fingerprint(pair[1], 5)).bit_count() > 4
+        want += [2 * k, 2 * k + 1] if far else [2 * k]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in near.keep_one(df).collect()) == list(range(0, 120, 2))
+    monkeypatch.setattr(near, "bands", lambda values: [])
+    assert sorted(r.doc_id for r in near.keep_one(df).collect()) == want and 70 < len(want) < 110
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "q r s t u v w")], "doc_id long, text string")
     assert near.keep_one(df).count() == 2 and near.keep_one(df.limit(0)).count() == 0
