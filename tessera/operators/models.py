@@ -296,7 +296,7 @@ def residual_regressor(df: DataFrame, fold: str, condition: str, target: str, ki
         "boosted": lambda: GBTRegressor(labelCol="_residual", predictionCol="_p", maxIter=10, maxDepth=3, seed=7),
         "elastic_net": lambda: LinearRegression(labelCol="_residual", predictionCol="_p", regParam=0.01, elasticNetParam=0.5),
     }[kind]
-    anchors = residual_anchors(df, fold, condition, target)
+    anchors = residual_anchors(df, fold, condition, target).persist()  # few rows; else each pass of each fit sums all rows again
 
     def fit(train: DataFrame, held: object):
         own = F.broadcast(anchors.filter(F.col(fold) == held).select(condition, "anchor"))

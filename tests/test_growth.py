@@ -168,6 +168,14 @@ def test_rows_held_against_many_folds_are_few(monkeypatch):
     assert max(t.size for t, _, _ in parts) <= 1000 and np.concatenate([a[:, 1] for _, _, a in parts]).tolist() == list(range(50))
 
 
+def test_anchors_of_folds_are_summed_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 3, i % 4, float(a), float(b)) for i, (a, b) in enumerate(rng.random((120, 2)))]
+    df = L.assemble(spark.createDataFrame(rows, "fold int, c int, a double, y double"), ["a"])
+    out = L.residual_regressor(df, "fold", "c", "y", "elastic_net")
+    assert plan(out).count("InMemoryTableScan") == 3 and out.count() == 120
+
+
 def test_silences_of_many_sources_take_no_python(spark, sf_dir, tmp_path, monkeypatch):
     """Over several batches as ``silences`` reports them, with a source whose rows come in the last batch though they are the oldest."""
     from tessera.streaming import sessions as Z
