@@ -192,6 +192,7 @@ def in_balls(reps: DataFrame) -> DataFrame:
     equal = reps.join(firsts, "fp").filter("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
     out = cut(far.union(equal).distinct())
     discard(firsts, linked)
+    free_shuffles(reps.sparkSession)
     return out
 
 
