@@ -168,7 +168,7 @@ def _(t: Tables) -> DataFrame:
 @query("deployment_gate", f"WITH {X}, m AS (SELECT g, avg(abs(p - t)) AS mae, avg(abs(0.05 - t)) AS condition_only_mae, avg(abs(0.02 - t)) AS history_mae, corr(t, p) AS spearman FROM x GROUP BY 1) SELECT g, mae < condition_only_mae AND mae < history_mae AND spearman > 0 AS deployable, concat_ws(',', CASE WHEN NOT mae < condition_only_mae THEN 'not_better_than_condition_only' END, CASE WHEN NOT mae < history_mae THEN 'not_better_than_history' END, CASE WHEN NOT spearman > 0 THEN 'rank_correlation_not_positive' END) AS reasons FROM m")
 def _(t: Tables) -> DataFrame:
     e = lambda p: F.avg(F.abs(p - F.col("t")))
-    m = x(t).groupBy("g").agg(e(F.col("p")).alias("mae"), e(F.lit(0.05)).alias("condition_only_mae"), e(F.lit(0.02)).alias("history_mae"), F.corr("t", "p").alias("spearman"), F.lit(None).cast("double").alias("risk_recall"))
+    m = x(t).groupBy("g").agg(e(F.col("p")).alias("mae"), e(F.lit(0.05)).alias("condition_only_mae"), e(F.lit(0.02)).alias("history_mae"), M.correlation(F.col("t"), F.col("p")).alias("spearman"), F.lit(None).cast("double").alias("risk_recall"))
     return M.deployment_gate(m).select("g", "deployable", F.array_join("reasons", ",").alias("reasons"))
 
 
