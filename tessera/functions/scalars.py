@@ -47,6 +47,17 @@ def coerce_boolean(c: Column) -> Column:
     return F.when(t.isin(*TRUE_WORDS), True).when(t.isin(*FALSE_WORDS), False)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as SQL's floating-point numbers have it: infinite, or not a number, where b is zero."""
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    return F.when(b != 0, a / b).when(b == 0, F.when((a == 0) | F.isnan(a), nan).when(a > 0, inf).when(a < 0, -inf))
+
+
+def logarithm(c: Column) -> Column:
+    """Natural logarithm of a double: minus infinity of zero, not a number below."""
+    return F.when(c > 0, F.ln(c)).when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(float("nan")))
+
+
 def grid_intensity_index(number: Column) -> Column:
     return F.floor((number - 1) / 3).cast("int")
 

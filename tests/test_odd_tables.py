@@ -1,6 +1,7 @@
 """Queries against their SQL over small tables that hold what the given ones don't."""
 
 import duckdb
+import pytest
 from test_oracles import rows
 
 from tessera.plans import ORACLES, QUERIES
@@ -27,3 +28,16 @@ def test_gate_of_groups_without_a_correlation(spark, tmp_path):
     made = [(g, 1, i, d, x, 1.0) for i, (g, d, x) in enumerate(odd)]
     want = same(spark, tmp_path, "deployment_gate", "lineitem", "l_suppkey long, l_linenumber int, l_orderkey long, l_discount double, l_tax double, l_quantity double", made)
     assert {r[0] for r in want} == {True, False, None}
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_phase_deltas_from_and_to_zero(spark, tmp_path, ansi):
+    pairs = [(0.0, 5.0), (5.0, 0.0), (0.0, 0.0), (2.0, 3.0), (0.0, -5.0), (-5.0, 2.0), (-2.0, -4.0), (1e-13, 2.0), (1.0, 1e-13), (4.0, 4.0), (None, 1.0), (NAN, 1.0)]
+    made = [(8 * i + 4 * j + i % 4, i // 4, kind, v) for i, p in enumerate(pairs) for j, (kind, v) in enumerate(zip(("view", "click"), p, strict=True))]
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        want = same(spark, tmp_path, "phase_delta", "events", "event_id long, user_id long, event_type string, value double", made)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert {INF, -INF} <= {v for r in want for v in r if isinstance(v, float)}
