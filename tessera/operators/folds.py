@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +18,26 @@ ROWS = 2048
 HELD = 16_777_216
 """Numbers that such a matrix of rows x folds has, at most."""
 
+FEW = 32
+"""Folds up to which all rows are held against each."""
 
-def summed(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+PRODUCTS = 2048
+"""Products of four features that a series about the common weights has, at most."""
+
+NEAR = 1e-9
+"""How far weights of standardised features may be from where Newton's steps end."""
+
+
+def summed(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The sum over all tasks of a matrix that each makes of its rows; the matrix alone comes to the driver.
 
-    A task gives the matrix row by row, and what tasks gave of one row is added up one at a time.
+    A task gives the matrix row by row, or (places, rows) of the rows that it has, and what tasks gave of one row is added up one at a time.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = np.atleast_2d(partial(batches))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(m))), pa.array(list(m), pa.list_(pa.float64()))], ["i", "row"])
+        made = partial(batches)
+        places, m = made if isinstance(made, tuple) else (np.arange(len(np.atleast_2d(made))), np.atleast_2d(made))
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(list(m), pa.list_(pa.float64()))], ["i", "row"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -86,9 +98,9 @@ def held_out_logistic(df: DataFrame, keys: list[str], label: str, features: list
 
     One key is leave-one-out by it; two are a crossed hold-out, where a row of the fold (a, b) is scored by rows that have
     neither a nor b. A fold's classes weigh the same, and its penalty is ``reg`` / 2 times the squared weights of features that are
-    standardised by its training rows; the intercept is free. Each Newton step of all folds is one pass in which a task sums the
-    gradients and Gram matrices of every fold, from products of matrices. Folds are the keys' combinations that occur; what
-    the driver holds of each is its weights. A fold without both classes among its training rows has no probability, nor has a row
+    standardised by its training rows; the intercept is free. Few folds, or crossed ones, take one pass a Newton step in which a task sums the
+    gradients and Gram matrices of every fold, from products of matrices; many folds of one key take passes whose work follows the rows
+    alone (``_fit_many``). Folds are the keys' combinations that occur; what the driver holds of each is its weights and sums. A fold without both classes among its training rows has no probability, nor has a row
     with a null label, key or feature.
     """
     p = len(features) if isinstance(features, list) else None
@@ -101,29 +113,186 @@ def held_out_logistic(df: DataFrame, keys: list[str], label: str, features: list
         coded = coded.join(F.broadcast(table), k, "left")
     coded = coded.withColumn("_codes", F.array(*[F.col(f"_c_{k}") for k in keys])).drop(*[f"_c_{k}" for k in keys])
     whole = F.col("_y").isNotNull() & ~F.exists("_codes", lambda c: c.isNull()) & F.col("_x").isNotNull() & ~F.exists("_x", lambda v: v.isNull() | F.isnan(v))
-    rows = coded.filter(whole).select("_codes", "_y", "_x")
-    folds = np.array(sorted(tuple(r[0]) for r in rows.select("_codes").distinct().collect()), np.int32).reshape(-1, len(keys))
+    coded = coded.withColumn("_whole", F.coalesce(whole, F.lit(False)))
+    rows = coded.filter("_whole").select("_codes", "_y", "_x")
     if p is None:
         first = rows.select(F.size("_x")).head()
         p = first[0] if first else 0
-    weights = _fit(rows, folds, p, reg, rounds) if len(folds) else np.zeros((0, p + 1))
-    number = {tuple(f): i for i, f in enumerate(folds.tolist())}
+    if len(keys) == 1:
+        folds, weights = _fit_many(rows, p, reg, rounds)
+    else:
+        folds = np.array(sorted(tuple(r[0]) for r in rows.select("_codes").distinct().collect()), np.int32).reshape(-1, len(keys))
+        weights = _fit(rows, folds, p, reg, rounds) if len(folds) else np.zeros((0, p + 1))
+    strides = np.cumprod([1, *(len(levels[k]) for k in keys[:0:-1])])[::-1]
+    number = folds.astype(np.int64) @ strides  # ascending, as the folds are in order
     schema = T.StructType([*df.schema, T.StructField(name, T.DoubleType())])
-    at = [coded.columns.index(c) for c in ("_codes", "_x", "_y")]
+    at = [coded.columns.index(c) for c in ("_whole", "_codes", "_x")]
     kept = [coded.columns.index(c) for c in df.columns]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[float | None] = []
-            for codes, x, y in zip(*(b.column(i).to_pylist() for i in at), strict=True):
-                i = number.get(tuple(codes))
-                ok = i is not None and y is not None and x is not None and all(v is not None and v == v for v in x) and not np.isnan(weights[i, 0])
-                out.append(float(1 / (1 + np.exp(-(weights[i, 0] + np.dot(weights[i, 1:], x))))) if ok else None)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(out, pa.float64())], schema.names)
+            ok = np.array(b.column(at[0]).to_numpy(zero_copy_only=False), bool)
+            out = np.full(b.num_rows, np.nan)
+            if ok.any():
+                codes, x = (b.column(i).filter(pa.array(ok)).flatten().to_numpy().reshape(ok.sum(), -1) for i in at[1:])
+                w = weights[np.searchsorted(number, codes.astype(np.int64) @ strides)]
+                with np.errstate(over="ignore"):
+                    out[ok] = 1 / (1 + np.exp(-(w[:, 0] + (w[:, 1:] * x).sum(axis=1))))
+                ok[ok] = ~np.isnan(w[:, 0])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(out, pa.float64(), mask=~ok)], schema.names)
 
     return coded.mapInArrow(score, schema)
 
 
+def _spread(s: np.ndarray, p: int) -> np.ndarray:
+    """Variances of features, from columns of their number, of the positives, sums and sums of squares."""
+    n = np.maximum(s[:, :1], 1)
+    return np.maximum(s[:, 2 + p : 2 + 2 * p] / n - (s[:, 2 : 2 + p] / n) ** 2, 1e-24)
+
+
+def _fit_many(rows: DataFrame, p: int, reg: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes [fold, 1], weights [fold, 1 + feature]) of one key's folds; not a number where a fold lacks a class.
+
+    Weights that a series doesn't give within ``NEAR`` are fitted with all rows held against each such fold.
+    """
+    x = [F.get("_x", F.lit(i)) for i in range(p)]
+    per = rows.groupBy(F.get("_codes", F.lit(0)).alias("c")).agg(F.count("*"), F.sum("_y"), *[F.sum(v) for v in x], *[F.sum(v * v) for v in x])
+    per = np.array(sorted(tuple(map(float, r)) for r in per.collect())).reshape(-1, 3 + 2 * p)
+    folds, own = per[:, :1].astype(np.int32), per[:, 1:]
+    total = own.sum(axis=0)
+    s = total - own
+    real = (s[:, 1] > 0) & (s[:, 1] < s[:, 0])
+    w, found = np.full((len(folds), p + 1), np.nan), np.zeros(len(folds), bool)
+    if len(folds) > FEW and real.any() and np.isfinite(own).all() and math.comb(p + 4, 4) <= PRODUCTS:
+        w, found = _series(rows, folds[:, 0], total, s, real, p, reg, rounds)
+    rest = real & ~found
+    w[~found] = np.nan
+    if rest.any():
+        w[rest] = _fit(rows, folds[rest], p, reg, rounds)
+    return folds, w
+
+
+def _series(rows: DataFrame, folds: np.ndarray, total: np.ndarray, s: np.ndarray, real: np.ndarray, p: int, reg: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights [fold, 1 + feature], found [fold]) by passes that hold each row against one fold, its own.
+
+    A fold's sums over its training rows are those of all rows less those of its own. The first are a Taylor series about the weights that
+    fit all rows: sums of products of up to four features with the logistic function's derivatives, of each class, which serve all folds. A
+    fold is found if what the series leaves out, which the fourth derivative bounds, moves no weight of a standardised feature by more than ``NEAR``.
+    """
+    size = p + 1
+    mean, sd = total[2 : 2 + p] / total[0], np.sqrt(_spread(total[None], p)[0])
+    sd[sd <= 1e-9 * np.abs(mean)] = np.inf  # a constant adds nothing to the intercept
+    dead = np.diag(np.concatenate(([0.0], np.isinf(sd))))
+    i2, j2 = np.triu_indices(size)
+    pair = {(i, j): k for k, (i, j) in enumerate(zip(i2.tolist(), j2.tolist(), strict=True))}
+    four = list(combinations_with_replacement(range(size), 4))
+    left, right = [pair[c[:2]] for c in four], [pair[c[2:]] for c in four]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(code, label, a) of rows; a is 1 and the standardised features."""
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                c = b.slice(i, ROWS)
+                x = c.column(2).flatten().to_numpy().reshape(c.num_rows, -1)
+                yield c.column(0).flatten().to_numpy(), c.column(1).to_numpy().astype(float), np.concatenate((np.ones((len(x), 1)), (x - mean) / sd), axis=1)
+
+    def logistic(eta: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
+
+    def slopes(y: np.ndarray, a: np.ndarray, q: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Gradient and upper triangle of the Gram matrix that each row adds."""
+        return np.concatenate(((weight * (y - q))[:, None] * a, (weight * q * (1 - q))[:, None] * (a[:, i2] * a[:, j2])), axis=1)
+
+    def square(upper: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(upper), size, size))
+        out[:, i2, j2] = out[:, j2, i2] = upper
+        return out
+
+    def penalty(s: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.zeros((len(s), 1)), reg * _spread(s, p) / sd**2), axis=1)
+
+    def shares(s: np.ndarray) -> np.ndarray:
+        """A row's weight by fold, of either class."""
+        return np.stack((0.5 / np.maximum(s[:, 0] - s[:, 1], 1), 0.5 / np.maximum(s[:, 1], 1)))
+
+    share, fine, centre = shares(total[None])[:, 0], penalty(total[None])[0], np.zeros(size)
+    for _ in range(rounds):
+
+        def common(batches: Iterator[pa.RecordBatch], now: np.ndarray = centre) -> np.ndarray:
+            out = np.zeros(size + len(i2))
+            for _, y, a in read(batches):
+                out += slopes(y, a, logistic(a @ now), share[y.astype(int)]).sum(axis=0)
+            return out
+
+        g = summed(rows, common)
+        move = np.linalg.solve(square(g[:, size:])[0] + np.diag(fine) + dead + 1e-12 * np.eye(size), g[0, :size] - fine * centre)
+        centre = centre + move
+        if np.abs(move).max() < 1e-4:  # any place near it will do for the series
+            break
+
+    def derivatives(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((10, len(four) + 1))
+        for _, y, a in read(batches):
+            q = logistic(a @ centre)
+            q1 = q * (1 - q)
+            d = np.stack((q, q1, q1 * (1 - 2 * q), q1 * (1 - 6 * q1), np.ones_like(q)))
+            products = a[:, i2] * a[:, j2]
+            out += np.concatenate((d * (y < 0.5), d * (y >= 0.5))) @ np.concatenate((products[:, left] * products[:, right], ((a * a).sum(axis=1) ** 2.5)[:, None]), axis=1)
+        return out
+
+    t = summed(rows, derivatives)
+    place = {c: k for k, c in enumerate(four)}
+    at = np.array([place[tuple(sorted(c))] for c in np.ndindex(*[size] * 4)]).reshape([size] * 4)
+    t1, t2, t3, t4 = ([t[5 * c + k][at[(..., *[0] * (3 - k))]] for c in (0, 1)] for k in range(4))
+    label, fifth = t[9][at[:, 0, 0, 0]], t[[4, 9], -1]
+
+    def of_all(d: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients and Gram matrices of all rows, weighted as in each fold, at the centre plus d."""
+        gradient, hessian = share[1][:, None] * label, np.zeros((len(d), size, size))
+        for c in (0, 1):
+            a3 = np.tensordot(d, t3[c], 1)
+            b4 = np.einsum("fa,fabc->fbc", d, np.tensordot(d, t4[c], 1))
+            gradient = gradient - share[c][:, None] * (t1[c] + np.einsum("fbc,fc->fb", t2[c] + a3 / 2 + b4 / 6, d))
+            hessian += share[c][:, None, None] * (t2[c] + a3 + b4 / 2)
+        return gradient, hessian
+
+    share, fine, d = shares(s), penalty(s), np.zeros((len(folds), size))
+    near, step = real.copy(), max(1, HELD // size**3)
+    for _ in range(rounds):
+
+        def own(batches: Iterator[pa.RecordBatch], now: np.ndarray = centre + d) -> tuple[np.ndarray, np.ndarray]:
+            held = np.zeros((len(folds), size + len(i2)))
+            for code, y, a in read(batches):
+                i, at = np.unique(np.searchsorted(folds, code), return_inverse=True)
+                v = slopes(y, a, logistic((a * now[i[at]]).sum(axis=1)), share[y.astype(int), i[at]])
+                held[i] += np.stack([np.bincount(at, c, len(i)) for c in v.T], axis=1)
+            seen = np.flatnonzero(held.any(axis=1))
+            return seen, held[seen]
+
+        g = summed(rows, own)
+        moved = np.zeros(len(folds))
+        for i in range(0, len(folds), step):
+            j = slice(i, i + step)
+            gradient, hessian = of_all(d[j], share[:, j])
+            gradient = gradient - g[j, :size] - fine[j] * (centre + d[j])
+            hessian = hessian - square(g[j, size:]) + fine[j][:, :, None] * np.eye(size) + dead + 1e-12 * np.eye(size)
+            least = np.linalg.eigvalsh(np.where(np.isfinite(hessian).all(axis=(1, 2))[:, None, None], hessian, -np.eye(size)))[:, 0]
+            good = near[j] & (least > 0)
+            move = np.zeros_like(gradient)
+            move[good] = np.linalg.solve(hessian[good], gradient[good][:, :, None])[:, :, 0]
+            d[j] += move
+            moved[j] = np.abs(move).max(axis=1)
+            left_out = 0.25 / 24 * (d[j] ** 2).sum(axis=1) ** 2 * (share[:, j].T @ fifth)
+            near[j] = good & (left_out <= NEAR * least)
+        if not np.any(moved[near] > NEAR):
+            break
+    else:
+        near &= moved <= NEAR
+    w = (centre + d) / np.concatenate(([1.0], sd))
+    w[:, 0] -= w[:, 1:] @ mean
+    return w, near
+
+
 def _fit(rows: DataFrame, folds: np.ndarray, p: int, reg: float, rounds: int) -> np.ndarray:
     """Weights [fold, 1 + feature] in the features' own units; not a number where a fold lacks a class."""
     held = _Rows(folds, p)
@@ -137,7 +306,7 @@ def _fit(rows: DataFrame, folds: np.ndarray, p: int, reg: float, rounds: int) ->
     s = summed(rows, sizes)
     n, positive = s[:, 0], s[:, 1]
     real = (positive > 0) & (positive < n)
-    spread = np.maximum(s[:, 2 + p :] / np.maximum(n, 1)[:, None] - (s[:, 2 : 2 + p] / np.maximum(n, 1)[:, None]) ** 2, 1e-24)
+    spread = _spread(s, p)
     penalty = np.concatenate((np.zeros((len(folds), 1)), reg * spread), axis=1)
     share = np.stack((0.5 / np.maximum(n - positive, 1), 0.5 / np.maximum(positive, 1)))  # a row's weight by fold, of either class
     w = np.zeros((len(folds), p + 1))

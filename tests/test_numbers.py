@@ -187,6 +187,26 @@ def test_logistic_of_a_thousand_groups_and_of_one_class(spark):
     assert L.risk_logistic(df.limit(0), "g", "y", [F.col("x")]).count() == 0
 
 
+def test_logistic_of_many_groups_holds_rows_against_their_own_alone(spark, monkeypatch):
+    """But for a group that is a third of the rows and the few whose weights lie far from all rows'; one group is of one class, one feature is constant."""
+    from tessera.operators import folds as H
+
+    rng = np.random.default_rng(5)
+    g = np.where(rng.random(40_000) < 0.3, 7, rng.integers(0, 300, 40_000))
+    x = np.column_stack((rng.normal(size=40_000), 5000 + 700 * rng.exponential(size=40_000), np.full(40_000, 0.1)))
+    y = (x[:, 0] - x[:, 1] / 700 + rng.normal(size=40_000) > -8) & (g != 3)
+    df = spark.createDataFrame([(int(a), *map(float, b), float(c), i) for i, (a, b, c) in enumerate(zip(g, x, y, strict=True))], "g int, a double, b double, c double, y double, i int").repartition(5)
+    held, fit = [], H._fit
+    monkeypatch.setattr(H, "_fit", lambda rows, folds, *rest: held.append(len(folds)) or fit(rows, folds, *rest))
+    got = {r.i: r.probability for r in L.risk_logistic(df, "g", "y", [F.col("a"), F.col("b"), F.col("c")]).collect()}
+    assert len(held) == 1 and 1 <= held[0] < 30 and len(got) == len(x)
+    for k in (0, 3, 7, 299):
+        t = g != k
+        w = newton(x[t, :2], y[t].astype(float), 0.01)
+        want = 1 / (1 + np.exp(-(w[0] + x[~t, :2] @ w[1:])))
+        assert np.allclose([got[i] for i in np.flatnonzero(~t)], want, rtol=0, atol=1e-9)
+
+
 def residual_frame(spark, n=500):
     """A condition's level plus what two features add, within 0 and 1."""
     rng = np.random.default_rng(8)
