@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.operators.folds import held_out_logistic, moments
-from tessera.operators.ranges import quantiles
+from tessera.operators.ranges import quantiles, running
 
 
 def condition_anchor(df: DataFrame, folds: DataFrame, member: str, condition: str, value: str) -> DataFrame:
@@ -286,23 +286,101 @@ def residual_anchors(df: DataFrame, fold: str, condition: str, target: str) -> D
     return both.select(fold, condition, F.coalesce(s / F.nullif(n, F.lit(0)), (F.col("ts") - F.col("fs")) / F.nullif(F.col("tn") - F.col("fn"), F.lit(0))).alias("anchor"))
 
 
+BINS = 32
+"""Classes of a feature that boosted trees tell apart, about; Spark ML's own number."""
+
+CELLS = 100_000
+"""Cells of such classes that one task of a fit has."""
+
+
+def training_cuts(df: DataFrame, fold: str, features: str) -> dict[object, list[list[float]]]:
+    """Bounds of the classes of each feature, by fold, from its training rows, those of all other folds.
+
+    They are those of Spark ML for up to 10 000 rows, of which it draws as many where there are more: halfway between neighbouring values, where
+    the rows below come nearest to each ``BINS``-th part of all, or between all values where these are no more than ``BINS``. Parts that one
+    value passes at once are caught up with at the values after it. Here all rows are counted, in ranges of values, so the bounds don't
+    depend on partitions.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    first, sizes = df.select(features).head(), {r[0]: r[1] for r in df.groupBy(fold).count().limit(FOLDS + 1).collect()}
+    rest = {f: sum(sizes.values()) - n for f, n in sizes.items()}
+    out: dict[object, list[list[float]]] = {f: [] for f in rest}
+    for j in range(first[0].size if first else 0):
+        x = F.get(vector_to_array(features), F.lit(j)).alias("_x")
+        values = df.groupBy(x).agg(*[F.count_if(F.col(fold) != f).cast("double").alias(f"_n{i}") for i, f in enumerate(rest)])
+        different = values.agg(*[F.count_if(F.col(f"_n{i}") > 0) for i in range(len(rest))]).head()
+        there = {i: F.col(f"_n{i}") > 0 for i in range(len(rest))}
+        values = values.withColumns({f"_v{i}": F.when(c, F.struct("_x", f"_n{i}")) for i, c in there.items()} | {f"_h{i}": c.cast("long") for i, c in there.items()})
+        ran = running(values, "_x", {f"_{kind}_{c}{i}": (kind, f"_{c}{i}") for i in there for kind, c in (("sum", "n"), ("sum", "h"), ("max", "v"))}, own=False)
+        steps = []
+        for i, n in enumerate(rest.values()):
+            below, own, last, at = F.col(f"_sum_n{i}"), F.col(f"_n{i}"), F.col(f"_max_v{i}"), F.col(f"_sum_h{i}")
+            passed = lambda rows, n=n: F.greatest(F.lit(0), F.ceil(rows * BINS / max(n, 1)) - 1).cast("int")
+            before = F.when(at > 1, passed(below - last[f"_n{i}"] / 2)).otherwise(0)
+            step = F.struct(at.alias("at"), before.alias("before"), passed(below + own / 2).alias("parts"), ((last["_x"] + F.col("_x")) / 2).alias("cut"))
+            steps.append(F.when(there[i] & last.isNotNull(), step))
+        ran = ran.select(*[s.alias(f"_s{i}") for i, s in enumerate(steps)])
+        s = [F.col(f"_s{i}") for i in range(len(rest))]
+        wanted = [(s[i]["parts"] > s[i]["before"]) | F.lit(different[i] <= BINS) for i in range(len(rest))]
+        pick = lambda wanted: ran.select(F.array(*[F.when(w, c) for w, c in zip(wanted, s, strict=True)]).alias("_s")).filter(F.exists("_s", lambda c: c.isNotNull())).collect()
+        found = pick(wanted)
+        late = [[r[0][i]["at"] for r in found if r[0][i] and r[0][i]["parts"] > r[0][i]["before"] + 1 and different[i] > BINS] for i in range(len(rest))]
+        if any(late):
+            for i, starts in enumerate(late):
+                for a in starts:
+                    wanted[i] = wanted[i] | s[i]["at"].between(a + 1, a + BINS)
+            found = pick(wanted)
+        for i, f in enumerate(rest):
+            cuts: list[float] = []
+            for _, _, parts, cut in sorted(r[0][i] for r in found if r[0][i]):
+                if different[i] <= BINS or len(cuts) < parts:
+                    cuts.append(cut)
+            out[f].append(cuts)
+    return out
+
+
 def residual_regressor(df: DataFrame, fold: str, condition: str, target: str, kind: str) -> DataFrame:
     """``df`` (with ``features``) and ``prediction``: the training folds' mean of the condition plus a model of what it leaves, within
-    0 and 1. ``kind``: "forest", "boosted" or "elastic_net". A fold's rows, training rows and held-out rows alike, take the anchors of its training folds."""
+    0 and 1. ``kind``: "forest", "boosted" or "elastic_net". A fold's rows, training rows and held-out rows alike, take the anchors of its training folds.
+
+    Boosted trees see of a row the classes of its features alone, and squared errors need of equal rows their number and mean alone: the
+    training rows are counted by class once, and all passes of a fit go over these cells."""
+    from pyspark.ml.feature import Bucketizer
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
     make = {
         "forest": lambda: RandomForestRegressor(labelCol="_residual", predictionCol="_p", numTrees=20, maxDepth=4, seed=7),
-        "boosted": lambda: GBTRegressor(labelCol="_residual", predictionCol="_p", maxIter=10, maxDepth=3, seed=7),
+        "boosted": lambda: GBTRegressor(featuresCol="_cell", weightCol="_n", labelCol="_residual", predictionCol="_p", maxIter=10, maxDepth=3, seed=7),
         "elastic_net": lambda: LinearRegression(labelCol="_residual", predictionCol="_p", regParam=0.01, elasticNetParam=0.5),
     }[kind]
     anchors = residual_anchors(df, fold, condition, target).persist()  # few rows; else each pass of each fit sums all rows again
 
+    cuts = training_cuts(df, fold, "features") if kind == "boosted" else {}
+
+    def celled(rows: DataFrame, held: object) -> DataFrame:
+        """Rows with the class of each feature, ``_c0`` and so on."""
+        x, size = vector_to_array("features"), len(cuts[held])
+        ends = [[-float("inf"), *np.nextafter(c, np.inf).tolist(), float("inf")] for c in cuts[held]]  # a bound itself is below
+        whole = rows.columns
+        rows = rows.select("*", *[F.get(x, F.lit(j)).alias(f"_x{j}") for j in range(size)])
+        rows = Bucketizer(splitsArray=ends, inputCols=[f"_x{j}" for j in range(size)], outputCols=[f"_b{j}" for j in range(size)]).transform(rows)
+        return rows.select(*whole, *[(F.col(f"_b{j}") + 0.0).alias(f"_c{j}") for j in range(size)])  # plain numbers; the buckets say that they are categories
+
     def fit(train: DataFrame, held: object):
         own = F.broadcast(anchors.filter(F.col(fold) == held).select(condition, "anchor"))
-        model = make().fit(train.join(own, condition).withColumn("_residual", F.col(target) - F.col("anchor")))
+        rows = train.join(own, condition).withColumn("_residual", F.col(target) - F.col("anchor"))
         unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("anchor") + F.col("_p")))
-        return lambda test: model.transform(test.join(own, condition)).withColumn("prediction", unit).drop("_p", "anchor")
+        if kind != "boosted":
+            model = make().fit(rows)
+            return lambda test: model.transform(test.join(own, condition)).withColumn("prediction", unit).drop("_p", "anchor")
+        names = [f"_c{j}" for j in range(len(cuts[held]))]
+        mean = F.avg(F.coalesce("_residual", F.lit(float("nan"))))  # a row without a target is an error, as for the other kinds
+        cells = assemble(celled(rows, held).groupBy(*names).agg(F.count("*").cast("double").alias("_n"), mean.alias("_residual")), names, "_cell").persist()
+        model = make().fit(cells.coalesce(1 + cells.count() // CELLS))
+        cells.unpersist()
+        return lambda test: model.transform(assemble(celled(test.join(own, condition), held), names, "_cell")).withColumn("prediction", unit).drop("_p", "anchor", "_cell", *names)
 
     return per_fold(df, fold, fit)
 

@@ -230,6 +230,27 @@ def test_residual_models_learn_and_leave_the_fold_out(spark, kind):
         assert found.keys() == anchor.keys() and all(abs(found[k] - v) < 1e-12 for k, v in anchor.items())
 
 
+def test_boosted_trees_of_cells_are_those_of_rows(spark, monkeypatch):
+    """A feature of many values, one of 50 and one of three; a fit passes over cells that are fewer than the rows."""
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(11)
+    rows = [(i, int(f), int(c), float(a), int(b), int(k), float(0.4 + 0.1 * np.tanh(a) + 0.002 * b - 0.05 * k + 0.02 * c + 0.02 * e)) for i, (f, c, a, b, k, e) in enumerate(zip(rng.integers(0, 3, 6000), rng.integers(0, 4, 6000), rng.normal(size=6000).round(1), rng.integers(0, 50, 6000), rng.integers(0, 3, 6000), rng.normal(size=6000), strict=True))]
+    df = L.assemble(spark.createDataFrame(rows, "i int, fold int, c int, a double, b int, k int, y double"), ["a", "b", "k"])
+    seen, fit = [], GBTRegressor.fit
+    with monkeypatch.context() as m:
+        m.setattr(GBTRegressor, "fit", lambda self, d: seen.append(d.count()) or fit(self, d))
+        out = L.residual_regressor(df, "fold", "c", "y", "boosted")
+    assert sorted(out.columns) == sorted([*df.columns, "prediction"]) and len(seen) == 3 and max(seen) < 2900
+    got = {r.i: r.prediction for r in out.collect()}
+    for f in (0, 1, 2):
+        anchor = L.residual_anchors(df, "fold", "c", "y").filter(F.col("fold") == f).select("c", "anchor")
+        train, test = (df.filter(which).join(anchor, "c").withColumn("r", F.col("y") - F.col("anchor")) for which in (F.col("fold") != f, F.col("fold") == f))
+        model = GBTRegressor(labelCol="r", predictionCol="p", maxIter=10, maxDepth=3, seed=7).fit(train)
+        want = {r.i: min(1.0, max(0.0, r.anchor + r.p)) for r in model.transform(test).collect()}
+        assert want.keys() == {r[0] for r in rows if r[1] == f} and all(abs(got[i] - v) < 1e-9 for i, v in want.items())
+
+
 def test_ridge_of_ranked_penalties_equals_nested_fits(spark):
     """Rows of every inner fold are scored by fits of their own; a condition that a fold lacks takes the mean."""
     rng = np.random.default_rng(4)
