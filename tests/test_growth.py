@@ -135,6 +135,16 @@ def test_manifest_is_made_in_as_many_tasks_as_its_rows_ask_for(spark, monkeypatc
     assert got == [(f, k, "test" if k - 10 == f else "validation" if k - 10 == (f + 1) % 70 else "train") for f in range(70) for k in range(10, 80)]
 
 
+def test_manifest_is_small_on_disk(spark, tmp_path):
+    """Runs and repetitions, under a quarter of a byte a row where the numbers of the folds alone would be over one."""
+    out = B.lopo_manifest(spark.range(1500), "id")
+    out.write.parquet(str(tmp_path / "m"))
+    assert sum(p.stat().st_size for p in (tmp_path / "m").glob("*.parquet")) < 1500 * 1500 / 4
+    got = spark.read.parquet(str(tmp_path / "m"))
+    assert got.count() == got.distinct().count() == 1500 * 1500 and [r.n for r in got.groupBy("role").agg(F.count("*").alias("n")).orderBy("n", "role").collect()] == [1500, 1500, 1500 * 1498]
+    assert got.filter("(role = 'test') <> (id = fold_index) or (role = 'validation') <> (id = (fold_index + 1) % 1500)").count() == 0
+
+
 def test_best_of_a_block_are_those_of_a_full_sort():
     rng = np.random.default_rng(1)
     for k, wide in ((5, 300), (5, 3), (5, 5), (1, 40)):
